@@ -25,8 +25,8 @@ from . import common
 BUCKETS = 1 << 18
 MOST_LABELLED = 12_000  # labelled rows a class that the model is fitted on, at most
 SHARDS = 4
-EPOCHS = 4
-ALPHA, BETA, L1, L2 = 0.3, 1.0, 0.002, 0.01
+EPOCHS = 8
+ALPHA, BETA, L1, L2 = 1.0, 1.0, 0.002, 0.01
 PAIR = np.uint64(0x9FB21C651E98DF25)
 TWICE = np.uint64(0x2545F4914F6CDD1D)  # the pair of any token with itself
 
