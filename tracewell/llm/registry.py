@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from . import language_id, quality
+from . import bpe, html_extract, language_id, quality
 
 QUERIES = {
     "op2_quality_classifier": quality.query,
+    "op7_byte_bpe": bpe.query,
     "op9_language_id": language_id.query,
+    "op10_html_extraction": html_extract.query,
 }
 ORACLES: dict[str, str] = {}
