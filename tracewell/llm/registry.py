@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import bpe, html_extract, language_id, quality, secret_scan
+from . import bpe, fingerprint, html_extract, language_id, quality, secret_scan
 
 QUERIES = {
     "op1_secret_scan": secret_scan.query,
     "op2_quality_classifier": quality.query,
+    "op5_document_fingerprints": fingerprint.query,
     "op7_byte_bpe": bpe.query,
     "op9_language_id": language_id.query,
     "op10_html_extraction": html_extract.query,
