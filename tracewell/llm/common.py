@@ -6,7 +6,7 @@ import tempfile
 import uuid
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 HELD_OUT = 2  # crc32(doc_id as text) mod 4 with this remainder is never trained on
@@ -40,23 +40,22 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 4 == HELD_OUT
 
 
-def bounded_sample(rows: DataFrame, by: str, key: str, most: int) -> DataFrame:
+def bounded_sample(rows: DataFrame, by: str, key: str, most: int, values: int = 1000) -> DataFrame:
     """About ``most`` rows of each value of ``by`` (all, if fewer), those with the smallest hash of ``key``.
 
-    A count of each value, which reads two narrow columns, sets a hash threshold, so only sampled rows are shuffled.
-    The number of rows is bounded by ``most`` for each value; ties at the threshold go by the whole hash and the key.
+    A count of each value, which reads two narrow columns, gives a threshold for the hash, so only sampled rows are shuffled.
+    The number of rows is bounded by ``most`` for each value; ties go by the key. More than ``values`` values are an error.
     """
-    unit = (F.xxhash64(F.col(key)).bitwiseAND(F.lit(2**52 - 1))) / float(2**52)
-    counts = rows.groupBy(F.col(by).alias("_by")).agg(F.count("*").alias("_n"))
-    kept = (
-        rows.withColumn("_unit", unit)
-        .join(counts, F.col(by).eqNullSafe(F.col("_by")))
-        .where(F.col("_unit") * F.col("_n") <= 1.1 * most + 20)
-    )
-    from pyspark.sql import Window
-
+    counts = rows.groupBy(by).agg(F.count("*").alias("n")).limit(values + 1).collect()
+    if len(counts) > values:
+        raise ValueError(f"{by} has more than {values} values")
+    unit = F.xxhash64(F.col(key)).bitwiseAND(F.lit(2**52 - 1)) / float(2**52)
+    share = F.create_map(*(F.lit(x) for r in counts if r[0] is not None for x in (r[0], (1.1 * most + 20) / r.n))) if counts else None
+    if share is None:
+        return rows.limit(0)
     order = Window.partitionBy(by).orderBy("_unit", key)
-    return kept.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= most).drop("_unit", "_by", "_n", "_rank")
+    kept = rows.withColumn("_unit", unit).where(F.col("_unit") <= share[F.col(by)])
+    return kept.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= most).drop("_unit", "_rank")
 
 
 def mix(h: np.ndarray) -> np.ndarray:

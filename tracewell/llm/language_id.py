@@ -16,7 +16,7 @@ from functools import cache
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import common
@@ -70,7 +70,7 @@ def _top(grams: np.ndarray, counts: np.ndarray, most: int) -> np.ndarray:
 def fit(docs: DataFrame, profile: int = PROFILE, most_rows: int = MOST_ROWS) -> dict[str, np.ndarray]:
     """Profiles from the text and lang of a bounded sample: ``most_rows`` documents a language, outside the held-out quarter."""
     rows = docs.select("doc_id", "text", "lang").where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~common.held_out(F.col("doc_id")))
-    sample = common.bounded_sample(rows, "lang", "doc_id", most_rows)
+    sample = common.bounded_sample(rows, "lang", "doc_id", most_rows, MOST_LANGUAGES)
 
     def count(batches):
         for b in batches:
@@ -81,8 +81,6 @@ def fit(docs: DataFrame, profile: int = PROFILE, most_rows: int = MOST_ROWS) ->
                     grams, where = np.unique(g, return_inverse=True)
                     yield pd.DataFrame({"lang": lang, "gram": grams, "n": np.bincount(where, k).astype("int64")})
 
-    from pyspark.sql import Window
-
     ranked = (
         sample.mapInPandas(count, "lang string, gram long, n long")
         .groupBy("lang", "gram")
@@ -90,11 +88,8 @@ def fit(docs: DataFrame, profile: int = PROFILE, most_rows: int = MOST_ROWS) ->
         .withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram")))
         .where(F.col("rank") <= profile)
     )
-    languages = [r.lang for r in ranked.select("lang").distinct().orderBy("lang").limit(MOST_LANGUAGES + 1).collect()]
-    if len(languages) > MOST_LANGUAGES:
-        raise ValueError(f"lang has more than {MOST_LANGUAGES} values")
-    found = ranked.orderBy("lang", "rank").select("lang", "gram").toPandas()  # at most PROFILE rows a language
-    return {lang: found.loc[found["lang"] == lang, "gram"].to_numpy(np.int64) for lang in languages}
+    found = ranked.orderBy("lang", "rank").select("lang", "gram").toPandas()  # PROFILE rows a language, and few languages
+    return {lang: rows["gram"].to_numpy(np.int64) for lang, rows in found.groupby("lang")}
 
 
 def predict(docs: DataFrame, profiles: dict[str, np.ndarray], profile: int = PROFILE) -> DataFrame:
