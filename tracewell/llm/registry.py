@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import bpe, fingerprint, html_extract, language_id, mixing, quality, secret_scan
+from . import ann, bpe, fingerprint, html_extract, language_id, mixing, quality, secret_scan
 
 QUERIES = {
     "op1_secret_scan": secret_scan.query,
     "op2_quality_classifier": quality.query,
     "op3_source_mixing": mixing.query,
+    "op4_nearest_neighbours": ann.query,
     "op5_document_fingerprints": fingerprint.query,
     "op7_byte_bpe": bpe.query,
     "op9_language_id": language_id.query,
