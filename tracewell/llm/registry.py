@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, bpe, fingerprint, html_extract, language_id, mixing, quality, secret_scan
+from . import ann, bpe, fingerprint, html_extract, jaccard_join, language_id, mixing, quality, secret_scan
 
 QUERIES = {
     "op1_secret_scan": secret_scan.query,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_nearest_neighbours": ann.query,
     "op5_document_fingerprints": fingerprint.query,
     "op7_byte_bpe": bpe.query,
+    "op8_jaccard_join": jaccard_join.query,
     "op9_language_id": language_id.query,
     "op10_html_extraction": html_extract.query,
 }
