@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, bpe, fingerprint, html_extract, jaccard_join, language_id, mixing, quality, secret_scan
+from . import ann, bpe, fingerprint, html_extract, jaccard_join, language_id, mixing, quality, secret_scan, token_counts
 
 QUERIES = {
     "op1_secret_scan": secret_scan.query,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_source_mixing": mixing.query,
     "op4_nearest_neighbours": ann.query,
     "op5_document_fingerprints": fingerprint.query,
+    "op6_token_counts": token_counts.query,
     "op7_byte_bpe": bpe.query,
     "op8_jaccard_join": jaccard_join.query,
     "op9_language_id": language_id.query,
@@ -18,4 +19,5 @@ QUERIES = {
 ORACLES: dict[str, str] = {
     "op1_secret_scan": secret_scan.ORACLE_SQL,
     "op3_source_mixing": mixing.ORACLE_SQL,
+    "op6_token_counts": token_counts.ORACLE_SQL,
 }
