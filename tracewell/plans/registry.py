@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from tracewell.plans import graph_queries
+
+QUERIES: dict = {**graph_queries.QUERIES}
+ORACLES: dict[str, str] = {**graph_queries.ORACLES}
