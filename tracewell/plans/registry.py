@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tracewell.plans import graph_queries
+from tracewell.plans import function_queries, graph_queries
 
-QUERIES: dict = {**graph_queries.QUERIES}
-ORACLES: dict[str, str] = {**graph_queries.ORACLES}
+QUERIES: dict = {**graph_queries.QUERIES, **function_queries.QUERIES}
+ORACLES: dict[str, str] = {**graph_queries.ORACLES, **function_queries.ORACLES}
