@@ -16,6 +16,8 @@ go by kind in the order assign, access, hex. Texts are taken whole; other column
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,10 +35,21 @@ MOST_OWNERS = 1  # owners of a live-looking value, at most
 COPIES = 3  # repositories from which a value that several owners share counts as widely copied
 
 
+def quick(pattern: str, group: int, least: int) -> str:
+    """The pattern in a form that is quicker and leaves the same matches.
+
+    Possessive repetition is safe, as nothing follows that could want a character back. Where the whole match is the
+    value, it is a run that can't start later and be longer, so the least length can stand in the pattern.
+    """
+    if group == 0:
+        fixed = len(re.sub(r"\[[^]]*\]\+$", "", pattern))
+        return f"{pattern[:-1]}{{{least - fixed},}}+"
+    return pattern.replace("]+", "]++")
+
+
 def _spans(text: Column, rank: int, name: str, pattern: str, group: int, least: int) -> Column:
     """Spans of one kind: (start, rank, end, kind, value), start and end in code points."""
-    # possessive repetition gives the same matches (nothing follows it that could want a character back)
-    pattern = pattern.replace("]+", "]++")
+    pattern = quick(pattern, group, least)
     whole, value = F.regexp_extract_all(text, F.lit(f"({pattern})"), F.lit(1)), F.regexp_extract_all(text, F.lit(f"({pattern})"), F.lit(group + 1))
     gaps = F.split(text, pattern, -1)
     item = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,rank:int,end:int,kind:string,value:string>>").alias("found"))
@@ -47,7 +60,8 @@ def _spans(text: Column, rank: int, name: str, pattern: str, group: int, least:
         one = F.struct(start.alias("start"), F.lit(rank).alias("rank"), end.alias("end"), F.lit(name).alias("kind"), x["value"].alias("value"))
         return F.struct(end.alias("at"), F.when(F.length(x["value"]) >= least, F.array_append(state["found"], one)).otherwise(state["found"]).alias("found"))
 
-    rows = F.transform(F.sequence(F.lit(1), F.size(whole)), lambda i: F.struct(F.element_at(gaps, i).alias("gap"), F.element_at(whole, i).alias("whole"), F.element_at(value, i).alias("value")))
+    # zipped, so that each array is made once; there is one gap more than matches
+    rows = F.filter(F.arrays_zip(gaps.alias("gap"), whole.alias("whole"), value.alias("value")), lambda x: x["whole"].isNotNull())
     empty = F.array().cast("array<struct<start:int,rank:int,end:int,kind:string,value:string>>")
     return F.when(text.rlike(HINTS[name]) & text.rlike(pattern), F.aggregate(rows, item, step, lambda s: s["found"])).otherwise(empty)
 
@@ -112,8 +126,8 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """
     cols, body = docs.columns, F.coalesce(F.col("text"), F.lit(""))
     holds = F.lit(False)
-    for name, pattern, _, _ in KINDS:
-        holds = holds | (body.rlike(HINTS[name]) & body.rlike(pattern.replace("]+", "]++")))
+    for name, *rest in KINDS:
+        holds = holds | (body.rlike(HINTS[name]) & body.rlike(quick(*rest)))
     some = docs.where(holds).withColumn("_key", F.xxhash64("text"))
     scanned = common.materialize(scan(some.withColumn("_owner", F.col("source")), owner="_owner", key="_key"), "secrets-stage")
     live = classify(scanned).where("n_live > 0").join(scanned.select("row", "doc_id", "key"), "row")
