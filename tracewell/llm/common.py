@@ -32,7 +32,10 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     """``df`` written once as Parquet in the shared folder and read back: cuts lineage and outlives lost executors."""
     path = f"{shared_dir(df.sparkSession)}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark, schema = df.sparkSession, df.schema
+    del df
+    spark.sparkContext._jvm.System.gc()  # shuffle files of finished jobs go once the driver's garbage is collected
+    return spark.read.schema(schema).parquet(path)
 
 
 def held_out(doc_id: Column) -> Column:

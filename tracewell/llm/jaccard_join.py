@@ -3,11 +3,11 @@
 A document is its set of distinct word shingles. Two sets of similarity t share at least ceil(t * n) shingles, so in any one
 global order their first n - ceil(t * n) + l shingles share at least l. Each document takes the l of least estimated cost,
 from how many others hold the shingles of its prefix: a longer prefix is more to probe, but a pair must then share more of it before it is
-verified. A pair must share the smaller of both documents' l.
+verified. A pair must share the smaller of both documents' l, and within the shorter prefixes that the sizes of the two allow.
 
-The order puts rare shingles first. Frequencies are counted exactly for a quarter of all shingles, by their hash, which come
-first, rarest first; the rest follow in order of hash, and only very small sets reach them. That is one order for all, so no link is lost, and
-most prefixes hold only shingles that no other document has.
+The order is by frequency, rarest first, which keeps most prefixes free of shingles that others have. Counting all shingles of a
+corpus for it would be dear, so it goes in two exact steps. First, a quarter of all shingles, by their hash, are counted, and an order that has them first
+leaves out every document whose prefix no other document touches. Then the whole sets of those that are left are counted and indexed.
 
 Documents of equal sets are one class, and classes take part once. Links matter for components, so pairs that are already connected
 need not be verified. Rounds of stars find most: in each shingle's bucket every member is compared with one pivot, which is
@@ -23,7 +23,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import common
@@ -33,7 +33,7 @@ SEPARATORS = b" \t\n\x0b\x0c\r"
 WORDS = 4
 PERCENT = 85
 SAMPLED = np.uint64(1 << 62)  # hashes below this have their frequencies counted
-MOST_MATCHES = 4  # the largest l
+MOST_MATCHES = 4  # the largest l that is tried
 VERIFY_COST = 8.0  # of verifying a candidate, against reading one posting
 STARS = 4  # rounds of stars, at most
 FEW = 2  # all pairs are looked at once they are fewer than so many for each posting
@@ -64,46 +64,56 @@ def needed(n, percent: int = PERCENT):
     return (percent * n + 99) // 100
 
 
-def sketch(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """(doc_id, n, a, b, s, sample): size and 128-bit fingerprint of each set, and its shingles that can be in a prefix, in order; the first s are sampled ones."""
+def sketch(docs: DataFrame, words: int = WORDS) -> DataFrame:
+    """(doc_id, n, a, b, sample): size and 128-bit fingerprint of each set, and those of its shingles that are counted first."""
 
     def run(batches):
         for batch in batches:
-            n, a, b, s, lengths, parts = [], [], [], [], [], []
+            n, a, b, lengths, parts = [], [], [], [], []
             for own in shingles(batch.column("text"), words):
                 below = int(np.searchsorted(own, SAMPLED))
-                take = max(below, min(len(own), len(own) - needed(len(own), percent) + MOST_MATCHES))
                 n.append(len(own))
                 a.append(int(common.mix(own + np.uint64(0x632BE59BD9B4E019)).sum(dtype=np.uint64).astype(np.int64)))
                 b.append(int(common.mix(own ^ np.uint64(0xD1B54A32D192ED03)).sum(dtype=np.uint64).astype(np.int64)))
-                s.append(below)
-                lengths.append(take)
-                parts.append(own[:take].view(np.int64))
+                lengths.append(below)
+                parts.append(own[:below].view(np.int64))
             offsets = np.concatenate(([0], np.cumsum(lengths))).astype(np.int32)
             sample = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(parts) if parts else np.zeros(0, np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(s, pa.int64()), sample], names=["doc_id", "n", "a", "b", "s", "sample"])
-
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, n long, a long, b long, s long, sample array<long>")
-
-
-def prefixes(reps: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """(token, rep, n, l): each class's prefix, of the length that its estimated cost asks for."""
-    room = F.floor(F.col("n") - F.floor((percent * F.col("n") + 99) / 100)).cast("long")  # n - needed(n)
-    tokens = reps.select("rep", (F.col("n") * F.lit(2**32) + F.col("s")).alias("meta"), F.posexplode("sample").alias("at", "token"))
-    counted = tokens.where("at < meta % 4294967296").select("token", "rep", "meta")
-    often = counted.groupBy("token").agg(F.count("*").alias("f")).where("f > 1")
-    n, s = F.floor(F.col("meta") / 2**32).cast("long"), (F.col("meta") % 2**32).cast("long")
-    shared = counted.join(often, "token").select("rep", "token", "f", n.alias("n"), s.alias("s"))
-    own = Window.partitionBy("rep")
-    order = own.orderBy("f", "token")
-    # shingles that no other class has come first, and need no place in an index
-    shared = shared.withColumn("at", F.col("s") - F.count("*").over(own) + F.row_number().over(order) - 1)
-    rest = tokens.where("at >= meta % 4294967296").select("rep", "token", F.lit(2).cast("long").alias("f"), n.alias("n"), s.alias("s"), F.col("at").cast("long").alias("at"))
-    near = shared.unionByName(rest).where(F.col("at") < room + MOST_MATCHES)
-    cost = F.array(*(F.struct((F.sum(F.when(F.col("at") < room + k, F.col("f") - 1).otherwise(0)).over(own) * (1 + VERIFY_COST / k)).alias("cost"), F.lit(k).alias("l")) for k in range(1, MOST_MATCHES + 1)))
-    allowed = F.filter(cost, lambda c: (c["l"] == 1) | (c["l"] <= F.col("n") - room))
-    chosen = near.withColumn("l", F.array_min(allowed)["l"])
-    return chosen.where(F.col("at") < room + F.col("l")).select("token", "rep", "n", "l")
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), sample], names=["doc_id", "n", "a", "b", "sample"])
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, n long, a long, b long, sample array<long>")
+
+
+def room(n: Column, percent: int = PERCENT) -> Column:
+    """How many shingles of a set of n a partner may lack: n - ceil(t * n)."""
+    return n - F.floor((percent * n + 99) / 100).cast("long")
+
+
+def touched(reps: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """(rep) of the classes that can have a partner: sampled shingles first and rarest first, some shingle of the prefix is another's too, or not counted."""
+    tokens = reps.select("rep", F.explode("sample").alias("token"))
+    often = tokens.groupBy("token").agg(F.count("*").alias("f")).where("f > 1").select("token")
+    shared = tokens.join(often, "token").groupBy("rep").agg(F.count("*").alias("m"))
+    sizes = reps.select("rep", "n", F.size("sample").alias("s"))
+    few = F.col("s") <= room(F.col("n"), percent)
+    near = F.col("s") - F.col("m") <= room(F.col("n"), percent)
+    return sizes.join(shared, "rep", "left").where(few | F.coalesce(near, F.lit(False))).select("rep").distinct()
+
+
+def prefixes(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """(token, rep, n, at, l): each class's prefix, of the length that its estimated cost asks for, with places in it from 0.
+
+    Shingles of one class alone come first in the order and need no row. Two classes of one name are told apart by size.
+    """
+    tokens = sets.select("token", "rep", "n")
+    often = tokens.groupBy("token").agg(F.count("*").alias("f")).where("f > 1")
+    own = Window.partitionBy("rep", "n")
+    shared = tokens.join(often, "token").withColumn("at", F.col("n") - F.count("*").over(own) + F.row_number().over(own.orderBy("f", "token")) - 1)
+    free = room(F.col("n"), percent)
+    near = shared.where(F.col("at") < free + MOST_MATCHES)
+    cost = F.array(*(F.struct((F.sum(F.when(F.col("at") < free + k, F.col("f") - 1).otherwise(0)).over(own) * (1 + VERIFY_COST / k)).alias("cost"), F.lit(k).alias("l")) for k in range(1, MOST_MATCHES + 1)))
+    allowed = F.filter(cost, lambda c: (c["l"] == 1) | (c["l"] <= F.col("n") - free))
+    return near.withColumn("l", F.array_min(allowed)["l"]).where(F.col("at") < free + F.col("l")).select("token", "rep", "n", "at", "l")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -113,7 +123,7 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataF
         for b in batches:
             keep = []
             for x, y in zip(b.column("x"), b.column("y"), strict=True):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+                x, y = x.values.to_numpy(), y.values.to_numpy()
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 keep.append(100 * both >= percent * (len(x) + len(y) - both))
             keep = pa.array(keep, pa.bool_())
@@ -124,7 +134,10 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataF
 
 
 def _fits(percent: int) -> str:
-    return f"100 * least(n, m) >= {percent} * greatest(n, m)"
+    """Two sizes can be similar enough, and a shared shingle stands early enough in both for the least of their l."""
+    overlap = f"ceil({percent} * (n + m) / {100 + percent}.0)"
+    early = f"at < n - {overlap} + least(l, k) AND bt < m - {overlap} + least(l, k)"
+    return f"100 * least(n, m) >= {percent} * greatest(n, m) AND {early}"
 
 
 def linked(index: DataFrame, sets: DataFrame, percent: int = PERCENT, stars: int = STARS) -> DataFrame | None:
@@ -132,55 +145,62 @@ def linked(index: DataFrame, sets: DataFrame, percent: int = PERCENT, stars: int
     known, size = None, index.count()
     for turn in range(stars + 1):
         named = index.withColumn("c", F.col("rep")) if known is None else index.join(known.withColumnRenamed("node", "rep"), "rep", "left").withColumn("c", F.coalesce("component", "rep")).drop("component")
-        # pairs of different components that share a bucket, counted and not made
-        apart = named.groupBy("token", "c").agg(F.count("*").alias("k")).groupBy("token").agg(((F.sum("k") * F.sum("k") - F.sum(F.col("k") * F.col("k"))) / 2).alias("p")).where("p > 0")
-        left = apart.agg(F.sum("p")).first()[0] or 0
+        # buckets of several components, their pairs across (counted and not made), and the component with most members
+        each = named.groupBy("token", "c").agg(F.count("*").alias("k"))
+        mixed = each.groupBy("token").agg(((F.sum("k") * F.sum("k") - F.sum(F.col("k") * F.col("k"))) / 2).alias("p"), F.max(F.struct("k", "c"))["c"].alias("most")).where("p > 0")
+        named, mixed = common.materialize(named, "jaccard-named"), common.materialize(mixed, "jaccard-mixed")
+        left = mixed.agg(F.sum("p")).first()[0] or 0
         if not left:
             return known
-        if turn == stars or left <= FEW * size:
-            found = _all_pairs(named, percent)
+        last = turn == stars or left <= FEW * size
+        if last:
+            found = _all_pairs(named, mixed, percent)
         else:
-            first = F.min(F.struct(F.xxhash64("rep", F.lit(turn)).alias("h"), F.col("rep").alias("p"), F.col("n").alias("m"), F.col("c").alias("pc")))
-            pivots = named.groupBy("token").agg(first.alias("x"), F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("token", "x.p", "x.m", "x.pc")
-            found = named.join(pivots, "token").where("c <> pc AND rep <> p AND " + _fits(percent)).select(F.least("rep", "p").alias("u"), F.greatest("rep", "p").alias("v")).distinct()
+            # the first pivots are the members with the least that is theirs alone
+            rank = F.col("at") if turn == 0 else F.xxhash64("rep", F.lit(turn))
+            first = F.min(F.struct(rank.alias("h"), F.col("rep").alias("y"), F.col("n").alias("m"), F.col("at").alias("bt"), F.col("l").alias("k"), F.col("c").alias("d")))
+            pivots = named.groupBy("token").agg(first.alias("x")).join(mixed.select("token"), "token", "left_semi").select("token", "x.y", "x.m", "x.bt", "x.k", "x.d")
+            found = named.join(pivots, "token").where("c <> d AND rep <> y AND " + _fits(percent)).select(F.least("rep", "y").alias("u"), F.greatest("rep", "y").alias("v")).distinct()
         links = verified(found, sets, percent)
         if known is not None:
             links = links.union(known.where("node <> component").select("node", "component"))
         known = common.materialize(components(links), "components")
-        if turn < stars and left <= FEW * size:
+        if last:
             return known
     return known
 
 
-def _all_pairs(named: DataFrame, percent: int) -> DataFrame:
-    """Pairs of classes in different components that share as many prefix shingles as both ask for.
+def _all_pairs(named: DataFrame, mixed: DataFrame, percent: int) -> DataFrame:
+    """Pairs of classes in different components that share as many early prefix shingles as the less asking of both wants.
 
-    Components meet first, then their members in the bucket, so pairs within a component are never made.
+    One of a pair is outside the bucket's largest component, so a bucket costs its size times its few strays.
     """
-    there = named.select("token", "c").distinct()
-    meet = there.join(there.withColumnRenamed("c", "d"), "token").where("c < d")
-    x = named.select("token", "c", F.col("rep").alias("x"), "n", "l")
-    y = named.select("token", F.col("c").alias("d"), F.col("rep").alias("y"), F.col("n").alias("m"), F.col("l").alias("k"))
-    pairs = meet.join(x, ["token", "c"]).join(y, ["token", "d"]).where(_fits(percent))
-    enough = pairs.groupBy("x", "y").agg(F.count("*").alias("both"), F.min(F.least("l", "k")).alias("least")).where("both >= least")
-    return enough.select(F.least("x", "y").alias("u"), F.greatest("x", "y").alias("v")).distinct()
+    there = named.join(mixed.select("token", "most"), "token")
+    x = there.where("c <> most")
+    y = there.select("token", F.col("rep").alias("y"), F.col("n").alias("m"), F.col("at").alias("bt"), F.col("l").alias("k"), F.col("c").alias("d"))
+    pairs = x.join(y, "token").where("c <> d AND rep <> y AND (d = most OR rep < y) AND " + _fits(percent))
+    enough = pairs.groupBy(F.least("rep", "y").alias("u"), F.greatest("rep", "y").alias("v"), F.least("n", "m").alias("i"), F.greatest("n", "m").alias("j")).agg(F.count("*").alias("both"), F.min(F.least("l", "k")).alias("least")).where("both >= least")
+    return enough.select("u", "v").distinct()
 
 
 def join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """(doc_id, n_shingles, component_id, class_id) of every row of ``docs`` (doc_id, text)."""
-    rows = common.materialize(sketch(docs, words, percent), "jaccard-sets")
+    rows = common.materialize(sketch(docs, words), "jaccard-sets")
     some = rows.where("n > 0 AND doc_id IS NOT NULL")
     classes = some.groupBy("a", "b", "n").agg(F.min("doc_id").alias("rep"))
-    reps = some.join(classes, ["a", "b", "n"]).where("doc_id = rep").select("rep", "n", "s", "sample")
-    index = common.materialize(prefixes(reps, percent), "jaccard-prefixes")
+    reps = some.join(classes, ["a", "b", "n"]).where("doc_id = rep").select("rep", "n", "sample")
+    wanted = common.materialize(touched(reps, percent), "jaccard-touched")
 
     def whole(batches):
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column("rep"), pa.array([x.tobytes() for x in shingles(batch.column("text"), words)], pa.binary())], names=["rep", "own"])
+            own = list(shingles(batch.column("text"), words))
+            offsets = pa.array(np.concatenate(([0], np.cumsum([len(x) for x in own]))).astype(np.int32))
+            listed = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(own).view(np.int64) if own else np.zeros(0, np.int64)))
+            yield pa.RecordBatch.from_arrays([batch.column("rep"), pa.array([len(x) for x in own], pa.int64()), listed], names=["rep", "n", "own"])
 
-    wanted = index.select("rep").distinct()
     texts = docs.select(F.col("doc_id").cast("long").alias("rep"), F.col("text").cast("string").alias("text")).join(wanted, "rep", "left_semi")
-    sets = common.materialize(texts.mapInArrow(whole, "rep long, own binary"), "jaccard-whole")
+    sets = common.materialize(texts.mapInArrow(whole, "rep long, n long, own array<long>").where("n > 0"), "jaccard-whole")
+    index = common.materialize(prefixes(sets.select("rep", "n", F.explode("own").alias("token")), percent), "jaccard-prefixes")
     known = linked(index, sets, percent)
     # rows of one id are one node: the least name of its classes
     named = some.select("doc_id", "a", "b", "n").join(classes, ["a", "b", "n"]).groupBy("doc_id").agg(F.min("rep").alias("rep"), F.max("rep").alias("other"))
