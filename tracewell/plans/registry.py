@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from tracewell.plans import function_queries, graph_queries
+from tracewell.plans import function_queries, graph_queries, source_queries
 
-QUERIES: dict = {**graph_queries.QUERIES, **function_queries.QUERIES}
-ORACLES: dict[str, str] = {**graph_queries.ORACLES, **function_queries.ORACLES}
+_PARTS = (graph_queries, function_queries, source_queries)
+QUERIES: dict = {name: run for part in _PARTS for name, run in part.QUERIES.items()}
+ORACLES: dict[str, str] = {name: sql for part in _PARTS for name, sql in part.ORACLES.items()}

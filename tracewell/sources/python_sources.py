@@ -1,0 +1,191 @@
+"""Python source files as rows: discovery rules, and one parse of each file into raw facts.
+
+The kernel here only reads syntax: what it can't tell from one file is left to joins over the fact tables
+(``operators/python_graph.py`` and ``operators/python_facts.py``).
+"""
+
+from __future__ import annotations
+
+import ast
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+# fixed values: limits and names of discovery
+MOST_BYTES, MOST_DEPTH, MOST_NODES = 4 * 2**20, 64, 1_000_000
+SKIPPED = ("__pycache__", "node_modules", "site-packages", "venv", "env", "build", "dist")
+FACTS = "path string, fact string, id string, name string, value string, extra string, place int, line int, col int"
+
+
+def read_project(spark: SparkSession, root: str) -> DataFrame:
+    """(path, content, length) of the .py files under ``root``, paths relative to it. Large files stay unread: the size filter is pushed down."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.py").load(root)
+    base = root.rstrip("/") + "/"
+    path = F.regexp_replace(F.regexp_replace("path", "^file:/*", "/"), "^" + base.replace(".", r"\.").replace("file://", ""), "")
+    kept = files.where(F.col("length") <= MOST_BYTES).select(path.alias("path"), "content", "length")
+    return kept.where(is_source_path(F.col("path")))
+
+
+def is_source_path(path: Column) -> Column:
+    """Not too deep, and no directory on the way is hidden or known to hold no sources."""
+    folders = F.slice(F.split(path, "/"), 1, F.size(F.split(path, "/")) - 1)
+    return (F.size(folders) <= MOST_DEPTH) & ~F.exists(folders, lambda d: d.startswith(".") | d.isin(*SKIPPED))
+
+
+def module_name(path: Column) -> Column:
+    """The dotted module of a file; of a package's __init__, the package."""
+    return F.replace(F.regexp_replace(F.regexp_replace(path, r"^src/", ""), r"(/__init__)?\.py$", ""), F.lit("/"), F.lit("."))
+
+
+def dotted(node: ast.AST) -> str | None:
+    parts = []
+    while isinstance(node, ast.Attribute):
+        parts.append(node.attr)
+        node = node.value
+    if isinstance(node, ast.Call) and isinstance(node.func, ast.Name) and node.func.id == "super" and parts:
+        return ".".join(["super()", *reversed(parts)])
+    return ".".join([node.id, *reversed(parts)]) if isinstance(node, ast.Name) else None
+
+
+def text_parts(node: ast.AST | None) -> str | None:
+    """A string's literal parts, with U+FFFC where a value stands; None if it is no string."""
+    if isinstance(node, ast.Constant) and isinstance(node.value, str):
+        return node.value
+    if isinstance(node, ast.JoinedStr):
+        return "".join(x.value if isinstance(x, ast.Constant) else "￼" for x in node.values)
+    if isinstance(node, ast.BinOp) and isinstance(node.op, ast.Add):
+        a, b = text_parts(node.left), text_parts(node.right)
+        return None if a is None and b is None else (a if a is not None else "￼") + (b if b is not None else "￼")
+    return None
+
+
+class Reader(ast.NodeVisitor):
+    """Raw facts of one file: definition, import, base, bind, call, argument, decorator, keyword and item rows."""
+
+    def __init__(self, path: str, lines: list[bytes]):
+        self.path, self.lines, self.rows, self.scope, self.owner, self.count = path, lines, [], [], [], 0
+
+    def put(self, fact: str, node: ast.AST, name: str | None = None, value: str | None = None, extra: str | None = None, id: str | None = None) -> None:
+        line, col = getattr(node, "lineno", None), getattr(node, "col_offset", -1)
+        self.rows.append((self.path, fact, id or self.here(), name, value, extra, self.count, line, col + 1 if line else None))
+        self.count += 1
+
+    def here(self) -> str:
+        return f"{self.path}#{'.'.join(self.scope) or '<module>'}"
+
+    def define(self, node, kind: str) -> None:
+        parent = self.here()
+        for d in node.decorator_list:
+            call = d if isinstance(d, ast.Call) else None
+            target = dotted(call.func if call else d)
+            self.put("decorator", d, target, text_parts(call.args[0]) if call and call.args else None, f"{self.path}#{'.'.join([*self.scope, node.name])}")
+            if call:
+                self.keywords(call, f"{self.path}#{'.'.join([*self.scope, node.name])}", target)
+        self.scope.append(node.name)
+        self.put("definition", node, node.name, kind, parent)
+        if kind == "class":
+            for k, b in enumerate(node.bases):
+                self.put("base", b, dotted(b), str(k))
+        self.owner.append(kind)
+        for x in node.body:
+            self.visit(x)
+        self.owner.pop()
+        self.scope.pop()
+        if kind == "class":
+            for b in node.bases:
+                self.visit(b)
+
+    def visit_FunctionDef(self, node) -> None:
+        self.define(node, "method" if self.owner and self.owner[-1] == "class" else "function")
+
+    visit_AsyncFunctionDef = visit_FunctionDef
+
+    def visit_ClassDef(self, node) -> None:
+        self.define(node, "class")
+
+    def visit_Import(self, node) -> None:
+        for a in node.names:
+            self.put("import", node, a.asname or a.name.split(".")[0], a.name if a.asname else a.name.split(".")[0], "")
+
+    def visit_ImportFrom(self, node) -> None:
+        for a in node.names:
+            self.put("import", node, a.asname or a.name, f"{'.' * node.level}{node.module or ''}", a.name)
+
+    def visit_Assign(self, node) -> None:
+        for t in node.targets:
+            if isinstance(t, ast.Name):
+                made = dotted(node.value.func) if isinstance(node.value, ast.Call) else dotted(node.value)
+                self.put("bind", node, t.id, made, text_parts(node.value))
+                if isinstance(node.value, ast.Call):
+                    self.keywords(node.value, f"{self.here()}.{t.id}", made)
+                if isinstance(node.value, (ast.List, ast.Tuple)):
+                    self.items(node.value, t.id)
+        self.generic_visit(node)
+
+    def visit_AugAssign(self, node) -> None:
+        if isinstance(node.target, ast.Name) and isinstance(node.value, (ast.List, ast.Tuple)):
+            self.items(node.value, node.target.id)
+        self.generic_visit(node)
+
+    def items(self, node, name: str) -> None:
+        """Elements of a list that are calls: path("a/", view), include("b.urls")."""
+        for x in node.elts:
+            if isinstance(x, ast.Call) and x.args:
+                second = x.args[1] if len(x.args) > 1 else None
+                view = second.func.value if isinstance(second, ast.Call) and isinstance(second.func, ast.Attribute) and second.func.attr == "as_view" else second
+                included = text_parts(second.args[0]) or dotted(second.args[0]) if isinstance(second, ast.Call) and dotted(second.func) == "include" and second.args else None
+                self.put("item", x, name, f"{dotted(x.func)}|{text_parts(x.args[0])}", f"include|{included}" if included else f"view|{dotted(view) if view is not None else None}")
+
+    def keywords(self, call: ast.Call, target: str, function: str | None) -> None:
+        for k in call.keywords:
+            listed = [text_parts(x) for x in k.value.elts] if isinstance(k.value, (ast.List, ast.Tuple, ast.Set)) else None
+            self.put("keyword", call, k.arg, ",".join(x or "?" for x in listed) if listed is not None else text_parts(k.value) if text_parts(k.value) is not None else dotted(k.value), function, id=target)
+
+    def visit_Call(self, node) -> None:
+        name = dotted(node.func)
+        self.put("call", node, name, text_parts(node.args[0]) if node.args else None, text_parts(node.args[1]) if len(node.args) > 1 else None)
+        for a in [*node.args, *(k.value for k in node.keywords)]:
+            if dotted(a):
+                self.put("argument", a, dotted(a), name)
+        self.keywords(node, f"{self.path}:{node.lineno}:{node.col_offset + 1}", name)
+        self.generic_visit(node)
+
+
+def parse(content: bytes, path: str) -> list[tuple]:
+    """Raw facts of one file, or one failure row with its reason."""
+    try:
+        text = content.decode("utf-8-sig")
+        tree = ast.parse(text)
+        if sum(1 for _ in ast.walk(tree)) > MOST_NODES:
+            raise ValueError("too-many-nodes")
+        reader = Reader(path, [])
+        reader.put("definition", ast.Module([], []), "<module>", "module", None)
+        reader.visit(tree)
+        return reader.rows
+    except UnicodeDecodeError:
+        reason = "not-utf-8"
+    except SyntaxError:
+        reason = "syntax-error"
+    except (RecursionError, MemoryError):
+        reason = "too-deep"
+    except ValueError as e:
+        reason = str(e) if str(e) == "too-many-nodes" else "syntax-error"
+    return [(path, "failure", None, None, reason, None, 0, None, None)]
+
+
+def facts(files: DataFrame) -> DataFrame:
+    """Raw facts of ``files`` (path, content): one task reads a file once, for all that is asked of it."""
+
+    def run(batches):
+        for b in batches:
+            rows = [r for path, content in zip(b["path"], b["content"], strict=True) for r in parse(bytes(content or b""), path)]
+            out = pd.DataFrame(rows, columns=[c.split()[0] for c in FACTS.split(", ")])
+            yield out.astype({"place": "int32", "line": "Int32", "col": "Int32"})
+
+    return files.select("path", "content").mapInPandas(run, FACTS)
+
+
+def outcomes(raw: DataFrame) -> DataFrame:
+    """(outcome, n): files that were read, and failures by reason."""
+    return raw.where("fact = 'failure' OR (fact = 'definition' AND value = 'module')").groupBy(F.when(F.col("fact") == "failure", F.col("value")).otherwise("parsed").alias("outcome")).agg(F.count_distinct("path").alias("n"))
