@@ -3,7 +3,8 @@
 A document is its set of distinct word shingles. Two sets of similarity t share at least ceil(t * n) shingles, so in any one
 global order their first n - ceil(t * n) + l shingles share at least l. Each document takes the l of least estimated cost,
 from how many others hold the shingles of its prefix: a longer prefix is more to probe, but a pair must then share more of it before it is
-verified. A pair must share the smaller of both documents' l, and within the shorter prefixes that the sizes of the two allow.
+verified. A pair must share the smaller of both documents' l, and within the shorter prefixes that the sizes of the two allow; and small bitmaps of
+the sets must not differ in more places than similar sets can.
 
 The order is by frequency, rarest first, which keeps most prefixes free of shingles that others have. Counting all shingles of a
 corpus for it would be dear, so it goes in two exact steps. First, a quarter of all shingles, by their hash, are counted, and an order that has them first
@@ -36,6 +37,7 @@ SAMPLED = np.uint64(1 << 62)  # hashes below this have their frequencies counted
 MOST_MATCHES = 4  # the largest l that is tried
 VERIFY_COST = 8.0  # of verifying a candidate, against reading one posting
 STARS = 4  # rounds of stars, at most
+BITS = 512  # of a set's bitmap
 FEW = 2  # all pairs are looked at once they are fewer than so many for each posting
 STEP = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], np.uint64)
 
@@ -134,10 +136,18 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataF
 
 
 def _fits(percent: int) -> str:
-    """Two sizes can be similar enough, and a shared shingle stands early enough in both for the least of their l."""
+    """Two sizes can be similar enough, a shared shingle stands early enough in both for the least of their l, and their
+    bitmaps (a bit is set where an odd number of shingles fall on it) differ in no more bits than similar sets can in shingles."""
     overlap = f"ceil({percent} * (n + m) / {100 + percent}.0)"
     early = f"at < n - {overlap} + least(l, k) AND bt < m - {overlap} + least(l, k)"
-    return f"100 * least(n, m) >= {percent} * greatest(n, m) AND {early}"
+    bits = " + ".join(f"bit_count(b{i} ^ c{i})" for i in range(BITS // 64))
+    return f"100 * least(n, m) >= {percent} * greatest(n, m) AND {early} AND {bits} <= n + m - 2 * {overlap}"
+
+
+def bitmap(own: np.ndarray) -> np.ndarray:
+    """Parities of the shingles on each of BITS places, as 64-bit integers."""
+    odd = np.bincount((own & np.uint64(BITS - 1)).astype(np.int64), minlength=BITS) & 1
+    return np.packbits(odd.astype(bool)).view(np.int64)
 
 
 def linked(index: DataFrame, sets: DataFrame, percent: int = PERCENT, stars: int = STARS) -> DataFrame | None:
@@ -158,8 +168,8 @@ def linked(index: DataFrame, sets: DataFrame, percent: int = PERCENT, stars: int
         else:
             # the first pivots are the members with the least that is theirs alone
             rank = F.col("at") if turn == 0 else F.xxhash64("rep", F.lit(turn))
-            first = F.min(F.struct(rank.alias("h"), F.col("rep").alias("y"), F.col("n").alias("m"), F.col("at").alias("bt"), F.col("l").alias("k"), F.col("c").alias("d")))
-            pivots = named.groupBy("token").agg(first.alias("x")).join(mixed.select("token"), "token", "left_semi").select("token", "x.y", "x.m", "x.bt", "x.k", "x.d")
+            first = F.min(F.struct(rank.alias("h"), F.col("rep").alias("y"), F.col("n").alias("m"), F.col("at").alias("bt"), F.col("l").alias("k"), F.col("c").alias("d"), *(F.col(f"b{i}").alias(f"c{i}") for i in range(BITS // 64))))
+            pivots = named.groupBy("token").agg(first.alias("x")).join(mixed.select("token"), "token", "left_semi").select("token", "x.y", "x.m", "x.bt", "x.k", "x.d", *(f"x.c{i}" for i in range(BITS // 64)))
             found = named.join(pivots, "token").where("c <> d AND rep <> y AND " + _fits(percent)).select(F.least("rep", "y").alias("u"), F.greatest("rep", "y").alias("v")).distinct()
         links = verified(found, sets, percent)
         if known is not None:
@@ -177,7 +187,7 @@ def _all_pairs(named: DataFrame, mixed: DataFrame, percent: int) -> DataFrame:
     """
     there = named.join(mixed.select("token", "most"), "token")
     x = there.where("c <> most")
-    y = there.select("token", F.col("rep").alias("y"), F.col("n").alias("m"), F.col("at").alias("bt"), F.col("l").alias("k"), F.col("c").alias("d"))
+    y = there.select("token", F.col("rep").alias("y"), F.col("n").alias("m"), F.col("at").alias("bt"), F.col("l").alias("k"), F.col("c").alias("d"), *(F.col(f"b{i}").alias(f"c{i}") for i in range(BITS // 64)))
     pairs = x.join(y, "token").where("c <> d AND rep <> y AND (d = most OR rep < y) AND " + _fits(percent))
     enough = pairs.groupBy(F.least("rep", "y").alias("u"), F.greatest("rep", "y").alias("v"), F.least("n", "m").alias("i"), F.greatest("n", "m").alias("j")).agg(F.count("*").alias("both"), F.min(F.least("l", "k")).alias("least")).where("both >= least")
     return enough.select("u", "v").distinct()
@@ -196,11 +206,14 @@ def join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFra
             own = list(shingles(batch.column("text"), words))
             offsets = pa.array(np.concatenate(([0], np.cumsum([len(x) for x in own]))).astype(np.int32))
             listed = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(own).view(np.int64) if own else np.zeros(0, np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column("rep"), pa.array([len(x) for x in own], pa.int64()), listed], names=["rep", "n", "own"])
+            bits = np.stack([bitmap(x) for x in own]) if own else np.zeros((0, BITS // 64), np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column("rep"), pa.array([len(x) for x in own], pa.int64()), listed, *(pa.array(bits[:, i]) for i in range(BITS // 64))], names=["rep", "n", "own", *(f"b{i}" for i in range(BITS // 64))])
 
     texts = docs.select(F.col("doc_id").cast("long").alias("rep"), F.col("text").cast("string").alias("text")).join(wanted, "rep", "left_semi")
-    sets = common.materialize(texts.mapInArrow(whole, "rep long, n long, own array<long>").where("n > 0"), "jaccard-whole")
-    index = common.materialize(prefixes(sets.select("rep", "n", F.explode("own").alias("token")), percent), "jaccard-prefixes")
+    bits = [f"b{i}" for i in range(BITS // 64)]
+    sets = common.materialize(texts.mapInArrow(whole, "rep long, n long, own array<long>, " + ", ".join(f"{b} long" for b in bits)).where("n > 0"), "jaccard-whole")
+    index = prefixes(sets.select("rep", "n", F.explode("own").alias("token")), percent)
+    index = common.materialize(index.join(sets.select("rep", "n", *bits), ["rep", "n"]), "jaccard-prefixes")
     known = linked(index, sets, percent)
     # rows of one id are one node: the least name of its classes
     named = some.select("doc_id", "a", "b", "n").join(classes, ["a", "b", "n"]).groupBy("doc_id").agg(F.min("rep").alias("rep"), F.max("rep").alias("other"))
