@@ -30,13 +30,14 @@ BLOCKS = frozenset("address article aside blockquote body center dd details dial
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 HIDDEN = frozenset("script style noscript template textarea iframe svg math head title button select object canvas audio video".split())
 RAW = frozenset("script style textarea title iframe noscript".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())  # the end of one is the end of any
 CLOSED_BY = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",), "tbody": ("tr", "td", "th", "thead", "tbody"), "body": ("head",)}
 FENCE = frozenset("ul ol dl table div article section aside nav main form body html blockquote".split())
 
 TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)""", re.S)
 NAMED = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))""", re.I)
 WORD = re.compile(r"[A-Z]?[a-z]+")
-PAGES = 600  # labelled pages that the potentials are counted on
+PAGES = 2000  # labelled pages that the potentials are counted on
 LIKELY = 0.5
 
 
@@ -72,8 +73,9 @@ class Page:
                 continue
             tag = tag.lower()
             if m[1] or m[4]:
+                same = HEADINGS if tag in HEADINGS else (tag,)
                 k = len(stack) - 1
-                while k and stack[k][0] != tag:
+                while k and stack[k][0] not in same:
                     k -= 1
                 if k:
                     gone = stack[k:]
@@ -212,17 +214,20 @@ def labelled_page(k: int) -> str:
             return named("div", ("sidebar", "side-bar", "widget", "rail", "column-right")) + body + "</div>"
         if kind == 4:
             return f'<aside data-c="0">{body}</aside>'
-        if kind == 5:
-            return named(r.choice(("div", "section")), ("ad", "ads", "advert", "advertisement", "ad-slot", "banner", "sponsored", "promo", "sponsor")) + body + "</div>"
-        if kind == 6:
-            return named(r.choice(("div", "section")), ("cookie-notice", "cookie-banner", "consent", "notice", "alert", "popup", "gdpr", "modal", "disclaimer")) + body + "</div>"
-        if kind == 7:
-            return named(r.choice(("div", "section")), ("share", "social", "related", "related-posts", "recommended", "tags", "newsletter", "subscribe", "signup", "pagination", "login")) + body + "</div>"
+        if kind in (5, 6, 7):
+            tag = r.choice(("div", "section"))
+            names = {
+                5: ("ad", "ads", "advert", "advertisement", "ad-slot", "banner", "sponsored", "promo", "sponsor"),
+                6: ("cookie-notice", "cookie-banner", "consent", "notice", "alert", "popup", "gdpr", "modal", "disclaimer"),
+                7: ("share", "social", "related", "related-posts", "recommended", "tags", "newsletter", "subscribe", "signup", "pagination", "login"),
+            }
+            return named(tag, names[kind]) + body + f"</{tag}>"
         if kind == 8:
             return f'<form action="/s" data-c="0"><label>{words(1, 4)}</label><p>{sentence(2, 9)}</p><input name=q></form>'
         if kind == 9:
             said = "".join(f'<div class="comment"><h4>{words(1, 2)}</h4><p>{" ".join(sentence(2, 12) for _ in range(r.randint(1, 4)))}</p></div>' for _ in range(r.randint(1, 5)))
-            return named(r.choice(("div", "section")), ("comments", "comment-list", "replies", "responses", "discussion", "disqus", "reader-comments")) + f"<h3>{words(1, 2)}</h3>{said}</div>"
+            tag = r.choice(("div", "section"))
+            return named(tag, ("comments", "comment-list", "replies", "responses", "discussion", "disqus", "reader-comments")) + f"<h3>{words(1, 2)}</h3>{said}</{tag}>"
         said = "".join(f'<li class="comment"><p>{sentence(2, 20)}</p></li>' for _ in range(r.randint(1, 5)))
         return named("ol", ("commentlist", "comments", "comment-thread")) + said + "</ol>"
 
