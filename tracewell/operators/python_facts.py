@@ -144,3 +144,53 @@ def sql_uses(raw: DataFrame) -> DataFrame:
     texts = raw.where("fact = 'call' AND value IS NOT NULL AND (name LIKE '%.execute' OR name LIKE '%.executemany' OR name LIKE '%.raw')")
     texts = texts.select(F.concat_ws(":", "id", "line", "col").alias("id"), F.regexp_replace(F.col("value"), r"%s|%\(\w+\)s|￼", "?").alias("sql"), F.col("id").alias("scope"), "line")
     return sql_text.relations(texts).join(texts.select("id", "scope", "line"), "id").select(F.col("scope").alias("id"), "line", F.col("name").alias("relation"))
+
+
+# fixed values: what a router makes of a view set: method name, verb, and whether it is about one object
+ROUTED = (("list", "GET", False), ("create", "POST", False), ("retrieve", "GET", True), ("update", "PUT", True), ("partial_update", "PATCH", True), ("destroy", "DELETE", True))
+VIEW_SETS = {"ModelViewSet": [r[0] for r in ROUTED], "ReadOnlyModelViewSet": ["list", "retrieve"]}  # fixed values
+
+
+def router_routes(raw: DataFrame, bindings: DataFrame, defs: DataFrame) -> DataFrame:
+    """(method, template, id) of view sets registered on routers: their own handlers, those of the generic view set they start from, and extra actions.
+
+    Registrations are joined with a small table of what a router makes of each handler.
+    """
+    calls = raw.where("fact = 'call' AND name LIKE '%.register' AND value IS NOT NULL").select("path", "line", F.col("value").alias("prefix"))
+    args = raw.where("fact = 'argument' AND value LIKE '%.register'").select("path", "line", "name")
+    full = F.when(F.col("rest") == "", F.col("target")).otherwise(F.concat_ws(".", "target", "rest"))
+    sets = resolve(calls.join(args, ["path", "line"]), bindings).select("prefix", full.alias("cls"))
+    own = defs.where("kind = 'method'").select(F.col("parent").alias("cls"), F.col("name").alias("handler"))
+    generic = resolve(raw.where("fact = 'base'").select("path", F.col("id").alias("cls"), "name"), bindings)
+    generic = generic.withColumn("kind", F.substring_index(F.concat_ws(".", "target", F.nullif("rest", F.lit(""))), ".", -1))
+    given = generic.select("cls", F.explode(F.create_map(*(x for k, v in VIEW_SETS.items() for x in (F.lit(k), F.array(*map(F.lit, v)))))[F.col("kind")]).alias("handler"))
+    table = F.explode(F.array(*(F.struct(F.lit(h).alias("handler"), F.lit(v).alias("method"), F.lit(o).alias("one")) for h, v, o in ROUTED))).alias("r")
+    made = sets.select("prefix", "cls", table).select("prefix", "cls", "r.*").join(own.unionByName(given).distinct(), ["cls", "handler"])
+    base = F.concat(F.lit("/"), urls.encode_literal(F.col("prefix")), F.lit("/"))
+    routes = made.select("method", F.concat(base, F.when(F.col("one"), F.lit("{}/")).otherwise(F.lit(""))).alias("template"), F.concat_ws(".", "cls", "handler").alias("id"))
+    # @action(detail=..., methods=[...], url_path=...)
+    option = lambda name: raw.where((F.col("fact") == "keyword") & (F.col("name") == name) & (F.substring_index("extra", ".", -1) == "action")).select("id", F.col("value").alias(name)).dropDuplicates(["id"])
+    actions = raw.where("fact = 'decorator'").where(F.substring_index("name", ".", -1) == "action").select(F.col("extra").alias("id")).distinct()
+    for name in ("detail", "methods", "url_path"):
+        actions = actions.join(option(name), "id", "left")
+    actions = actions.withColumn("cls", F.regexp_replace("id", r"\.[^.]*$", "")).join(sets, "cls").withColumn("method", F.explode(facts.emitted_methods(F.split(F.coalesce("methods", F.lit("get")), ","))))
+    tail = F.concat(urls.encode_literal(F.coalesce("url_path", F.substring_index("id", ".", -1))), F.lit("/"))
+    return routes.unionByName(actions.select("method", F.concat(base, F.when(F.col("detail") == "True", F.lit("{}/")).otherwise(F.lit("")), tail).alias("template"), "id")).distinct()
+
+
+def wrapped_calls(raw: DataFrame, bindings: DataFrame, wrappers: DataFrame) -> DataFrame:
+    """(method, template, anchor, service, id, line) of calls of declared wrapper functions. ``wrappers``: target (a definition's id), path_index, method_index, default_method, anchor, service."""
+    full = F.when(F.col("rest") == "", F.col("target")).otherwise(F.concat_ws(".", "target", "rest"))
+    calls = resolve(raw.where("fact = 'call' AND name IS NOT NULL").select("path", "id", "name", "line", F.col("value").alias("first"), F.col("extra").alias("second")), bindings).withColumn("to", full)
+    at = lambda i: F.when(F.col(i) == 0, F.col("first")).when(F.col(i) == 1, F.col("second"))
+    known = calls.join(wrappers.withColumnRenamed("target", "to"), "to").withColumn("url", urls.cut_query(at("path_index")))
+    whole = F.col("url").startswith("/") & ~F.col("url").rlike(r"[^/]￼|￼[^/]")
+    template = F.replace(urls.remove_dot_segments(urls.normalize_path(F.col("url"))), F.lit("%EF%BF%BC"), F.lit("{}"))
+    return known.select(F.upper(F.coalesce(at("method_index"), "default_method")).alias("method"), F.when(whole, template).alias("template"), "anchor", "service", "id", "line")
+
+
+def unresolved_wrappers(wrappers: DataFrame, calls: DataFrame, defs: DataFrame) -> DataFrame:
+    """(target, calls) of declarations that name nothing, or that nothing calls. ``calls``: target of each call."""
+    used = calls.groupBy("target").agg(F.count("*").alias("calls"))
+    there = wrappers.select("target").join(defs.select(F.col("id").alias("target"), F.lit(1).alias("known")), "target", "left").join(used, "target", "left")
+    return there.where("known IS NULL OR calls IS NULL").select("target", F.coalesce("calls", F.lit(0)).alias("calls"))

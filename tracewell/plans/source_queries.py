@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tracewell.functions import patterns
+from tracewell.operators import catalog
 from tracewell.operators import python_facts as P
 from tracewell.operators import python_graph as G
+from tracewell.sources import manifests
 from tracewell.sources import python_sources as S
 from tracewell.sources.entity_graph import table
 from tracewell.storage import materialize
@@ -48,8 +51,8 @@ PYTHON_CALLS_SQL = """WITH t AS (SELECT (SELECT count(*) FROM supplier) AS s, (S
 
 def _raw(files: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     raw = materialize(S.facts(files), "raw-facts")
-    defs = G.definitions(raw)
-    return raw, defs, G.module_bindings(raw, defs)
+    defs = materialize(G.definitions(raw), "definitions")
+    return raw, defs, materialize(G.module_bindings(raw, defs), "bindings")
 
 
 def flask_routes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -114,6 +117,62 @@ def parse_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OUTCOMES_SQL = "SELECT CASE WHEN p_partkey % 5 = 0 THEN 'syntax-error' ELSE 'parsed' END AS outcome, count(*) AS n FROM part GROUP BY 1"
 
+def route_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A regular expression for each part, of five shapes."""
+    k, n = F.col("p_partkey") % 5, F.col("p_partkey").cast("string")
+    pattern = (
+        F.when(k == 0, F.concat(F.lit("^p"), n, F.lit("/(?P<k>[0-9]+)/$")))
+        .when(k == 1, F.concat(F.lit("^p"), n, F.lit(r"/(?P<s>[-\w]+)/x\.y$")))
+        .when(k == 2, F.concat(F.lit("^p"), n, F.lit("/(?P<rest>.*)$")))
+        .when(k == 3, F.concat(F.lit("^p"), n, F.lit("/(?:a|b)/$")))
+        .otherwise(F.concat(F.lit("^p"), n, F.lit(r"/(\d{4})/([^/]+)/?$")))
+    )
+    return table(spark, sf_dir, "part").select("p_partkey", pattern.alias("pattern")).select("p_partkey", patterns.pattern_template(F.col("pattern")).alias("template"), patterns.pattern_kinds(F.col("pattern")).alias("kinds"), patterns.optional_slash(F.col("pattern")).cast("int").alias("optional"))
+
+
+PATTERNS_SQL = """SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN '/p' || p_partkey || '/{}/' WHEN 1 THEN '/p' || p_partkey || '/{}/x.y' WHEN 2 THEN '/p' || p_partkey || '/{**}' WHEN 4 THEN '/p' || p_partkey || '/{}/{}' END AS template,
+  CASE p_partkey % 5 WHEN 0 THEN 'int' WHEN 1 THEN 'slug' WHEN 2 THEN 'path' WHEN 3 THEN '' ELSE 'regex' END AS kinds, CAST(p_partkey % 5 = 4 AS INT) AS optional FROM part"""
+
+
+def manifest_minimums(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A requirement line for each part, of its brand from its size on; every 400th without a start."""
+    line = F.concat(F.col("p_brand"), F.when(F.col("p_partkey") % 400 == 7, F.lit("<9")).otherwise(F.concat(F.lit(">="), F.col("p_size").cast("string"), F.lit("."), (F.col("p_partkey") % 10).cast("string"))))
+    text = table(spark, sf_dir, "part").select(F.replace(line, F.lit("#"), F.lit("_")).alias("text"))
+    return manifests.minimums(manifests.declarations(text))
+
+
+MINIMUMS_SQL = """WITH d AS (SELECT lower(replace(p_brand, '#', '-')) AS package, p_size AS a, p_partkey % 10 AS b, p_partkey % 400 = 7 AS none FROM part)
+  SELECT package, CASE WHEN NOT bool_or(none) THEN CAST(min(a * 10 + b) // 10 AS INT) END AS major, CASE WHEN NOT bool_or(none) THEN CAST(min(a * 10 + b) % 10 AS INT) END AS minor FROM d GROUP BY package"""
+
+# the star schema as models: model, field, table, column, target
+FIELDS = (("Order", "customer", "orders", "o_custkey", "Customer"), ("Order", "pk", "orders", "o_orderkey", None), ("Customer", "nation", "customer", "c_nationkey", "Nation"), ("Nation", "region", "nation", "n_regionkey", "Region"), ("Region", "name", "region", "r_name", None))
+
+
+def lookup_walk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A lookup path for each order: to its region's name, a comparison, or nowhere."""
+    k = F.col("o_orderkey") % 4
+    path = F.when(k == 0, "customer__nation__region__name").when(k == 1, "pk__in").when(k == 2, "customer__nation__icontains").otherwise("customer__city")
+    sites = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("site"), F.lit("Order").alias("model"), path.alias("path"))
+    return catalog.walk_lookups(sites, spark.createDataFrame(FIELDS, "model string, name string, table_name string, column_name string, target string"))
+
+
+LOOKUPS_SQL = """WITH w(k, table_name, column_name) AS (VALUES (0, 'orders', 'o_custkey'), (0, 'customer', 'c_nationkey'), (0, 'nation', 'n_regionkey'), (0, 'region', 'r_name'), (1, 'orders', 'o_orderkey'), (2, 'orders', 'o_custkey'), (2, 'customer', 'c_nationkey'), (3, 'orders', 'o_custkey'), (3, NULL, NULL))
+  SELECT o_orderkey AS site, table_name, column_name FROM orders JOIN w ON o_orderkey % 4 = k"""
+
+
+def router_routes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A view set for each nation on one router: generic ones with an action, or with a list of their own."""
+    nation, even = table(spark, sf_dir, "nation"), F.col("n_nationkey") % 2 == 0
+    body = F.when(even, F.format_string("from rest_framework import viewsets\nfrom rest_framework.decorators import action\nclass V%d(viewsets.ReadOnlyModelViewSet):\n    @action(detail=True, methods=['post'])\n    def go(self, request):\n        pass\n", "n_nationkey")).otherwise(F.format_string("class V%d:\n    def list(self, request):\n        pass\n", "n_nationkey"))
+    views = nation.select(F.format_string("api/v%d.py", "n_nationkey").alias("path"), body.alias("text"))
+    line = F.format_string("from api.v%d import V%d\nrouter.register('n%d', V%d)\n", *["n_nationkey"] * 4)
+    urls_ = nation.agg(F.concat(F.lit("from rest_framework import routers\nrouter = routers.SimpleRouter()\n"), F.array_join(F.sort_array(F.collect_list(line)), "")).alias("text")).select(F.lit("api/urls.py").alias("path"), "text")
+    raw, defs, bindings = _raw(views.unionByName(urls_).select("path", F.encode("text", "UTF-8").alias("content")))
+    return P.router_routes(raw, bindings, defs)
+
+
+ROUTER_SQL = """SELECT m AS method, '/n' || n_nationkey || t AS template, 'api/v' || n_nationkey || '.py#V' || n_nationkey || '.' || h AS id FROM nation, (VALUES (0, 'GET', '/', 'list'), (0, 'GET', '/{}/', 'retrieve'), (0, 'POST', '/{}/go/', 'go'), (1, 'GET', '/', 'list')) v(k, m, t, h) WHERE n_nationkey % 2 = k"""
+
 QUERIES = {
     "python_graph_edges": python_graph,
     "python_call_outcomes": python_calls,
@@ -122,6 +181,10 @@ QUERIES = {
     "python_client_calls": client_calls,
     "python_relation_uses": relation_uses,
     "python_parse_outcomes": parse_outcomes,
+    "python_router_routes": router_routes,
+    "route_template_classify": route_patterns,
+    "manifest_minimums": manifest_minimums,
+    "orm_lookup_walk": lookup_walk,
 }
 ORACLES = {
     "python_graph_edges": PYTHON_GRAPH_SQL,
@@ -131,4 +194,8 @@ ORACLES = {
     "python_client_calls": CLIENT_SQL,
     "python_relation_uses": RELATION_SQL,
     "python_parse_outcomes": OUTCOMES_SQL,
+    "python_router_routes": ROUTER_SQL,
+    "route_template_classify": PATTERNS_SQL,
+    "manifest_minimums": MINIMUMS_SQL,
+    "orm_lookup_walk": LOOKUPS_SQL,
 }

@@ -140,7 +140,7 @@ class Reader(ast.NodeVisitor):
     def keywords(self, call: ast.Call, target: str, function: str | None) -> None:
         for k in call.keywords:
             listed = [text_parts(x) for x in k.value.elts] if isinstance(k.value, (ast.List, ast.Tuple, ast.Set)) else None
-            self.put("keyword", call, k.arg, ",".join(x or "?" for x in listed) if listed is not None else text_parts(k.value) if text_parts(k.value) is not None else dotted(k.value), function, id=target)
+            self.put("keyword", call, k.arg, ",".join(x or "?" for x in listed) if listed is not None else text_parts(k.value) if text_parts(k.value) is not None else str(k.value.value) if isinstance(k.value, ast.Constant) else dotted(k.value), function, id=target)
 
     def visit_Call(self, node) -> None:
         name = dotted(node.func)
