@@ -17,8 +17,10 @@ from __future__ import annotations
 import base64
 import hashlib
 from array import array
+from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -185,13 +187,20 @@ def digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """``docs`` with n_tokens and hashes of the ids and of the bytes they decode to; ids stay in the worker."""
     shared = docs.sparkSession.sparkContext.broadcast((load_ranks(path), pattern))
 
-    @F.pandas_udf("n_tokens long, ids_sha256 string, decoded_sha256 string")
-    def run(texts: pd.Series) -> pd.DataFrame:
-        codec, out = _worker(shared), []
-        for t in texts:
-            ids = codec.encode(t or "")
-            out.append((len(ids), hashlib.sha256(little(ids)).hexdigest(), hashlib.sha256(codec.decode(ids)).hexdigest()))
-        return pd.DataFrame(out, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
+    @F.arrow_udf("struct<n_tokens:bigint,ids_sha256:string,decoded_sha256:string>")
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        codec = _worker(shared)
+        try:
+            for texts in batches:
+                n, ids_hash, text_hash = [], [], []
+                for t in texts:
+                    ids = codec.encode(t.as_py() or "")
+                    n.append(len(ids))
+                    ids_hash.append(hashlib.sha256(little(ids)).hexdigest())
+                    text_hash.append(hashlib.sha256(codec.decode(ids)).hexdigest())
+                yield pa.StructArray.from_arrays([pa.array(n, pa.int64()), pa.array(ids_hash, pa.string()), pa.array(text_hash, pa.string())], names=["n_tokens", "ids_sha256", "decoded_sha256"])
+        finally:
+            common.tidy()
 
     return docs.withColumn("_d", run("text")).withColumns({c: F.col(f"_d.{c}") for c in ("n_tokens", "ids_sha256", "decoded_sha256")}).drop("_d")
 

@@ -2,40 +2,54 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tracewell import storage
+from tracewell.storage import shared_dir  # noqa: F401  for the modules of this subpackage
+
 HELD_OUT = 2  # crc32(doc_id as text) mod 4 with this remainder is never trained on
-MASK = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
-def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+def tidy() -> None:
+    """Gives memory that this Python worker no longer uses back: it lives on for later tasks, beside those of other stages."""
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass  # another C library
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a new local one where that is unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if found:
-        return found
-    made = getattr(shared_dir, "made", None)
-    if made is None:
-        made = shared_dir.made = tempfile.mkdtemp(prefix="spark-checkpoint-")
-    return made
+def tidied(run):
+    """``run``, a function from batches to batches, with ``tidy`` at its end."""
+
+    def whole(batches):
+        try:
+            yield from run(batches)
+        finally:
+            tidy()
+
+    return whole
+
+
+
+def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
 def materialize(df: DataFrame, tag: str) -> DataFrame:
-    """``df`` written once as Parquet in the shared folder and read back: cuts lineage and outlives lost executors."""
-    path = f"{shared_dir(df.sparkSession)}/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    spark, schema = df.sparkSession, df.schema
+    """As ``storage.materialize``; the driver's garbage is collected then, as shuffle files of finished jobs go only with it."""
+    out = storage.materialize(df, tag)
     del df
-    spark.sparkContext._jvm.System.gc()  # shuffle files of finished jobs go once the driver's garbage is collected
-    return spark.read.schema(schema).parquet(path)
+    out.sparkSession.sparkContext._jvm.System.gc()
+    return out
 
 
 def held_out(doc_id: Column) -> Column:

@@ -17,7 +17,6 @@ import html as entities
 import math
 import random
 import re
-from collections import Counter
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession

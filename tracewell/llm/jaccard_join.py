@@ -83,7 +83,7 @@ def sketch(docs: DataFrame, words: int = WORDS) -> DataFrame:
             sample = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(parts) if parts else np.zeros(0, np.int64)))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), sample], names=["doc_id", "n", "a", "b", "sample"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, n long, a long, b long, sample array<long>")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(common.tidied(run), "doc_id long, n long, a long, b long, sample array<long>")
 
 
 def room(n: Column, percent: int = PERCENT) -> Column:
@@ -132,7 +132,7 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataF
             yield pa.RecordBatch.from_arrays([b.column("u").filter(keep), b.column("v").filter(keep)], names=["u", "v"])
 
     left, right = sets.select(F.col("rep").alias("u"), F.col("own").alias("x")), sets.select(F.col("rep").alias("v"), F.col("own").alias("y"))
-    return pairs.join(left, "u").join(right, "v").select("u", "v", "x", "y").mapInArrow(run, "u long, v long").distinct()
+    return pairs.join(left, "u").join(right, "v").select("u", "v", "x", "y").mapInArrow(common.tidied(run), "u long, v long").distinct()
 
 
 def _fits(percent: int) -> str:
@@ -211,7 +211,7 @@ def join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFra
 
     texts = docs.select(F.col("doc_id").cast("long").alias("rep"), F.col("text").cast("string").alias("text")).join(wanted, "rep", "left_semi")
     bits = [f"b{i}" for i in range(BITS // 64)]
-    sets = common.materialize(texts.mapInArrow(whole, "rep long, n long, own array<long>, " + ", ".join(f"{b} long" for b in bits)).where("n > 0"), "jaccard-whole")
+    sets = common.materialize(texts.mapInArrow(common.tidied(whole), "rep long, n long, own array<long>, " + ", ".join(f"{b} long" for b in bits)).where("n > 0"), "jaccard-whole")
     index = prefixes(sets.select("rep", "n", F.explode("own").alias("token")), percent)
     index = common.materialize(index.join(sets.select("rep", "n", *bits), ["rep", "n"]), "jaccard-prefixes")
     known = linked(index, sets, percent)

@@ -12,10 +12,12 @@ rows are predicted alike; a very long text is taken whole; columns of other name
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Iterator
 from functools import cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -82,7 +84,7 @@ def fit(docs: DataFrame, profile: int = PROFILE, most_rows: int = MOST_ROWS) ->
                     yield pd.DataFrame({"lang": lang, "gram": grams, "n": np.bincount(where, k).astype("int64")})
 
     ranked = (
-        sample.mapInPandas(count, "lang string, gram long, n long")
+        sample.mapInPandas(common.tidied(count), "lang string, gram long, n long")
         .groupBy("lang", "gram")
         .agg(F.sum("n").alias("n"))
         .withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram")))
@@ -101,22 +103,27 @@ def predict(docs: DataFrame, profiles: dict[str, np.ndarray], profile: int = PRO
         ranks[k, np.searchsorted(grams, profiles[n])] = np.arange(len(profiles[n]))
     shared = docs.sparkSession.sparkContext.broadcast((names, grams, ranks))  # languages times PROFILE numbers
 
-    @F.pandas_udf("lang_pred string, score double")
-    def guess(texts: pd.Series) -> pd.DataFrame:
+    @F.arrow_udf("struct<lang_pred:string,score:double>")
+    def guess(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         names, grams, ranks = shared.value
-        out = []
-        for text in texts:
+
+        def one(text: str | None) -> tuple[str, float]:
             own = _top(*_ngrams(text), profile) if text and len(names) else np.zeros(0, np.int64)
             if not len(own):
-                out.append(("und", 0.0))
-                continue
+                return "und", 0.0
             at = np.searchsorted(grams, own)
             at[at == len(grams)] = 0
             there = ranks[:, np.where(grams[at] == own, at, len(grams))]
             far = np.where(there < 0, profile, np.abs(there - np.arange(len(own)))).sum(axis=1)
             best = int(far.argmin())
-            out.append((names[best], 1.0 - float(far[best]) / (profile * len(own))))
-        return pd.DataFrame(out, columns=["lang_pred", "score"])
+            return names[best], 1.0 - float(far[best]) / (profile * len(own))
+
+        try:
+            for texts in batches:
+                found = [one(t.as_py()) for t in texts]
+                yield pa.StructArray.from_arrays([pa.array([x for x, _ in found], pa.string()), pa.array([x for _, x in found], pa.float64())], names=["lang_pred", "score"])
+        finally:
+            common.tidy()
 
     return docs.withColumn("_g", guess("text")).withColumns({"held_out": common.held_out(F.col("doc_id")), "lang_pred": F.col("_g.lang_pred"), "score": F.col("_g.score")}).drop("_g")
 

@@ -115,7 +115,7 @@ def score(docs: DataFrame, weights: np.ndarray) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("held_out"), pa.array(_sigmoid(z))], names=["doc_id", "held_out", "score"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), common.held_out(F.col("doc_id")).alias("held_out"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(scored, "doc_id long, held_out boolean, score double")
+    return rows.mapInArrow(common.tidied(scored), "doc_id long, held_out boolean, score double")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
