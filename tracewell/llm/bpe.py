@@ -18,6 +18,7 @@ import base64
 import hashlib
 from array import array
 from collections.abc import Iterator
+from itertools import chain
 
 import pandas as pd
 import pyarrow as pa
@@ -32,6 +33,17 @@ MOST_CACHED = 1 << 18  # matches or pairs that a worker remembers
 MOST_RANKS = 1_000_000  # a vocabulary beyond this is an error: it is broadcast
 
 
+class Words(dict):
+    """Tokens of matches seen; others are made when asked for."""
+
+    def __init__(self, make):
+        super().__init__()
+        self.make = make
+
+    def __missing__(self, match: str) -> tuple[int, ...]:
+        return self.make(match)
+
+
 class Codec:
     """Ranks and their inverse, with bounded memories of matches and pairs seen."""
 
@@ -40,7 +52,7 @@ class Codec:
 
         self.ranks, self.split = ranks, regex.compile(pattern).findall
         self.bytes = {i: b for b, i in ranks.items()}
-        self.words: dict[str, tuple[int, ...]] = {}
+        self.words = Words(self.word)
         self.pairs: dict[tuple[int, int], bool] = {}
 
     def merged(self, piece: bytes) -> list[int]:
@@ -120,23 +132,18 @@ class Codec:
         return self.join(self.tree(piece[:half]), self.tree(piece[half:]))
 
     def word(self, match: str) -> tuple[int, ...]:
-        """The tokens of one match of the pattern; a match that is itself a token stays one."""
-        found = self.words.get(match)
-        if found is None:
-            piece = match.encode("utf-8")
-            whole = self.ranks.get(piece)
-            found = (whole,) if whole is not None else tuple(self.tree(piece))
-            if len(match) <= 64:
-                if len(self.words) >= MOST_CACHED:
-                    self.words.clear()
-                self.words[match] = found
+        """The tokens of a match that isn't known yet; a match that is itself a token stays one."""
+        piece = match.encode("utf-8")
+        whole = self.ranks.get(piece)
+        found = (whole,) if whole is not None else tuple(self.tree(piece))
+        if len(match) <= 64:
+            if len(self.words) >= MOST_CACHED:
+                self.words.clear()
+            self.words[match] = found
         return found
 
     def encode(self, text: str) -> array:
-        ids, known, word = array("I"), self.words, self.word
-        for match in self.split(text):
-            ids.extend(known.get(match) or word(match))
-        return ids
+        return array("I", chain.from_iterable(map(self.words.__getitem__, self.split(text))))
 
     def decode(self, ids) -> bytes:
         return b"".join(map(self.bytes.__getitem__, ids))
