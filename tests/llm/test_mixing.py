@@ -69,3 +69,29 @@ def test_stage_keeps_rows_in_order(spark, tmp_path):
     place = {r.doc_id: r.mix_pos for r in M.mix(docs).collect()}
     got = [place[r.doc_id] for r in out.collect()]
     assert got == sorted(got) and len(got) == 400 and out.columns == docs.columns
+
+
+def test_shares_hold_over_many_periods_against_unrounded_weights(spark):
+    weights = {"a": 0.5003, "b": 0.3328, "c": 0.1665, "d": 0.0004}
+    docs = table(spark, {"a": 2600, "b": 1750, "c": 900, "d": 9})
+    out = M.mix(docs, weights, block=1, period=100).orderBy("mix_pos").collect()
+    assert [r.mix_pos for r in out] == list(range(5259))
+    assert [(r.source, r.mix_block) for r in sorted(out, key=lambda r: (r.source, r.mix_slot))] == [(s, j) for s, n in (("a", 2600), ("b", 1750), ("c", 900), ("d", 9)) for j in range(n)]
+    seen = Counter()
+    for t, r in enumerate(out[:5000], 1):
+        assert r.mix_slot == t - 1  # no source has run out
+        seen[r.source] += 1
+        assert all(abs(seen[s] - t * w) < 2 + w * len(weights) for s, w in weights.items())
+
+
+def test_many_small_sources_and_shuffled_schedule(spark, monkeypatch):
+    sizes = {"big": 600} | {f"s{k}": 3 for k in range(60)}
+    weights = {s: 0.7 if s == "big" else 0.005 for s in sizes}
+    docs = table(spark, sizes)
+    out = M.mix(docs, weights, block=1, period=16).orderBy("mix_pos").collect()
+    assert [r.mix_pos for r in out] == list(range(780))
+    by = Counter(r.source for r in out[60:460])  # all small sources have one block early, and then none until that is made up for
+    assert abs(by["big"] + Counter(r.source for r in out[:60])["big"] - 0.7 * 460) < 2 + 0.7 * len(sizes)
+    assert max(Counter(r.source for r in out[:460] if r.source != "big").values()) <= 3
+    monkeypatch.setattr(M, "BROADCAST_BLOCKS", 0)
+    assert sorted(map(tuple, M.mix(docs, weights, block=1, period=16).collect())) == sorted(map(tuple, out))

@@ -1,10 +1,13 @@
 """Mixing sources to target weights by Pfair scheduling.
 
-Each source is a task whose weight is its target share, and a block of its documents is a unit of work. Block i of a source
-of weight w is released at slot floor((i-1)/w) and must be placed by slot ceil(i/w). Each slot takes, of the released
-blocks, the one with the earliest deadline, so after any number of slots every source has had its share within less
-than one block. Weights are whole shares of a period; the schedule of one period is made once and repeats, and each document finds
-its slot from its rank in its source, with no walk over the corpus.
+Each source is a task whose weight is its target share, and a block of its documents is a unit of work. Slots come in periods
+of about PERIOD. By the end of period m a source of share w has had round(m * PERIOD * w) blocks, and one at least, so what
+rounding leaves of one period is carried on to the next ones. Within a period, where a source has q of p blocks, block i is released at slot
+floor((i-1) * p/q) and must be placed by slot ceil(i * p/q). Each slot takes, of the released blocks, the one with the earliest
+deadline. So while no source has run out, a source of share w among k sources is never more than 2 + w * k blocks away from its
+exact share of the slots, however many there are: less than one from the rounded weights of the period, one at most from
+rounding, and w times what rounding adds to the slots. Periods are made apart from each other, with no walk over the corpus; a document finds its slot from its rank
+in its source.
 
 All of it is DataFrame functions. Ranks within a source are counts of earlier buckets of a hash of the id plus a place
 within the bucket, so a source that holds a third of all rows is dealt over many tasks. Positions follow from the weights,
@@ -25,14 +28,15 @@ from pyspark.sql import functions as F
 from . import common
 
 BLOCK = 64  # documents
-PERIOD = 1024  # slots of a period, about: target weights are kept to a share of one in so many
+PERIOD = 1024  # slots of a period, about
 POWER = 0.5  # target weights are counts to this power, unless given
-MOST_SOURCES = 4096  # more sources than this are an error: the period's schedule is one row
+MOST_SOURCES = 4096  # more sources than this are an error: a period's schedule is one row
 BUCKET_ROWS = 4096
+BROADCAST_BLOCKS = 100_000  # a larger schedule is joined by shuffling
 
 
 def shares(counts: DataFrame, weights: dict[str, float] | None = None, period: int = PERIOD) -> DataFrame:
-    """(source, n, k, q): k numbers the sources by name, q is the blocks of a source in a period (0 without a weight)."""
+    """(src, n, k, q, rate): k numbers the sources by name, rate is a source's exact blocks in a period (0 without a weight), q those of the first period."""
     if weights is None:
         rated = counts.withColumn("w", F.pow(F.col("n").cast("double"), F.lit(POWER)))
     else:
@@ -40,16 +44,36 @@ def shares(counts: DataFrame, weights: dict[str, float] | None = None, period: i
         rated = counts.withColumn("w", F.coalesce(known[F.col("src")].cast("double"), F.lit(0.0)))
     whole = Window.partitionBy()  # MOST_SOURCES rows at most
     share = F.col("w") / F.nullif(F.sum("w").over(whole), F.lit(0.0))
-    q = F.when(F.col("w") > 0, F.greatest(F.lit(1), F.round(share * period).cast("int"))).otherwise(0)
-    return rated.withColumn("k", F.row_number().over(Window.orderBy("src")) - 1).withColumn("q", q).select("src", "n", "k", "q")
+    rated = rated.withColumn("rate", F.when(F.col("w") > 0, share * period).otherwise(0.0))
+    return rated.withColumn("k", F.row_number().over(Window.orderBy("src")) - 1).withColumn("q", placed(F.lit(1), F.col("rate")).cast("int")).select("src", "n", "k", "q", "rate")
 
 
-def schedule(shared: DataFrame) -> DataFrame:
-    """One period: (slot, k, j, before): block j of source k in the period, and each source's blocks in earlier slots.
+def placed(m: Column, rate: Column) -> Column:
+    """Blocks of a source in its first m periods."""
+    return F.when((m > 0) & (rate > 0), F.greatest(F.lit(1).cast("long"), F.round(m * rate).cast("long"))).otherwise(F.lit(0).cast("long"))
+
+
+def periods(shared: DataFrame, block: int) -> DataFrame:
+    """(m): the periods in which some source still has a block to place."""
+    last = F.ceil(F.col("n") / block) - 1
+
+    def near(j: Column) -> Column:
+        return F.ceil((j + 0.5) / F.col("rate")) - 1  # placed(m) <= j < placed(m + 1) holds for this m, or the one before or after
+
+    every = F.sequence(F.lit(0).cast("long"), F.greatest(F.lit(0).cast("long"), near(last)) + 1)
+    blocks = F.transform(F.sequence(F.lit(0).cast("long"), last), lambda j: F.struct(j.alias("j"), near(j).alias("m")))
+    tried = F.flatten(F.transform(blocks, lambda x: F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda d: F.struct(x["j"].alias("j"), (x["m"] + d).alias("m")))))
+    rare = F.transform(F.filter(tried, lambda x: (x["m"] >= 0) & (placed(x["m"], F.col("rate")) <= x["j"]) & (x["j"] < placed(x["m"] + 1, F.col("rate")))), lambda x: x["m"])
+    rare = F.array_union(rare, F.array(F.lit(0).cast("long")))
+    return shared.where("rate > 0").select(F.explode(F.when(F.col("rate") >= 1, every).otherwise(rare)).alias("m")).distinct()
+
+
+def fold(rows: DataFrame) -> DataFrame:
+    """``rows`` of (q, p), a period each, as a row for each slot: slot, k, and each source's blocks in earlier slots of the period.
 
-    Earliest deadline first over released blocks, as a fold over the slots of a single row.
+    Earliest deadline first over released blocks.
     """
-    row = shared.agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "q"))), lambda s: s["q"]).alias("q")).withColumn("p", F.aggregate("q", F.lit(0), lambda a, x: a + x)).where("p > 0")
+    cols = [c for c in rows.columns if c != "q"]
 
     def pick(done: Column, t: Column) -> Column:
         def candidate(x: Column, i: Column) -> Column:
@@ -66,8 +90,33 @@ def schedule(shared: DataFrame) -> DataFrame:
         made = F.transform(F.array(pick(state["done"], t)), lambda k: F.struct(F.transform(state["done"], lambda x, i: x + (i == k).cast("int")).alias("done"), F.array_append(state["slots"], F.struct(k.alias("k"), state["done"].alias("before"))).alias("slots")))
         return F.element_at(made, 1)
 
-    slots = row.select("p", F.posexplode(F.aggregate(F.sequence(F.lit(0), F.col("p") - 1), start, step, lambda s: s["slots"])).alias("slot", "s"))
-    return slots.select("p", "slot", F.col("s.k").alias("k"), F.element_at("s.before", F.col("s.k") + 1).alias("j"), F.col("s.before").alias("before"))
+    slots = rows.select(*cols, F.posexplode(F.aggregate(F.sequence(F.lit(0), F.col("p") - 1), start, step, lambda s: s["slots"])).alias("slot", "s"))
+    return slots.select(*cols, "slot", F.col("s.k").alias("k"), F.col("s.before").alias("before"))
+
+
+def total(column: Column) -> Column:
+    return F.aggregate(column, F.lit(0).cast("long"), lambda a, x: a + x)
+
+
+def schedule(shared: DataFrame) -> DataFrame:
+    """The first period: (p, slot, k, j, before): block j of source k, and each source's blocks in earlier slots."""
+    row = shared.agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "q"))), lambda s: s["q"]).alias("q"))
+    slots = fold(row.withColumn("p", total(F.col("q")).cast("int")).where("p > 0"))
+    return slots.select("p", "slot", "k", F.element_at("before", F.col("k") + 1).alias("j"), "before")
+
+
+def turns(shared: DataFrame, block: int = BLOCK, tasks: int = 1) -> DataFrame:
+    """(k, block, slot, ahead): the slot of each block of each source, and the documents of all sources in earlier slots."""
+    whole = shared.agg(F.array_sort(F.collect_list(F.struct("k", "n", "rate"))).alias("all"))
+    rows = periods(shared, block).repartition(tasks, "m").crossJoin(F.broadcast(whole))
+    rows = rows.withColumn("base", F.transform("all", lambda s: placed(F.col("m"), s["rate"])))
+    rows = rows.withColumn("q", F.transform("all", lambda s, i: (placed(F.col("m") + 1, s["rate"]) - F.element_at("base", i + 1)).cast("int")))
+    slots = fold(rows.withColumn("p", total(F.col("q")).cast("int")).where("p > 0").select("all", "base", "q", "p"))
+    # of each source, its blocks placed by then, as far as it has documents
+    ahead = total(F.zip_with("all", F.zip_with("base", "before", lambda b, d: b + d), lambda s, d: F.least(s["n"], block * d)))
+    at = F.col("k") + 1
+    out = slots.select("k", (F.element_at("base", at) + F.element_at("before", at)).alias("block"), (total(F.col("base")) + F.col("slot")).alias("slot"), ahead.alias("ahead"), F.element_at("all", at)["n"].alias("_n"))
+    return out.where(F.col("block") * block < F.col("_n")).drop("_n")
 
 
 def mix(docs: DataFrame, weights: dict[str, float] | None = None, block: int = BLOCK, period: int = PERIOD) -> DataFrame:
@@ -81,7 +130,6 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, block: int = B
         return docs.select(*cols, *(F.lit(None).cast("long").alias(c) for c in ("mix_block", "mix_slot", "mix_pos")))
     counts = docs.sparkSession.createDataFrame([(r.src, r.n) for r in counted], "src string, n long")
     shared = shares(counts, weights, period)
-    slots = schedule(shared)
 
     digits = next((d for d in range(1, 9) if max(r.n for r in counted) // 16**d <= BUCKET_ROWS), 9)
     rows = rows.withColumn("_b", F.substring("_h", 1, digits))
@@ -90,19 +138,18 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, block: int = B
     place = F.row_number().over(Window.partitionBy("_src", "_b").orderBy("_h", F.col("doc_id").asc_nulls_first(), F.xxhash64(*cols)))
     ranked = rows.withColumn("_place", place).join(earlier, (F.col("_src") == F.col("_s2")) & (F.col("_b") == F.col("_b2"))).withColumn("_rank", F.col("_before") + F.col("_place") - 1)
 
-    every = F.transform(F.array_sort(F.collect_list(F.struct("k", "n", "q")).over(Window.partitionBy())), lambda s: F.struct(s["n"].alias("n"), s["q"].alias("q")))
-    source = F.broadcast(shared.select(F.col("src").alias("_s3"), F.col("k").alias("_k"), F.col("q").alias("_q"), F.col("n").alias("_of"), every.alias("_all")))  # a row for each source
-    turn = F.broadcast(slots.select(F.col("k").alias("_tk"), F.col("j").alias("_j"), F.col("p").alias("_p"), F.col("slot").alias("_slot"), F.col("before").alias("_done")))  # PERIOD rows or so
-    found = ranked.join(source, F.col("_src") == F.col("_s3")).withColumn("mix_block", F.floor(F.col("_rank") / block))
-    found = found.withColumn("_turn", F.col("mix_block") % F.nullif(F.col("_q"), F.lit(0))).join(turn, (F.col("_k") == F.col("_tk")) & (F.col("_turn") == F.col("_j")), "left")
-    full = F.floor(F.col("mix_block") / F.nullif(F.col("_q"), F.lit(0)))  # whole periods before
-    slot = full * F.col("_p") + F.col("_slot")
-    # documents in earlier slots: of each source, its blocks placed by then, as far as it has documents
-    ahead = F.aggregate(F.zip_with("_all", "_done", lambda s, d: F.least(s["n"], block * (full * s["q"] + d))), F.lit(0).cast("long"), lambda a, x: a + x)
     # without a weight: after all that have one, and after such sources of an earlier name
-    late = F.aggregate(F.transform("_all", lambda s, i: F.when((s["q"] > 0) | (i < F.col("_k")), s["n"]).otherwise(0)), F.lit(0).cast("long"), lambda a, x: a + x)
-    position = F.when(F.col("_q") > 0, ahead + F.col("_rank") % block).otherwise(late + F.col("_rank"))
-    return found.select(*cols, F.col("mix_block").cast("long").alias("mix_block"), slot.cast("long").alias("mix_slot"), position.cast("long").alias("mix_pos"))
+    every = F.array_sort(F.collect_list(F.struct("k", "n", "q")).over(Window.partitionBy()))
+    late = total(F.transform(every, lambda s: F.when((s["q"] > 0) | (s["k"] < F.col("k")), s["n"]).otherwise(0)))
+    source = F.broadcast(shared.select(F.col("src").alias("_s3"), F.col("k").alias("_k"), late.alias("_late")))  # a row for each source
+    blocks = sum(-(-r.n // block) for r in counted)
+    turn = turns(shared, block, min(4096, 1 + blocks // period)).select(F.col("k").alias("_tk"), F.col("block").alias("_j"), F.col("slot").alias("_slot"), F.col("ahead").alias("_ahead"))  # a row for each block
+    if blocks <= BROADCAST_BLOCKS:
+        turn = F.broadcast(turn)
+    found = ranked.join(source, F.col("_src") == F.col("_s3")).withColumn("mix_block", F.floor(F.col("_rank") / block))
+    found = found.join(turn, (F.col("_k") == F.col("_tk")) & (F.col("mix_block") == F.col("_j")), "left")
+    position = F.coalesce(F.col("_ahead") + F.col("_rank") % block, F.col("_late") + F.col("_rank"))
+    return found.select(*cols, F.col("mix_block").cast("long").alias("mix_block"), F.col("_slot").cast("long").alias("mix_slot"), position.cast("long").alias("mix_pos"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
