@@ -48,3 +48,28 @@ def test_odd_vectors(spark):
     out = A.search(data, data.where("vec_id % 50 = 0")).orderBy("rank").collect()
     assert [(r.query_id, r.rank, r.vec_id) for r in out] == [(0, 1, 1), (0, 2, 6)] and abs(out[1].score - 0.5**0.5) < 1e-12
     assert A.search(data.limit(0), data.limit(0)).collect() == []
+
+
+def test_copies_of_rows_take_no_places(spark):
+    random = np.random.default_rng(3)
+    rows = [(i, random.normal(size=4).tolist()) for i in range(600)]
+    shape = "vec_id long, embedding array<float>"
+    asked = lambda data: sorted(map(tuple, A.search(data, data.where("vec_id % 50 = 0")).collect()))
+    once, often = (asked(A.usable_rows(spark.createDataFrame(rows * n, shape))) for n in (1, 5))
+    assert often == once and len(once) == 12 * A.NEAREST
+
+
+def test_an_id_of_many_vectors_takes_one_place():
+    rows = np.array([[1.0, 0.01 * k] for k in range(6)] + [[1.0, 0.5], [1.0, 0.6], [1.0, 0.7], [1.0, 0.8]])
+    found = A.best(np.array([[1.0, 0.0]]), np.array([99]), rows, np.array([7] * 6 + [1, 2, 3, 4]), 5)
+    assert [x for _, x in found[0]] == [7, 1, 2, 3, 4]
+
+
+def test_an_id_of_vectors_in_many_leaves(spark):
+    random = np.random.default_rng(4)
+    rows = [(i, random.normal(size=4).tolist()) for i in range(300)] + [(i, random.normal(size=4).tolist()) for i in range(1, 300, 3)]
+    data = A.usable_rows(spark.createDataFrame(rows, "vec_id long, embedding array<float>"))
+    found = {}
+    for r in A.search(data, data.where("vec_id % 50 = 0 AND vec_id % 3 <> 1")).collect():
+        found.setdefault(r.query_id, []).append(r.vec_id)
+    assert found and all(len(x) == len(set(x)) == A.NEAREST for x in found.values())

@@ -10,7 +10,7 @@ Rows and queries meet by leaf. A leaf's rows are dealt into blocks of bounded si
 holds a third of all rows is many small groups. Within a block all rows are compared, in double precision.
 
 Defined cases: rows whose id or vector is null, whose vector is zero or holds null or non-finite components, or whose length isn't that
-of most of the sample take no part. Equal scores go to the smaller id. Repeated rows of an id count once. A table of
+of most of the sample take no part. Equal scores go to the smaller id. Repeated rows of an id count once, with the best score of its vectors. A table of
 fewer candidates than asked for gives all of them; an empty one gives no rows.
 """
 
@@ -128,9 +128,13 @@ def fit(vectors: DataFrame) -> tuple[Tree, int, int] | None:
     first = vectors.select(F.size("v").alias("n")).limit(1000).groupBy("n").count().orderBy(F.desc("count"), "n").first()
     if first is None:
         return None
-    rows = vectors.where(F.size("v") == first.n).select("vec_id", "v", F.lit("all").alias("_all"))
-    sample = common.bounded_sample(rows, "_all", "vec_id", max(1000, min(SAMPLE, SAMPLE_NUMBERS // first.n)))
-    found = sample.select("vec_id", "v").orderBy("vec_id").toPandas()  # SAMPLE rows at most
+    rows = vectors.where(F.size("v") == first.n).select("vec_id", "v")
+    most = max(1000, min(SAMPLE, SAMPLE_NUMBERS // first.n))
+    # as common.bounded_sample, but of ids: copies of a row would fill the sample and pass for its neighbours
+    near = F.xxhash64("vec_id").bitwiseAND(F.lit(2**52 - 1)) / float(2**52)
+    ids = rows.agg(F.count_distinct("vec_id")).first()[0]
+    sample = rows.where(near <= (1.1 * most + 20) / max(1, ids)).groupBy("vec_id").agg(F.min("v").alias("v")).orderBy(near, "vec_id").limit(most)
+    found = sample.orderBy("vec_id").toPandas()  # SAMPLE rows at most
     points = unit(np.stack(found["v"].to_numpy()).astype(np.float64))
     tree = Tree(points)
     return tree, calibrate(tree, points), first.n
@@ -139,13 +143,15 @@ def fit(vectors: DataFrame) -> tuple[Tree, int, int] | None:
 def best(queries: np.ndarray, ids: np.ndarray, rows: np.ndarray, row_ids: np.ndarray, nearest: int) -> list[list[tuple[float, int]]]:
     """(score, id) of the nearest rows of each query, in order. Scores are summed alike for equal vectors, whatever the block."""
     q_size, r_size = np.sqrt((queries * queries).sum(axis=1)), np.sqrt((rows * rows).sum(axis=1))
-    out = []
+    out, by_id = [], np.argsort(row_ids, kind="stable")
+    first = np.flatnonzero(np.diff(row_ids[by_id], prepend=row_ids[by_id[0]] - 1))  # of each id
     for at in range(0, len(queries), 256):
         part = queries[at : at + 256]
         near = (part @ rows.T) / (q_size[at : at + 256, None] * r_size[None, :])
         near[ids[at : at + 256, None] == row_ids[None, :]] = -np.inf
-        k = min(nearest, len(rows))
-        floor = -np.partition(-near, k - 1, axis=1)[:, k - 1] - 1e-9
+        k = min(nearest, len(first))
+        each = near if len(first) == len(rows) else np.maximum.reduceat(near[:, by_id], first, axis=1)  # an id's best
+        floor = -np.partition(-each, k - 1, axis=1)[:, k - 1] - 1e-9
         for i in range(len(part)):
             some = np.flatnonzero((near[i] >= floor[i]) & (near[i] > -np.inf))
             score = (part[i] * rows[some]).sum(axis=1) / (q_size[at + i] * r_size[some])
@@ -167,7 +173,7 @@ def search(vectors: DataFrame, queries: DataFrame, nearest: int = NEAREST) -> Da
         return spark.createDataFrame([], shape)
     tree, visits, size = fitted
     shared = spark.sparkContext.broadcast(tree)  # bounded by the sample
-    own = vectors.where(F.size("v") == size)
+    own = vectors.where(F.size("v") == size).dropDuplicates(["vec_id", "v"])
 
     def down(batches):
         for b in batches:
@@ -177,6 +183,8 @@ def search(vectors: DataFrame, queries: DataFrame, nearest: int = NEAREST) -> Da
     indexed = common.materialize(own.mapInPandas(down, "vec_id long, v array<double>, leaf long"), "ann-index")
     counts = dict(indexed.groupBy("leaf").agg(F.count("*").alias("n")).collect())  # a row for each leaf
     blocks = {leaf: -(-n // BLOCK_ROWS) for leaf, n in counts.items()}
+    homes = indexed.groupBy("vec_id").agg(F.min("leaf").alias("leaf"))  # an id counts in one leaf alone
+    known = dict(homes.groupBy("leaf").agg(F.count("*").alias("n")).collect())  # a row for each leaf
     asked = queries.where(F.size("v") == size)
     turns = max(1, -(-asked.count() // BLOCK_QUERIES))
 
@@ -186,8 +194,7 @@ def search(vectors: DataFrame, queries: DataFrame, nearest: int = NEAREST) -> Da
             for i, v in zip(b["vec_id"], b["v"], strict=True):
                 seen = held = 0
                 for leaf in shared.value.walk(unit(np.asarray(v, np.float64)[None, :])[0]):
-                    n = counts.get(leaf, 0)
-                    seen, held = seen + 1, held + n
+                    seen, held = seen + 1, held + known.get(leaf, 0)
                     out += [(i, v, leaf, part) for part in range(blocks.get(leaf, 0))]
                     if seen >= visits and held > nearest:
                         break
@@ -206,8 +213,10 @@ def search(vectors: DataFrame, queries: DataFrame, nearest: int = NEAREST) -> Da
 
     keys = ("leaf", "part", "turn")
     met = asked.groupBy(*keys).cogroup(rows.groupBy(*keys)).applyInPandas(meet, "query_id long, found array<struct<far:double,vec_id:long>>")
-    top = F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("found")))), 1, nearest)  # a short list for each block visited
-    ranked = met.groupBy("query_id").agg(top.alias("top")).select("query_id", F.posexplode("top").alias("at", "x"))
+    met = met.groupBy("query_id").agg(F.array_sort(F.flatten(F.collect_list("found"))).alias("found"))  # a short list for each block visited
+    held = F.array().cast("array<struct<far:double,vec_id:long>>")
+    top = F.aggregate("found", held, lambda a, x: F.when((F.size(a) >= nearest) | F.exists(a, lambda y: y["vec_id"] == x["vec_id"]), a).otherwise(F.array_append(a, x)))  # an id's best
+    ranked = met.select("query_id", F.posexplode(top).alias("at", "x"))
     return ranked.select("query_id", (F.col("at") + 1).alias("rank"), F.col("x.vec_id").alias("vec_id"), (-F.col("x.far")).alias("score"))
 
 
