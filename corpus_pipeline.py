@@ -1,7 +1,7 @@
 """A corpus in five stages: language, near copies, secrets, mixture, tokens.
 
 Each stage takes (spark, docs, sf_dir), works on all documents that the one before kept, and is written as Parquet before the next
-reads it. All but the last return the columns of documents.
+reads it. All but the last return the columns of documents. The last one's position is a document's place in the mixture, from the files' order.
 """
 
 from __future__ import annotations

@@ -1,3 +1,4 @@
+import hashlib
 import re
 
 import public_tokenizers
@@ -5,7 +6,8 @@ import tiktoken
 
 import corpus_pipeline
 from tests.llm.test_jaccard_join import brute
-from tracewell.llm import bpe, secret_scan
+from tests.llm.test_mixing import earliest_deadline_first
+from tracewell.llm import bpe, mixing, secret_scan
 
 
 def test_stages_against_brute_force(spark):
@@ -37,3 +39,25 @@ def test_run_is_its_stages(spark):
     for i, r in got.items():
         if i not in live:
             assert r.n_tokens == len(encoding.encode_ordinary(rows[i].text)) and r.source == rows[i].source
+
+
+def test_mixture_reaches_the_result(spark, tmp_path, monkeypatch):
+    sizes = {"a": 700, "b": 260, "c": 90}
+    rows = [(k, f"word {k}", "en", s, 8) for k, s in enumerate(s for s, n in sizes.items() for _ in range(n))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    # the schedule by plain Python: ranks by hash within a source, blocks by earliest deadline first
+    ranked = {s: sorted((r[0] for r in rows if r[3] == s), key=lambda i: hashlib.md5(str(i).encode()).hexdigest()) for s in sizes}
+    total = sum(n**0.5 for n in sizes.values())
+    picks, done, want = earliest_deadline_first([max(1, round(n**0.5 / total * mixing.PERIOD)) for n in sizes.values()]), [0] * 3, []
+    for k in picks:
+        want += ranked["abc"[k]][done[k] * mixing.BLOCK : (done[k] + 1) * mixing.BLOCK]
+        done[k] += 1
+    path = f"{tmp_path}/mixed"
+    mixed = mixing.mix(docs).repartitionByRange(5, "mix_pos").sortWithinPartitions("mix_pos").select(*docs.columns)
+    mixed.write.parquet(path)
+    out = bpe.stage(spark, spark.read.parquet(path), "").collect()
+    assert [r.doc_id for r in sorted(out, key=lambda r: r.position)] == want and sorted(r.position for r in out) == list(range(1050))
+    monkeypatch.setattr(corpus_pipeline, "STAGES", corpus_pipeline.STAGES[3:])
+    docs.write.parquet(f"{tmp_path}/in/documents.parquet")
+    run = corpus_pipeline.run(spark, f"{tmp_path}/in").collect()
+    assert [r.doc_id for r in sorted(run, key=lambda r: r.position)] == want

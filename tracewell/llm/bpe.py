@@ -229,7 +229,8 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str, path: str | None = None) -> DataFrame:
-    """Each document's token count and digests, with its source and language."""
+    """Each document's token count and digests, with its source and language, and its position in the files that ``docs`` are read from."""
     import public_tokenizers
 
-    return digests(docs.select("doc_id", "source", "lang", "text"), path or public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN).drop("text")
+    rows = common.positioned(docs, "doc_id", "source", "lang", "text")
+    return digests(rows, path or public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN).drop("text")

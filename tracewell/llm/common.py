@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -52,6 +53,22 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     return out
 
 
+def positioned(docs: DataFrame, *columns: str) -> DataFrame:
+    """``columns`` of Parquet files with position: the row's number from 0, by number of the part and row within it. Other rows have none.
+
+    The order of splits when files are read doesn't matter.
+    """
+    try:
+        rows = docs.select(*columns, F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_at"))
+        files = docs.groupBy(F.col("_metadata.file_path").alias("_f")).agg(F.count("*").alias("_n"))
+    except AnalysisException:
+        return docs.select(*columns, F.lit(None).cast("long").alias("position"))
+    name = F.substring_index("_f", "/", -1)
+    part = F.when(name.rlike(r"^part-\d+"), F.regexp_extract(name, r"^part-(\d+)", 1).cast("long"))
+    ahead = F.sum("_n").over(Window.orderBy(part.asc_nulls_first(), "_f")) - F.col("_n")  # a row for each file
+    return rows.join(F.broadcast(files.select("_f", ahead.alias("_ahead"))), F.col("_file") == F.col("_f")).select(*columns, (F.col("_ahead") + F.col("_at")).alias("position"))
+
+
 def held_out(doc_id: Column) -> Column:
     """True for rows outside training; a null id counts as the empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 4 == HELD_OUT
