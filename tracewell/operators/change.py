@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracewell.operators.traversal import number_roots, traverse
+from tracewell.operators.traversal import Reached, number_roots, traverse
 
 MOST_SEEDS = 10_000  # fixed value
 ANALYZED = r"(\.py$)|((^|/)(pyproject\.toml|setup\.cfg|pyvenv\.cfg)$)"  # fixed values: names of analysed files
@@ -36,10 +36,21 @@ def changed_files(before: DataFrame, after: DataFrame) -> DataFrame:
     return changes.join(gone.select("now", "_from"), "now", "left").select("path", "status", F.when(F.col("status") == "added", F.col("_from")).alias("rename_from"))
 
 
-def seeds(nodes: DataFrame, changes: DataFrame, side: str) -> DataFrame:
+def selected(nodes: DataFrame, changes: DataFrame, side: str) -> DataFrame:
     """(id, path) of declarations in changed files; files that are only on the other side have none. ``nodes``: (id, path)."""
     there = changes.where(F.col("status") != ("added" if side == "before" else "deleted"))
-    return nodes.join(there.select("path"), "path", "left_semi").select("id", "path").orderBy("id").limit(MOST_SEEDS)
+    return nodes.join(there.select("path"), "path", "left_semi").select("id", "path")
+
+
+def seeds(nodes: DataFrame, changes: DataFrame, side: str) -> DataFrame:
+    """The first MOST_SEEDS of ``selected`` by id; ``seed_counts`` tells whether there are more."""
+    return selected(nodes, changes, side).orderBy("id").limit(MOST_SEEDS)
+
+
+def seed_counts(nodes: DataFrame, changes: DataFrame, side: str) -> DataFrame:
+    """(n_selected, n_seeds, seeds_truncated): one row."""
+    n = F.count("*")
+    return selected(nodes, changes, side).agg(n.alias("n_selected"), F.least(n, F.lit(MOST_SEEDS)).alias("n_seeds"), (n > MOST_SEEDS).alias("seeds_truncated"))
 
 
 def unmapped(nodes: DataFrame, changes: DataFrame, side: str) -> DataFrame:
@@ -48,12 +59,16 @@ def unmapped(nodes: DataFrame, changes: DataFrame, side: str) -> DataFrame:
     return there.join(nodes.select("path").distinct(), "path", "left_anti").select("path", "status")
 
 
-def impact(nodes: DataFrame, edges: DataFrame, changes: DataFrame, side: str, dispatch: str = "direct", max_depth: int = 128, max_reached: int = 100_000) -> DataFrame:
-    """(id, via, depth, evidence, path, test_candidate): what depends on the seeds of one side. Sides have graphs of their own."""
+def impact(nodes: DataFrame, edges: DataFrame, changes: DataFrame, side: str, dispatch: str = "direct", max_depth: int = 128, max_reached: int = 100_000) -> Reached:
+    """What depends on the seeds of one side. Sides have graphs of their own.
+
+    Rows: id, via, depth, evidence, path, test_candidate. Meta: one row of what was cut short, seeds too.
+    """
     found = seeds(nodes, changes, side)
     roots = number_roots(found.withColumn("pos", F.row_number().over(Window.orderBy("id"))))  # MOST_SEEDS rows at most
-    reached = traverse(nodes.select("id"), edges, roots, "dependents", dispatch, max_depth, max_reached).rows
-    return reached.join(nodes.select("id", "path"), "id").select("id", "via", "depth", "evidence", "path", is_test_path(F.col("path")).alias("test_candidate"))
+    reached = traverse(nodes.select("id"), edges, roots, "dependents", dispatch, max_depth, max_reached)
+    rows = reached.rows.join(nodes.select("id", "path"), "id").select("id", "via", "depth", "evidence", "path", is_test_path(F.col("path")).alias("test_candidate"))
+    return Reached(rows, reached.meta.crossJoin(seed_counts(nodes, changes, side)))
 
 
 def content_digest(files: DataFrame) -> DataFrame:

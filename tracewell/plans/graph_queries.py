@@ -188,6 +188,44 @@ def change_unmapped(spark: SparkSession, sf_dir: str) -> DataFrame:
     return change.unmapped(_declared(spark, sf_dir), change.changed_files(*snapshots(spark, sf_dir)), "before")
 
 
+def _sides(spark: SparkSession, sf_dir: str) -> dict[str, tuple[DataFrame, DataFrame]]:
+    """(nodes, merged edges) of each state: a declaration for each analysed file, which uses those of smaller numbers, and tests of some."""
+    out = {}
+    for side, files in zip(("before", "after"), snapshots(spark, sf_dir), strict=True):
+        own = files.where(change.is_analyzed(F.col("path"))).select(F.concat("path", F.lit("#main")).alias("id"), "path", F.regexp_extract("path", r"(\d+)\.py$", 1).cast("long").alias("n"))
+        tests = own.where("n % 6 = 1").select(F.format_string("tests/test_f%d.py#main", "n").alias("id"), F.format_string("tests/test_f%d.py", "n").alias("path"), F.col("id").alias("target"))
+        uses = lambda k, kind, tier: own.where(f"n > 0 AND n % {k} <> 0").select(F.col("id").alias("source"), F.expr(f"n DIV {k}").alias("n"), F.lit(kind).alias("kind"), F.lit(tier).alias("evidence")).join(own.select("n", F.col("id").alias("target")), "n").select("source", "target", "kind", "evidence")  # noqa: E731,B023
+        raw = uses(3, "call", "direct").unionByName(uses(5, "new", "bound")).unionByName(tests.select(F.col("id").alias("source"), "target", F.lit("call").alias("kind"), F.lit("direct").alias("evidence")))
+        nodes = own.select("id", "path").unionByName(tests.select("id", "path"))
+        out[side] = nodes, edges.merge_edges(raw, nodes)
+    return out
+
+
+def _impacts(spark: SparkSession, sf_dir: str) -> dict[str, traversal.Reached]:
+    changes = change.changed_files(*snapshots(spark, sf_dir))
+    return {side: change.impact(nodes, merged, changes, side, "bound") for side, (nodes, merged) in _sides(spark, sf_dir).items()}
+
+
+def change_impact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What depends on all changed declarations of both states, at any depth."""
+    found = _impacts(spark, sf_dir)
+    return found["before"].rows.withColumn("side", F.lit("before")).unionByName(found["after"].rows.withColumn("side", F.lit("after")))
+
+
+def change_impact_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = _impacts(spark, sf_dir)
+    return found["before"].meta.withColumn("side", F.lit("before")).unionByName(found["after"].meta.withColumn("side", F.lit("after")))
+
+
+def reach_all_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From all orders, up to a request's bound of roots, at any depth."""
+    nodes, merged = graph(spark, sf_dir)
+    ids = G.table(spark, sf_dir, "orders").select(F.concat(F.lit("orders#"), F.col("o_orderkey").cast("string")).alias("id"), F.col("o_orderkey").alias("pos"))
+    roots = traversal.number_roots(ids.orderBy("pos").limit(traversal.MOST_ROOTS))
+    rows = traversal.traverse(nodes, merged, roots, "dependencies", "candidates").rows
+    return rows.select("id", "via", "depth", F.array_join(F.transform("roots", lambda r: r.cast("string")), ",").alias("roots"), F.array_join("relationships", ",").alias("relationships"), "evidence")
+
+
 def identity_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = G.table(spark, sf_dir, "documents")
     return docs.select("doc_id", change.git_blob_id(F.encode(F.coalesce("text", F.lit("")), "UTF-8"), "sha256").alias("blob_id"))
@@ -212,6 +250,8 @@ QUERIES = {
     "change_unmapped": change_unmapped,
     "identity_digest": identity_digest,
 }
+# beyond what SQL does in time; tests hold them against brute force
+WHOLE = {"change_impact": change_impact, "change_impact_flags": change_impact_flags, "reach_all_orders": reach_all_orders}
 ORACLES = {
     "graph_merge_edges": MERGE_SQL,
     "graph_stats_by_kind": STATS_SQL["nodes"],
