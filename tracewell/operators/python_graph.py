@@ -61,15 +61,30 @@ def resolve(rows: DataFrame, bindings: DataFrame, column: str = "name") -> DataF
     rows = rows.withColumn("_mod", module_name(F.col("path"))).withColumn("_first", F.get(parts, F.lit(0))).withColumn("_rest", F.array_join(F.slice(parts, 2, 100), "."))
     known = bindings.select(F.col("module").alias("_km"), F.col("name").alias("_kn"), "target")
     out = rows.join(known, (F.col("_mod") == F.col("_km")) & (F.col("_first") == F.col("_kn")), "left").drop("_km", "_kn")
-    for _ in range(4):  # module:a, then b of it, and so on
-        step = out.withColumn("_m", F.when(F.col("target").startswith("module:") & (F.col("_rest") != ""), F.substring("target", 8, 10_000)))
+    # module:a, then b of it, and so on: only distinct names that are handed on take part, until none moves
+    inner = bindings.select(F.col("module").alias("_bm"), F.col("name").alias("_bn"), F.col("target").alias("_bt"))
+    subs = packages(bindings).withColumnRenamed("module", "_sub")
+    out = materialize(out, "resolved")
+    state = out.where(F.col("target").startswith("module:") & (F.col("_rest") != "")).select(F.col("target").alias("_t0"), F.col("_rest").alias("_r0"), "target", "_rest").distinct()
+    for _ in range(MOST_HOPS):
+        step = state.withColumn("_m", F.when(F.col("target").startswith("module:") & (F.col("_rest") != ""), F.substring("target", 8, 10_000)))
         step = step.withColumn("_n", F.regexp_extract("_rest", r"^[^.]*", 0)).withColumn("_left", F.regexp_replace("_rest", r"^[^.]*\.?", ""))
-        inner = bindings.select(F.col("module").alias("_bm"), F.col("name").alias("_bn"), F.col("target").alias("_bt"))
-        subs = bindings.select("module").distinct().select(F.col("module").alias("_sub"))
-        step = step.join(inner, (F.col("_m") == F.col("_bm")) & (F.col("_n") == F.col("_bn")), "left").join(subs, F.concat_ws(".", "_m", "_n") == F.col("_sub"), "left")
-        moved = F.coalesce("_bt", F.concat(F.lit("module:"), "_sub"))
-        out = step.withColumn("target", F.coalesce(moved, "target")).withColumn("_rest", F.when(moved.isNotNull(), F.col("_left")).otherwise(F.col("_rest"))).drop("_m", "_n", "_left", "_bm", "_bn", "_bt", "_sub")
-    return out.withColumnRenamed("_rest", "rest").drop("_mod", "_first")
+        step = step.join(inner, (F.col("_m") == F.col("_bm")) & (F.col("_n") == F.col("_bn")), "left").join(subs, F.when(F.col("_m").isNotNull(), F.concat_ws(".", "_m", "_n")) == F.col("_sub"), "left")
+        to = F.coalesce("_bt", F.concat(F.lit("module:"), "_sub"))
+        step = step.select("_t0", "_r0", F.coalesce(to, "target").alias("target"), F.when(to.isNotNull(), F.col("_left")).otherwise(F.col("_rest")).alias("_rest"), to.isNotNull().alias("_moved"))
+        step = materialize(step, "resolved")
+        state = step.drop("_moved")
+        if step.where("_moved").isEmpty():
+            break
+    ends = state.select("_t0", "_r0", F.col("target").alias("_t1"), F.col("_rest").alias("_r1"))
+    out = out.join(ends, (F.col("target") == F.col("_t0")) & (F.col("_rest") == F.col("_r0")), "left").withColumn("target", F.coalesce("_t1", "target")).withColumn("_rest", F.coalesce("_r1", "_rest"))
+    return out.drop("_t0", "_r0", "_t1", "_r1").withColumnRenamed("_rest", "rest").drop("_mod", "_first")
+
+
+def packages(bindings: DataFrame) -> DataFrame:
+    """(module): modules that bind a name, and the packages above them."""
+    parts = F.split("module", r"\.")
+    return bindings.select("module").distinct().select(F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "."))).alias("module")).distinct()
 
 
 def c3(classes: list[str], bases: list[list[str]], start: str) -> list[str]:
@@ -159,8 +174,10 @@ def graph(raw: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     named = resolve(sites.where(~own), bindings)
     full = F.when(F.col("rest") == "", F.col("target")).otherwise(F.concat_ws(".", "target", "rest"))
     named = named.withColumn("target_id", full).join(kinds, "target_id", "left")
-    status = F.when(F.col("target_kind").isNotNull(), "resolved").when(F.col("target").startswith("external:") | F.col("target").startswith("module:"), "external").otherwise("unresolved")
-    named = named.withColumn("status", status)
+    named = named.join(packages(bindings).select(F.concat(F.lit("module:"), "module").alias("_own")), F.col("target") == F.col("_own"), "left")
+    lost = F.col("_own").isNotNull() & (F.col("rest") != "")  # of a module of the project
+    status = F.when(F.col("target_kind").isNotNull(), "resolved").when(lost, "unresolved").when(F.col("target").startswith("external:") | F.col("target").startswith("module:"), "external").otherwise("unresolved")
+    named = named.withColumn("status", status).drop("_own")
 
     method = defs.where("kind = 'method'").select(F.col("id").alias("scope"), F.col("parent").alias("cls"))
     through = sites.where(own & (F.col("fact") == "call")).select("path", F.col("id").alias("scope"), F.substring_index("name", ".", 1).alias("via"), F.substring_index("name", ".", -1).alias("member"), "line", "col", "place").join(method, "scope", "left")
