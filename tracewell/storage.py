@@ -23,4 +23,16 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     """``df`` written once as Parquet and read back: cuts lineage, and outlives lost executors."""
     path = f"{shared_dir(df.sparkSession)}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._written = path
+    return out
+
+
+def drop(*tables: DataFrame | None) -> None:
+    """Deletes tables that ``materialize`` returned, once all that was derived from them is written. Others are left alone."""
+    for table in tables:
+        path = getattr(table, "_written", None)
+        if path:
+            jvm, conf = table.sparkSession._jvm, table.sparkSession._jsparkSession.sessionState().newHadoopConf()
+            where = jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(conf).delete(where, True)
