@@ -89,6 +89,18 @@ def test_one_id_with_two_texts_joins_their_groups(spark):
     assert {(r.doc_id, r.component_id) for r in J.join(spark.createDataFrame(rows, "doc_id long, text string")).collect()} == {(1, 1), (2, 1), (3, 1), (4, 4)}
 
 
+def test_one_id_with_three_texts_joins_all_their_groups(spark):
+    a, b, c = "a b c d e f g", "p q r s t u v", "k l m n o i j"
+    rows = [(1, a), (2, b), (3, c), (5, a), (5, b), (5, c), (6, a), (6, a), (7, "x y z w")]
+    found = {(r.doc_id, r.component_id) for r in J.join(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert found == {(1, 1), (2, 1), (3, 1), (5, 1), (6, 1), (7, 7)}
+
+
+def test_ids_of_several_texts_of_one_size_against_brute_force(spark):
+    rows = [(k % 23, t) for k, t in enumerate(corpus(21, edits=6))] + [(3, "a b c d e"), (3, "e d c b a")]
+    assert got(J.join(spark.createDataFrame(rows, "doc_id long, text string"), 3, 70)) == brute(rows, 3, 70)
+
+
 def test_whole_table(spark, small):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{small}/documents.parquet").collect()]
     assert got(J.query(spark, small)) == brute(rows)

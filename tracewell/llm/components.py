@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tracewell import storage
+
 from . import common
 
 
@@ -27,5 +29,7 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        edges = common.materialize(small.union(low.select("u", "m")).distinct(), "links")
+        after = common.materialize(small.union(low.select("u", "m")).distinct(), "links")
+        storage.drop(edges)
+        edges = after
     raise RuntimeError("links did not settle")
