@@ -32,6 +32,9 @@ KINDS = (
 # what a text must hold for a kind to be looked for: cheaper to find, and never missing where the kind is found
 HINTS = {"assign": "[:=]", "access": "AKIA", "hex": "[0-9a-f]{24}"}
 MOST_OWNERS = 1  # owners of a live-looking value, at most
+CHUNK = 128  # spans that are gathered before they go to the others of their text
+SALTS = 16  # tasks that the holders of one copied value are dealt over
+MASK = "********"
 COPIES = 3  # repositories from which a value that several owners share counts as widely copied
 
 
@@ -47,23 +50,51 @@ def quick(pattern: str, group: int, least: int) -> str:
     return pattern.replace("]+", "]++")
 
 
+SPAN = "struct<start:int,rank:int,end:int,kind:string,value:string>"
+
+
+def _bound(value: Column, body) -> Column:
+    """``body`` of a value that is worked out once, however often ``body`` names it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def _in_chunks(items: Column, state: Column, step, kind: str) -> Column:
+    """All that ``step(state, item)`` makes, a (next state, array of ``kind``) for each item in order.
+
+    Arrays grow chunk by chunk, so the work stays near linear in the items: appending to one array would copy it for each.
+    """
+
+    def one(s: Column, x: Column) -> Column:
+        return _bound(step(s["state"], x), lambda made: F.struct(made["state"].alias("state"), F.concat(s["out"], made["out"]).alias("out")))
+
+    def chunk(s: Column, part: Column) -> Column:
+        start = F.struct(s["state"].alias("state"), F.array().cast(f"array<{kind}>").alias("out"))
+        return _bound(F.aggregate(part, start, one), lambda made: F.struct(made["state"].alias("state"), F.array_append(s["out"], made["out"]).alias("out")))
+
+    def whole(all_items: Column) -> Column:
+        parts = F.transform(F.sequence(F.lit(0), F.floor((F.size(all_items) - 1) / CHUNK).cast("int")), lambda i: F.slice(all_items, i * CHUNK + 1, F.lit(CHUNK)))
+        start = F.struct(state.alias("state"), F.array().cast(f"array<array<{kind}>>").alias("out"))
+        return F.when(F.size(all_items) > 0, F.flatten(F.aggregate(parts, start, chunk, lambda s: s["out"]))).otherwise(F.array().cast(f"array<{kind}>"))
+
+    return _bound(items, whole)
+
+
 def _spans(text: Column, rank: int, name: str, pattern: str, group: int, least: int) -> Column:
     """Spans of one kind: (start, rank, end, kind, value), start and end in code points."""
     pattern = quick(pattern, group, least)
     whole, value = F.regexp_extract_all(text, F.lit(f"({pattern})"), F.lit(1)), F.regexp_extract_all(text, F.lit(f"({pattern})"), F.lit(group + 1))
     gaps = F.split(text, pattern, -1)
-    item = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,rank:int,end:int,kind:string,value:string>>").alias("found"))
+    empty = F.array().cast(f"array<{SPAN}>")
 
-    def step(state: Column, x: Column) -> Column:
-        start = state["at"] + F.length(x["gap"])
+    def step(at: Column, x: Column) -> Column:
+        start = at + F.length(x["gap"])
         end = start + F.length(x["whole"])
         one = F.struct(start.alias("start"), F.lit(rank).alias("rank"), end.alias("end"), F.lit(name).alias("kind"), x["value"].alias("value"))
-        return F.struct(end.alias("at"), F.when(F.length(x["value"]) >= least, F.array_append(state["found"], one)).otherwise(state["found"]).alias("found"))
+        return F.struct(end.alias("state"), F.when(F.length(x["value"]) >= least, F.array(one).cast(f"array<{SPAN}>")).otherwise(empty).alias("out"))
 
     # zipped, so that each array is made once; there is one gap more than matches
     rows = F.filter(F.arrays_zip(gaps.alias("gap"), whole.alias("whole"), value.alias("value")), lambda x: x["whole"].isNotNull())
-    empty = F.array().cast("array<struct<start:int,rank:int,end:int,kind:string,value:string>>")
-    return F.when(text.rlike(HINTS[name]) & text.rlike(pattern), F.aggregate(rows, item, step, lambda s: s["found"])).otherwise(empty)
+    return F.when(text.rlike(HINTS[name]) & text.rlike(pattern), _in_chunks(rows, F.lit(0), step, SPAN)).otherwise(empty)
 
 
 def scan(docs: DataFrame, text: str = "text", owner: str = "source", key: str | None = None) -> DataFrame:
@@ -88,8 +119,10 @@ def classify(scanned: DataFrame, most_owners: int = MOST_OWNERS, copies: int = C
     """(row, n_live, n_copied, live_spans) of the rows that have a candidate."""
     hits = scanned.where(F.size("found") > 0).select("row", "doc_id", "owner", F.explode("found").alias("s")).withColumn("hash", F.sha2(F.col("s.value"), 256))
     known = ownership(hits)
-    copied = (F.col("owners") > most_owners) & (F.col("repositories") >= copies)
-    joined = hits.join(known, "hash")
+    # values that aren't copied need no row; those that are may have very many holders, so each stands SALTS times
+    copies_of = known.where((F.col("owners") > most_owners) & (F.col("repositories") >= copies)).select("hash", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).alias("salt"), F.lit(True).alias("copied"))
+    joined = hits.withColumn("salt", F.pmod(F.xxhash64("row"), F.lit(SALTS))).join(copies_of, ["hash", "salt"], "left")
+    copied = F.coalesce("copied", F.lit(False))
     live = F.sort_array(F.collect_list(F.when(~copied, F.struct("s.start", "s.rank", "s.end", "s.kind", F.length("s.value").alias("size")))))  # spans of one document
     return joined.groupBy("row").agg(F.sum((~copied).cast("long")).alias("n_live"), F.sum(copied.cast("long")).alias("n_copied"), live.alias("live"))
 
@@ -118,33 +151,57 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report(common.read(spark, sf_dir, "documents"))
 
 
+def struck(text: Column, live: Column) -> Column:
+    """``text`` with eight asterisks for each value of ``live`` (start, rank, end, kind, size; by start). Overlapping values are struck once."""
+    pieces = "struct<lead:string,at:int>"
+
+    def part(base: Column, chunk: Column) -> Column:
+        """Pieces of a chunk's stretch of text, from ``base`` on: short strings are cut, not the whole text each time."""
+        last = F.array_max(F.transform(chunk, lambda x: x["end"]))
+
+        def cut(stretch: Column) -> Column:
+            def one(s: Column, x: Column) -> Column:
+                start = F.greatest(x["end"] - x["size"], s["at"])
+                made = F.struct(x["end"].alias("at"), F.concat(s["out"], F.array(F.concat(stretch.substr(s["at"] - base + 1, start - s["at"]), F.lit(MASK)))).alias("out"))
+                return F.when(x["end"] <= s["at"], s).otherwise(made)
+
+            start = F.struct(base.alias("at"), F.array().cast("array<string>").alias("out"))
+            return F.aggregate(chunk, start, one, lambda s: F.struct(F.array_join(s["out"], "").alias("lead"), s["at"].alias("at")))
+
+        return _bound(text.substr(base + 1, F.greatest(last - base, F.lit(0))), cut)
+
+    def chunked(spans: Column) -> Column:
+        parts = F.transform(F.sequence(F.lit(0), F.floor((F.size(spans) - 1) / CHUNK).cast("int")), lambda i: F.slice(spans, i * CHUNK + 1, F.lit(CHUNK)))
+        start = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{pieces}>").alias("out"))
+
+        def step(s: Column, chunk: Column) -> Column:
+            return _bound(part(s["at"], chunk), lambda p: F.struct(p["at"].alias("at"), F.array_append(s["out"], p).alias("out")))
+
+        return F.aggregate(parts, start, step, lambda s: F.concat(F.array_join(F.transform(s["out"], lambda p: p["lead"]), ""), text.substr(s["at"] + 1, F.length(text))))
+
+    return F.when(F.size(live) > 0, _bound(live, chunked)).otherwise(text)
+
+
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with each live-looking value struck out (eight asterisks stand for it), and n_chars to match. No document goes.
 
     Only documents that hold a candidate are shuffled, to be joined with their live spans by id and text hash (rows alike in
-    both are struck alike); all others pass straight through.
+    both are struck alike); all others pass straight through. Columns of any names pass, as they travel in a struct of their own.
     """
-    cols, body = docs.columns, F.coalesce(F.col("text"), F.lit(""))
-    holds = F.lit(False)
+    body, holds = F.coalesce(F.col("text"), F.lit("")), F.lit(False)
     for name, *rest in KINDS:
         holds = holds | (body.rlike(HINTS[name]) & body.rlike(quick(*rest)))
-    some = docs.where(holds).withColumn("_key", F.xxhash64("text"))
-    scanned = common.materialize(scan(some.withColumn("_owner", F.col("source")), owner="_owner", key="_key"), "secrets-stage")
+    some = docs.where(holds).select(F.struct("*").alias("doc"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("body"))
+    narrow = some.select(F.col("id").alias("doc_id"), F.col("doc.text").alias("text"), F.col("doc.source").alias("owner"), F.col("body").alias("key"))
+    scanned = common.materialize(scan(narrow, owner="owner", key="key"), "secrets-stage")
     live = classify(scanned).where("n_live > 0").join(scanned.select("row", "doc_id", "key"), "row")
-    live = live.groupBy(F.col("doc_id").alias("_id"), F.col("key").alias("_text")).agg(F.min("live").alias("_live"))
-    state = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-
-    def strike(s: Column, x: Column) -> Column:
-        start = F.greatest(x["end"] - x["size"], s["at"])
-        out = F.concat(s["out"], body.substr(s["at"] + 1, start - s["at"]), F.lit("********"))
-        return F.when(x["end"] <= s["at"], s).otherwise(F.struct(x["end"].alias("at"), out.alias("out")))
-
-    struck = F.aggregate("_live", state, strike, lambda s: F.concat(s["out"], body.substr(s["at"] + 1, F.length(body))))
-    changed = some.join(live, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_text")), "left")
-    changed = changed.withColumn("text", F.when(F.col("_live").isNull(), F.col("text")).otherwise(struck))
-    if "n_chars" in cols:
-        changed = changed.withColumn("n_chars", F.when(F.col("_live").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long")))
-    return docs.where(~holds).unionByName(changed.select(*cols))
+    live = live.groupBy(F.col("doc_id").alias("_id"), F.col("key").alias("_key")).agg(F.min("live").alias("live"))
+    changed = some.join(live, F.col("id").eqNullSafe(F.col("_id")) & (F.col("body") == F.col("_key")), "left")
+    new = F.when(F.col("live").isNull(), F.col("doc.text")).otherwise(struck(F.col("doc.text"), F.col("live")))
+    changed = changed.select("doc", "live", new.alias("new"))
+    made = {"text": F.col("new"), "n_chars": F.when(F.col("live").isNull(), F.col("doc.n_chars")).otherwise(F.length("new")) if "n_chars" in docs.columns else None}
+    out = [made[c].cast(docs.schema[c].dataType).alias(c) if c in made else F.col("doc").getField(c).alias(c) for c in docs.columns]
+    return docs.where(~holds).unionByName(changed.select(*out))
 
 
 def _oracle() -> str:
