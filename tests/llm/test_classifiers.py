@@ -44,11 +44,13 @@ def test_out_of_place_by_brute_force(spark, small):
 
 def test_language_of_odd_rows(spark):
     odd = spark.createDataFrame([(1, None, "en", 1), (None, "123 !!", "en", 2), (3, "", None, 3), (4, "Ünder " * 3000, None, 4), (4, "Ünder " * 3000, None, 4), (5, "the thing of that", "en", 5)], "doc_id long, text string, lang string, score int")
-    out = language_id.predict(odd.drop("score"), language_id.fit(odd)).orderBy("doc_id", "text").collect()
-    assert len(out) == 6 and {r.lang_pred for r in out if not r.text or "1" in r.text} == {"und"}
+    known = odd.union(spark.createDataFrame([(k, "the thing of that", "en", 6) for k in range(10, 20)], odd.schema))
+    out = language_id.predict(odd, language_id.fit(known)).collect()
+    assert len(out) == 6 and {r.doc_id for r in out if r.lang_pred == "und"} == {1, None, 3}
     assert language_id.predict(odd.limit(0), language_id.fit(odd.limit(0))).count() == 0
     assert language_id.predict(odd, {}).where("lang_pred <> 'und'").count() == 0
-    assert language_id.stage(spark, odd, "").columns == odd.columns
+    kept = language_id.stage(spark, known, "")
+    assert kept.columns == odd.columns and sorted(r.score for r in kept.collect()) == [4, 4, 5] + [6] * 10
 
 
 def test_quality_on_held_out_rows(spark):

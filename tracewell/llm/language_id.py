@@ -94,14 +94,14 @@ def fit(docs: DataFrame, profile: int = PROFILE, most_rows: int = MOST_ROWS) ->
     return {lang: rows["gram"].to_numpy(np.int64) for lang, rows in found.groupby("lang")}
 
 
-def predict(docs: DataFrame, profiles: dict[str, np.ndarray], profile: int = PROFILE) -> DataFrame:
-    """``docs`` with held_out, lang_pred and score: 1 less the distance as a share of the largest there can be."""
+def guesser(spark: SparkSession, profiles: dict[str, np.ndarray], profile: int = PROFILE):
+    """A function of a text column: (lang_pred, score), where score is 1 less the distance as a share of the largest there can be."""
     names = sorted(profiles)
     grams = np.unique(np.concatenate([profiles[n] for n in names])) if names else np.zeros(0, np.int64)
     ranks = np.full((len(names), len(grams) + 1), -1, np.int64)  # the last column: n-grams of no profile
     for k, n in enumerate(names):
         ranks[k, np.searchsorted(grams, profiles[n])] = np.arange(len(profiles[n]))
-    shared = docs.sparkSession.sparkContext.broadcast((names, grams, ranks))  # languages times PROFILE numbers
+    shared = spark.sparkContext.broadcast((names, grams, ranks))  # languages times PROFILE numbers
 
     @F.arrow_udf("struct<lang_pred:string,score:double>")
     def guess(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
@@ -125,15 +125,20 @@ def predict(docs: DataFrame, profiles: dict[str, np.ndarray], profile: int = PRO
         finally:
             common.tidy()
 
-    return docs.withColumn("_g", guess("text")).withColumns({"held_out": common.held_out(F.col("doc_id")), "lang_pred": F.col("_g.lang_pred"), "score": F.col("_g.score")}).drop("_g")
+    return guess
+
+
+def predict(docs: DataFrame, profiles: dict[str, np.ndarray], profile: int = PROFILE) -> DataFrame:
+    """(doc_id, held_out, lang_pred, score) of each row of ``docs``."""
+    told = docs.select("doc_id", guesser(docs.sparkSession, profiles, profile)("text").alias("told"))
+    return told.select("doc_id", common.held_out(F.col("doc_id")).alias("held_out"), "told.lang_pred", "told.score")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.read(spark, sf_dir, "documents")
-    return predict(docs.select("doc_id", "text"), fit(docs)).select("doc_id", "held_out", "lang_pred", "score")
+    return predict(docs, fit(docs))
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a language. Profiles come from the documents of this stage's own input."""
-    judged = predict(docs.select(*docs.columns), fit(docs))
-    return judged.where(F.col("lang_pred") != "und").select(*docs.columns)
+    """Documents with a language, with all columns as they are. Profiles come from the documents of this stage's own input."""
+    return docs.where(guesser(spark, fit(docs))(F.col("text"))["lang_pred"] != "und")

@@ -120,36 +120,42 @@ def turns(shared: DataFrame, block: int = BLOCK, tasks: int = 1) -> DataFrame:
 
 
 def mix(docs: DataFrame, weights: dict[str, float] | None = None, block: int = BLOCK, period: int = PERIOD) -> DataFrame:
-    """``docs`` with mix_block (of its source), mix_slot and mix_pos (its place in the whole mixture, from 0)."""
+    """``docs`` with mix_block (of its source), mix_slot and mix_pos (its place in the whole mixture, from 0); its own columns of these names go."""
     cols = [c for c in docs.columns if c not in ("mix_block", "mix_slot", "mix_pos")]
-    rows = docs.select(*cols, F.coalesce(F.col("source"), F.lit("")).alias("_src"), F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).alias("_h"))
-    counted = rows.groupBy(F.col("_src").alias("src")).agg(F.count("*").alias("n")).orderBy("src").limit(MOST_SOURCES + 1).collect()
+    whole = spread(docs, weights, block, period)
+    return whole.select(*(F.col("doc").getField(c).alias(c) for c in cols), "mix_block", "mix_slot", "mix_pos")
+
+
+def spread(docs: DataFrame, weights: dict[str, float] | None = None, block: int = BLOCK, period: int = PERIOD) -> DataFrame:
+    """(doc, mix_block, mix_slot, mix_pos): each row of ``docs`` as a struct, so that its columns may have any names, and its place."""
+    rows = docs.select(F.struct("*").alias("doc"), F.coalesce(F.col("source"), F.lit("")).alias("src"), F.col("doc_id").alias("id"), F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).alias("h"), F.xxhash64("*").alias("tie"))
+    counted = rows.groupBy("src").agg(F.count("*").alias("n")).orderBy("src").limit(MOST_SOURCES + 1).collect()
     if len(counted) > MOST_SOURCES:
         raise ValueError(f"more than {MOST_SOURCES} sources")
     if not counted:
-        return docs.select(*cols, *(F.lit(None).cast("long").alias(c) for c in ("mix_block", "mix_slot", "mix_pos")))
+        return rows.select("doc", *(F.lit(None).cast("long").alias(c) for c in ("mix_block", "mix_slot", "mix_pos")))
     counts = docs.sparkSession.createDataFrame([(r.src, r.n) for r in counted], "src string, n long")
     shared = shares(counts, weights, period)
 
     digits = next((d for d in range(1, 9) if max(r.n for r in counted) // 16**d <= BUCKET_ROWS), 9)
-    rows = rows.withColumn("_b", F.substring("_h", 1, digits))
-    earlier = rows.groupBy("_src", "_b").agg(F.count("*").alias("_n"))
-    earlier = earlier.select(F.col("_src").alias("_s2"), F.col("_b").alias("_b2"), (F.sum("_n").over(Window.partitionBy("_src").orderBy("_b")) - F.col("_n")).alias("_before"))
-    place = F.row_number().over(Window.partitionBy("_src", "_b").orderBy("_h", F.col("doc_id").asc_nulls_first(), F.xxhash64(*cols)))
-    ranked = rows.withColumn("_place", place).join(earlier, (F.col("_src") == F.col("_s2")) & (F.col("_b") == F.col("_b2"))).withColumn("_rank", F.col("_before") + F.col("_place") - 1)
+    rows = rows.withColumn("b", F.substring("h", 1, digits))
+    earlier = rows.groupBy("src", "b").agg(F.count("*").alias("n"))
+    earlier = earlier.select(F.col("src").alias("s2"), F.col("b").alias("b2"), (F.sum("n").over(Window.partitionBy("src").orderBy("b")) - F.col("n")).alias("before"))
+    place = F.row_number().over(Window.partitionBy("src", "b").orderBy("h", F.col("id").asc_nulls_first(), "tie"))
+    ranked = rows.withColumn("place", place).join(earlier, (F.col("src") == F.col("s2")) & (F.col("b") == F.col("b2"))).withColumn("rank", F.col("before") + F.col("place") - 1)
 
     # without a weight: after all that have one, and after such sources of an earlier name
     every = F.array_sort(F.collect_list(F.struct("k", "n", "q")).over(Window.partitionBy()))
     late = total(F.transform(every, lambda s: F.when((s["q"] > 0) | (s["k"] < F.col("k")), s["n"]).otherwise(0)))
-    source = F.broadcast(shared.select(F.col("src").alias("_s3"), F.col("k").alias("_k"), late.alias("_late")))  # a row for each source
+    source = F.broadcast(shared.select(F.col("src").alias("s3"), "k", late.alias("late")))  # a row for each source
     blocks = sum(-(-r.n // block) for r in counted)
-    turn = turns(shared, block, min(4096, 1 + blocks // period)).select(F.col("k").alias("_tk"), F.col("block").alias("_j"), F.col("slot").alias("_slot"), F.col("ahead").alias("_ahead"))  # a row for each block
+    turn = turns(shared, block, min(4096, 1 + blocks // period)).select(F.col("k").alias("tk"), F.col("block").alias("j"), "slot", "ahead")  # a row for each block
     if blocks <= BROADCAST_BLOCKS:
         turn = F.broadcast(turn)
-    found = ranked.join(source, F.col("_src") == F.col("_s3")).withColumn("mix_block", F.floor(F.col("_rank") / block))
-    found = found.join(turn, (F.col("_k") == F.col("_tk")) & (F.col("mix_block") == F.col("_j")), "left")
-    position = F.coalesce(F.col("_ahead") + F.col("_rank") % block, F.col("_late") + F.col("_rank"))
-    return found.select(*cols, F.col("mix_block").cast("long").alias("mix_block"), F.col("_slot").cast("long").alias("mix_slot"), position.cast("long").alias("mix_pos"))
+    found = ranked.join(source, F.col("src") == F.col("s3")).withColumn("mix_block", F.floor(F.col("rank") / block))
+    found = found.join(turn, (F.col("k") == F.col("tk")) & (F.col("mix_block") == F.col("j")), "left")
+    position = F.coalesce(F.col("ahead") + F.col("rank") % block, F.col("late") + F.col("rank"))
+    return found.select("doc", F.col("mix_block").cast("long").alias("mix_block"), F.col("slot").cast("long").alias("mix_slot"), position.cast("long").alias("mix_pos"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -157,9 +163,8 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, written in the order of the mixture: files, and rows within them, follow mix_pos."""
-    mixed = mix(docs)
-    return mixed.repartitionByRange("mix_pos").sortWithinPartitions("mix_pos").select(*docs.columns)
+    """All documents, written in the order of the mixture: files, and rows within them, follow mix_pos. Columns may have any names."""
+    return spread(docs).repartitionByRange("mix_pos").sortWithinPartitions("mix_pos").select("doc.*")
 
 
 ORACLE_SQL = f"""
