@@ -30,7 +30,6 @@ def test_recall_and_exact_scores(spark):
 
 def test_hot_vector_ties_and_small_blocks(spark, monkeypatch):
     monkeypatch.setattr(A, "BLOCK_ROWS", 50)
-    monkeypatch.setattr(A, "BLOCK_QUERIES", 3)
     random = np.random.default_rng(1)
     rows = [(i, [1.0, 2.0, 3.0]) if i % 3 == 0 else (i, random.normal(size=3).tolist()) for i in range(400)]
     got = {}
@@ -61,10 +60,35 @@ def test_copies_of_rows_take_no_places(spark):
 
 def test_an_id_of_many_vectors_takes_one_place():
     rows = np.array([[1.0, 0.01 * k] for k in range(6)] + [[1.0, 0.5], [1.0, 0.6], [1.0, 0.7], [1.0, 0.8]])
-    found = A.best(np.array([[1.0, 0.0]]), np.array([99]), rows, np.array([7] * 6 + [1, 2, 3, 4]), 5)
+    block = A.Block(np.array([7] * 6 + [1, 2, 3, 4]), rows, np.zeros(10, np.int64))
+    found = block.best(np.array([[1.0, 0.0]]), np.array([99]), [[0]], 5)
     assert [x for _, x in found[0]] == [7, 1, 2, 3, 4]
 
 
+def test_very_large_and_small_numbers_and_other_lengths(spark):
+    rows = [(0, [1e200, 1e200]), (1, [1e-170, 0.0]), (2, [3e-320, 3e-320]), (3, [1.0, 1.0, 1.0]), (50, [2.0, 1.0, 1.0]), (4, [-1e300, 1e300])]
+    data = A.usable_rows(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    out = A.search(data, data.where("vec_id % 50 = 0")).orderBy("query_id", "rank").collect()
+    assert [(r.query_id, r.vec_id) for r in out] == [(0, 2), (0, 1), (0, 4), (50, 3)]
+    assert np.allclose([r.score for r in out], [1.0, 0.5**0.5, 0.0, 4 / 18**0.5])
+
+
+def test_blocks_hold_a_bounded_number_of_rows():
+    counts = {0: 30, 1: 30, 2: 250, 3: 90, 4: 5, 5: 5}
+    assert A.blocks_of(counts, 100) == {0: (0, 1), 1: (0, 1), 2: (1, 3), 3: (4, 1), 4: (4, 1), 5: (4, 1)}
+
+
+def test_share_of_rows_compared_falls_with_the_table():
+    """Clustered vectors: four times the rows have about four times the leaves, and a query compares a smaller share of the rows."""
+    random, shares = np.random.default_rng(6), []
+    centers = random.normal(size=(400, 16))
+    for n in (2000, 8000, 32000):
+        points = A.unit(centers[random.integers(0, 400, n)] + 0.3 * random.normal(size=(n, 16)))
+        tree = A.Tree(points)
+        shares.append(A.calibrate(tree, points) / tree.leaves)
+    assert shares[0] > shares[1] > shares[2] and shares[2] < 0.1
+
+
 def test_an_id_of_vectors_in_many_leaves(spark):
     random = np.random.default_rng(4)
     rows = [(i, random.normal(size=4).tolist()) for i in range(300)] + [(i, random.normal(size=4).tolist()) for i in range(1, 300, 3)]
