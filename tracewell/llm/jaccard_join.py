@@ -41,7 +41,7 @@ MOST_MATCHES = 4  # the largest l that is tried
 VERIFY_COST = 8.0  # of verifying a candidate, against reading one posting
 STARS = 4  # rounds of stars, at most
 BITS = 512  # of a set's bitmap
-FEW = 8  # all pairs are looked at once they are fewer than so many for each posting of the whole index
+FEW = 8  # after a round of stars, all pairs are looked at once they are fewer than so many for each posting of the whole index
 STEP = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], np.uint64)
 
 
@@ -192,7 +192,7 @@ def linked(index: DataFrame, heads: DataFrame, sets: DataFrame, percent: int = P
             return known
         work = common.materialize(work.join(mixed.select("token", "most"), "token"), "jaccard-work")
         storage.drop(mixed, *old)
-        last = turn == stars or left <= FEW * size
+        last = turn == stars or (turn > 0 and left <= FEW * size)
         found = _all_pairs(work, heads, percent) if last else _star_pairs(work, turn, percent)
         links = verified(found, heads, sets, percent)
         if known is not None:
