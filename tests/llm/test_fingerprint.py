@@ -38,6 +38,13 @@ def check(rows, out):
         e = t[: len(t) - k] + after[:k]
         want.append((str(i), len(t), hashlib.sha256(e.encode()).hexdigest(), round(dice(t, e), 9), round(dice(t, after), 9)))
     assert sorted((str(r.doc_id), r.n_chars, r.edited_sha256, round(r.near_edited, 9), round(r.near_next, 9)) for r in out) == sorted(want)
+    changed = []
+    for i, t, after in pairs(rows):
+        k = len(t) // 4
+        x, y = brute_leaves(t), brute_leaves(t[: len(t) - k] + after[:k])
+        at = [(s, p) for s in range(max(len(x), len(y))) for p in range(max(len(z[s]) if s < len(z) else 0 for z in (x, y))) if [z[s][p] if s < len(z) and p < len(z[s]) else None for z in (x, y)].count(None) or x[s][p] != y[s][p]]
+        changed.append((str(i), len(t), len(at), at[0] if at else None))
+    assert sorted(((str(r.doc_id), r.n_chars, r.edited_paragraphs, r.first_edited and tuple(r.first_edited)) for r in out), key=str) == sorted(changed, key=str)
 
 
 @pytest.mark.parametrize("size", [1, 3, 100])
@@ -63,5 +70,5 @@ def test_one_row_none_and_where_an_edit_is(spark):
     docs = spark.createDataFrame([(1, "only one here")], "doc_id long, text string")
     assert M.report(docs).first().near_next == 1.0 and M.report(docs.limit(0)).collect() == []
     both = spark.createDataFrame([("a b\nc d\n\ne f\n", "a b\nc X\n\ne f\n")], "a string, b string")
-    found = both.select(M.located(M.tree(F.col("a")), M.tree(F.col("b"))).alias("x")).first().x
+    found = both.select(M.located(*(M.paragraphs(M.tree(F.col(c))) for c in "ab")).alias("x")).first().x
     assert [(r.section, r.paragraph) for r in found] == [(0, 1)]

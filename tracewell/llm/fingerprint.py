@@ -1,7 +1,7 @@
 """Document fingerprints: a Merkle tree over sections, paragraphs and short runs of words.
 
 Sections end at blank lines, paragraphs at line ends, and leaves hold up to eight words of a paragraph with the white space
-around them, so the leaves together are the text, exactly. A paragraph's hash is over its leaves' hashes in order, a section's
+around them, so the leaves together are the text, exactly. Leaves have 128-bit hashes. A paragraph's hash is over its leaves' hashes in order, a section's
 over its paragraphs', and the root, which is the fingerprint, over its sections'. Equal roots mean equal texts; where
 roots differ, the branches that differ show where. Likeness of two fingerprints is the share of leaves they have in common
 (twice the common ones over all of both), 1 where roots are equal.
@@ -24,24 +24,25 @@ from . import common
 
 LEAF = r"(?:\S++\s*+|\s++){1,8}"  # up to eight words with what follows each
 SECTION = r"(?<=\n[ \t]{0,8}\n)(?![ \t]*\n)"
-RANGE_ROWS = 20_000  # rows of a range of ids, about
+RANGE_ROWS = 2_000  # rows of a range of ids, about
 MOST_RANGES = 10_000
 
 
 def tree(text: Column) -> Column:
     """An array of sections, each an array of paragraphs, each an array of leaf hashes."""
-    leaves = lambda p: F.transform(F.regexp_extract_all(p, F.lit(LEAF), F.lit(0)), lambda x: F.xxhash64(x))
-    paragraphs = lambda s: F.transform(F.split(s, r"(?<=\n)"), leaves)
-    return F.transform(F.split(text, SECTION), paragraphs)
+    leaves = lambda p: F.transform(F.regexp_extract_all(p, F.lit(LEAF), F.lit(0)), lambda x: F.md5(x.cast("binary")))
+    lines = lambda s: F.transform(F.filter(F.split(s, r"(?<=\n)"), lambda p: p != ""), leaves)
+    return F.transform(F.split(text, SECTION), lines)
 
 
-def branches(nested: Column) -> Column:
-    """Hash of each section, in order."""
-    return F.transform(nested, lambda s: F.sha2(F.array_join(F.transform(s, lambda p: F.sha2(F.array_join(F.transform(p, lambda x: F.hex(x)), "."), 256)), "."), 256))
+def paragraphs(nested: Column) -> Column:
+    """Hash of each paragraph, as an array for each section."""
+    return F.transform(nested, lambda s: F.transform(s, lambda p: F.md5(F.array_join(p, ".").cast("binary"))))
 
 
-def root(nested: Column) -> Column:
-    return F.sha2(F.array_join(branches(nested), "."), 256)
+def root(hashed: Column) -> Column:
+    """The fingerprint, from the hashes of paragraphs."""
+    return F.sha2(F.array_join(F.transform(hashed, lambda s: F.sha2(F.array_join(s, "."), 256)), "."), 256)
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -52,11 +53,16 @@ def likeness(a: Column, b: Column) -> Column:
 
 
 def located(a: Column, b: Column) -> Column:
-    """Where two trees differ: (section, paragraph) from 0, over the longer of each; empty if the texts are equal."""
-    hashes = lambda t: F.transform(t, lambda s: F.transform(s, lambda p: F.sha2(F.array_join(F.transform(p, lambda x: F.hex(x)), "."), 256)))
-    pairs = F.arrays_zip(hashes(a).alias("x"), hashes(b).alias("y"))
-    rows = F.transform(pairs, lambda s, i: F.transform(F.arrays_zip(F.coalesce(s["x"], F.array().cast("array<string>")).alias("x"), F.coalesce(s["y"], F.array().cast("array<string>")).alias("y")), lambda p, j: F.when(~p["x"].eqNullSafe(p["y"]), F.struct(i.alias("section"), j.alias("paragraph")))))
-    return F.filter(F.flatten(rows), lambda x: x.isNotNull())
+    """Where two trees differ, from their hashes of paragraphs: (section, paragraph) from 0, over the longer of each; empty if the texts are equal."""
+    none = F.array().cast("array<string>")
+
+    def inside(s: Column, i: Column) -> Column:
+        both = F.arrays_zip(F.coalesce(s["x"], none).alias("x"), F.coalesce(s["y"], none).alias("y"))
+        told = F.transform(both, lambda p, j: F.struct(i.alias("section"), j.alias("paragraph"), p["x"].eqNullSafe(p["y"]).alias("same")))
+        return F.when(s["x"].eqNullSafe(s["y"]), F.filter(told, lambda t: F.lit(False))).otherwise(F.filter(told, lambda t: ~t["same"]))
+
+    rows = F.flatten(F.transform(F.arrays_zip(a.alias("x"), b.alias("y")), inside))
+    return F.transform(rows, lambda t: F.struct(t["section"], t["paragraph"]))
 
 
 def with_next(docs: DataFrame, key: str, body: str, rows: int = RANGE_ROWS) -> DataFrame:
@@ -81,27 +87,33 @@ def with_next(docs: DataFrame, key: str, body: str, rows: int = RANGE_ROWS) -> D
     order = Window.partitionBy("_part").orderBy(F.col(key).asc_nulls_first(), body)
     least = F.min(F.struct(F.col(key).isNotNull().alias("a"), F.col(key).alias("b"), F.col(body).alias("c")))
     firsts = dealt.groupBy("_part").agg(least.alias("_f"))  # a row for each range
-    handed = firsts.select(F.coalesce(F.lag("_part").over(Window.orderBy("_part")), F.lit(-1)).alias("_to"), F.col("_f.c").alias("_first"))
-    last = firsts.agg(F.max("_part")).first()[0] if bounds else 0
-    handed = handed.withColumn("_to", F.when(F.col("_to") < 0, F.lit(last)).otherwise(F.col("_to")))
+    ranges = [r[0] for r in dealt.select("_part").distinct().orderBy("_part").collect()]  # MOST_RANGES numbers at most
+    before = dict(zip(ranges, ranges[-1:] + ranges[:-1], strict=True))
+    to = docs.sparkSession.createDataFrame(list(before.items()), "_part int, _to int")
+    handed = firsts.join(F.broadcast(to), "_part").select("_to", F.col("_f.c").alias("_first"))
     return dealt.withColumn("_next", F.lead(body).over(order)).join(handed, F.col("_part") == F.col("_to"), "left").withColumn("next", F.coalesce("_next", "_first")).select(key, body, "next")
 
 
 def report(docs: DataFrame) -> DataFrame:
-    """The contract's columns, and how many paragraphs of the tree the edit touches."""
+    """The contract's columns, and where the edited text's tree differs: edited_paragraphs, how many of its paragraphs, and first_edited, the
+    first of them (section and paragraph; null if the texts are equal)."""
     rows = with_next(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("t")), "doc_id", "t")
     n = F.length("t")
     edited = F.concat(F.substring("t", F.lit(1), n - F.floor(n / 4).cast("int")), F.substring("next", F.lit(1), F.floor(n / 4).cast("int")))
     built = rows.select("doc_id", n.cast("long").alias("n_chars"), edited.alias("e"), "t", "next")
     built = built.select("doc_id", "n_chars", F.sha2("e", 256).alias("edited_sha256"), tree(F.col("t")).alias("own"), tree(F.col("e")).alias("edit"), tree(F.col("next")).alias("after"))
+    built = built.select("doc_id", "n_chars", "edited_sha256", likeness(F.col("own"), F.col("edit")).alias("near_edited"), likeness(F.col("own"), F.col("after")).alias("near_next"), paragraphs(F.col("own")).alias("own"), paragraphs(F.col("edit")).alias("edit"))
+    built = built.withColumn("differs", located(F.col("own"), F.col("edit")))
     return built.select(
         "doc_id",
         "n_chars",
         "edited_sha256",
         root(F.col("own")).alias("fingerprint"),
         root(F.col("edit")).alias("edited_fingerprint"),
-        likeness(F.col("own"), F.col("edit")).alias("near_edited"),
-        likeness(F.col("own"), F.col("after")).alias("near_next"),
+        "near_edited",
+        "near_next",
+        F.size("differs").alias("edited_paragraphs"),
+        F.get("differs", F.lit(0)).alias("first_edited"),
     )
 
 
