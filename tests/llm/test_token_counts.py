@@ -19,5 +19,18 @@ def test_a_failed_batch_leaves_no_trace(spark, tmp_path):
     r = T.Rollup(spark, f"{tmp_path}/r")
     with pytest.raises(Exception, match="unknown kind"):
         r.commit("1", spark.createDataFrame([("a", "en", "v1", "upsert", 1, None)], SHAPE))
-    assert r.committed() == [] and r.totals().collect() == []
+    assert r.committed() == [] and r.totals().collect() == [] and not list(tmp_path.glob("r/_made-*"))
     assert r.commit("1", spark.createDataFrame([("a", "en", "v1", "insert", 1, None)], SHAPE)) and r.totals().count() == 1
+
+
+def test_of_writers_at_once_one_wins(spark, tmp_path):
+    """All write the batch before any puts it in place, as all have seen that it isn't there."""
+    from concurrent.futures import ThreadPoolExecutor
+
+    rows = T.deltas(spark.createDataFrame([("a", "en", "v1", "insert", 10, None)], SHAPE))
+    r = T.Rollup(spark, f"{tmp_path}/r")
+    with ThreadPoolExecutor(4) as pool:
+        won = list(pool.map(lambda _: T.Rollup(spark, f"{tmp_path}/r")._put("1", rows), range(4)))
+    assert sorted(won) == [False, False, False, True] and r.committed() == ["1"]
+    assert [tuple(x) for x in r.totals().collect()] == [("a", "en", "v1", 1, 10)]
+    assert not list(tmp_path.glob("r/**/_made-*"))

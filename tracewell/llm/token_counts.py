@@ -4,8 +4,9 @@ Totals by source, language and tokenizer version are sums of signed deltas: an i
 a delete takes both away, and a revision adds the difference of counts. A batch of changes is reduced to its deltas for each group
 and committed under an id; a batch that is already committed is left alone, so a retry changes nothing. Totals are the sum over committed batches.
 
-A batch is one Parquet folder, written under a temporary name and put in place by one rename, which fails if the batch is there
-already; a job that dies leaves only a folder that nobody reads.
+A batch is one Parquet folder, written under a temporary name and put in place by one rename. Where the batch is there already, a rename
+puts the folder into it, under its temporary name, which starts with an underscore and so is never read: by that a writer sees that
+another was first, and takes its own away. A job that fails takes its folder away; one that dies leaves a folder that nobody reads.
 
 Defined cases: a null source or language is a group of its own; a null count or text adds a document and no tokens; a change with an unknown
 kind is an error; groups whose documents and tokens both come to zero are not shown; an empty batch commits and adds nothing;
@@ -57,19 +58,25 @@ class Rollup:
         return sorted(s.getPath().getName().split("=", 1)[1] for s in self._fs.listStatus(self._path(self.path)) if s.getPath().getName().startswith("batch_id="))
 
     def commit(self, batch_id: str, changes: DataFrame) -> bool:
-        """Adds a batch; False, without work, if it is there. Of two writers of one batch, one rename wins."""
+        """Adds a batch; False, without work, if it is there. Of writers of one batch at once, one gets True."""
         if self._fs.exists(self._path(self._batch(batch_id))):
             return False
         return self._put(batch_id, deltas(changes))
 
     def _put(self, batch_id: str, rows: DataFrame) -> bool:
-        made = f"{self.path}/_made-{uuid.uuid4().hex}"
-        rows.write.parquet(made)
-        target = self._path(self._batch(batch_id))
-        if self._fs.exists(target) or not self._fs.rename(self._path(made), target):
-            self._fs.delete(self._path(made), True)
-            return False
-        return True
+        name = f"_made-{uuid.uuid4().hex}"
+        made, target = self._path(f"{self.path}/{name}"), self._path(self._batch(batch_id))
+        try:
+            rows.write.parquet(made.toString())
+        except Exception:
+            self._fs.delete(made, True)
+            raise
+        moved = self._fs.rename(made, target)
+        inside = self._path(target, name)
+        if moved and not self._fs.exists(inside):
+            return True
+        self._fs.delete(inside if moved else made, True)
+        return False
 
     def totals(self) -> DataFrame:
         """(source, lang, tokenizer, documents, tokens) over all committed batches."""
