@@ -64,3 +64,21 @@ def test_odd_pages(spark):
     out = H.extract(rows.drop("text"), model).collect()
     assert [(r.text, r.n_chars) for r in out] == [("", 0)] * 3
     assert H.extract(rows.drop("text").limit(0), model).count() == 0
+
+
+def test_inline_elements_keep_their_text(spark):
+    model = H.fit(H.labelled_pages(spark, 300))
+    page = "<html><body><nav><a href=/>Home</a> <a href=/x>More</a></nav><article><h1>On energy and mass</h1><p>It is said that energy is <math><mi>E</mi></math> here, and so on. Press <button>Start</button> now.<noscript>No script.</noscript></p></article></body></html>"
+    assert model.text(page) == "On energy and mass\n\nIt is said that energy is E here, and so on. Press Start now."
+
+
+# words of class names that the labelled pages don't use
+OTHERS = '<html><body><div class="topline"><a href=/>Start</a><a href=/n>News</a><a href=/s>Sport</a></div><div class="xq7"><h1>{head}</h1><p>{one}</p><p>{two}</p></div><div class="zz"><ul><li><a href=/1>First</a></li><li><a href=/2>Second</a></li><li><a href=/3>Third</a></li></ul></div></body></html>'
+
+
+def test_layouts_of_unknown_names(spark):
+    """Where names tell nothing, tags, lengths and links must: paragraphs stay, lists of links go."""
+    model = H.fit(H.labelled_pages(spark))
+    one, two = "The river had risen by a metre overnight, and nobody in the village had slept. " * 3, "By noon the water fell again, slowly, and the road to the mill came back into sight. " * 3
+    text = model.text(OTHERS.format(head="A river rises", one=one, two=two))
+    assert one.strip() in text and two.strip() in text and "Second" not in text and "Sport" not in text

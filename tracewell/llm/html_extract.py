@@ -7,8 +7,8 @@ content is likelier than not. All potentials are counts (with add-one smoothing)
 by ``labelled_pages`` from many site layouts.
 
 Defined cases: a null or empty html gives an empty text; a page without an element has one node, its root; an element
-left open ends with its page or where a closing tag or a sibling that implies it stands; scripts, styles, templates and
-the head never hold text; repeated rows give repeated results; pages are taken whole, however long or deep.
+left open ends with its page or where a closing tag or a sibling that implies it stands; scripts with what stands in for them, styles, templates, the
+head and the fields of forms never hold text, all other elements' text stays with its block; an empty table gives no rows; repeated rows give repeated results; pages are taken whole, however long or deep.
 """
 
 from __future__ import annotations
@@ -27,7 +27,7 @@ from . import common
 # fixed values: elements by how they are parsed, as the HTML standard has them
 BLOCKS = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol option p pre search section select summary table tbody td tfoot th thead title tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-HIDDEN = frozenset("script style noscript template textarea iframe svg math head title button select object canvas audio video".split())
+HIDDEN = frozenset("script style noscript template textarea iframe head title select".split())  # no text that a reader sees, or a form's fields
 RAW = frozenset("script style textarea title iframe noscript".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())  # the end of one is the end of any
 CLOSED_BY = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",), "tbody": ("tr", "td", "th", "thead", "tbody"), "body": ("head",)}
@@ -37,6 +37,7 @@ TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>
 NAMED = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))""", re.I)
 WORD = re.compile(r"[A-Z]?[a-z]+")
 PAGES = 2000  # labelled pages that the potentials are counted on
+MOST_FEATURES = 1_000_000  # kinds of evidence that labelled pages may have; more are an error
 LIKELY = 0.5
 
 
@@ -274,7 +275,10 @@ def fit(pages: DataFrame) -> Model:
         yield pd.DataFrame([(f, a, b) for f, (a, b) in seen.items()], columns=["f", "no", "yes"])
 
     rows = pages.select("html").where(F.col("html").isNotNull()).mapInPandas(count, "f string, no long, yes long").groupBy("f").agg(F.sum("no").alias("no"), F.sum("yes").alias("yes"))
-    return Model({r.f: (float(r.no), float(r.yes)) for r in rows.orderBy("f").limit(100_000).collect()})
+    found = rows.orderBy("f").limit(MOST_FEATURES + 1).collect()
+    if len(found) > MOST_FEATURES:
+        raise ValueError(f"labelled pages have more than {MOST_FEATURES} kinds of evidence")
+    return Model({r.f: (float(r.no), float(r.yes)) for r in found})
 
 
 def extract(pages: DataFrame, model: Model) -> DataFrame:
