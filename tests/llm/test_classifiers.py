@@ -71,3 +71,38 @@ def test_quality_of_odd_rows(spark):
     none = quality.score(docs, quality.fit(docs, labels.limit(0))).select("score").distinct().collect()
     assert [r.score for r in none] == [0.5]
     assert quality.score(docs.limit(0), quality.fit(docs.limit(0), labels)).agg(F.count("*")).first()[0] == 0
+
+
+def test_training_steps_and_scores_against_plain_python(spark):
+    """Follow-the-regularised-leader, one coordinate after the other in dictionaries, and scores as sparse dot products."""
+    import math
+
+    import numpy as np
+    import pyarrow as pa
+
+    texts = [("good plain words in a row number %d of many" if k % 2 else "bad $$$ bad ### %d $$$ buy") % k for k in range(30)]
+    rows = []
+    for first, count, of, bucket, value in quality._features(pa.array(texts, pa.large_string())):
+        for k in range(count):
+            rows.append((np.append(bucket[of == k], quality.BUCKETS), np.append(value[of == k], 1.0), float((first + k) % 2)))
+    z, n, order = {}, {}, np.random.default_rng(7)
+
+    def weight(i):
+        far = abs(z.get(i, 0.0)) - quality.L1
+        return 0.0 if far <= 0 else -math.copysign(far, z[i]) / ((quality.BETA + math.sqrt(n[i])) / quality.ALPHA + quality.L2)
+
+    for _ in range(3):
+        for k in order.permutation(len(rows)):
+            at, x, y = rows[k]
+            w = [weight(i) for i in at.tolist()]
+            p = 1 / (1 + math.exp(-sum(a * b for a, b in zip(w, x.tolist()))))
+            for i, v, a in zip(at.tolist(), x.tolist(), w):
+                g = (p - y) * v
+                z[i] = z.get(i, 0.0) + g - (math.sqrt(n.get(i, 0.0) + g * g) - math.sqrt(n.get(i, 0.0))) / quality.ALPHA * a
+                n[i] = n.get(i, 0.0) + g * g
+    trained = quality.train(rows, epochs=3)
+    want = {i: weight(i) for i in z}
+    assert all(abs(trained[i] - w) < 1e-9 for i, w in want.items()) and np.count_nonzero(trained) == sum(w != 0 for w in want.values()) > 0
+    scored = {r.doc_id: r.score for r in quality.score(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), trained).collect()}
+    for k, (at, x, _) in enumerate(rows):
+        assert abs(scored[k] - 1 / (1 + math.exp(-sum(want.get(i, 0.0) * v for i, v in zip(at.tolist(), x.tolist()))))) < 1e-9
