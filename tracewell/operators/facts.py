@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tracewell.operators.ranking import numbered
+
 # fixed values: bounds of a document
 MOST_FACTS, MOST_SCOPES, LONGEST_GROUP, LARGEST_INDEX = 100_000, 1_000, 256, 2**53 - 1
 HTTP_METHODS = ("GET", "HEAD", "POST", "PUT", "DELETE", "CONNECT", "OPTIONS", "TRACE", "PATCH")  # fixed values
@@ -151,4 +153,4 @@ def registration_order(spark, tree_view: str, most_depth: int = 32) -> DataFrame
           UNION ALL SELECT t.id, concat(w.piece, t.piece), t.leaf, array_append(w.way, t.place), w.depth + 1 FROM walk w JOIN {tree_view} t ON t.parent = w.id WHERE w.depth < {most_depth})
         SELECT id, piece, way FROM walk WHERE leaf"""
     )
-    return walked.select("id", "piece", (F.row_number().over(Window.orderBy("way")) - 1).alias("ordinal"))
+    return numbered(walked, "way").select("id", "piece", F.col("ordinal").cast("int").alias("ordinal"))

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracewell.functions import naming, urls
 from tracewell.operators import facts, sql_text
 from tracewell.operators.python_graph import resolve
+from tracewell.operators.ranking import numbered
 from tracewell.sources.python_sources import module_name
 from tracewell.storage import materialize
 
@@ -102,12 +103,12 @@ def django_routes(raw: DataFrame, bindings: DataFrame, root: str) -> DataFrame:
             break
         every = every.unionByName(at)
     full = every.join(views, "module").withColumn("rule", F.concat("prefix", "route")).withColumn("order", F.array_append("way", F.col("place")))
-    return full.select(rule_template(F.col("rule")).alias("template"), "id", rule_constraints(F.col("rule")).alias("constraints"), (F.row_number().over(Window.orderBy("order")) - 1).alias("ordinal"))
+    return numbered(full, "order").select(rule_template(F.col("rule")).alias("template"), "id", rule_constraints(F.col("rule")).alias("constraints"), F.col("ordinal").cast("int").alias("ordinal"))
 
 
 def client_calls(raw: DataFrame, bindings: DataFrame) -> DataFrame:
     """(method, template, anchor, authority, masked, id, line) of calls of HTTP client functions; an unknown path has no template."""
-    calls = resolve(raw.where("fact = 'call' AND name IS NOT NULL").select("path", "id", "name", "line", "col", F.col("value").alias("first"), F.col("extra").alias("second")), bindings)
+    calls = resolve(raw.where("fact = 'call' AND name IS NOT NULL").select("path", "id", "name", "scope", "line", "col", F.col("value").alias("first"), F.col("extra").alias("second")), bindings)
     full = F.regexp_replace(F.concat_ws(".", F.regexp_replace("target", "^(external|module):", ""), F.nullif("rest", F.lit(""))), "^", "")
     library, verb = F.substring_index(full, ".", 1), F.substring_index(full, ".", -1)
     known = calls.where(library.isin(*LIBRARIES) & verb.isin(*VERBS, "request") & (F.size(F.split(full, r"\.")) == 2))
@@ -181,7 +182,7 @@ def router_routes(raw: DataFrame, bindings: DataFrame, defs: DataFrame) -> DataF
 def wrapped_calls(raw: DataFrame, bindings: DataFrame, wrappers: DataFrame) -> DataFrame:
     """(method, template, anchor, service, id, line) of calls of declared wrapper functions. ``wrappers``: target (a definition's id), path_index, method_index, default_method, anchor, service."""
     full = F.when(F.col("rest") == "", F.col("target")).otherwise(F.concat_ws(".", "target", "rest"))
-    calls = resolve(raw.where("fact = 'call' AND name IS NOT NULL").select("path", "id", "name", "line", F.col("value").alias("first"), F.col("extra").alias("second")), bindings).withColumn("to", full)
+    calls = resolve(raw.where("fact = 'call' AND name IS NOT NULL").select("path", "id", "name", "scope", "line", F.col("value").alias("first"), F.col("extra").alias("second")), bindings).withColumn("to", full)
     at = lambda i: F.when(F.col(i) == 0, F.col("first")).when(F.col(i) == 1, F.col("second"))
     known = calls.join(wrappers.withColumnRenamed("target", "to"), "to").withColumn("url", urls.cut_query(at("path_index")))
     whole = F.col("url").startswith("/") & ~F.col("url").rlike(r"[^/]￼|￼[^/]")

@@ -1,7 +1,7 @@
 """Names, classes and calls of Python sources resolved by joins over their raw facts.
 
-Definitions, imports and classes are tables; resolution is equality joins on (module, name), a few rounds for names that are handed
-on by imports, and closures over the class table. Nothing is gathered on the driver, so a code base is as large as its tables.
+Definitions, imports and classes are tables; resolution is equality joins on (scope, name), where the scope is a module or the
+definition that binds the name, a few rounds for names that are handed on by imports and aliases, and closures over the class table. Nothing is gathered on the driver, so a code base is as large as its tables.
 """
 
 from __future__ import annotations
@@ -27,22 +27,35 @@ def definitions(raw: DataFrame) -> DataFrame:
     return d.join(stubs.dropDuplicates(["id", "line"]), ["id", "path", "line"], "left").withColumn("n", F.row_number().over(place)).where("n = 1").select("id", F.col("value").alias("kind"), "path", "name", F.col("extra").alias("parent"), "line", "col")
 
 
+UNKNOWN = "unknown:"  # what a parameter or a value that can't be followed stands for
+
+
 def module_bindings(raw: DataFrame, defs: DataFrame) -> DataFrame:
-    """(module, name, target): what a name of a module stands for: a definition's id, or module:<name>. Names bound to several things stand for nothing known."""
+    """(module, name, target): what a name of a module, or of a definition's own scope, stands for: a definition's id, or module:<name>.
+
+    Names bound to several things stand for nothing known, and neither do parameters and values that can't be followed.
+    """
     modules = defs.where("kind = 'module'").select(module_name(F.col("path")).alias("module"), "path")
-    own = defs.where("parent LIKE '%#<module>'").select(module_name(F.col("path")).alias("module"), "name", F.col("id").alias("target"))
     here = module_name(F.col("path"))
+    inside = lambda c: F.when(F.col(c).endswith("#<module>"), here).otherwise(F.col(c))
+    own = defs.where("parent IS NOT NULL").select(inside("parent").alias("module"), "name", F.col("id").alias("target"))
+    own = own.unionByName(raw.where("fact IN ('shadow', 'instance')").select(inside("id").alias("module"), "name", F.lit(UNKNOWN).alias("target")).distinct())
     package = F.when(F.col("path").endswith("__init__.py"), here).otherwise(F.regexp_replace(here, r"\.?[^.]*$", ""))
     level = F.length(F.regexp_extract("value", r"^\.*", 0))
     base = F.array_join(F.slice(F.split(package, r"\."), F.lit(1), F.greatest(F.size(F.split(package, r"\.")) - level + 1, F.lit(0))), ".")
     rest = F.regexp_replace("value", r"^\.+", "")
     source = F.when(level == 0, F.col("value")).otherwise(F.concat_ws(".", F.nullif(base, F.lit("")), F.nullif(rest, F.lit(""))))
-    imports = raw.where("fact = 'import' AND id LIKE '%#<module>' AND name <> '*'").select(here.alias("module"), "name", source.alias("from"), F.col("extra").alias("member"))
+    imports = raw.where("fact = 'import' AND name <> '*'").select(inside("id").alias("module"), "name", source.alias("from"), F.col("extra").alias("member"))
     whole = imports.where("member = ''").select("module", "name", F.concat(F.lit("module:"), "from").alias("target"))
     # from x import y: a submodule, or a name of x, which may itself be imported there
     sub = imports.where("member <> ''").join(modules.select(F.col("module").alias("sub")), F.concat_ws(".", F.nullif("from", F.lit("")), "member") == F.col("sub"), "left")
     known = own.unionByName(whole).unionByName(sub.where("sub IS NOT NULL").select("module", "name", F.concat(F.lit("module:"), "sub").alias("target")))
     open_ = sub.where("sub IS NULL").select("module", "name", "from", "member")
+    # another name of the same file; what stands for a member of something else isn't followed
+    alias = raw.where("fact = 'alias'").select(inside("id").alias("module"), "name", F.coalesce("scope", here).alias("from"), F.col("value").alias("member"))
+    known = known.unionByName(alias.where("member LIKE '%.%'").select("module", "name", F.lit(UNKNOWN).alias("target")))
+    alias = alias.where("member NOT LIKE '%.%'")
+    open_ = open_.unionByName(alias)
     known = materialize(known.distinct(), "names")
     for _ in range(MOST_HOPS):
         found = open_.join(known.select(F.col("module").alias("from"), F.col("name").alias("member"), "target"), ["from", "member"])
@@ -51,14 +64,15 @@ def module_bindings(raw: DataFrame, defs: DataFrame) -> DataFrame:
             break
         known = known.unionByName(new)
     internal = modules.select(F.col("module").alias("from"))
-    outside = open_.join(internal, "from", "left_anti").select("module", "name", F.concat(F.lit("external:"), "from", F.lit("."), "member").alias("target"))
-    return known.unionByName(outside).groupBy("module", "name").agg(F.when(F.count_distinct("target") == 1, F.min("target")).alias("target")).where("target IS NOT NULL")
+    outside = open_.join(alias, ["module", "name", "from", "member"], "left_anti").join(internal, "from", "left_anti").select("module", "name", F.concat(F.lit("external:"), "from", F.lit("."), "member").alias("target"))
+    return known.unionByName(outside).groupBy("module", "name").agg(F.when(F.count_distinct("target") == 1, F.min("target")).alias("target")).where(F.col("target") != UNKNOWN)
 
 
 def resolve(rows: DataFrame, bindings: DataFrame, column: str = "name") -> DataFrame:
-    """``rows`` (path and a dotted name) with target and rest: the longest start of the name that stands for something, and what is left of it."""
+    """``rows`` (path, a dotted name, and the scope that binds its first part, where it isn't the module) with target and rest: the longest
+    start of the name that stands for something, and what is left of it."""
     parts = F.split(column, r"\.")
-    rows = rows.withColumn("_mod", module_name(F.col("path"))).withColumn("_first", F.get(parts, F.lit(0))).withColumn("_rest", F.array_join(F.slice(parts, 2, 100), "."))
+    rows = rows.withColumn("_mod", F.coalesce("scope", module_name(F.col("path"))) if "scope" in rows.columns else module_name(F.col("path"))).withColumn("_first", F.get(parts, F.lit(0))).withColumn("_rest", F.array_join(F.slice(parts, 2, 100), "."))
     known = bindings.select(F.col("module").alias("_km"), F.col("name").alias("_kn"), "target")
     out = rows.join(known, (F.col("_mod") == F.col("_km")) & (F.col("_first") == F.col("_kn")), "left").drop("_km", "_kn")
     # module:a, then b of it, and so on: only distinct names that are handed on take part, until none moves
@@ -84,11 +98,14 @@ def resolve(rows: DataFrame, bindings: DataFrame, column: str = "name") -> DataF
 def packages(bindings: DataFrame) -> DataFrame:
     """(module): modules that bind a name, and the packages above them."""
     parts = F.split("module", r"\.")
-    return bindings.select("module").distinct().select(F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "."))).alias("module")).distinct()
+    return bindings.where(~F.col("module").contains("#")).select("module").distinct().select(F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "."))).alias("module")).distinct()
 
 
 def c3(classes: list[str], bases: list[list[str]], start: str) -> list[str]:
-    """C3 linearisation of ``start``; where there is none, depth first with the last place of each class."""
+    """C3 linearisation of ``start``; where there is none, depth first with the last place of each class.
+
+    Only classes that ``start`` reaches take part, each walked through twice at most, so the walk ends however they inherit.
+    """
     parents = dict(zip(classes, bases, strict=True))
 
     def linear(c: str, way: tuple) -> list[str] | None:
@@ -111,19 +128,20 @@ def c3(classes: list[str], bases: list[list[str]], start: str) -> list[str]:
         return found
     seen: list[str] = []
 
-    def walk(c: str) -> None:
-        if len(seen) < 4096 and seen.count(c) < 2:
+    often: dict[str, int] = {}
+    todo = [start]
+    while todo:
+        c = todo.pop()
+        often[c] = often.get(c, 0) + 1
+        if often[c] <= 2:
             seen.append(c)
-            for b in parents.get(c, []):
-                walk(b)
-
-    walk(start)
+            todo += reversed(parents.get(c, []))
     return [c for i, c in enumerate(seen) if c not in seen[i + 1 :]]
 
 
 def class_table(raw: DataFrame, defs: DataFrame, bindings: DataFrame) -> DataFrame:
     """(id, place, base): bases of project classes that are project classes, in order; others have a null base."""
-    rows = resolve(raw.where("fact = 'base'").select("path", "id", "name", F.col("value").cast("int").alias("at")), bindings)
+    rows = resolve(raw.where("fact = 'base'").select("path", "id", "name", "scope", F.col("value").cast("int").alias("at")), bindings)
     classes = defs.where("kind = 'class'").select(F.col("id").alias("_c"))
     full = F.when(F.col("rest") == "", F.col("target")).otherwise(F.concat_ws(".", "target", "rest"))
     return rows.withColumn("_full", full).join(classes, F.col("_full") == F.col("_c"), "left").select("id", F.col("at").alias("place"), F.col("_c").alias("base"))
@@ -159,7 +177,7 @@ def lookup(asked: DataFrame, orders: DataFrame, defs: DataFrame) -> DataFrame:
 def graph(raw: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(nodes, merged edges, call outcomes) of raw facts.
 
-    Calls of names and of module members are direct; self.m() and super().m() look m up in the class's order, and overrides in subclasses are
+    Calls of names and of module members are direct, and so are those of members of an object whose class its scope tells; self.m() and super().m() look m up in the class's order, and overrides in subclasses are
     candidates; a class that is called is new, through __init__ where the project has one; a definition that is passed on is a callback.
     """
     raw = materialize(raw, "raw-facts")
@@ -169,7 +187,7 @@ def graph(raw: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     orders = materialize(mro(bases, defs), "orders")
     kinds = defs.select(F.col("id").alias("target_id"), F.col("kind").alias("target_kind"))
 
-    sites = raw.where("fact IN ('call', 'argument', 'decorator') AND name IS NOT NULL").select("path", "fact", "id", "name", "extra", "line", "col", "place")
+    sites = raw.where("fact IN ('call', 'argument', 'decorator') AND name IS NOT NULL").select("path", "fact", "id", "name", "extra", "scope", "line", "col", "place")
     own = F.col("name").rlike(r"^(self|cls|super\(\))\.[^.]+$")
     named = resolve(sites.where(~own), bindings)
     full = F.when(F.col("rest") == "", F.col("target")).otherwise(F.concat_ws(".", "target", "rest"))
@@ -179,8 +197,18 @@ def graph(raw: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     status = F.when(F.col("target_kind").isNotNull(), "resolved").when(lost, "unresolved").when(F.col("target").startswith("external:") | F.col("target").startswith("module:"), "external").otherwise("unresolved")
     named = named.withColumn("status", status).drop("_own")
 
+    # names that stand for one new object of a class: its members are that class's
+    made_of = resolve(raw.where("fact = 'instance'").select("path", F.col("id").alias("space"), F.col("name").alias("object"), F.col("value").alias("name"), "scope"), bindings)
+    other = raw.where("fact IN ('shadow', 'alias', 'import')").select(F.col("id").alias("space"), F.col("name").alias("object")).unionByName(defs.select(F.col("parent").alias("space"), F.col("name").alias("object"))).distinct()
+    objects = made_of.join(kinds, F.when(F.col("rest") == "", F.col("target")).otherwise(F.concat_ws(".", "target", "rest")) == F.col("target_id"), "left").join(other, ["space", "object"], "left_anti")
+    objects = objects.groupBy("space", "object").agg(F.when((F.count_distinct("target_id") == 1) & (F.count("target_id") == F.count("*")) & (F.min("target_kind") == "class"), F.min("target_id")).alias("cls")).where("cls IS NOT NULL")
+    space = F.coalesce("scope", F.concat("path", F.lit("#<module>")))
+    held = sites.where((F.col("fact") == "call") & F.col("name").rlike(r"^[^.()]+\.[^.]+$") & ~own).select("path", F.col("id").alias("scope_id"), F.lit("object").alias("via"), F.substring_index("name", ".", 1).alias("object"), F.substring_index("name", ".", -1).alias("member"), "line", "col", "place", space.alias("space"))
+    held = held.join(objects, ["space", "object"]).select("path", F.col("scope_id").alias("scope"), "via", "member", "line", "col", "place", "cls")
+    named = named.join(held.select("path", "line", "col", F.lit("call").alias("fact")).distinct(), ["path", "line", "col", "fact"], "left_anti")
+
     method = defs.where("kind = 'method'").select(F.col("id").alias("scope"), F.col("parent").alias("cls"))
-    through = sites.where(own & (F.col("fact") == "call")).select("path", F.col("id").alias("scope"), F.substring_index("name", ".", 1).alias("via"), F.substring_index("name", ".", -1).alias("member"), "line", "col", "place").join(method, "scope", "left")
+    through = sites.where(own & (F.col("fact") == "call")).select("path", F.col("id").alias("scope"), F.substring_index("name", ".", 1).alias("via"), F.substring_index("name", ".", -1).alias("member"), "line", "col", "place").join(method, "scope", "left").unionByName(held)
     through = materialize(lookup(through.withColumn("after", F.when(F.col("via") == "super()", 1).otherwise(0)), orders, defs), "self-calls")
 
     inits = lookup(named.where("fact = 'call' AND target_kind = 'class'").select(F.col("target_id").alias("cls"), F.lit("__init__").alias("member"), F.lit(0).alias("after")).distinct(), orders, defs).select("cls", F.col("found").alias("init"))
@@ -195,7 +223,7 @@ def graph(raw: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     edges = edges.unionByName(through.where("found IS NOT NULL").select(*direct("scope", "found", "call")))
     below = orders.where("ordinal > 0").select(F.col("owner").alias("cls"), F.col("id").alias("sub"))
     members = defs.where("kind = 'method'").select(F.col("parent").alias("sub"), F.col("name").alias("member"), F.col("id").alias("override"))
-    wider = through.where("via <> 'super()'").join(below, "cls").join(members, ["sub", "member"]).where("found IS NULL OR override <> found")
+    wider = through.where("via IN ('self', 'cls')").join(below, "cls").join(members, ["sub", "member"]).where("found IS NULL OR override <> found")
     edges = edges.unionByName(wider.select(F.col("scope").alias("source"), F.col("override").alias("target"), F.lit("call").alias("kind"), F.lit("candidate").alias("evidence")))
 
     nodes = defs.select("id", "kind", "path", "line", "col")

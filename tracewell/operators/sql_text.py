@@ -89,11 +89,12 @@ def relations(texts: DataFrame, strict: bool = False) -> DataFrame:
     passed = F.col("word").isin(*MODIFIERS) | ((F.col("word") == "table") & near("p1", "truncate")) | (grants & F.col("word").isin(*GRANT_TABLES) & near("p1", "on", *GRANT_TABLES))
     step = F.when(fires, F.lit("fire")).when(F.coalesce(passed, F.lit(False)), F.lit("pass")).when(symbol(","), F.lit("comma")).when(F.col("word").isin(*(w for w in CLAUSE if w != "as")), F.lit("stop")).when(symbol(";"), F.lit("stop"))
     t = t.withColumn("step", step)
-    # opening parentheses belong to the group outside for this
-    t = t.withColumn("place", F.when(symbol("(") | symbol(")"), F.col("level") - 1).otherwise(F.col("level")))
-    outside = F.last(F.when(symbol("("), F.col("pos")), ignorenulls=True).over(Window.partitionBy("id", "stmt", "level").orderBy("pos"))
-    t = t.withColumn("inner", F.when(symbol("(") | symbol(")"), F.lit(-1)).otherwise(F.coalesce(outside, F.lit(0))))
-    group = Window.partitionBy("id", "stmt", "place", F.when(F.col("inner") < 0, F.lit(None)).otherwise(F.col("inner"))).orderBy("pos")
+    # parentheses belong to the group outside for this: a group is named by the parenthesis that opened it
+    t = t.withColumn("place", F.when(symbol("(") | symbol(")"), F.col("level") - 1).otherwise(F.col("level"))).withColumn("opens", F.lit(False))
+    t = t.unionByName(t.where(symbol("(")).withColumn("place", F.col("level")).withColumn("opens", F.lit(True)))
+    opener = F.last(F.when(F.col("opens"), F.col("pos")), ignorenulls=True).over(Window.partitionBy("id", "stmt", "place").orderBy("pos", "opens"))
+    t = t.withColumn("inner", F.coalesce(opener, F.lit(0))).where("NOT opens").drop("opens")
+    group = Window.partitionBy("id", "stmt", "place", "inner").orderBy("pos")
     t = t.withColumn("list", F.last(F.when(F.col("step").isin("fire", "stop"), F.struct("step", F.col("key").alias("by"), "pos")), ignorenulls=True).over(group.rowsBetween(Window.unboundedPreceding, -1)))
     t = t.withColumn("chain", F.last(F.when(~F.coalesce(F.col("step") == "pass", F.lit(False)), F.struct(F.coalesce("step", F.lit("")).alias("step"))), ignorenulls=True).over(group.rowsBetween(Window.unboundedPreceding, -1)))
     starts = (F.col("chain.step").isin("fire", "comma")) & (F.col("list.step") == "fire") & F.col("step").isNull()

@@ -1,7 +1,8 @@
 """Bounded reachability from many roots, level by level, with attribution to each root.
 
-State is a relation (node, root, depth) with one row for the first level at which a root reaches a node. A level is one join of the frontier with the
-adjacency, a distinct, and an anti join against the levels before; each level is written once, so lineage stays short and a lost
+State is a relation (node, root, depth, tier): a row for the first level at which a root reaches a node, and one for each later level at which
+edges of stronger evidence alone reach it, so one pass tells all tiers. A level is one join of the frontier with the
+adjacency, a minimum of tiers, and an anti join against the levels before; each level is written once, so lineage stays short and a lost
 executor costs no more than a level. Nothing but the size of a frontier comes to the driver.
 """
 
@@ -12,10 +13,11 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracewell.operators.edges import MODES, TIERS, adjacency
-from tracewell.storage import materialize
+from tracewell.operators.edges import MODES, TIERS, tier
+from tracewell.storage import drop, materialize
 
 MOST_DEPTH, MOST_REACHED, MOST_ROOTS = 128, 100_000, 10_000  # fixed values: bounds of a request
+COMPACTED = 8  # levels after which those before are written as one table
 KEPT_ROOTS = 64  # fixed value: roots that are listed for a node
 MOST_UNRESOLVED = 1_000_000  # fixed value: the largest count of open calls that is shown
 
@@ -39,22 +41,35 @@ def number_roots(ids: DataFrame, id_column: str = "id", position: str = "pos") -
     return first.select((F.row_number().over(Window.orderBy("pos")) - 1).alias("root_idx"), "id")
 
 
+def neighbours(edges: DataFrame, direction: str, weakest: int) -> DataFrame:
+    """(src, dst, kinds, tier): edges up to a tier, turned round for dependents, with a pair's kinds together and its strongest tier."""
+    src, dst = ("source", "target") if direction == "dependencies" else ("target", "source")
+    strength = tier(F.col("evidence"))
+    followed = edges.where(strength <= weakest).select(F.col(src).alias("src"), F.col(dst).alias("dst"), strength.alias("tier"), F.explode("kinds").alias("kind"))
+    return followed.groupBy("src", "dst").agg(F.sort_array(F.collect_set("kind")).alias("kinds"), F.min("tier").alias("tier"))
+
+
 def propagate(near: DataFrame, roots: DataFrame, max_depth: int) -> tuple[DataFrame, DataFrame | None]:
-    """((node, root_idx, depth) of first levels, the last frontier if the depth bound stopped it)."""
-    levels = [materialize(roots.select(F.col("id").alias("node"), "root_idx", F.lit(0).alias("depth")), "level")]
+    """((node, root_idx, depth, tier) rows, the last frontier if the depth bound stopped it).
+
+    Of a node and root, the first row has the least depth; a later one has a stronger tier than all before: that of the weakest edge on
+    the way, for the best way of that many steps.
+    """
+    at = materialize(roots.select(F.col("id").alias("node"), "root_idx", F.lit(0).alias("depth"), F.lit(0).alias("tier")), "level")
+    seen, parts = at, [at]
     for depth in range(1, max_depth + 1):
-        seen = levels[0]
-        for x in levels[1:]:
-            seen = seen.unionByName(x)
-        step = levels[-1].join(near, F.col("node") == F.col("src")).select(F.col("dst").alias("node"), "root_idx").distinct()
-        new = materialize(step.join(seen, ["node", "root_idx"], "left_anti").withColumn("depth", F.lit(depth)), "level")
-        if new.isEmpty():
+        step = at.withColumnRenamed("tier", "so_far").join(near, F.col("node") == F.col("src")).groupBy(F.col("dst").alias("node"), "root_idx").agg(F.min(F.greatest("so_far", "tier")).alias("tier"))
+        old = seen.select(F.col("node").alias("n"), F.col("root_idx").alias("r"), F.col("tier").alias("t"))
+        new = step.join(old, (F.col("node") == F.col("n")) & (F.col("root_idx") == F.col("r")) & (F.col("t") <= F.col("tier")), "left_anti")
+        at = materialize(new.select("node", "root_idx", F.lit(depth).alias("depth"), "tier"), "level")
+        if at.isEmpty():
             return seen, None
-        levels.append(new)
-    seen = levels[0]
-    for x in levels[1:]:
-        seen = seen.unionByName(x)
-    return seen, levels[-1]
+        seen, parts = seen.unionByName(at), [*parts, at]
+        if len(parts) > COMPACTED:
+            seen = materialize(seen, "levels")
+            drop(*parts[:-1])
+            parts = [seen]
+    return seen, at
 
 
 def traverse(nodes: DataFrame, edges: DataFrame, roots: DataFrame, direction: str = "dependencies", dispatch: str = "direct", max_depth: int = MOST_DEPTH, max_reached: int = MOST_REACHED) -> Reached:
@@ -70,8 +85,9 @@ def traverse(nodes: DataFrame, edges: DataFrame, roots: DataFrame, direction: st
     weakest = MODES[dispatch]
     known = roots.join(nodes.select("id").distinct(), "id", "left_semi")
     missing = roots.join(nodes.select("id").distinct(), "id", "left_anti")
-    near = materialize(adjacency(edges, direction, weakest), "adjacency")
-    levels, frontier = propagate(near, known, max_depth)
+    near = materialize(neighbours(edges, direction, weakest), "adjacency")
+    steps, frontier = propagate(near, known, max_depth)
+    levels = materialize(steps.groupBy("node", "root_idx").agg(F.min("depth").alias("depth"), F.min("tier").alias("tier")), "reached")
 
     cut = F.lit(False)
     if frontier is not None:
@@ -85,22 +101,18 @@ def traverse(nodes: DataFrame, edges: DataFrame, roots: DataFrame, direction: st
     summed = first.groupBy("node").agg(
         F.min(F.struct("depth", "root_idx")).alias("best"),
         F.count("*").alias("n_roots"),
+        F.max("tier").alias("tier"),  # a root that is the node itself has the strongest
         F.sort_array(F.collect_list(F.when(F.col("place") <= KEPT_ROOTS, F.col("root_idx")))).alias("roots"),
-    ).select("node", F.col("best.depth").alias("depth"), F.col("best.root_idx").alias("nearest"), "n_roots", "roots")
+    ).select("node", F.col("best.depth").alias("depth"), F.col("best.root_idx").alias("nearest"), "n_roots", "tier", "roots")
 
     before = levels.select(F.col("node").alias("via"), F.col("root_idx").alias("nearest"), (F.col("depth") + 1).alias("depth"))
     back = near.select(F.col("src").alias("via"), F.col("dst").alias("node"), "kinds")
     via = summed.select("node", "nearest", "depth").join(back, "node").join(before, ["via", "nearest", "depth"])
     via = via.groupBy("node").agg(F.min_by(F.struct("via", "kinds"), utf16(F.col("via"))).alias("w")).select("node", F.col("w.via").alias("via"), F.col("w.kinds").alias("relationships"))
 
-    evidence = F.lit(TIERS[weakest])
+    # the strongest tier over which as many roots reach the node as over all
+    evidence = F.get(F.array(*(F.lit(t) for t in TIERS)), F.col("tier"))
     told = summed.join(via, "node", "left")
-    full = levels.groupBy("node").agg(F.count("*").alias("full"))
-    told = told.join(full, "node")
-    for t in range(weakest - 1, -1, -1):
-        some, _ = propagate(materialize(adjacency(edges, direction, t), "adjacency"), known, max_depth)
-        told = told.join(some.groupBy("node").agg(F.count("*").alias(f"n{t}")), "node", "left")
-        evidence = F.when(F.col(f"n{t}") == F.col("full"), TIERS[t]).otherwise(evidence)
     ordered = told.select(F.col("node").alias("id"), "via", "depth", "roots", "relationships", evidence.alias("evidence"), (F.col("n_roots") > KEPT_ROOTS).alias("more"))
     kept = ordered.orderBy("depth", utf16(F.col("id"))).limit(max_reached)
     meta = (
@@ -122,7 +134,7 @@ def with_unresolved(rows: DataFrame, counts: DataFrame, mode: str) -> DataFrame:
 
 def closure(pairs: DataFrame, most: int = MOST_DEPTH) -> DataFrame:
     """(node, root, depth): everything each node is above in (child, parent) pairs, at its least distance, itself not included."""
-    near = materialize(pairs.select(F.col("parent").alias("src"), F.col("child").alias("dst")).distinct(), "closure")
+    near = materialize(pairs.select(F.col("parent").alias("src"), F.col("child").alias("dst"), F.lit(0).alias("tier")).distinct(), "closure")
     roots = near.select(F.col("src").alias("id")).distinct().withColumn("root_idx", F.col("id"))
     levels, _ = propagate(near, roots, most)
     return levels.where("node <> root_idx").select("node", F.col("root_idx").alias("root"), "depth")
