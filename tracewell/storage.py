@@ -9,10 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir of the session, or a new local folder where that is unset."""
+    """spark.checkpoint.dir of the session. Where that is unset: a new local folder if all runs on one machine, else an error."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if found:
         return found
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     made = getattr(shared_dir, "made", None)
     if made is None:
         made = shared_dir.made = tempfile.mkdtemp(prefix="spark-checkpoint-")
