@@ -42,6 +42,7 @@ VERIFY_COST = 8.0  # of verifying a candidate, against reading one posting
 STARS = 4  # rounds of stars, at most
 BITS = 512  # of a set's bitmap
 FEW = 8  # after a round of stars, all pairs are looked at once they are fewer than so many for each posting of the whole index
+BROADCAST_IDS = 500_000  # a list of ids up to this goes to all tasks, so that texts needn't be shuffled; a longer one is joined by shuffling
 STEP = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], np.uint64)
 
 
@@ -207,6 +208,11 @@ def linked(index: DataFrame, heads: DataFrame, sets: DataFrame, percent: int = P
     return known
 
 
+def _few(ids: DataFrame) -> DataFrame:
+    """``ids``, a narrow table, for a join with texts: sent to all tasks if it is short enough."""
+    return F.broadcast(ids) if ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS else ids
+
+
 def _pairs(met: DataFrame) -> list[Column]:
     """(u, ua, v, va) of sets (rep, a) and (y, ya), the smaller name first."""
     first = F.col("rep") < F.col("y")
@@ -254,7 +260,7 @@ def join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFra
             bits = np.stack([bitmap(x) for x in own]) if own else np.zeros((0, BITS // 64), np.int64)
             yield pa.RecordBatch.from_arrays([batch.column("rep"), pa.array([fingerprint(x) for x in own], pa.int64()), pa.array([len(x) for x in own], pa.int64()), listed, *(pa.array(bits[:, i]) for i in range(BITS // 64))], names=["rep", "a", "n", "own", *(f"b{i}" for i in range(BITS // 64))])
 
-    texts = docs.select(F.col("doc_id").cast("long").alias("rep"), F.col("text").cast("string").alias("text")).join(wanted, "rep", "left_semi")
+    texts = docs.select(F.col("doc_id").cast("long").alias("rep"), F.col("text").cast("string").alias("text")).join(_few(wanted), "rep", "left_semi")
     bits = [f"b{i}" for i in range(BITS // 64)]
     made = texts.mapInArrow(common.tidied(whole), "rep long, a long, n long, own array<long>, " + ", ".join(f"{b} long" for b in bits)).where("n > 0")
     repeats = some.groupBy("doc_id").agg(F.count("*").alias("k")).where("k > 1")
@@ -292,7 +298,7 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str, words: int = 5, per
     cols = docs.columns
     told = join(docs.select("doc_id", "text"), words, percent)
     gone = told.where("doc_id <> component_id").select("doc_id").distinct()
-    kept = docs.join(gone, "doc_id", "left_anti").select(*cols)
+    kept = docs.join(_few(gone), "doc_id", "left_anti").select(*cols)
     again = told.where("doc_id IS NOT NULL AND doc_id = component_id AND n_shingles > 0").groupBy("doc_id").count().where("count > 1").select("doc_id")
     if again.isEmpty():
         return kept
