@@ -56,6 +56,10 @@ def module_bindings(raw: DataFrame, defs: DataFrame) -> DataFrame:
     known = known.unionByName(alias.where("member LIKE '%.%'").select("module", "name", F.lit(UNKNOWN).alias("target")))
     alias = alias.where("member NOT LIKE '%.%'")
     open_ = open_.unionByName(alias)
+    stars = raw.where("fact = 'import' AND name = '*'").select(inside("id").alias("module"), source.alias("from"), "place")
+    if not stars.isEmpty():
+        bound = own.select("module", "name").unionByName(imports.select("module", "name")).unionByName(raw.where("fact = 'alias'").select(inside("id").alias("module"), "name"))
+        open_ = open_.unionByName(star_names(stars, bound, raw.where("fact = 'export' AND name IS NOT NULL").select(here.alias("from"), F.col("name").alias("member")).distinct()))
     known = materialize(known.distinct(), "names")
     for _ in range(MOST_HOPS):
         found = open_.join(known.select(F.col("module").alias("from"), F.col("name").alias("member"), "target"), ["from", "member"])
@@ -68,6 +72,27 @@ def module_bindings(raw: DataFrame, defs: DataFrame) -> DataFrame:
     return known.unionByName(outside).groupBy("module", "name").agg(F.when(F.count_distinct("target") == 1, F.min("target")).alias("target")).where(F.col("target") != UNKNOWN)
 
 
+def star_names(stars: DataFrame, bound: DataFrame, exports: DataFrame) -> DataFrame:
+    """(module, name, from, member) that star imports (module, from, place) bring: what __all__ lists, or names without a leading underscore where there is none.
+
+    Names that a module binds itself come first, then those of shorter chains of stars, then the last star's. Chains end after MOST_HOPS.
+    """
+    listed = exports.select("from").distinct()
+    new = bound = materialize(bound.distinct(), "bound")
+    out = None
+    for _ in range(MOST_HOPS):
+        seen = new.select(F.col("module").alias("from"), F.col("name").alias("member"))
+        public = seen.join(listed, "from", "left_anti").where(~F.col("member").startswith("_")).unionByName(seen.join(exports, ["from", "member"], "left_semi"))
+        step = stars.join(public, "from").withColumn("name", F.col("member")).join(bound, ["module", "name"], "left_anti")
+        step = materialize(step.groupBy("module", "name").agg(F.max_by("from", "place").alias("from")).select("module", "name", "from", F.col("name").alias("member")), "stars")
+        if out is not None and step.isEmpty():
+            break
+        out = step if out is None else out.unionByName(step)
+        new = step.select("module", "name")
+        bound = bound.unionByName(new)
+    return out
+
+
 def resolve(rows: DataFrame, bindings: DataFrame, column: str = "name") -> DataFrame:
     """``rows`` (path, a dotted name, and the scope that binds its first part, where it isn't the module) with target and rest: the longest
     start of the name that stands for something, and what is left of it."""

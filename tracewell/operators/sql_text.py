@@ -21,6 +21,9 @@ GRANT_OTHERS = "all sequence schema database domain type function procedure rout
 MODIFIERS = "only if not exists".split()
 SUBQUERY = "select with values".split()
 
+VERBS = "select insert delete create alter drop replace merge lock unlock rename describe desc analyze vacuum grant revoke".split()
+HEAD_VERBS = ("update", "truncate")
+
 TOKEN = r"""--[^\n]*+|/\*(?s:.*?)(?:\*/|\z)|'(?:[^'\\]++|''|\\(?s:.))*+'?|"[^"]*+"?|`[^`]*+`?|\[[^\]]*+\]?|[\p{L}_][\p{L}\p{N}_$]*+|[.,();{}$?:@]"""
 
 
@@ -33,6 +36,14 @@ def tokens(texts: DataFrame) -> DataFrame:
     return found.select("id", "pos", F.when(quoted, inner).otherwise(F.col("raw")).alias("text"), quoted.alias("quoted"), F.when(plain, F.lower("raw")).alias("word"))
 
 
+def looks_like_sql(text: Column, strict: bool = False) -> Column:
+    """True if a text holds a verb that opens statements; update and truncate count as its first word alone. ``strict``: in upper case alone. Null gives null."""
+    words = F.filter(F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0)), lambda t: t.rlike(r"^[\p{L}_]"))
+    loud = lambda w: (w == F.upper(w)) if strict else F.lit(True)
+    head = F.get(words, F.lit(0))
+    return F.exists(words, lambda w: F.lower(w).isin(*VERBS) & loud(w)) | F.coalesce(F.lower(head).isin(*HEAD_VERBS) & loud(head), F.lit(False))
+
+
 def relations(texts: DataFrame, strict: bool = False) -> DataFrame:
     """(id, name): relations that each text (id, sql) names. ``strict``: keywords count in upper case alone."""
     by_id = Window.partitionBy("id").orderBy("pos")

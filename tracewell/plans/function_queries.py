@@ -241,6 +241,11 @@ def _relations_sql(strict: bool) -> str:
       UNION ALL SELECT c_custkey, lower(c_mktsegment) || CASE c_custkey % 8 WHEN 2 THEN '%2Ex' ELSE '' END FROM customer WHERE c_custkey % 8 IN {kinds}"""
 
 
+def sql_likeness(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = _statements(spark, sf_dir)
+    return s.select("id", sql_text.looks_like_sql(F.col("sql")).cast("int").alias("loose"), sql_text.looks_like_sql(F.col("sql"), strict=True).cast("int").alias("strict"))
+
+
 QUERIES = {
     "name_snake_case": name_snake_case,
     "name_truncate": name_truncate,
@@ -263,6 +268,7 @@ QUERIES = {
     "registration_order_flatten": registration_order,
     "sql_relations_loose": sql_relations(False),
     "sql_relations_strict": sql_relations(True),
+    "sql_likeness": sql_likeness,
 }
 ORACLES = {
     "name_snake_case": f"WITH {NAMES_SQL} SELECT p_partkey, lower(regexp_replace(regexp_replace(name, '([a-z0-9])([A-Z])', '\\1_\\2', 'g'), '([A-Z])([A-Z][a-z])', '\\1_\\2', 'g')) AS name FROM input",
@@ -286,4 +292,5 @@ ORACLES = {
     "registration_order_flatten": REGISTRATION_SQL,
     "sql_relations_loose": _relations_sql(False),
     "sql_relations_strict": _relations_sql(True),
+    "sql_likeness": "SELECT c_custkey AS id, CAST(c_custkey % 8 <> 6 AS INT) AS loose, CAST(c_custkey % 8 < 4 AS INT) AS strict FROM customer",
 }

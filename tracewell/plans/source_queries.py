@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracewell.functions import patterns
-from tracewell.operators import catalog
+from tracewell.operators import catalog, models
 from tracewell.operators import python_facts as P
 from tracewell.operators import python_graph as G
 from tracewell.sources import manifests
@@ -173,6 +173,52 @@ def router_routes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 ROUTER_SQL = """SELECT m AS method, '/n' || n_nationkey || t AS template, 'api/v' || n_nationkey || '.py#V' || n_nationkey || '.' || h AS id FROM nation, (VALUES (0, 'GET', '/', 'list'), (0, 'GET', '/{}/', 'retrieve'), (0, 'POST', '/{}/go/', 'go'), (1, 'GET', '/', 'list')) v(k, m, t, h) WHERE n_nationkey % 2 = k"""
 
+
+
+def _model_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An application for each nation, with an abstract class, a model and one that refers to it, and a module for each supplier that asks both."""
+    n = "n_nationkey"
+    text = F.format_string(
+        "from django.db import models\nclass Named(models.Model):\n    name = models.CharField(max_length=9)\n    class Meta:\n        abstract = True\n"
+        "class Nation%d(Named):\n    region = models.IntegerField(db_column='r')\n"
+        "class Supplier%d(Named):\n    nation = models.ForeignKey(Nation%d, models.CASCADE, related_name='suppliers')\n    class Meta:\n        db_table = 't%d'\n",
+        *[n] * 4,
+    )
+    apps = table(spark, sf_dir, "nation").select(F.format_string("shop%d/models.py", n).alias("path"), text.alias("text"))
+    use = F.format_string(
+        "from shop%d.models import Nation%d as N, Supplier%d as S\ndef load():\n    return S.objects.filter(nation__name='x').order_by('-name')\ndef back():\n    return N.objects.exclude(suppliers__pk=1).all()\n",
+        *["s_nationkey"] * 3,
+    )
+    uses = table(spark, sf_dir, "supplier").select(F.format_string("use%d.py", "s_suppkey").alias("path"), use.alias("text"))
+    return apps.unionByName(uses).select("path", F.encode("text", "UTF-8").alias("content"))
+
+
+def _models(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    raw, defs, bindings = _raw(_model_files(spark, sf_dir))
+    names = models.resolved_names(raw, bindings)
+    return raw, names, *models.catalogue(raw, defs, names)
+
+
+def orm_models(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _models(spark, sf_dir)[2].select("id", F.col("abstract").cast("int").alias("abstract"), "table_name")
+
+
+def orm_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _models(spark, sf_dir)[3]
+
+
+def orm_uses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return models.model_uses(*_models(spark, sf_dir)).drop("line")
+
+
+_APPS = "a AS (SELECT 'shop' || n_nationkey || '/models.py#' AS p, n_nationkey AS k, 'shop' || n_nationkey || '_nation' || n_nationkey AS n, 't' || n_nationkey AS s FROM nation)"
+MODELS_SQL = f"""WITH {_APPS} SELECT p || 'Named' AS id, 1 AS abstract, NULL AS table_name FROM a UNION ALL SELECT p || 'Nation' || k, 0, n FROM a UNION ALL SELECT p || 'Supplier' || k, 0, s FROM a"""
+FIELDS_SQL = f"""WITH {_APPS}, f(m, name, c, t) AS (VALUES ('Nation', 'id', 'id', NULL), ('Nation', 'pk', 'id', NULL), ('Nation', 'name', 'name', NULL), ('Nation', 'region', 'r', NULL), ('Nation', 'suppliers', 'nation_id', 'Supplier'),
+    ('Supplier', 'id', 'id', NULL), ('Supplier', 'pk', 'id', NULL), ('Supplier', 'name', 'name', NULL), ('Supplier', 'nation', 'nation_id', 'Nation'), ('Supplier', 'nation_id', 'nation_id', NULL))
+  SELECT p || m || k AS model, name, CASE WHEN m = 'Nation' AND t IS NULL THEN n ELSE s END AS table_name, c AS column_name, p || t || k AS target FROM a, f"""
+ORM_USES_SQL = f"""WITH {_APPS}, u(f, r, c) AS (VALUES ('load', 's', NULL), ('load', 's', 'nation_id'), ('load', 'n', 'name'), ('load', 's', 'name'), ('back', 'n', NULL), ('back', 's', 'nation_id'), ('back', 's', 'id'))
+  SELECT 'use' || s_suppkey || '.py#' || f AS id, CASE r WHEN 's' THEN s ELSE n END AS relation, c AS column_name FROM supplier JOIN a ON s_nationkey = k, u"""
+
 QUERIES = {
     "python_graph_edges": python_graph,
     "python_call_outcomes": python_calls,
@@ -185,6 +231,9 @@ QUERIES = {
     "route_template_classify": route_patterns,
     "manifest_minimums": manifest_minimums,
     "orm_lookup_walk": lookup_walk,
+    "orm_models": orm_models,
+    "orm_fields": orm_fields,
+    "orm_relation_uses": orm_uses,
 }
 ORACLES = {
     "python_graph_edges": PYTHON_GRAPH_SQL,
@@ -198,4 +247,7 @@ ORACLES = {
     "route_template_classify": PATTERNS_SQL,
     "manifest_minimums": MINIMUMS_SQL,
     "orm_lookup_walk": LOOKUPS_SQL,
+    "orm_models": MODELS_SQL,
+    "orm_fields": FIELDS_SQL,
+    "orm_relation_uses": ORM_USES_SQL,
 }

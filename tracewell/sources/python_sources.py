@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 MOST_BYTES, MOST_DEPTH, MOST_NODES = 4 * 2**20, 64, 1_000_000
 SKIPPED = ("__pycache__", "node_modules", "site-packages", "venv", "env", "build", "dist")
 FACTS = "path string, fact string, id string, name string, value string, extra string, place int, line int, col int, scope string"
+MANAGERS = ("objects", "_default_manager", "_base_manager")
 NOWHERE = "?"  # scope of a name that a lambda or a comprehension binds
 
 
@@ -101,8 +102,22 @@ def bound_names(body: list[ast.AST]) -> dict[str, list[ast.AST]]:
     return {k: v for k, v in found.items() if k not in elsewhere}
 
 
+def chained(node: ast.Call) -> tuple[str, list[str], set[str]] | None:
+    """Of a chain of calls on a class's manager: the class's name, the methods in order, and the names that annotations before the last call gave."""
+    methods, given, at = [], set(), node
+    while isinstance(at, ast.Call) and isinstance(at.func, ast.Attribute):
+        methods.append(at.func.attr)
+        if at is not node and at.func.attr in ("annotate", "alias", "values"):
+            given |= {k.arg for k in at.keywords if k.arg}
+        at = at.func.value
+    name = dotted(at) or ""
+    model, _, manager = name.rpartition(".")
+    return (model, methods[::-1], given) if model and methods and manager in MANAGERS else None
+
+
 class Reader(ast.NodeVisitor):
-    """Raw facts of one file: definition, import, base, bind, call, argument, decorator, keyword and item rows.
+    """Raw facts of one file: definition, import, base, bind, call, argument, decorator, keyword and item rows; first (a call's first argument,
+    of names bound in classes), constant, export, and query, lookup and field-path rows of chains on managers.
 
     ``scope`` of a row with a dotted name is the definition that binds the name's first part, if it isn't the module. What else
     a scope's names stand for goes into rows of their own: alias (another name), instance (of a class that is called) and
@@ -115,7 +130,7 @@ class Reader(ast.NodeVisitor):
 
     def put(self, fact: str, node: ast.AST, name: str | None = None, value: str | None = None, extra: str | None = None, id: str | None = None) -> None:
         line, col = getattr(node, "lineno", None), getattr(node, "col_offset", -1)
-        named = value if fact in ("alias", "instance", "bind") else name if fact in ("call", "argument", "decorator", "base") else None
+        named = value if fact in ("alias", "instance", "bind", "first") else name if fact in ("call", "argument", "decorator", "base", "query") else None
         self.rows.append((self.path, fact, id or self.here(), name, value, extra, self.count, line, col + 1 if line else None, self.space_of(named)))
         self.count += 1
 
@@ -210,19 +225,32 @@ class Reader(ast.NodeVisitor):
     def visit_Assign(self, node) -> None:
         for t in node.targets:
             if isinstance(t, ast.Name):
+                self.exports(t.id, node.value)
                 made = dotted(node.value.func) if isinstance(node.value, ast.Call) else dotted(node.value)
                 self.put("bind", node, t.id, made, text_parts(node.value))
                 if isinstance(node.value, ast.Call):
                     self.keywords(node.value, f"{self.here()}.{t.id}", made)
+                    if self.spaces and self.spaces[-1][2]:
+                        to = next((k.value for k in node.value.keywords if k.arg == "to"), node.value.args[0] if node.value.args else None)
+                        self.put("first", node, t.id, dotted(to), text_parts(to))
+                elif isinstance(node.value, ast.Constant) and not isinstance(node.value.value, str):
+                    self.put("constant", node, t.id, str(node.value.value))
                 if isinstance(node.value, (ast.List, ast.Tuple)):
                     self.items(node.value, t.id)
         self.generic_visit(node)
 
     def visit_AugAssign(self, node) -> None:
         if isinstance(node.target, ast.Name) and isinstance(node.value, (ast.List, ast.Tuple)):
+            self.exports(node.target.id, node.value)
             self.items(node.value, node.target.id)
         self.generic_visit(node)
 
+    def exports(self, name: str, value: ast.AST) -> None:
+        """What a module lists in __all__."""
+        if name == "__all__" and not self.scope and isinstance(value, (ast.List, ast.Tuple)):
+            for x in value.elts:
+                self.put("export", x, text_parts(x))
+
     def items(self, node, name: str) -> None:
         """Elements of a list that are calls: path("a/", view), include("b.urls")."""
         for x in node.elts:
@@ -244,8 +272,21 @@ class Reader(ast.NodeVisitor):
             if dotted(a):
                 self.put("argument", a, dotted(a), name)
         self.keywords(node, f"{self.path}:{node.lineno}:{node.col_offset + 1}", name)
+        self.query(node)
         self.generic_visit(node)
 
+    def query(self, node: ast.Call) -> None:
+        """A chain's row, and rows of the last call's keywords and texts, with the place of the chain's row."""
+        chain = chained(node)
+        if chain:
+            model, methods, given = chain
+            self.put("query", node, model, ".".join(methods))
+            place = str(self.count - 1)
+            asked = [("lookup", k.arg) for k in node.keywords if k.arg] + [("field-path", a.value) for a in node.args if isinstance(a, ast.Constant) and isinstance(a.value, str)]
+            for fact, text in asked:
+                if text.lstrip("-").split("__")[0] not in given:
+                    self.put(fact, node, None, text, place)
+
 
 def parse(content: bytes, path: str) -> list[tuple]:
     """Raw facts of one file, or one failure row with its reason."""
