@@ -3,6 +3,7 @@
 import pytest
 
 from tracewell.operators import models as M
+from tracewell.operators import python_facts as P
 from tracewell.operators import python_graph as G
 from tracewell.operators import sql_text
 from tracewell.sources import python_sources as S
@@ -130,6 +131,27 @@ def test_sql_likeness(spark):
     assert {r.t: (r.a, r.b) for r in rows.select("t", sql_text.looks_like_sql(rows.t).alias("a"), sql_text.looks_like_sql(rows.t, True).alias("b")).collect()} == texts
 
 
+ROUTES = {
+    "site/urls.py": (
+        "from django.urls import path, re_path, include\nfrom site import views\nurlpatterns = [re_path(r'^(?P<year>[0-9]{4})/$', views.year), re_path(r'^blog/', include('site.blog'))]\n"
+        "urlpatterns.append(path('late/', views.late))\nurlpatterns.extend([re_path(r'old$|^new$', views.either), re_path(r'^open/', views.year)])\nother.append(path('no/', views.late))\n"
+    ),
+    "site/blog.py": "from django.urls import re_path\nfrom site import views\nurlpatterns = [re_path(r'^(?P<s>[-\\w]+)/?$', views.late), re_path(r'(?P<rest>.*)$', views.year), re_path(r'^(a.b)/$', views.either)]\n",
+    "site/views.py": "def year(r):\n    pass\ndef late(r):\n    pass\ndef either(r):\n    pass\n",
+    "web.py": "from flask import Flask\napp = Flask(__name__)\ndef show(k):\n    pass\napp.add_url_rule('/s/<int:k>', 'show', view_func=show, methods=['PUT'])\napp.add_url_rule('/plain', view_func=show)\napp.add_url_rule(name, view_func=show)\n",
+}
+
+
+def test_patterns_and_added_routes(spark):
+    raw, defs, bindings = read(spark, ROUTES)
+    got = [(r.template, r.id.split("#")[1], r.constraints) for r in P.django_routes(raw, bindings, "site.urls").orderBy("ordinal").collect()]
+    assert got[0] == ("/{}/", "year", "")
+    assert set(got[1:3]) == {("/blog/{}", "late", "1:slug"), ("/blog/{}/", "late", "1:slug")}
+    assert got[3:] == [("/blog/{**}", "year", "1:path"), (None, "either", None), ("/late/", "late", ""), (None, "either", None), (None, "year", None)]
+    flask = {(r.method, r.template, r.id, r.constraints) for r in P.flask_routes(raw, bindings).collect()}
+    assert flask == {("PUT", "/s/{}", "web.py#show", "1:int"), ("GET", "/plain", "web.py#show", "")}
+
+
 STARS = {
     "a.py": "def one():\n    pass\ndef _hidden():\n    pass\ndef two():\n    pass\n",
     "b.py": "from a import *\ndef two():\n    pass\n",

@@ -36,7 +36,10 @@ def pieces(pattern: Column) -> Column:
         kind = parameter_kind(inner)
         group = p.startswith("(")
         plain = F.when(p.startswith("\\"), F.when(p.rlike(r"^\\[^\w]$"), F.substring(p, 2, 1))).when(p.startswith("["), None).when(p.rlike(r"^[.*+?|{}^$]$"), None).otherwise(p)
-        open_ = group & (p.startswith("(?:") | inner.contains("|"))
+        # a group that can take a slash is no parameter of one segment
+        outside = F.regexp_replace(inner, r"\[(?:\\.|[^\]])*\]", "")
+        wide = (kind == "regex") & (outside.rlike(r"(?<!\\)\.|\\[WSDs]|/") | inner.rlike(r"\[\^(?![^\]]*/)|\[[^\^\]][^\]]*/|\[/|\[[^\]]*\\[WSD]"))
+        open_ = group & (p.startswith("(?:") | inner.contains("|") | wide)
         return F.struct(F.when(group, F.lit("{}")).otherwise(plain).alias("text"), F.when(open_, None).when(group, kind).when(plain.isNotNull(), "literal").alias("kind"))
 
     whole = F.length(F.array_join(found, "")) == F.length(body)
@@ -53,6 +56,19 @@ def pattern_template(pattern: Column) -> Column:
     return F.when(F.coalesce(fine, F.lit(False)) & ~bad, full)
 
 
+def pattern_rules(pattern: Column, endpoint: Column) -> Column:
+    """Path rules (as of path()) that take what a pattern takes of the path that is left, two where its last slash may be missing; null if it can't be told.
+
+    A pattern of a view has to end with $, which makes it take all that is left; one of an include has to start with ^ and not to end with $.
+    """
+    ends = pattern.rlike(r"(?<!\\)\$$|\\Z$")
+    parts = pieces(pattern)
+    one = lambda p, i: F.when(p["kind"] == "literal", p["text"]).otherwise(F.concat(F.lit("<"), F.when(p["kind"].isin("int", "slug", "uuid", "path"), F.concat(p["kind"], F.lit(":"))).otherwise(F.lit("")), F.lit("p"), i.cast("string"), F.lit(">")))
+    text = F.array_join(F.transform(parts, one), "")
+    fine = F.forall(parts, lambda p: p["kind"].isNotNull() & ~((p["kind"] == "literal") & p["text"].isin("<", ">"))) & F.when(endpoint, ends).otherwise(pattern.startswith("^") & ~ends)
+    return F.when(F.coalesce(fine, F.lit(False)), F.when(endpoint & optional_slash(pattern), F.array(text, F.concat(text, F.lit("/")))).otherwise(F.array(text)))
+
+
 def optional_slash(pattern: Column) -> Column:
     return pattern.rlike(r"/\?\$$")
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracewell.functions import naming, urls
+from tracewell.functions import naming, patterns, urls
 from tracewell.operators import facts, sql_text
 from tracewell.operators.python_graph import resolve
 from tracewell.operators.ranking import numbered
@@ -83,15 +83,27 @@ def flask_routes(raw: DataFrame, bindings: DataFrame) -> DataFrame:
     decorated = decorated.where(F.col("verb").isin("route", *VERBS))
     methods = raw.where("fact = 'keyword' AND name = 'methods'").select(F.col("id").alias("handler"), F.split("value", ",").alias("methods")).dropDuplicates(["handler"])
     rules = found(decorated, "object").where("key IS NOT NULL").join(methods, "handler", "left")
+    # add_url_rule(rule, view_func=..., methods=[...])
+    option = lambda name: raw.where((F.col("fact") == "keyword") & (F.col("name") == name) & F.col("extra").endswith(".add_url_rule")).select(F.col("id").alias("site"), F.col("value").alias(name)).dropDuplicates(["site"])
+    added = raw.where("fact = 'call' AND name LIKE '%.add_url_rule' AND value IS NOT NULL").select("path", "line", "scope", F.concat_ws(":", "path", "line", "col").alias("site"), F.regexp_replace("name", r"\.add_url_rule$", "").alias("object"), F.lit("route").alias("verb"), F.col("value").alias("rule"))
+    added = added.join(option("view_func"), "site").join(option("methods"), "site", "left")
+    if not added.isEmpty():
+        views = resolve(added.withColumnRenamed("view_func", "name"), bindings)
+        views = views.select("path", "line", F.when(F.col("rest") == "", F.col("target")).otherwise(F.concat_ws(".", "target", "rest")).alias("handler"), "object", "verb", "rule", F.split("methods", ",").alias("methods"))
+        rules = rules.unionByName(found(views, "object").where("key IS NOT NULL"))
     verbs = facts.emitted_methods(F.when(F.col("verb") != "route", F.array(F.col("verb"))).otherwise(F.coalesce("methods", F.array(F.lit("GET")))))
     placed = rules.join(every, "key").withColumn("full", _joined_prefix(F.col("prefix"), F.col("rule"))).withColumn("method", F.explode(verbs))
     return placed.where(F.col("method").isin(*facts.HTTP_METHODS)).select("method", rule_template(F.col("full")).alias("template"), F.col("handler").alias("id"), rule_constraints(F.col("full")).alias("constraints"), "path", "line").distinct()
 
 
 def django_routes(raw: DataFrame, bindings: DataFrame, root: str) -> DataFrame:
-    """(template, id, constraints, ordinal) of path() entries reached from the module ``root`` through include(), in order of registration."""
-    items = raw.where("fact = 'item' AND name = 'urlpatterns'").select(module_name(F.col("path")).alias("module"), "path", "place", F.split("value", r"\|").alias("call"), F.split("extra", r"\|").alias("to"))
-    items = items.where(F.col("call")[0] == "path").select("module", "path", "place", F.col("call")[1].alias("route"), F.col("to")[0].alias("kind"), F.col("to")[1].alias("name"))
+    """(template, id, constraints, ordinal) of path() and re_path() entries reached from the module ``root`` through include(), in order of registration.
+
+    Entries of lists, of += and of append() and extend() count; a pattern that can't be told, or below one, gives a null template.
+    """
+    items = raw.where("fact = 'item' AND name = 'urlpatterns'").select(module_name(F.col("path")).alias("module"), "path", "place", F.split("value", r"\|", 2).alias("call"), F.split("extra", r"\|").alias("to"))
+    items = items.withColumn("maker", F.substring_index(F.col("call")[0], ".", -1)).where("maker IN ('path', 're_path')").select("module", "path", "place", "maker", F.col("call")[1].alias("route"), F.col("to")[0].alias("kind"), F.col("to")[1].alias("name"))
+    items = items.withColumn("route", F.explode_outer(F.when(F.col("maker") == "re_path", patterns.pattern_rules(F.col("route"), F.col("kind") == "view")).otherwise(F.array("route"))))
     views = resolve(items.where("kind = 'view'"), bindings)
     views = materialize(views.select("module", "place", "route", F.when(F.col("rest") == "", F.col("target")).otherwise(F.concat_ws(".", "target", "rest")).alias("id")), "django-views")
     includes = materialize(items.where("kind = 'include'").select("module", "place", "route", F.col("name").alias("into")), "django-includes")

@@ -273,6 +273,11 @@ class Reader(ast.NodeVisitor):
                 self.put("argument", a, dotted(a), name)
         self.keywords(node, f"{self.path}:{node.lineno}:{node.col_offset + 1}", name)
         self.query(node)
+        owner, _, method = (name or "").rpartition(".")
+        if owner and method in ("append", "extend") and len(node.args) == 1 and not self.scope:
+            more = node.args[0] if method == "extend" else ast.List([node.args[0]])
+            if isinstance(more, (ast.List, ast.Tuple)):
+                self.items(more, owner)
         self.generic_visit(node)
 
     def query(self, node: ast.Call) -> None:
