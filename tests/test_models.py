@@ -2,6 +2,7 @@
 
 import pytest
 
+from tracewell.operators import facts
 from tracewell.operators import models as M
 from tracewell.operators import python_facts as P
 from tracewell.operators import python_graph as G
@@ -131,6 +132,17 @@ def test_sql_likeness(spark):
     assert {r.t: (r.a, r.b) for r in rows.select("t", sql_text.looks_like_sql(rows.t).alias("a"), sql_text.looks_like_sql(rows.t, True).alias("b")).collect()} == texts
 
 
+def test_relation_use_facts(spark):
+    schema = "channel string, column_name string, dynamic boolean, path string, line int, column int, usr string"
+    rows = [("a.b", "c", False, "p", 1, 1, "u"), ("a.b", "c", False, "p", 1, 1, "u"), ("a.", "c", False, "p", 2, 1, None), ("t\x85", None, False, "p", 3, 1, "u"), ("t", "c\n", False, "p", 4, 1, "u"), ("\u3000", None, True, "p", 5, 1, None), (None, None, True, "p", 6, 1, "u")]
+    uses = spark.createDataFrame(rows, schema)
+    got = {(r.channel, r.method, r.dynamic, r.line) for r in facts.relation_uses(uses).collect()}
+    assert facts.relation_uses(uses).count() == 6
+    assert got == {("a.b", "c", False, 1), ("a.", None, True, 2), ("t", None, True, 3), ("t", None, True, 4), ("<dynamic>", None, True, 5), ("<dynamic>", None, True, 6)}
+    assert {r.sentence[:25] for r in facts.relation_use_limits(uses).collect()} == {"invalid-relation-names: 3", "missing-relation-usrs: 2 "}
+    assert facts.relation_use_limits(uses.limit(0)).count() == 0
+
+
 ROUTES = {
     "site/urls.py": (
         "from django.urls import path, re_path, include\nfrom site import views\nurlpatterns = [re_path(r'^(?P<year>[0-9]{4})/$', views.year), re_path(r'^blog/', include('site.blog'))]\n"

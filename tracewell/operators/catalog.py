@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tracewell.storage import materialize
 
 # fixed values: last parts of a path that compare and name no field
-LOOKUPS = "exact iexact contains icontains in gt gte lt lte startswith istartswith endswith iendswith range date year month day isnull regex iregex".split()
+LOOKUPS = "exact iexact gt gte lt lte in contains icontains startswith istartswith endswith iendswith range isnull regex iregex year iso_year month day week week_day iso_week_day quarter hour minute second date time".split()
 MOST_PARTS = 32
 
 

@@ -12,6 +12,9 @@ MOST_FACTS, MOST_SCOPES, LONGEST_GROUP, LARGEST_INDEX = 100_000, 1_000, 256, 2**
 HTTP_METHODS = ("GET", "HEAD", "POST", "PUT", "DELETE", "CONNECT", "OPTIONS", "TRACE", "PATCH")  # fixed values
 
 
+CONTROL = r"[\x00-\x1F\x7F-\x9F]"  # fixed value: what names of a document can't hold
+
+
 class LimitError(ValueError):
     """A document would be larger than it may be."""
 
@@ -30,6 +33,32 @@ def limitation_counts(gaps: DataFrame) -> DataFrame:
     return counts.select("prefix", F.concat(F.col("prefix"), F.lit(": "), F.replace("message", F.lit("{count}"), F.col("n").cast("string"))).alias("sentence"))
 
 
+def _relation_uses(uses: DataFrame) -> DataFrame:
+    bad = lambda c: F.col(c).rlike(CONTROL)
+    column = F.col("column_name").isNull() | ((F.col("column_name") != "") & ~bad("column_name"))
+    static = ~F.col("dynamic") & F.forall(F.split("channel", r"\.", -1), lambda s: s != "") & ~bad("channel") & column
+    static = F.coalesce(static, F.lit(False))
+    plain = F.regexp_replace(F.regexp_replace(F.coalesce("channel", F.lit("")), CONTROL, " "), r"(?U)^\s+|\s+$", "")
+    channel = F.when(static, F.col("channel")).when(plain == "", "<dynamic>").otherwise(plain)
+    return uses.select(channel.alias("channel"), F.when(static, F.col("column_name")).alias("method"), (~static).alias("dynamic"), "path", "line", "column", "usr", (~static & ~F.col("dynamic")).alias("demoted"))
+
+
+def relation_uses(uses: DataFrame) -> DataFrame:
+    """(channel, method, dynamic, path, line, column, usr), each once: uses (channel, column_name, dynamic, path, line, column, usr) as a document carries them.
+
+    A name with an empty part or a control character becomes dynamic, without its column; an empty dynamic text becomes <dynamic>.
+    """
+    return _relation_uses(uses).drop("demoted").distinct()
+
+
+def relation_use_limits(uses: DataFrame) -> DataFrame:
+    """(prefix, sentence): how many uses became dynamic, and how many facts have no declaration around them; no row for none."""
+    n = F.count("*").alias("n")
+    demoted = _relation_uses(uses).where("demoted").agg(n).select(F.lit("invalid-relation-names").alias("prefix"), "n", F.lit("names the exchange format cannot carry became dynamic").alias("message"))
+    missing = relation_uses(uses).where("usr IS NULL").agg(n).select(F.lit("missing-relation-usrs").alias("prefix"), "n", F.lit("facts are outside any function or class").alias("message"))
+    return demoted.unionByName(missing).where("n > 0").select("prefix", F.concat("prefix", F.lit(": "), F.col("n").cast("string"), F.lit(" "), "message").alias("sentence"))
+
+
 def emitted_methods(methods: Column) -> Column:
     """Upper-cased verbs, each once in order; HEAD goes where GET is."""
     once = F.array_distinct(F.transform(methods, F.upper))

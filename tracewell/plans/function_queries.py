@@ -241,6 +241,29 @@ def _relations_sql(strict: bool) -> str:
       UNION ALL SELECT c_custkey, lower(c_mktsegment) || CASE c_custkey % 8 WHEN 2 THEN '%2Ex' ELSE '' END FROM customer WHERE c_custkey % 8 IN {kinds}"""
 
 
+def _uses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Uses of relations by parts: names that a document carries, and of five kinds that it doesn't."""
+    k, n = F.col("p_partkey") % 6, F.col("p_size").cast("string")
+    channel = F.when(k == 0, F.concat(F.lit("shop.t"), n)).when(k == 1, F.concat(F.lit("a.."), n)).when(k == 2, F.concat(F.lit(" f("), n, F.lit(") "))).when(k == 3, F.concat(F.lit("bad\n"), n)).when(k == 4, F.lit(" \t")).otherwise(F.concat(F.lit("t"), n))
+    return table(spark, sf_dir, "part").select(
+        channel.alias("channel"), F.when(k == 5, "c").when((k == 0) & (F.col("p_size") % 2 == 0), "").alias("column_name"), k.isin(2, 4).alias("dynamic"),
+        F.concat(F.lit("f"), (F.col("p_size") % 10).cast("string")).alias("path"), F.col("p_size").cast("int").alias("line"), F.lit(1).alias("column"), F.when(F.col("p_size") % 7 != 0, F.concat(F.lit("u"), n)).alias("usr"),
+    )
+
+
+def relation_use_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return facts.relation_uses(_uses(spark, sf_dir)).withColumn("dynamic", F.col("dynamic").cast("int"))
+
+
+def relation_use_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return facts.relation_use_limits(_uses(spark, sf_dir))
+
+
+_USES_SQL = """u AS (SELECT p_partkey % 6 AS k, CAST(p_size AS INT) AS n, k = 5 OR (k = 0 AND n % 2 <> 0) AS static FROM part),
+  f AS (SELECT DISTINCT CASE k WHEN 0 THEN 'shop.t' || n WHEN 1 THEN 'a..' || n WHEN 2 THEN 'f(' || n || ')' WHEN 3 THEN 'bad ' || n WHEN 4 THEN '<dynamic>' ELSE 't' || n END AS channel, CASE k WHEN 5 THEN 'c' END AS method, CAST(NOT static AS INT) AS dynamic,
+    'f' || (n % 10) AS path, n AS line, 1 AS "column", CASE WHEN n % 7 <> 0 THEN 'u' || n END AS usr FROM u)"""
+
+
 def sql_likeness(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = _statements(spark, sf_dir)
     return s.select("id", sql_text.looks_like_sql(F.col("sql")).cast("int").alias("loose"), sql_text.looks_like_sql(F.col("sql"), strict=True).cast("int").alias("strict"))
@@ -269,6 +292,8 @@ QUERIES = {
     "sql_relations_loose": sql_relations(False),
     "sql_relations_strict": sql_relations(True),
     "sql_likeness": sql_likeness,
+    "relation_use_facts": relation_use_facts,
+    "relation_use_limits": relation_use_limits,
 }
 ORACLES = {
     "name_snake_case": f"WITH {NAMES_SQL} SELECT p_partkey, lower(regexp_replace(regexp_replace(name, '([a-z0-9])([A-Z])', '\\1_\\2', 'g'), '([A-Z])([A-Z][a-z])', '\\1_\\2', 'g')) AS name FROM input",
@@ -292,5 +317,8 @@ ORACLES = {
     "registration_order_flatten": REGISTRATION_SQL,
     "sql_relations_loose": _relations_sql(False),
     "sql_relations_strict": _relations_sql(True),
+    "relation_use_facts": f"WITH {_USES_SQL} SELECT * FROM f",
+    "relation_use_limits": f"""WITH {_USES_SQL} SELECT * FROM (SELECT 'invalid-relation-names' AS prefix, 'invalid-relation-names: ' || count(*) || ' names the exchange format cannot carry became dynamic' AS sentence FROM u WHERE NOT static AND k NOT IN (2, 4) HAVING count(*) > 0
+      UNION ALL SELECT 'missing-relation-usrs', 'missing-relation-usrs: ' || count(*) || ' facts are outside any function or class' FROM f WHERE usr IS NULL HAVING count(*) > 0)""",
     "sql_likeness": "SELECT c_custkey AS id, CAST(c_custkey % 8 <> 6 AS INT) AS loose, CAST(c_custkey % 8 < 4 AS INT) AS strict FROM customer",
 }
