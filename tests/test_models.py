@@ -134,7 +134,7 @@ def test_sql_likeness(spark):
 
 def test_relation_use_facts(spark):
     schema = "channel string, column_name string, dynamic boolean, path string, line int, column int, usr string"
-    rows = [("a.b", "c", False, "p", 1, 1, "u"), ("a.b", "c", False, "p", 1, 1, "u"), ("a.", "c", False, "p", 2, 1, None), ("t\x85", None, False, "p", 3, 1, "u"), ("t", "c\n", False, "p", 4, 1, "u"), ("\u3000", None, True, "p", 5, 1, None), (None, None, True, "p", 6, 1, "u")]
+    rows = [("a.b", "c", False, "p", 1, 1, "u"), ("a.b", "c", False, "p", 1, 1, "u"), ("a.", "c", False, "p", 2, 1, None), ("t\x85", None, False, "p", 3, 1, "u"), ("t", "c\n", False, "p", 4, 1, "u"), ("\u3000\u2028", None, True, "p", 5, 1, None), (None, None, True, "p", 6, 1, "u")]
     uses = spark.createDataFrame(rows, schema)
     got = {(r.channel, r.method, r.dynamic, r.line) for r in facts.relation_uses(uses).collect()}
     assert facts.relation_uses(uses).count() == 6
@@ -180,3 +180,10 @@ def test_star_imports(spark):
     _, edges, outcomes = G.graph(raw)
     assert {(r.source, r.target) for r in edges.collect()} == {("d.py#go", "a.py#one"), ("d.py#go", "b.py#two"), ("d.py#go", "c.py#three"), ("d.py#go", "c.py#_five"), ("e.py#last", "b.py#two")}
     assert {r.node: r.status for r in outcomes.where("node IN ('d.py#miss', 'd.py#hid')").collect()} == {"d.py#miss": "unresolved", "d.py#hid": "unresolved"}
+
+
+def test_groups_of_an_order(spark):
+    groups = {"g": None, " g": "group", "g\u00a0": "group", "\ufeffg": "group", "a\u2028b": "group", "": "group", "x" * 256: None, "x" * 257: "group", "a b": None}
+    schema = "fact_id string, service string, method string, usr string, channel string, path string, line int, column int, `group` string, index long, catch_all boolean"
+    rows = spark.createDataFrame([(g, "s", "GET", g, "/", "p", k, 1, g, k, False) for k, g in enumerate(groups)], schema)
+    assert {r.fact_id: r.problem for r in facts.order_problems(rows).collect()} == {g: p for g, p in groups.items() if p}

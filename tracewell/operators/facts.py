@@ -12,7 +12,9 @@ MOST_FACTS, MOST_SCOPES, LONGEST_GROUP, LARGEST_INDEX = 100_000, 1_000, 256, 2**
 HTTP_METHODS = ("GET", "HEAD", "POST", "PUT", "DELETE", "CONNECT", "OPTIONS", "TRACE", "PATCH")  # fixed values
 
 
-CONTROL = r"[\x00-\x1F\x7F-\x9F]"  # fixed value: what names of a document can't hold
+# fixed values: what names of a document can't hold, and white space at the ends of a text
+CONTROL = r"[\x00-\x1F\x7F-\x9F\u2028\u2029]"
+ENDS = r"(?U)^[\s\uFEFF]+|[\s\uFEFF]+$"
 
 
 class LimitError(ValueError):
@@ -38,7 +40,7 @@ def _relation_uses(uses: DataFrame) -> DataFrame:
     column = F.col("column_name").isNull() | ((F.col("column_name") != "") & ~bad("column_name"))
     static = ~F.col("dynamic") & F.forall(F.split("channel", r"\.", -1), lambda s: s != "") & ~bad("channel") & column
     static = F.coalesce(static, F.lit(False))
-    plain = F.regexp_replace(F.regexp_replace(F.coalesce("channel", F.lit("")), CONTROL, " "), r"(?U)^\s+|\s+$", "")
+    plain = F.regexp_replace(F.regexp_replace(F.coalesce("channel", F.lit("")), CONTROL, " "), ENDS, "")
     channel = F.when(static, F.col("channel")).when(plain == "", "<dynamic>").otherwise(plain)
     return uses.select(channel.alias("channel"), F.when(static, F.col("column_name")).alias("method"), (~static).alias("dynamic"), "path", "line", "column", "usr", (~static & ~F.col("dynamic")).alias("demoted"))
 
@@ -158,7 +160,7 @@ def order_problems(facts: DataFrame) -> DataFrame:
     """
     group = F.col("group")
     ordered = facts.where(group.isNotNull() | F.col("index").isNotNull())
-    safe = (F.length(F.trim(group)) > 0) & (F.trim(group) == group) & (F.octet_length(F.encode(group, "UTF-16LE")) <= 2 * LONGEST_GROUP) & ~group.rlike(r"[\x00-\x1F\x7F-\x9F]")
+    safe = (F.length(group) > 0) & ~group.rlike(ENDS) & (F.octet_length(F.encode(group, "UTF-16LE")) <= 2 * LONGEST_GROUP) & ~group.rlike(CONTROL)
     shape = ordered.select("fact_id", F.when(~F.coalesce(safe, F.lit(False)), "group").when(~F.coalesce(F.col("index").between(0, LARGEST_INDEX), F.lit(False)), "index").alias("problem")).where("problem is not null")
     shared = ordered.groupBy("group").agg(F.count_distinct(F.coalesce("service", F.lit("\u0000"))).alias("n")).where("n > 1")
     service = ordered.join(shared.select("group"), "group", "left_semi").select("fact_id", F.lit("shared-group").alias("problem"))
