@@ -20,6 +20,16 @@ def is_test_path(path: Column) -> Column:
     return path.rlike(TEST)
 
 
+# fixed values: names that some systems keep for devices
+DEVICE = r"(?i)^(con|prn|aux|nul|com[1-9]|lpt[1-9])(\.|$)"
+
+
+def is_safe_path(path: Column) -> Column:
+    """False for paths that lead out of their folder, into git's own, or that other systems read in another way."""
+    unsafe = lambda p: p.isin("", ".", "..") | (F.lower(p) == ".git") | p.rlike(r"[. ]$") | p.rlike(DEVICE)
+    return F.coalesce((path != "") & ~path.rlike(r"[\\:\x00-\x1F\x7F]") & ~F.exists(F.split(path, "/", -1), unsafe), F.lit(False))
+
+
 def git_blob_id(content: Column, algorithm: str = "sha1") -> Column:
     """The object id that git gives a file's bytes."""
     whole = F.concat(F.encode(F.concat(F.lit("blob "), F.octet_length(content).cast("string")), "UTF-8"), F.unhex(F.lit("00")), content)

@@ -65,3 +65,16 @@ def statistics(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         .unionByName(edges.select(F.explode("kinds").alias("name")).groupBy("name").agg(F.count("*").alias("n")).select(F.lit("edges").alias("part"), "name", "n"))
         .unionByName(edges.groupBy(F.col("evidence").alias("name")).agg(F.count("*").alias("n")).select(F.lit("evidence").alias("part"), "name", "n"))
     )
+
+
+def call_statistics(outcomes: DataFrame, linked: DataFrame | None = None) -> DataFrame:
+    """(part, name, n): call sites by status, open and partial ones by reason, and, of ``linked`` (reason, linked), those that program analysis links and leaves by reason.
+
+    One pass over the outcomes: a site counts for its status and, if it isn't whole, for its reason.
+    """
+    pair = lambda part, name: F.struct(F.lit(part).alias("part"), name.alias("name"))
+    reason = F.when(F.col("status") == "unresolved", pair("unresolved_calls", F.col("reason"))).when(F.col("status") == "partial", pair("partial_calls", F.col("reason")))
+    sites = outcomes.select(F.explode(F.array_compact(F.array(pair("call_sites", F.col("status")), reason))).alias("x"))
+    if linked is not None:
+        sites = sites.unionByName(linked.select(F.struct(F.when(F.col("linked"), "bound_linked").otherwise("bound_open").alias("part"), F.col("reason").alias("name")).alias("x")))
+    return sites.groupBy(F.col("x.part").alias("part"), F.col("x.name").alias("name")).agg(F.count("*").alias("n"))

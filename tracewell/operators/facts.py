@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tracewell.functions.urls import template_problem
 from tracewell.operators.ranking import numbered
 
 # fixed values: bounds of a document
@@ -35,6 +36,51 @@ def limitation_counts(gaps: DataFrame) -> DataFrame:
     return counts.select("prefix", F.concat(F.col("prefix"), F.lit(": "), F.replace("message", F.lit("{count}"), F.col("n").cast("string"))).alias("sentence"))
 
 
+# a scope's fields, and the form of comparison that each asks for
+SCOPE_PATHS = ("templates", "template_prefixes", "template_suffixes")
+
+
+def scope_problem(*, templates: Column, template_prefixes: Column, template_suffixes: Column, methods: Column) -> Column:
+    """What is first wrong with a scope, of arrays that are null where it doesn't name them; null if nothing is."""
+    fields = dict(zip(SCOPE_PATHS, (templates, template_prefixes, template_suffixes), strict=True))
+
+    def of(name: str, values: Column) -> Column:
+        def one(t: Column) -> Column:
+            out = F.when(t.isNull() | template_problem(t).isNotNull(), f"{name}: not canonical")
+            if name != "templates":
+                out = out.when(t.contains("{**}"), f"{name}: catch-all")
+            if name == "template_prefixes":
+                out = out.when((t != "/") & t.endswith("/"), f"{name}: ends with a slash")
+            return out.when(t == "/", f"{name}: only a slash") if name == "template_suffixes" else out
+
+        first = F.get(F.filter(F.transform(values, one), lambda p: p.isNotNull()), F.lit(0))
+        return F.when(values.isNotNull(), F.when(F.size(values) == 0, f"{name}: empty").otherwise(first))
+
+    bad = F.exists(methods, lambda m: ~F.coalesce(m.isin(*HTTP_METHODS), F.lit(False)))
+    verbs = F.when(methods.isNotNull(), F.when(F.size(methods) == 0, "methods: empty").when(bad, "methods: unknown").when(F.size(F.array_distinct(methods)) < F.size(methods), "methods: repeated"))
+    nowhere = F.when(templates.isNull() & template_prefixes.isNull() & template_suffixes.isNull(), "no paths")
+    return F.coalesce(nowhere, *(of(name, c) for name, c in fields.items()), verbs)
+
+
+def limitations(gaps: DataFrame) -> DataFrame:
+    """(limitation_index, sentence, templates, template_prefixes, template_suffixes, methods): what a document tells of gaps, in order.
+
+    Gaps are (prefix, message) and those four arrays. Gaps without a scope, or with one that has a problem, count by prefix and message;
+    of others, each scope has a sentence of its own. Beyond MOST_SCOPES scopes, each only adds to the count: wider, never narrower.
+    """
+    names = [*SCOPE_PATHS, "methods"]
+    fine = F.coalesce(*SCOPE_PATHS).isNotNull() & scope_problem(**{c: F.col(c) for c in names}).isNull()
+    told = gaps.select("prefix", "message", fine.alias("scoped"), *(F.when(fine, F.col(c)).alias(c) for c in names))
+    scoped = told.where("scoped").distinct()
+    if scoped.limit(MOST_SCOPES + 1).count() > MOST_SCOPES:
+        scoped = scoped.select("prefix", "message", F.lit(False).alias("scoped"), *(F.lit(None).cast("array<string>").alias(c) for c in names))
+    sentence = lambda n: F.concat("prefix", F.lit(": "), F.replace("message", F.lit("{count}"), n.cast("string"))).alias("sentence")
+    open_ = told.where("NOT scoped").unionByName(scoped.where("NOT scoped")).groupBy("prefix", "message").agg(F.count("*").alias("n"))
+    rows = open_.select(sentence(F.col("n")), *(F.lit(None).cast("array<string>").alias(c) for c in names)).unionByName(scoped.where("scoped").select(sentence(F.lit(1)), *names))
+    rows = rows.withColumn("scope", F.to_json(F.struct(*sorted(names)), {"ignoreNullFields": "true"}))
+    return numbered(rows, "sentence", "scope", name="limitation_index").drop("scope")
+
+
 def _relation_uses(uses: DataFrame) -> DataFrame:
     bad = lambda c: F.col(c).rlike(CONTROL)
     column = F.col("column_name").isNull() | ((F.col("column_name") != "") & ~bad("column_name"))
@@ -83,6 +129,18 @@ def agreement(rows: DataFrame, key: str, value: str, proven: str) -> DataFrame:
     return rows.groupBy(key).agg(F.when(F.bool_and(proven) & (F.count_distinct(value) == 1), F.min(value)).alias(value))
 
 
+def client_agreement(assigned: DataFrame) -> DataFrame:
+    """(name, library, style, base, base_known) of names that clients are assigned to, rows (name, library, style, base, base_known).
+
+    Clients of several libraries make a name nothing; those of one library that differ leave its base unknown, and for requests, which has none, its style too.
+    """
+    kind = F.struct("style", F.struct(F.col("base_known").alias("known"), F.when(F.col("base_known"), F.col("base")).alias("base")).alias("b"))
+    told = assigned.groupBy("name").agg(F.count_distinct("library").alias("libraries"), F.count_distinct(kind).alias("kinds"), F.min("library").alias("library"), F.min("style").alias("least"), F.max("style").alias("most"), F.min(kind).alias("k"))
+    one = F.col("kinds") == 1
+    style = F.when(one, F.col("k.style")).when(F.col("library") == "requests", "no-base").when(F.col("least") == F.col("most"), F.col("least"))
+    return told.where("libraries = 1").select("name", "library", style.alias("style"), F.when(one, F.col("k.b.base")).alias("base"), (one & F.col("k.b.known")).alias("base_known"))
+
+
 def segments(template: Column, anchor: Column | None = None) -> Column:
     """A template's segments, one slash at the end ignored; * stands for any number of segments."""
     parts = F.slice(F.split(F.regexp_replace(template, "/$", ""), "/"), 2, 1_000_000)

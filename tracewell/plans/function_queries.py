@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewell.functions import naming, urls
-from tracewell.operators import facts, sql_text
+from tracewell.functions import formats, naming, patterns, requirements, urls
+from tracewell.operators import change, facts, sql_text
 from tracewell.operators.traversal import closure
+from tracewell.sources import documents
 from tracewell.sources.entity_graph import table
 
 
@@ -269,7 +270,153 @@ def sql_likeness(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.select("id", sql_text.looks_like_sql(F.col("sql")).cast("int").alias("loose"), sql_text.looks_like_sql(F.col("sql"), strict=True).cast("int").alias("strict"))
 
 
+def _shapes(spark: SparkSession, sf_dir: str, *shapes: str) -> DataFrame:
+    """(p_partkey, t): of each part one of the texts, with its key in place of #."""
+    k = (F.col("p_partkey") % len(shapes) + 1).cast("int")
+    return table(spark, sf_dir, "part").select("p_partkey", F.replace(F.element_at(F.array(*map(F.lit, shapes)), k), F.lit("#"), F.col("p_partkey").cast("string")).alias("t"))
+
+
+def _shapes_sql(*told: str | None, name: str = "told") -> str:
+    cases = " ".join(f"WHEN {k} THEN " + ("NULL" if t is None else "replace('" + t.replace("'", "''") + "', '#', CAST(p_partkey AS VARCHAR))") for k, t in enumerate(told))
+    return f"SELECT p_partkey, CASE p_partkey % {len(told)} {cases} END AS {name} FROM part"
+
+
+# texts, and what they are told as
+PERCENTS = {"/p#/%s/%d": "/p#/{0}/{!1}", "#%% of %s": "#% of {0}", "/%(a)s/#": None, "%*d#": None, "# at 5%": None, "%.2f-%s-#": "{!0}-{1}-#"}
+KEYED = {"/%(id)s/#": "/{id}/#", "%(n)05d#": "{!n}#", "%s#": None, "#%%": "#%"}
+BRACES = {"/{}/{}/#": "/{0}/{1}/#", "{2}{name}#": "{2}{name}#", "{a.b}#": None, "#{a[0]}": None, "{{#}}{x!r}": "{#}{!x}", "#}": None, "{k:>{w}}#": "{!k}#"}
+ALTERNATIVES = {
+    "^(en|fr)/p#/$": "/en/p#/ /fr/p#/",
+    r"^p#(?:/all)?/(\d+|new)$": "/p#/{} /p#/new /p#/all/{} /p#/all/new",
+    "^[ab]{2}#$": None,
+    "^x{3}[yz]#/?$": "/xxxy# /xxxz#",
+    "^[ab][cd][ef][gh][ij]#$": None,
+    "^files/(?P<rest>.*)$": "/files/{**}",
+}
+REQUIREMENTS = {">=3.8": "minimum-not-newer", ">=3.13,<4": "runtime-below-minimum", ">3.12.1": "runtime-below-minimum", "~=3.12": "minimum-not-newer", "<4": "not-evaluated", ">=3.8,!=3.12.*": "not-evaluated", ">=3.9,<3.8": "not-evaluated", ">=3.8;x": "not-evaluated", "==3.12.*": "minimum-not-newer"}
+PATHS = {"src/f#.py": "1", "../f#": "0", "a//#": "0", ".GIT/#": "0", "con.#/x": "0", "console/#": "1", "f#.": "0", "a:#": "0", "": "0"}
+
+
+def format_percent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _shapes(spark, sf_dir, *PERCENTS).select("p_partkey", formats.pieces_text(formats.percent_pieces(F.col("t"), False)).alias("told"))
+
+
+def format_keyed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _shapes(spark, sf_dir, *KEYED).select("p_partkey", formats.pieces_text(formats.percent_pieces(F.col("t"), True)).alias("told"))
+
+
+def format_braces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _shapes(spark, sf_dir, *BRACES).select("p_partkey", formats.pieces_text(formats.format_pieces(F.col("t"))).alias("told"))
+
+
+def route_alternatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _shapes(spark, sf_dir, *ALTERNATIVES).select("p_partkey", F.array_join(patterns.pattern_templates(F.col("t")), " ").alias("told"))
+
+
+def requirement_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _shapes(spark, sf_dir, *REQUIREMENTS).select("p_partkey", requirements.requirement_status(F.col("t"), F.lit("3.12.1")).alias("told"))
+
+
+def path_safety(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _shapes(spark, sf_dir, *PATHS).select("p_partkey", change.is_safe_path(F.col("t")).cast("int").cast("string").alias("told"))
+
+
+def expression_shown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = F.concat(F.lit(" "), F.repeat(F.concat("p_name", F.lit("\n\t ")), 1 + F.col("p_partkey").cast("int") % 9))
+    return table(spark, sf_dir, "part").select("p_partkey", formats.shown(words).alias("told"))
+
+
+# scopes as (templates, template_prefixes, template_suffixes, methods), and their problem
+SCOPE_SHAPES = (
+    (["/a/{}"], None, None, ["GET", "POST"], None),
+    (None, None, None, ["GET"], "no paths"),
+    ([], None, None, None, "templates: empty"),
+    (["/a", "a"], None, None, None, "templates: not canonical"),
+    (["/a/{**}"], ["/b/{**}"], None, None, "template_prefixes: catch-all"),
+    (None, ["/b/"], None, None, "template_prefixes: ends with a slash"),
+    (None, ["/"], ["/"], None, "template_suffixes: only a slash"),
+    (None, ["/"], ["/x"], [], "methods: empty"),
+    (["/a"], None, None, ["GET", "ANY"], "methods: unknown"),
+    (["/a"], None, None, ["GET", "GET"], "methods: repeated"),
+    (None, None, ["/x/"], None, None),
+)
+_SCOPE_TYPES = "k int, templates array<string>, template_prefixes array<string>, template_suffixes array<string>, methods array<string>"
+
+
+def _scoped(spark: SparkSession, rows: DataFrame, key) -> DataFrame:
+    """``rows`` with one of SCOPE_SHAPES each."""
+    shapes = spark.createDataFrame([(k, *s[:4]) for k, s in enumerate(SCOPE_SHAPES)], _SCOPE_TYPES)
+    return rows.withColumn("k", (key % len(SCOPE_SHAPES)).cast("int")).join(F.broadcast(shapes), "k")
+
+
+def scope_validate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _scoped(spark, table(spark, sf_dir, "part").select("p_partkey"), F.col("p_partkey"))
+    return rows.select("p_partkey", facts.scope_problem(**{c: F.col(c) for c in (*facts.SCOPE_PATHS, "methods")}).alias("told"))
+
+
+def document_limitations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Gaps of events by type, with a scope of each shape."""
+    gaps = _scoped(spark, table(spark, sf_dir, "events").select(F.col("event_type").alias("prefix"), F.lit("{count} routes").alias("message"), "event_id"), F.col("event_id"))
+    told = facts.limitations(gaps.drop("k", "event_id"))
+    return told.select("limitation_index", "sentence", F.coalesce("templates", "template_prefixes", "template_suffixes").isNotNull().cast("int").alias("scoped"))
+
+
+_GOOD = [k for k, s in enumerate(SCOPE_SHAPES) if s[4] is None]
+LIMITS_SQL = f"""WITH g AS (SELECT event_type AS p, CASE WHEN event_id % {len(SCOPE_SHAPES)} IN ({', '.join(map(str, _GOOD))}) THEN event_id % {len(SCOPE_SHAPES)} END AS k FROM events),
+  t AS (SELECT p || ': ' || count(*) || ' routes' AS sentence, 0 AS scoped FROM g WHERE k IS NULL GROUP BY p UNION ALL SELECT p || ': 1 routes', 1 FROM (SELECT DISTINCT p, k FROM g WHERE k IS NOT NULL))
+  SELECT row_number() OVER (ORDER BY sentence, scoped) - 1 AS limitation_index, sentence, scoped FROM t"""
+
+
+def client_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clients that customers' orders assign, of a library by the customer, some of several."""
+    c, o = F.col("o_custkey") % 5, F.col("o_orderkey") % 3
+    library = F.when(c == 0, "requests").when(c < 3, "httpx").when((c == 4) & (o == 1), "requests").otherwise("aiohttp")
+    base = F.when(c == 2, F.concat(F.lit("/"), o.cast("string"))).otherwise(F.lit("/v1"))
+    style = F.when(c == 0, F.when(o == 0, "no-base").otherwise("rfc3986")).when(c < 3, "httpx-base-url").otherwise("aiohttp-base-url")
+    rows = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("name"), library.alias("library"), style.alias("style"), base.alias("base"), (o >= 0).alias("base_known"))
+    return facts.client_agreement(rows).withColumn("base_known", F.col("base_known").cast("int"))
+
+
+CLIENTS_SQL = """WITH r AS (SELECT o_custkey AS name, o_custkey % 5 AS c, o_orderkey % 3 AS o FROM orders), n AS (SELECT name, c, count(DISTINCT o) AS n, count(DISTINCT o = 0) AS z, count(DISTINCT o = 1) AS x, min(o) AS o FROM r GROUP BY name, c)
+  SELECT name, CASE WHEN c = 0 OR (c = 4 AND o = 1) THEN 'requests' WHEN c < 3 THEN 'httpx' ELSE 'aiohttp' END AS library, CASE WHEN c = 0 THEN CASE WHEN z > 1 OR o = 0 THEN 'no-base' ELSE 'rfc3986' END WHEN c < 3 THEN 'httpx-base-url' ELSE 'aiohttp-base-url' END AS style,
+    CASE WHEN c = 2 AND n > 1 THEN NULL WHEN c = 2 THEN '/' || o WHEN c = 0 AND z > 1 THEN NULL ELSE '/v1' END AS base, CASE WHEN (c = 2 AND n > 1) OR (c = 0 AND z > 1) THEN 0 ELSE 1 END AS base_known
+  FROM n WHERE NOT (c = 4 AND x > 1)"""
+
+
+def route_document(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A document of a route for each supplier, some dynamic, twice each, and of gaps by nation."""
+    s = table(spark, sf_dir, "supplier")
+    even = F.col("s_suppkey") % 2 == 0
+    rows = s.select(
+        F.when(even, F.concat(F.lit("/s"), F.col("s_suppkey").cast("string"))).alias("channel"), F.lit("GET").alias("method"), F.lit("root").alias("anchor"), (~even).alias("dynamic"),
+        F.format_string("n%d.py", "s_nationkey").alias("path"), F.col("s_suppkey").alias("line"), F.lit(1).alias("column"), F.format_string("n%d.py#f%d", "s_nationkey", "s_suppkey").alias("id"),
+        F.when(even, "required").alias("trailing_slash"), F.lit("g").alias("group"), F.col("s_suppkey").alias("index"),
+    )
+    gaps = _scoped(spark, s.select(F.lit("opaque").alias("prefix"), F.lit("{count} views").alias("message"), "s_suppkey"), F.lit(0)).drop("k", "s_suppkey")
+    lines = documents.fact_lines("server", rows.union(rows), gaps, "shop", F.lit("2024-01-02 03:04:05.678").cast("timestamp"), service="main")
+    return lines.withColumn("place", F.col("place").cast("int"))
+
+
+DOCUMENT_SQL = """WITH f AS (SELECT s_suppkey AS s, 'n' || s_nationkey || '.py' AS p, s_suppkey % 2 = 0 AS even FROM supplier),
+  j AS (SELECT CASE WHEN even THEN '/s' || s ELSE '' END AS c, NOT even AS d, p, s, '{' || CASE WHEN even THEN '"channel":"/s' || s || '",' ELSE '' END || '"dynamic":' || CASE WHEN even THEN 'false' ELSE 'true' END || ',"kind":"route-decl","location":' || to_json({'column': 1, 'line': s, 'path': p}) || ',"method":"GET","order":'
+    || to_json({'group': 'g', 'index': s}) || ',"pathAnchor":"root","service":"main","symbol":' || to_json({'qualifiedName': p || '#f' || s, 'usr': p || '#f' || s}) || CASE WHEN even THEN ',"trailingSlash":"required"' ELSE '' END || '}' AS x FROM f)
+  SELECT 'header' AS part, 0 AS place, '{"format":"bridge-facts","platform":"python","project":"shop","roles":["server"],"service":"main","sourceSets":{"tests":"excluded"},"target":"http","tool":{"name":"tracewell"},"version":1,"generatedAt":"2024-01-02T03:04:05.678Z"}' AS json
+  UNION ALL SELECT 'facts', CAST(row_number() OVER (ORDER BY c, d, p, s) - 1 AS INT), x FROM j
+  UNION ALL SELECT 'limitations', 0, 'opaque: 1 views' UNION ALL SELECT 'scopes', 0, '{"limitationIndex":0,"methods":["GET","POST"],"templates":["/a/{}"]}'"""
+
+
 QUERIES = {
+    "format_percent": format_percent,
+    "format_keyed": format_keyed,
+    "format_braces": format_braces,
+    "route_alternatives": route_alternatives,
+    "requirement_status": requirement_status,
+    "path_safety": path_safety,
+    "expression_shown": expression_shown,
+    "scope_validate": scope_validate,
+    "document_limitations": document_limitations,
+    "client_agreement": client_agreement,
+    "route_document": route_document,
     "name_snake_case": name_snake_case,
     "name_truncate": name_truncate,
     "name_backend_agreement": name_backend_agreement,
@@ -296,6 +443,17 @@ QUERIES = {
     "relation_use_limits": relation_use_limits,
 }
 ORACLES = {
+    "format_percent": _shapes_sql(*PERCENTS.values()),
+    "format_keyed": _shapes_sql(*KEYED.values()),
+    "format_braces": _shapes_sql(*BRACES.values()),
+    "route_alternatives": _shapes_sql(*ALTERNATIVES.values()),
+    "requirement_status": _shapes_sql(*REQUIREMENTS.values()),
+    "path_safety": _shapes_sql(*PATHS.values()),
+    "expression_shown": f"WITH t AS (SELECT p_partkey, trim(repeat(p_name || ' ', CAST(1 + p_partkey % 9 AS INT))) AS x FROM part) SELECT p_partkey, CASE WHEN length(x) > {formats.LONGEST_EXPRESSION} THEN substr(x, 1, {formats.LONGEST_EXPRESSION - 1}) || '…' ELSE x END AS told FROM t",
+    "scope_validate": _shapes_sql(*(s[4] for s in SCOPE_SHAPES)),
+    "document_limitations": LIMITS_SQL,
+    "client_agreement": CLIENTS_SQL,
+    "route_document": DOCUMENT_SQL,
     "name_snake_case": f"WITH {NAMES_SQL} SELECT p_partkey, lower(regexp_replace(regexp_replace(name, '([a-z0-9])([A-Z])', '\\1_\\2', 'g'), '([A-Z])([A-Z][a-z])', '\\1_\\2', 'g')) AS name FROM input",
     "name_truncate": f"WITH {NAMES_SQL}, long AS (SELECT p_partkey, repeat(name, 3) AS n FROM input) SELECT p_partkey, n AS sqlite, {', '.join(f'CASE WHEN length(n) <= {n} THEN n ELSE substr(n, 1, {n} - 4) || substr(md5(n), 1, 4) END AS {b}' for b, n in naming.BACKENDS if n)} FROM long",
     "name_backend_agreement": f"WITH {NAMES_SQL} SELECT p_partkey, CASE WHEN length(name) <= 30 THEN name END AS agreed, CASE WHEN 2 * length(name) <= 30 THEN repeat(name, 2) END AS generated FROM input",

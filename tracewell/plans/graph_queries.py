@@ -148,6 +148,16 @@ def reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
 REASONS_SQL = f"WITH o AS ({G.OUTCOMES_SQL}), c AS (SELECT node, reason, count(*) AS n FROM o WHERE status IN ('unresolved', 'partial') GROUP BY node, reason) SELECT node, string_agg(reason || '=' || n, ',' ORDER BY reason) AS reasons FROM c GROUP BY node"
 
 
+def call_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Calls by status, by reason, and of the open ones those that are linked and aren't."""
+    outcomes = G.call_outcomes(spark, sf_dir)
+    return edges.call_statistics(outcomes, outcomes.where("status = 'unresolved'").select("reason", "linked"))
+
+
+CALLS_SQL = f"""WITH o AS ({G.OUTCOMES_SQL}) SELECT 'call_sites' AS part, status AS name, count(*) AS n FROM o GROUP BY status UNION ALL SELECT status || '_calls', reason, count(*) FROM o WHERE status IN ('unresolved', 'partial') GROUP BY status, reason
+  UNION ALL SELECT CASE WHEN linked THEN 'bound_linked' ELSE 'bound_open' END AS p, reason, count(*) FROM o WHERE status = 'unresolved' GROUP BY p, reason"""
+
+
 def snapshots(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Two states of the documents as files: in the second some are edited, gone, moved or copied."""
     docs = G.table(spark, sf_dir, "documents").select("doc_id", F.md5(F.encode(F.coalesce("text", F.lit("")), "UTF-8")).alias("h"))
@@ -244,6 +254,7 @@ QUERIES = {
     "reach_truncation_roots": flags("reach_missing_roots"),
     "unresolved_by_mode": unresolved,
     "unresolved_by_reason": reasons,
+    "call_statistics": call_statistics,
     "snapshot_diff": snapshot_diff,
     "rename_candidates": rename_candidates,
     "change_seeds": change_seeds,
@@ -265,6 +276,7 @@ ORACLES = {
     "reach_truncation_roots": flags_sql("reach_missing_roots"),
     "unresolved_by_mode": UNRESOLVED_SQL,
     "unresolved_by_reason": REASONS_SQL,
+    "call_statistics": CALLS_SQL,
     "snapshot_diff": f"WITH {SNAPSHOTS_SQL} SELECT path, status FROM c",
     "rename_candidates": f"WITH {SNAPSHOTS_SQL} SELECT c.path, g.gone AS rename_from FROM c JOIN g ON g.was = c.now WHERE c.status = 'added'",
     "change_seeds": f"WITH {SNAPSHOTS_SQL} SELECT c.path || '#main' AS id, c.path FROM c WHERE c.status <> 'added' AND c.path LIKE '%.py' ORDER BY id LIMIT {change.MOST_SEEDS}",
