@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracewell.operators import change, edges, traversal
+from tracewell.sources import documents
 from tracewell.sources import entity_graph as G
 
 MERGED_SQL = f"""nodes AS ({G.NODES_SQL}), raw AS ({G.RAW_EDGES_SQL}),
@@ -227,6 +228,24 @@ def change_impact_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found["before"].meta.withColumn("side", F.lit("before")).unionByName(found["after"].meta.withColumn("side", F.lit("after")))
 
 
+def change_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The report of the change between both states."""
+    states = snapshots(spark, sf_dir)
+    changes = change.changed_files(*states)
+    empty = {side: change.unmapped(nodes, changes, side) for side, (nodes, _) in _sides(spark, sf_dir).items()}
+    return documents.change_lines(*states, _impacts(spark, sf_dir), empty)
+
+
+def traversal_document(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What depends on every nation, as a document; the entities' tables stand for files."""
+    nodes, merged = graph(spark, sf_dir)
+    ids = G.table(spark, sf_dir, "nation").select(F.concat(F.lit("nation#"), F.col("n_nationkey").cast("string")).alias("id"), F.col("n_nationkey").alias("pos"))
+    roots = traversal.number_roots(ids)
+    found = traversal.traverse(nodes, merged, roots, "dependents", "candidates")
+    placed = nodes.select("id", "kind", F.substring_index("id", "#", 1).alias("path"), F.lit(1).alias("line"), F.lit(1).alias("column"))
+    return documents.traversal_lines(found, roots, placed, edges.unresolved_by_mode(G.call_outcomes(spark, sf_dir)), "dependents", "candidates")
+
+
 def reach_all_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     """From all orders, up to a request's bound of roots, at any depth."""
     nodes, merged = graph(spark, sf_dir)
@@ -262,7 +281,7 @@ QUERIES = {
     "identity_digest": identity_digest,
 }
 # beyond what SQL does in time; tests hold them against brute force
-WHOLE = {"change_impact": change_impact, "change_impact_flags": change_impact_flags, "reach_all_orders": reach_all_orders}
+WHOLE = {"change_impact": change_impact, "change_impact_flags": change_impact_flags, "change_report": change_report, "traversal_document": traversal_document, "reach_all_orders": reach_all_orders}
 ORACLES = {
     "graph_merge_edges": MERGE_SQL,
     "graph_stats_by_kind": STATS_SQL["nodes"],
