@@ -16,7 +16,6 @@ MOST_DEPTH = 32  # fixed value: how deep includes and blueprints are followed
 # fixed values: converters of path rules with the kind of parameter they take
 CONVERTERS = {"int": "int", "slug": "slug", "uuid": "uuid", "path": "path"}
 VERBS = ("get", "post", "put", "delete", "patch", "head", "options")
-LIBRARIES = ("requests", "httpx")
 RULE = r"<(?:([a-zA-Z_]\w*)(?:\([^)]*\))?:)?[a-zA-Z_]\w*>"
 
 
@@ -118,24 +117,105 @@ def django_routes(raw: DataFrame, bindings: DataFrame, root: str) -> DataFrame:
     return numbered(full, "order").select(rule_template(F.col("rule")).alias("template"), "id", rule_constraints(F.col("rule")).alias("constraints"), F.col("ordinal").cast("int").alias("ordinal"))
 
 
-def client_calls(raw: DataFrame, bindings: DataFrame) -> DataFrame:
-    """(method, template, anchor, authority, masked, id, line) of calls of HTTP client functions; an unknown path has no template."""
-    calls = resolve(raw.where("fact = 'call' AND name IS NOT NULL").select("path", "id", "name", "scope", "line", "col", F.col("value").alias("first"), F.col("extra").alias("second")), bindings)
-    full = F.regexp_replace(F.concat_ws(".", F.regexp_replace("target", "^(external|module):", ""), F.nullif("rest", F.lit(""))), "^", "")
-    library, verb = F.substring_index(full, ".", 1), F.substring_index(full, ".", -1)
-    known = calls.where(library.isin(*LIBRARIES) & verb.isin(*VERBS, "request") & (F.size(F.split(full, r"\.")) == 2))
-    known = known.withColumn("url", F.when(verb == "request", F.col("second")).otherwise(F.col("first"))).withColumn("method", F.upper(F.when(verb == "request", F.col("first")).otherwise(verb)))
+# fixed values: functions that send a request by themselves, their verb in the name or in the first argument, and classes of clients with how they join a path
+SENDERS = {**{f"{library}.{verb}": verb for library in ("requests", "requests.api", "httpx") for verb in (*VERBS, "request")}, "httpx.stream": "request", "aiohttp.request": "request"}
+CLIENTS = {
+    **dict.fromkeys(("requests.Session", "requests.session", "requests.sessions.Session", "requests.sessions.session"), ("requests", "no-base")),
+    **dict.fromkeys(("httpx.Client", "httpx.AsyncClient"), ("httpx", "httpx-base-url")),
+    **dict.fromkeys(("aiohttp.ClientSession", "aiohttp.client.ClientSession"), ("aiohttp", "aiohttp-base-url")),
+}
+
+
+def _full_name() -> Column:
+    """The dotted name of what a resolved row stands for outside of the project."""
+    return F.concat_ws(".", F.regexp_replace("target", "^(external|module):", ""), F.nullif("rest", F.lit("")))
+
+
+def _requests(known: DataFrame, path: Column, anchor: Column, host: Column, fine: Column) -> DataFrame:
+    """Facts of calls: ``path`` becomes a template where ``fine``; else the path is unknown."""
+    whole = ~path.rlike(r"[^/]￼|￼[^/]") & path.startswith("/")
+    fine = F.coalesce(whole & fine, F.lit(False))
+    masked = urls.mask_template(F.replace(urls.remove_dot_segments(urls.normalize_path(path)), F.lit("%EF%BF%BC"), F.lit("{}")), host)
+    return known.select("method", F.when(fine, masked["template"]).alias("template"), F.when(fine, anchor).otherwise("base").alias("anchor"), host.alias("authority"), F.when(fine, masked["masked"]).otherwise(0).alias("masked"), "id", "line")
+
+
+def _verb_and_url(calls: DataFrame, verb: Column) -> DataFrame:
+    named = verb.isin("request", "stream")
+    return calls.withColumn("url", F.when(named, F.col("second")).otherwise(F.col("first"))).withColumn("method", F.upper(F.when(named, F.col("first")).otherwise(verb)))
+
+
+def _sent(known: DataFrame) -> DataFrame:
+    """Facts of calls with a ``url`` of their own."""
     dynamic_host = F.col("url").rlike(r"^https?://[^/?#]*￼")
     leading = F.col("url").startswith(urls.VALUE)
     split = urls.split_url(F.col("url"))
     path = F.when(dynamic_host, F.regexp_replace("url", r"^https?://[^/?#]*", "")).when(leading, F.substring("url", 2, 100_000)).otherwise(split["path"])
-    path = urls.cut_query(path)
-    whole = ~path.rlike(r"[^/]￼|￼[^/]") & path.startswith("/")
-    template = F.replace(urls.remove_dot_segments(urls.normalize_path(path)), F.lit("%EF%BF%BC"), F.lit("{}"))
-    host = F.when(~dynamic_host & ~leading, split["authority"])
-    masked = urls.mask_template(template, host)
-    fine = F.coalesce(whole, F.lit(False)) & (dynamic_host | leading | (split["kind"] == "absolute"))
-    return known.select("method", F.when(fine, masked["template"]).alias("template"), F.when(dynamic_host | leading | ~fine, "base").otherwise("root").alias("anchor"), host.alias("authority"), F.when(fine, masked["masked"]).otherwise(0).alias("masked"), "id", "line")
+    return _requests(known, urls.cut_query(path), F.when(dynamic_host | leading, "base").otherwise("root"), F.when(~dynamic_host & ~leading, split["authority"]), dynamic_host | leading | (split["kind"] == "absolute"))
+
+
+def client_calls(raw: DataFrame, bindings: DataFrame) -> DataFrame:
+    """(method, template, anchor, authority, masked, id, line) of calls of HTTP client functions; an unknown path has no template."""
+    calls = resolve(raw.where("fact = 'call' AND name IS NOT NULL").select("path", "id", "name", "scope", "line", "col", F.col("value").alias("first"), F.col("extra").alias("second")), bindings)
+    verb = F.create_map(*(F.lit(x) for pair in SENDERS.items() for x in pair))[_full_name()]
+    return _sent(_verb_and_url(calls.withColumn("verb", verb).where("verb IS NOT NULL"), F.col("verb")))
+
+
+def client_objects(raw: DataFrame, bindings: DataFrame) -> DataFrame:
+    """(owner, name, library, style, base, base_known): names of a scope, and attributes of a class's self, that only clients are assigned to.
+
+    The base is a literal URL; one that is given in another way is unknown. An attribute that a subclass assigns is the subclass's own.
+    """
+    made = raw.where("fact = 'made'").select("path", F.col("id").alias("owner"), F.col("name").alias("object"), F.col("value").alias("name"), "scope", "line", "col", F.col("extra").alias("first"))
+    kinds = F.create_map(*(x for k, v in CLIENTS.items() for x in (F.lit(k), F.array(*map(F.lit, v)))))
+    found = resolve(made, bindings).withColumn("kind", kinds[_full_name()]).where("kind IS NOT NULL")
+    given = raw.where("fact = 'keyword' AND name = 'base_url'").select(F.col("id").alias("at"), F.col("value").alias("asked"), F.lit(True).alias("named"))
+    found = found.withColumn("at", F.format_string("%s:%d:%d", "path", "line", "col")).join(given.dropDuplicates(["at"]), "at", "left")
+    text = F.when(F.col("named"), F.col("asked")).otherwise(F.when(F.col("kind")[0] == "aiohttp", F.col("first")))
+    literal = text.rlike("^https?://[^/?#]+") & ~text.contains(urls.VALUE) & ~urls.has_query(text)
+    style = F.col("kind")[1]
+    bare = F.col("named").isNull() & ((style != "aiohttp-base-url") | (F.col("first") == ""))  # only aiohttp takes a base by position
+    rows = found.select(F.concat_ws("\u0001", "owner", "object").alias("name"), F.col("kind")[0].alias("library"), style.alias("style"), F.when(literal, text).alias("base"), F.coalesce(literal | bare, F.lit(False)).alias("base_known"))
+    told = materialize(rows, "clients")
+    own = told.groupBy("name").agg(F.count("*").alias("clients"))
+    every = raw.where("fact IN ('shadow', 'alias', 'instance', 'attribute', 'import', 'definition')")
+    # a definition's row names its parent in extra, as the scope that binds it
+    bound = every.groupBy(F.concat_ws("\u0001", F.when(F.col("fact") == "definition", F.col("extra")).otherwise(F.col("id")), "name").alias("name")).agg(F.count("*").alias("bound"))
+    sure = own.join(bound, "name").where("bound = clients").select("name")
+    key = F.split("name", "\u0001")
+    return facts.client_agreement(told.join(sure, "name", "left_semi")).select(key[0].alias("owner"), key[1].alias("name"), "library", "style", "base", "base_known")
+
+
+def session_calls(raw: DataFrame, bindings: DataFrame, aiohttp_version: tuple[int, int] | None = None) -> DataFrame:
+    """As ``client_calls``, of methods of client objects: those that a scope or an enclosing one makes, that a module imports by name, and attributes of self.
+
+    A path on a client with a known base has its host; on one with an unknown base, only its own part. What a client does with a URL of its own host depends
+    for aiohttp on the version, so such calls of sessions with a base have no template.
+    """
+    objects = materialize(client_objects(raw, bindings), "client-objects")
+    # names of other modules' clients
+    imports = raw.where("fact = 'import' AND extra <> '' AND value NOT LIKE '.%'").select("id", "name", F.col("value").alias("m"), F.col("extra").alias("member"))
+    outer = objects.where("owner LIKE '%#<module>'").withColumn("m", module_name(F.substring_index("owner", "#", 1))).withColumnRenamed("name", "member").drop("owner")
+    objects = objects.unionByName(imports.join(outer, ["m", "member"]).select(F.col("id").alias("owner"), "name", "library", "style", "base", "base_known"))
+    once = objects.groupBy("owner", "name").agg(F.count("*").alias("n"), *(F.min(c).alias(c) for c in ("library", "style", "base", "base_known"))).where("n = 1").drop("n")
+    calls = raw.where("fact = 'call' AND name LIKE '%.%'").withColumn("verb", F.substring_index("name", ".", -1)).where(F.col("verb").isin(*VERBS, "request", "stream"))
+    object_ = F.regexp_replace("name", r"\.[^.]*$", "")
+    owner = F.when(object_.startswith("self."), F.regexp_replace("id", r"\.[^.]*$", "")).otherwise(F.coalesce("scope", F.concat("path", F.lit("#<module>"))))
+    calls = calls.select(owner.alias("owner"), object_.alias("name"), "verb", "id", "line", F.col("value").alias("first"), F.col("extra").alias("second"))
+    known = calls.join(once, ["owner", "name"]).where("verb <> 'stream' OR library = 'httpx'")
+    known = materialize(_verb_and_url(known, F.col("verb")), "session-calls")
+    # a relative path on a client that may have a base
+    joins = F.col("style").isin("httpx-base-url", "aiohttp-base-url") & (F.col("base").isNotNull() | ~F.col("base_known"))
+    alone = ~F.col("url").rlike(r"^https?://") & ~F.col("url").startswith(urls.VALUE)
+    relative = F.coalesce(joins & alone, F.lit(False))
+    stuck = F.coalesce((F.col("library") == "aiohttp") & joins & ~alone, F.lit(False))
+    base = urls.split_url(F.col("base"))
+    root = F.when(F.col("base").isNotNull(), F.regexp_replace(base["path"], "^/$", ""))
+    joined = {style: urls.join_path(style, root, urls.cut_query(F.col("url")), aiohttp_version if style == "aiohttp-base-url" else None) for style in ("httpx-base-url", "aiohttp-base-url")}
+    raw_path = F.when(F.col("style") == "httpx-base-url", joined["httpx-base-url"]["raw"]).otherwise(joined["aiohttp-base-url"]["raw"])
+    based = _requests(known.where(relative), raw_path, F.when(F.col("base").isNotNull(), "root").otherwise("base"), base["authority"], raw_path.isNotNull())
+    own = _sent(known.where(~relative & ~stuck))
+    unknown = known.where(stuck).select("method", F.lit(None).cast("string").alias("template"), F.lit("base").alias("anchor"), F.lit(None).cast("string").alias("authority"), F.lit(0).alias("masked"), "id", "line")
+    return based.unionByName(own).unionByName(unknown)
 
 
 def declared_tables(raw: DataFrame, defs: DataFrame, ancestors: DataFrame) -> DataFrame:

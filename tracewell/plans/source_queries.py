@@ -99,6 +99,21 @@ CLIENT_SQL = """SELECT 'GET' AS method, regexp_replace(regexp_replace(url, '^[a-
   CASE WHEN page_id % 3 <> 0 THEN lower(regexp_extract(url, '://([^/?#]*)', 1)) END AS authority, 'c' || page_id || '.py#go' AS id FROM pages"""
 
 
+def session_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A client for each nation, with a base for even ones, that its suppliers' modules import; a client of their own for odd suppliers."""
+    base = F.when(F.col("n_nationkey") % 2 == 0, F.format_string("base_url='https://N%d.example/v%d'", "n_nationkey", "n_nationkey")).otherwise(F.lit("base_url=where()"))
+    clients = table(spark, sf_dir, "nation").select(F.format_string("net/n%d.py", "n_nationkey").alias("path"), F.concat(F.lit("import httpx\nclient = httpx.Client("), base, F.lit(")\n")).alias("text"))
+    own = F.when(F.col("s_suppkey") % 2 == 1, F.format_string("class Box:\n    def __init__(self):\n        self.s = requests.Session()\n    def go(self, k):\n        self.s.put(f'https://own.example/b%d/{k}')\n", "s_suppkey")).otherwise(F.lit(""))
+    use = F.concat(F.format_string("import requests\nfrom net.n%d import client as c\ndef load(k):\n    return c.get('/s%d/a')\n", "s_nationkey", "s_suppkey"), own)
+    uses = table(spark, sf_dir, "supplier").select(F.format_string("s%d.py", "s_suppkey").alias("path"), use.alias("text"))
+    raw, _, bindings = _raw(clients.unionByName(uses).select("path", F.encode("text", "UTF-8").alias("content")))
+    return P.session_calls(raw, bindings).select("method", "template", "anchor", "authority", "id")
+
+
+SESSION_SQL = """SELECT 'GET' AS method, CASE WHEN s_nationkey % 2 = 0 THEN '/v' || s_nationkey ELSE '' END || '/s' || s_suppkey || '/a' AS template, CASE WHEN s_nationkey % 2 = 0 THEN 'root' ELSE 'base' END AS anchor, CASE WHEN s_nationkey % 2 = 0 THEN 'n' || s_nationkey || '.example' END AS authority, 's' || s_suppkey || '.py#load' AS id FROM supplier
+  UNION ALL SELECT 'PUT', '/b' || s_suppkey || '/{}', 'root', 'own.example', 's' || s_suppkey || '.py#Box.go' FROM supplier WHERE s_suppkey % 2 = 1"""
+
+
 def relation_uses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A module for each supplier that runs SQL over two tables."""
     text = F.format_string("def load(cursor, k):\n    cursor.execute('SELECT * FROM t%d JOIN shop.n%d n ON n.id = %%s', [k])\n", "s_suppkey", "s_nationkey")
@@ -225,6 +240,7 @@ QUERIES = {
     "python_flask_routes": flask_routes,
     "python_django_routes": django_routes,
     "python_client_calls": client_calls,
+    "python_session_calls": session_calls,
     "python_relation_uses": relation_uses,
     "python_parse_outcomes": parse_outcomes,
     "python_router_routes": router_routes,
@@ -241,6 +257,7 @@ ORACLES = {
     "python_flask_routes": FLASK_SQL,
     "python_django_routes": DJANGO_SQL,
     "python_client_calls": CLIENT_SQL,
+    "python_session_calls": SESSION_SQL,
     "python_relation_uses": RELATION_SQL,
     "python_parse_outcomes": OUTCOMES_SQL,
     "python_router_routes": ROUTER_SQL,

@@ -121,7 +121,8 @@ class Reader(ast.NodeVisitor):
 
     ``scope`` of a row with a dotted name is the definition that binds the name's first part, if it isn't the module. What else
     a scope's names stand for goes into rows of their own: alias (another name), instance (of a class that is called) and
-    shadow (a parameter or a value that can't be followed).
+    shadow (a parameter or a value that can't be followed). What a call makes for a name, or for an attribute of self (of the class), is a made row, with the
+    call's place and first text (empty for a call without positions); each assignment of such an attribute is an attribute row.
     """
 
     def __init__(self, path: str, lines: list[bytes]):
@@ -130,7 +131,7 @@ class Reader(ast.NodeVisitor):
 
     def put(self, fact: str, node: ast.AST, name: str | None = None, value: str | None = None, extra: str | None = None, id: str | None = None) -> None:
         line, col = getattr(node, "lineno", None), getattr(node, "col_offset", -1)
-        named = value if fact in ("alias", "instance", "bind", "first") else name if fact in ("call", "argument", "decorator", "base", "query") else None
+        named = value if fact in ("alias", "instance", "bind", "first", "made") else name if fact in ("call", "argument", "decorator", "base", "query") else None
         self.rows.append((self.path, fact, id or self.here(), name, value, extra, self.count, line, col + 1 if line else None, self.space_of(named)))
         self.count += 1
 
@@ -224,6 +225,7 @@ class Reader(ast.NodeVisitor):
 
     def visit_Assign(self, node) -> None:
         for t in node.targets:
+            self.made(t, node.value)
             if isinstance(t, ast.Name):
                 self.exports(t.id, node.value)
                 made = dotted(node.value.func) if isinstance(node.value, ast.Call) else dotted(node.value)
@@ -245,6 +247,32 @@ class Reader(ast.NodeVisitor):
             self.items(node.value, node.target.id)
         self.generic_visit(node)
 
+    def made(self, target: ast.AST, value: ast.AST) -> None:
+        """What ``target`` is assigned to, if a call makes it."""
+        attribute = isinstance(target, ast.Attribute) and isinstance(target.value, ast.Name) and target.value.id == "self" and self.owner[-1:] == ["method"]
+        if not (attribute or isinstance(target, ast.Name)):
+            return
+        where = f"{self.path}#{'.'.join(self.scope[:-1])}" if attribute else self.here()
+        name = f"self.{target.attr}" if attribute else target.id
+        if attribute:
+            self.put("attribute", target, name, id=where)
+        value = value.value if isinstance(value, ast.Await) else value
+        if isinstance(value, ast.Call) and dotted(value.func):
+            self.put("made", value, name, dotted(value.func), text_parts(value.args[0]) if value.args else "", where)
+
+    def visit_With(self, node) -> None:
+        for x in node.items:
+            if x.optional_vars is not None:
+                self.made(x.optional_vars, x.context_expr)
+        self.generic_visit(node)
+
+    visit_AsyncWith = visit_With
+
+    def visit_AnnAssign(self, node) -> None:
+        if node.value is not None:
+            self.made(node.target, node.value)
+        self.generic_visit(node)
+
     def exports(self, name: str, value: ast.AST) -> None:
         """What a module lists in __all__."""
         if name == "__all__" and not self.scope and isinstance(value, (ast.List, ast.Tuple)):
