@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, bpe, fingerprint, html_extract, jaccard_join, language_id, mixing, quality, secret_scan, token_counts
+from . import ann, bpe, conversation_repair, fingerprint, html_extract, importance, jaccard_join, language_id, mixing, quality, secret_scan, token_counts, token_files
 
 QUERIES = {
     "op1_secret_scan": secret_scan.query,
@@ -15,6 +15,9 @@ QUERIES = {
     "op8_jaccard_join": jaccard_join.query,
     "op9_language_id": language_id.query,
     "op10_html_extraction": html_extract.query,
+    "op11_conversation_repair": conversation_repair.query,
+    "op12_token_files": token_files.query,
+    "op13_importance_resampling": importance.query,
 }
 ORACLES: dict[str, str] = {
     "op1_secret_scan": secret_scan.ORACLE_SQL,
