@@ -1,7 +1,7 @@
 """Token ids in files, compressed by Re-Pair grammars and open to random access.
 
 Documents in ascending id order are encoded and followed by an end id. A shard is a run of whole documents; within it frequent pairs of ids are
-replaced by nonterminals, round after round, until no pair is frequent enough to pay for its rule. A round takes pairs by falling count, each
+replaced by nonterminals, round after round, until no pair is frequent enough to pay for its rule or a round saves next to nothing. A round takes pairs by falling count, each
 unless its left id is already taken as a right one or the other way round: so occurrences of different pairs don't overlap, and all of a round are replaced in one pass.
 A pair of one id with itself is taken where that id is in no other pair, from the left of each run.
 A pair never spans two documents, so each document is a slice of symbols. Rules carry the length of what they stand for; by the sums of these,
@@ -23,6 +23,7 @@ import os
 import struct
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import cache
 
@@ -40,6 +41,7 @@ SHARD_IDS = 1 << 18  # a shard ends with the document that reaches this
 LEAST = 8  # occurrences that pay for a rule
 MOST_PAIRS = 4096  # pairs that a round looks at, by falling count; the next round sees the others
 ROUNDS = 12
+SLIGHT = 64  # a round that saves less than this part of the symbols is the last
 CACHED = 500_000  # words that a worker remembers between stretches of text
 STRETCH = 16 << 20  # bytes of text that are encoded at once
 HEADER = struct.Struct("<4sIIIII")
@@ -71,32 +73,42 @@ def _byte_letters() -> dict[int, str]:
 UNITS = r"^(?P<a>[a-zß-öø-ÿ]+)(?P<b>[!-/:-@\[-`{-~]*)$"
 
 
+def _gathered(flat: np.ndarray, start: np.ndarray, size: np.ndarray, items: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(the runs of ``flat`` that ``items`` name, one after another; where each ends)."""
+    length = size[items]
+    end = np.cumsum(length)
+    if not len(end):
+        return flat[:0], end
+    return flat[np.repeat(start[items] - (end - length), length) + np.arange(end[-1], dtype=start.dtype)], end
+
+
 class Encoder:
     """Ids of texts, with a memory of units that is bounded by CACHED."""
 
     def __init__(self, path: str):
-        self.tokenizer, self.known = _tokenizer(path), {"": np.zeros(0, np.uint32)}
-
-    def _learn(self, units: list[str], direct: list[bool]) -> list[np.ndarray]:
-        known, model, letters = self.known, self.tokenizer.model, _byte_letters()
-        if len(known) > CACHED:
-            known.clear()
-            known[""] = np.zeros(0, np.uint32)
-        other = [u for u, d in zip(units, direct, strict=True) if not d and u not in known]
+        self.tokenizer, self.known = _tokenizer(path), {"": b""}
+
+    def _learn(self, units: list[str], direct: np.ndarray) -> list[bytes]:
+        """The ids of each unit, four bytes each."""
+        known, tokenize, letters = self.known, self.tokenizer.model.tokenize, _byte_letters()
+        if len(known) > CACHED:  # those of this stretch stay: they hold what is frequent everywhere
+            self.known = known = {u: known[u] for u in units if u in known} | {"": b""}
+        new = [k for k, u in enumerate(units) if u not in known]
+        other = [units[k] for k in new if not direct[k]]
         for k in range(0, len(other), 4096):
             for u, e in zip(other[k : k + 4096], self.tokenizer.encode_batch_fast(other[k : k + 4096], add_special_tokens=False), strict=True):
-                known[u] = np.array(e.ids, np.uint32)
-        for u in (u for u, d in zip(units, direct, strict=True) if d and u not in known):
+                known[u] = array("I", e.ids).tobytes()
+        for u in (units[k] for k in new if direct[k]):
             shown = u if u.isascii() else u.encode().decode("latin-1").translate(letters)
-            known[u] = np.array([t.id for t in model.tokenize(shown)], np.uint32)
+            known[u] = array("I", [t.id for t in tokenize(shown)]).tobytes()
         return [known[u] for u in units]
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, where each text starts and the end)."""
         words = pc.ascii_split_whitespace(texts.cast(pa.large_string()).fill_null(""))
-        spread = words.values.dictionary_encode() if len(words.values) else None
-        if spread is None:
+        if not len(words.values):
             return np.zeros(0, np.uint32), np.zeros(len(texts) + 1, np.int64)
+        spread = words.values.dictionary_encode()
         own = spread.dictionary
         low = pc.if_else(pc.match_substring(own, "<|"), own, pc.ascii_lower(own))  # names of special tokens stand as they are
         pair = pc.extract_regex(low, UNITS)
@@ -104,22 +116,20 @@ class Encoder:
         first = pc.if_else(plain, pc.struct_field(pair, "a"), low)
         second = pc.if_else(plain, pc.struct_field(pair, "b"), "")
         units = pa.chunked_array([first.cast(pa.large_string()), second.cast(pa.large_string())]).combine_chunks().dictionary_encode()
-        direct = np.zeros(len(units.dictionary), bool)
         at = units.indices.to_numpy()
+        direct = np.zeros(len(units.dictionary), bool)
         direct[at[: len(own)][plain.to_numpy(zero_copy_only=False)]] = True
         direct[at[len(own) :]] = True
-        found = self._learn(units.dictionary.to_pylist(), direct.tolist())
-        size = np.fromiter(map(len, found), np.int64, len(found))
-        flat, start = np.concatenate(found), np.concatenate(([0], np.cumsum(size)))
-        ix = spread.indices.to_numpy()
-        order = np.empty(2 * len(ix), np.int64)
-        order[0::2], order[1::2] = at[ix], at[len(own) + ix]
-        length = size[order]
-        end = np.cumsum(length)
-        ids = flat[np.repeat(start[order] - (end - length), length) + np.arange(end[-1] if len(end) else 0)]
-        upto = np.concatenate(([0], end))
+        found = self._learn(units.dictionary.to_pylist(), direct)
+        size = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        flat = np.frombuffer(b"".join(found), np.uint32)
+        both = np.stack((at[: len(own)], at[len(own) :]), axis=1).ravel()  # the two units of each distinct word
+        flat, end = _gathered(flat, np.cumsum(size) - size, size, both)
+        end = end[1::2]
+        size = np.diff(end, prepend=0)
+        ids, end = _gathered(flat, end - size, size, spread.indices.to_numpy())
         offsets = words.offsets.to_numpy()
-        return ids, upto[2 * (offsets - offsets[0])]
+        return ids, np.concatenate(([0], end))[offsets - offsets[0]]
 
 
 @cache
@@ -130,48 +140,53 @@ def _encoder(path: str) -> Encoder:
 def compress(ids: np.ndarray, starts: np.ndarray, least: int = LEAST, rounds: int = ROUNDS) -> bytes:
     """The payload of a shard: ``ids`` of documents that begin at ``starts`` (whose last entry is the end)."""
     base = int(ids.max()) + 1 if len(ids) else 0
-    symbols, rules, lengths = ids.astype(np.uint64), [], np.ones(base, np.int64)
+    symbols, rules, lengths = ids.astype(np.uint32), [], np.ones(base, np.int64)
     closes = np.zeros(len(ids), bool)
     closes[starts[1:] - 1] = True  # no document is empty: each has its end id
     for _ in range(rounds):
         if len(symbols) < 2:
             break
-        keys = (symbols[:-1] << np.uint64(32)) | symbols[1:]
-        inner = ~closes[:-1]
-        ranked = np.sort(keys[inner])
-        edge = np.flatnonzero(np.concatenate(([True], ranked[1:] != ranked[:-1]))) if len(ranked) else np.zeros(0, np.int64)
+        size = base + len(rules)
+        kind, shift = (np.uint32, 16) if size < 1 << 16 else (np.uint64, 32)
+        across = np.iinfo(kind).max  # the key of two documents' ids; no pair's own, as the right id of it would be the largest of all
+        keys = (symbols[:-1].astype(kind) << kind(shift)) | symbols[1:].astype(kind)
+        keys[closes[:-1]] = across
+        ranked = np.sort(keys)
+        edge = np.flatnonzero(np.concatenate(([True], ranked[1:] != ranked[:-1])))
         count = np.diff(np.append(edge, len(ranked)))
-        often = np.flatnonzero(count >= least)
+        often = np.flatnonzero((count >= least) & (ranked[edge] != across))
         often = often[np.argsort(-count[often], kind="stable")[:MOST_PAIRS]]
-        pairs = ranked[edge[often]]
-        taken, lefts, rights = [], set(), set()
-        for x, y in zip((pairs >> np.uint64(32)).tolist(), (pairs & np.uint64(0xFFFFFFFF)).tolist(), strict=True):
-            if x not in rights and y not in lefts and (x != y or (x not in lefts and x not in rights)):
-                lefts.add(x)
-                rights.add(y)
+        pairs = ranked[edge[often]].astype(np.uint64)
+        taken, lefts, rights = [], bytearray(size), bytearray(size)
+        for x, y in zip((pairs >> np.uint64(shift)).tolist(), (pairs & np.uint64((1 << shift) - 1)).tolist(), strict=True):
+            if not rights[x] and not lefts[y] and (x != y or not (lefts[x] or rights[x])):
+                lefts[x] = rights[y] = 1
                 taken.append((x, y))
         if not taken:
             break
-        new, size = np.array(taken, np.uint64), base + len(rules)
-        opens, ends = np.zeros(size, bool), np.zeros(size, bool)
-        opens[new[:, 0]], ends[new[:, 1]] = True, True
-        at = np.flatnonzero(opens[symbols[:-1]] & ends[symbols[1:]] & inner)
-        wanted = (new[:, 0] << np.uint64(32)) | new[:, 1]
+        new = np.array(taken, np.int64)
+        opens, ends = np.frombuffer(lefts, bool), np.frombuffer(rights, bool)
+        at = np.flatnonzero(opens[symbols[:-1]] & ends[symbols[1:]])
+        wanted = ((new[:, 0] << shift) | new[:, 1]).astype(kind)
         by = np.argsort(wanted)
-        place = np.minimum(np.searchsorted(wanted[by], keys[at]), len(by) - 1)
-        hit = wanted[by][place] == keys[at]
+        wanted, there = wanted[by], keys[at]
+        place = np.minimum(np.searchsorted(wanted, there), len(by) - 1)
+        hit = wanted[place] == there
         at, place = at[hit], by[place[hit]]
-        apart = np.concatenate(([True], np.diff(at) > 1))  # only pairs of one id with itself stand side by side
-        run = np.flatnonzero(apart)[np.cumsum(apart) - 1] if len(at) else at
-        every = (np.arange(len(at)) - run) % 2 == 0
-        at, place = at[every], place[every]
-        symbols[at] = (size + place).astype(np.uint64)
+        beside = np.diff(at, prepend=-2) == 1  # only pairs of one id with itself stand side by side
+        if beside.any():
+            every = np.arange(len(at))
+            keep = (every - np.maximum.accumulate(np.where(beside, 0, every))) % 2 == 0
+            at, place = at[keep], place[keep]
+        symbols[at] = size + place
+        closes[at] = closes[at + 1]
         keep = np.ones(len(symbols), bool)
         keep[at + 1] = False
-        closes[at] = closes[at + 1]
-        symbols, closes = symbols[keep], closes[keep]
+        before, symbols, closes = len(symbols), symbols[keep], closes[keep]
         lengths = np.concatenate((lengths, lengths[new[:, 0]] + lengths[new[:, 1]]))
         rules += taken
+        if (before - len(symbols)) * SLIGHT < before:
+            break
     width = 2 if base + len(rules) <= 1 << 16 else 4
     heads = np.concatenate(([0], np.flatnonzero(closes) + 1))
     parts = (np.array(rules, "<u4").reshape(-1, 2), lengths[base:].astype("<u4"), heads.astype("<u4"), starts.astype("<u8"), symbols.astype(f"<u{width}"))
@@ -194,6 +209,7 @@ class Shard:
         self.rules = self.rules.reshape(-1, 2)
 
     def expand(self, symbols: np.ndarray) -> np.ndarray:
+        """What ``symbols`` stand for, level by level of their rules."""
         symbols = symbols.astype(np.uint32)
         while (big := symbols >= self.base).any():
             size = 1 + big
@@ -215,7 +231,10 @@ class Shard:
         return self.expand(symbols[first : last + 1])[start - skipped : stop - skipped]
 
     def all(self) -> np.ndarray:
-        return self.expand(self.symbols)
+        """The ids of all documents: rules are expanded once, and each symbol takes its run of ids."""
+        flat = np.concatenate((np.arange(self.base, dtype=np.uint32), self.expand(np.arange(self.base, self.base + len(self.rules)))))
+        size = np.concatenate((np.ones(self.base, np.int64), self.lengths.astype(np.int64)))
+        return _gathered(flat, np.cumsum(size) - size, size, self.symbols)[0]
 
 
 def _stretches(texts: pa.Array) -> Iterator[tuple[int, int]]:
