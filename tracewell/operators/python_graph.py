@@ -6,8 +6,10 @@ definition that binds the name, a few rounds for names that are handed on by imp
 
 from __future__ import annotations
 
+import builtins
+
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracewell.operators.edges import merge_edges
@@ -16,6 +18,7 @@ from tracewell.sources.python_sources import module_name
 from tracewell.storage import materialize
 
 MOST_HOPS = 16  # fixed value: how often a name may be handed on
+BUILTINS = tuple(sorted(n for n in dir(builtins) if not n.startswith("_")))  # names that every scope sees
 OVERLOADS = ("overload", "typing.overload")
 
 
@@ -30,6 +33,16 @@ def definitions(raw: DataFrame) -> DataFrame:
 UNKNOWN = "unknown:"  # what a parameter or a value that can't be followed stands for
 
 
+def import_source() -> Column:
+    """The module that an import's row names, in full: dots at its start are packages above its file."""
+    here = module_name(F.col("path"))
+    package = F.when(F.col("path").endswith("__init__.py"), here).otherwise(F.regexp_replace(here, r"\.?[^.]*$", ""))
+    level = F.length(F.regexp_extract("value", r"^\.*", 0))
+    base = F.array_join(F.slice(F.split(package, r"\."), F.lit(1), F.greatest(F.size(F.split(package, r"\.")) - level + 1, F.lit(0))), ".")
+    rest = F.regexp_replace("value", r"^\.+", "")
+    return F.when(level == 0, F.col("value")).otherwise(F.concat_ws(".", F.nullif(base, F.lit("")), F.nullif(rest, F.lit(""))))
+
+
 def module_bindings(raw: DataFrame, defs: DataFrame) -> DataFrame:
     """(module, name, target): what a name of a module, or of a definition's own scope, stands for: a definition's id, or module:<name>.
 
@@ -38,13 +51,9 @@ def module_bindings(raw: DataFrame, defs: DataFrame) -> DataFrame:
     modules = defs.where("kind = 'module'").select(module_name(F.col("path")).alias("module"), "path")
     here = module_name(F.col("path"))
     inside = lambda c: F.when(F.col(c).endswith("#<module>"), here).otherwise(F.col(c))
+    source = import_source()
     own = defs.where("parent IS NOT NULL").select(inside("parent").alias("module"), "name", F.col("id").alias("target"))
     own = own.unionByName(raw.where("fact IN ('shadow', 'instance')").select(inside("id").alias("module"), "name", F.lit(UNKNOWN).alias("target")).distinct())
-    package = F.when(F.col("path").endswith("__init__.py"), here).otherwise(F.regexp_replace(here, r"\.?[^.]*$", ""))
-    level = F.length(F.regexp_extract("value", r"^\.*", 0))
-    base = F.array_join(F.slice(F.split(package, r"\."), F.lit(1), F.greatest(F.size(F.split(package, r"\.")) - level + 1, F.lit(0))), ".")
-    rest = F.regexp_replace("value", r"^\.+", "")
-    source = F.when(level == 0, F.col("value")).otherwise(F.concat_ws(".", F.nullif(base, F.lit("")), F.nullif(rest, F.lit(""))))
     imports = raw.where("fact = 'import' AND name <> '*'").select(inside("id").alias("module"), "name", source.alias("from"), F.col("extra").alias("member"))
     whole = imports.where("member = ''").select("module", "name", F.concat(F.lit("module:"), "from").alias("target"))
     # from x import y: a submodule, or a name of x, which may itself be imported there
@@ -129,39 +138,57 @@ def packages(bindings: DataFrame) -> DataFrame:
 def c3(classes: list[str], bases: list[list[str]], start: str) -> list[str]:
     """C3 linearisation of ``start``; where there is none, depth first with the last place of each class.
 
-    Only classes that ``start`` reaches take part, each walked through twice at most, so the walk ends however they inherit.
+    Only classes that ``start`` reaches take part, and the order of each is worked out once, so the time is polynomial however they inherit.
     """
     parents = dict(zip(classes, bases, strict=True))
+    orders: dict[str, list[str] | None] = {}
 
-    def linear(c: str, way: tuple) -> list[str] | None:
-        if c in way:
-            return None
-        lines = [linear(b, (*way, c)) for b in parents.get(c, [])]
-        if any(x is None for x in lines):
+    def merged(c: str) -> list[str] | None:
+        above = parents.get(c, [])
+        if any(orders.get(b) is None for b in above):
             return None
-        lines, out = [list(x) for x in lines] + [list(parents.get(c, []))], [c]
+        lines, out = [list(orders[b]) for b in above] + [list(above)], [c]
         while lines := [x for x in lines if x]:
-            head = next((x[0] for x in lines if not any(x[0] in y[1:] for y in lines)), None)
+            later = {name for x in lines for name in x[1:]}
+            head = next((x[0] for x in lines if x[0] not in later), None)
             if head is None:
                 return None
             out.append(head)
             lines = [x[1:] if x[0] == head else x for x in lines]
         return out
 
-    found = linear(start, ())
-    if found is not None:
-        return found
-    seen: list[str] = []
-
-    often: dict[str, int] = {}
-    todo = [start]
+    todo, open_ = [start], set()
     while todo:
-        c = todo.pop()
-        often[c] = often.get(c, 0) + 1
-        if often[c] <= 2:
-            seen.append(c)
-            todo += reversed(parents.get(c, []))
-    return [c for i, c in enumerate(seen) if c not in seen[i + 1 :]]
+        c = todo[-1]
+        ahead = [b for b in parents.get(c, []) if b not in orders and b not in open_]
+        if c in orders:
+            todo.pop()
+        elif ahead and c not in open_:
+            open_.add(c)
+            todo += ahead
+        else:  # its bases are known, or it is among its own ancestors
+            todo.pop()
+            open_.discard(c)
+            orders[c] = merged(c)
+    if orders[start] is not None:
+        return orders[start]
+
+    # the last place in a walk: the reverse of a walk from the right that keeps first places
+    seen: set[str] = set()
+    out: list[str] = []
+    stack: list[tuple[str, int]] = [(start, 0)]
+    while stack:
+        c, k = stack.pop()
+        if k == 0:
+            if c in seen:
+                continue
+            seen.add(c)
+        below = parents.get(c, [])
+        if k < len(below):
+            stack += [(c, k + 1), (below[len(below) - 1 - k], 0)]
+        else:
+            out.append(c)
+    return out[::-1]
 
 
 def class_table(raw: DataFrame, defs: DataFrame, bindings: DataFrame) -> DataFrame:
@@ -199,8 +226,8 @@ def lookup(asked: DataFrame, orders: DataFrame, defs: DataFrame) -> DataFrame:
     return asked.join(best, ["cls", "member", "after"], "left")
 
 
-def graph(raw: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(nodes, merged edges, call outcomes) of raw facts.
+def graph(raw: DataFrame, bound: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(nodes, merged edges, call outcomes) of raw facts; ``bound``: what ``value_flow.bound_edges`` finds, whose calls count as linked.
 
     Calls of names and of module members are direct, and so are those of members of an object whose class its scope tells; self.m() and super().m() look m up in the class's order, and overrides in subclasses are
     candidates; a class that is called is new, through __init__ where the project has one; a definition that is passed on is a callback.
@@ -218,9 +245,13 @@ def graph(raw: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     full = F.when(F.col("rest") == "", F.col("target")).otherwise(F.concat_ws(".", "target", "rest"))
     named = named.withColumn("target_id", full).join(kinds, "target_id", "left")
     named = named.join(packages(bindings).select(F.concat(F.lit("module:"), "module").alias("_own")), F.col("target") == F.col("_own"), "left")
+    taken = raw.where("fact IN ('shadow', 'instance', 'alias', 'import') AND id LIKE '%#<module>'").select(F.col("path").alias("_bp"), F.col("name").alias("_bn")).distinct()
+    first = F.substring_index("name", ".", 1)
+    named = named.join(taken, (F.col("path") == F.col("_bp")) & (first == F.col("_bn")) & F.col("scope").isNull(), "left")
+    builtin = F.col("target").isNull() & F.col("scope").isNull() & F.col("_bn").isNull() & first.isin(*BUILTINS)
     lost = F.col("_own").isNotNull() & (F.col("rest") != "")  # of a module of the project
-    status = F.when(F.col("target_kind").isNotNull(), "resolved").when(lost, "unresolved").when(F.col("target").startswith("external:") | F.col("target").startswith("module:"), "external").otherwise("unresolved")
-    named = named.withColumn("status", status).drop("_own")
+    status = F.when(F.col("target_kind").isNotNull(), "resolved").when(lost, "unresolved").when(F.col("target").startswith("external:") | F.col("target").startswith("module:") | builtin, "external").otherwise("unresolved")
+    named = named.withColumn("status", status).drop("_own", "_bp", "_bn")
 
     # names that stand for one new object of a class: its members are that class's
     made_of = resolve(raw.where("fact = 'instance'").select("path", F.col("id").alias("space"), F.col("name").alias("object"), F.col("value").alias("name"), "scope"), bindings)
@@ -252,7 +283,13 @@ def graph(raw: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     edges = edges.unionByName(wider.select(F.col("scope").alias("source"), F.col("override").alias("target"), F.lit("call").alias("kind"), F.lit("candidate").alias("evidence")))
 
     nodes = defs.select("id", "kind", "path", "line", "col")
-    outcomes = named.where("fact = 'call'").select(F.col("id").alias("node"), "status", F.when(F.col("status") == "unresolved", "name").alias("reason"))
+    linked = F.lit(False)
+    if bound is not None:
+        edges = edges.unionByName(bound.select("source", "target", "kind", "evidence"))
+        led = bound.select("path", "line", "col", F.substring_index("target", ".", -1).alias("_member"), F.lit(True).alias("_led")).distinct()
+        named = named.withColumn("_member", F.substring_index("name", ".", -1)).join(led, ["path", "line", "col", "_member"], "left")
+        linked = F.coalesce(F.col("_led") & (F.col("status") == "unresolved"), F.lit(False))
+    outcomes = named.where("fact = 'call'").select(F.col("id").alias("node"), "status", F.when(F.col("status") == "unresolved", "name").alias("reason"), linked.alias("linked"))
     many = wider.select("scope", "line", "col").distinct().withColumn("more", F.lit(1))
     mine = through.join(many, ["scope", "line", "col"], "left").select(F.col("scope").alias("node"), F.when(F.col("found").isNull(), "unresolved").when(F.col("more") == 1, "partial").otherwise("resolved").alias("status"), F.when(F.col("found").isNull(), "self").when(F.col("more") == 1, "override").alias("reason"))
-    return nodes, merge_edges(edges, nodes), outcomes.unionByName(mine).withColumn("linked", F.lit(False))
+    return nodes, merge_edges(edges, nodes), outcomes.unionByName(mine.withColumn("linked", F.lit(False)))

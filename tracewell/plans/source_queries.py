@@ -6,10 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracewell.functions import patterns
-from tracewell.operators import catalog, models
+from tracewell.operators import catalog, models, value_flow
 from tracewell.operators import python_facts as P
 from tracewell.operators import python_graph as G
-from tracewell.sources import manifests
+from tracewell.sources import manifests, python_flow
 from tracewell.sources import python_sources as S
 from tracewell.sources.entity_graph import table
 from tracewell.storage import materialize
@@ -46,7 +46,29 @@ def python_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 PYTHON_CALLS_SQL = """WITH t AS (SELECT (SELECT count(*) FROM supplier) AS s, (SELECT count(*) FROM supplier WHERE s_suppkey % 2 = 0) AS own, (SELECT count(*) FROM nation) AS n,
     (SELECT count(DISTINCT s_nationkey) FROM supplier WHERE s_suppkey % 2 = 0) AS partial)
-  SELECT * FROM (SELECT 'resolved' AS status, s + own + n - partial AS n FROM t UNION ALL SELECT 'external', s FROM t UNION ALL SELECT 'unresolved', s + own FROM t UNION ALL SELECT 'partial', partial FROM t) WHERE n > 0"""
+  SELECT * FROM (SELECT 'resolved' AS status, s + own + n - partial AS n FROM t UNION ALL SELECT 'external', s + own FROM t UNION ALL SELECT 'unresolved', s FROM t UNION ALL SELECT 'partial', partial FROM t) WHERE n > 0"""
+
+
+def _service_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two stores for each nation, and a service for each supplier that is given one of them, or either for every third; every fifth is handed on as a value."""
+    store = "class Store%d:\n    def save(self, x):\n        return x\nclass Left%d(Store%d):\n    def save(self, x):\n        return x\nclass Right%d(Store%d):\n    pass\n"
+    stores = table(spark, sf_dir, "nation").select(F.format_string("n%d.py", "n_nationkey").alias("path"), F.format_string(store, *["n_nationkey"] * 5).alias("text"))
+    k, n = "s_suppkey", "s_nationkey"
+    service = F.format_string("from n%d import Left%d as L, Right%d as R\nclass Service%d:\n    def __init__(self, store, label=None):\n        self.store = store\n    def run(self, x):\n        return self.store.save(x)\ndef make():\n    return Service%d(L())\ndef main():\n    make().run(1)\n", n, n, n, k, k)
+    other = F.when(F.col(k) % 3 == 0, F.format_string("def other():\n    Service%d(store=R())\n", k)).otherwise(F.lit(""))
+    handed = F.when(F.col(k) % 5 == 0, F.format_string("known = [Service%d]\n", k)).otherwise(F.lit(""))
+    services = table(spark, sf_dir, "supplier").select(F.format_string("s%d.py", k).alias("path"), F.concat(service, other, handed).alias("text"))
+    return stores.unionByName(services).select("path", F.encode("text", "UTF-8").alias("content"))
+
+
+def bound_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return value_flow.bound_edges(python_flow.flow_facts(_service_files(spark, sf_dir))).select("source", "target", "kind").distinct()
+
+
+BOUND_SQL = """WITH s AS (SELECT 's' || s_suppkey || '.py#' AS p, 'Service' || s_suppkey AS c, 'n' || s_nationkey || '.py#' AS n, s_nationkey AS k, s_suppkey AS i FROM supplier)
+  SELECT p || 'main' AS source, p || c || '.run' AS target, 'call' AS kind FROM s
+  UNION ALL SELECT p || c || '.run', n || 'Left' || k || '.save', 'call' FROM s WHERE i % 5 <> 0
+  UNION ALL SELECT p || c || '.run', n || 'Store' || k || '.save', 'call' FROM s WHERE i % 3 = 0 AND i % 5 <> 0"""
 
 
 def _raw(files: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -132,6 +154,20 @@ def parse_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OUTCOMES_SQL = "SELECT CASE WHEN p_partkey % 5 = 0 THEN 'syntax-error' ELSE 'parsed' END AS outcome, count(*) AS n FROM part GROUP BY 1"
 
+
+def parse_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts as files of 6 to 55 bytes, those of every fifth part no Python, under a budget of 20 bytes a part: outcomes of all."""
+    parts = table(spark, sf_dir, "part").select("p_partkey", F.when(F.col("p_partkey") % 5 == 0, F.lit("def (:\n")).otherwise(F.concat(F.lit("x = 1"), F.repeat(F.lit(" "), F.col("p_size") - 1), F.lit("\n"))).alias("text"))
+    files = materialize(parts.select(F.format_string("p%d.py", "p_partkey").alias("path"), F.encode("text", "UTF-8").alias("content"), F.length("text").cast("long").alias("length")), "files")
+    return S.outcomes(S.budgeted(materialize(S.facts(files), "raw-facts"), files, 20 * files.count()))
+
+
+BUDGET_SQL = """WITH RECURSIVE f AS (SELECT row_number() OVER (ORDER BY 'p' || p_partkey || '.py') AS k, p_size + 5 AS n FROM part WHERE p_partkey % 5 <> 0),
+    w AS (SELECT CAST(0 AS BIGINT) AS k, CAST(20 * (SELECT count(*) FROM part) AS BIGINT) AS rest, false AS taken UNION ALL SELECT f.k, CASE WHEN n <= rest THEN rest - n ELSE rest END, n <= rest FROM w JOIN f ON f.k = w.k + 1)
+  SELECT CASE WHEN taken THEN 'parsed' ELSE 'source-budget' END AS outcome, count(*) AS n FROM w WHERE k > 0 GROUP BY 1
+  UNION ALL SELECT 'syntax-error', count(*) FROM part WHERE p_partkey % 5 = 0"""
+
+
 def route_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A regular expression for each part, of five shapes."""
     k, n = F.col("p_partkey") % 5, F.col("p_partkey").cast("string")
@@ -237,12 +273,14 @@ ORM_USES_SQL = f"""WITH {_APPS}, u(f, r, c) AS (VALUES ('load', 's', NULL), ('lo
 QUERIES = {
     "python_graph_edges": python_graph,
     "python_call_outcomes": python_calls,
+    "python_bound_edges": bound_edges,
     "python_flask_routes": flask_routes,
     "python_django_routes": django_routes,
     "python_client_calls": client_calls,
     "python_session_calls": session_calls,
     "python_relation_uses": relation_uses,
     "python_parse_outcomes": parse_outcomes,
+    "python_parse_budget": parse_budget,
     "python_router_routes": router_routes,
     "route_template_classify": route_patterns,
     "manifest_minimums": manifest_minimums,
@@ -254,12 +292,14 @@ QUERIES = {
 ORACLES = {
     "python_graph_edges": PYTHON_GRAPH_SQL,
     "python_call_outcomes": PYTHON_CALLS_SQL,
+    "python_bound_edges": BOUND_SQL,
     "python_flask_routes": FLASK_SQL,
     "python_django_routes": DJANGO_SQL,
     "python_client_calls": CLIENT_SQL,
     "python_session_calls": SESSION_SQL,
     "python_relation_uses": RELATION_SQL,
     "python_parse_outcomes": OUTCOMES_SQL,
+    "python_parse_budget": BUDGET_SQL,
     "python_router_routes": ROUTER_SQL,
     "route_template_classify": PATTERNS_SQL,
     "manifest_minimums": MINIMUMS_SQL,

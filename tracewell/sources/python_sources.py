@@ -12,8 +12,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tracewell.operators.budget import within_budget
+
 # fixed values: limits and names of discovery
 MOST_BYTES, MOST_DEPTH, MOST_NODES = 4 * 2**20, 64, 1_000_000
+MOST_TOTAL = 64 * 2**20  # bytes of sources that one run takes, of those that can be parsed
 SKIPPED = ("__pycache__", "node_modules", "site-packages", "venv", "env", "build", "dist")
 FACTS = "path string, fact string, id string, name string, value string, extra string, place int, line int, col int, scope string"
 MANAGERS = ("objects", "_default_manager", "_base_manager")
@@ -21,11 +24,12 @@ NOWHERE = "?"  # scope of a name that a lambda or a comprehension binds
 
 
 def read_project(spark: SparkSession, root: str) -> DataFrame:
-    """(path, content, length) of the .py files under ``root``, paths relative to it. Large files stay unread: the size filter is pushed down."""
+    """(path, content, length) of the .py files under ``root``, paths relative to it. Large files stay unread, with a null content: the size filter is pushed down."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.py").load(root)
     base = root.rstrip("/") + "/"
     path = F.regexp_replace(F.regexp_replace("path", "^file:/*", "/"), "^" + base.replace(".", r"\.").replace("file://", ""), "")
     kept = files.where(F.col("length") <= MOST_BYTES).select(path.alias("path"), "content", "length")
+    kept = kept.unionByName(files.where(F.col("length") > MOST_BYTES).select(path.alias("path"), F.lit(None).cast("binary").alias("content"), "length"))
     return kept.where(is_source_path(F.col("path")))
 
 
@@ -70,6 +74,16 @@ def arguments(a: ast.arguments) -> set[str]:
     return {x.arg for x in [*a.posonlyargs, *a.args, *a.kwonlyargs, a.vararg, a.kwarg] if x}
 
 
+def outside(node: ast.FunctionDef | ast.AsyncFunctionDef | ast.ClassDef) -> list[ast.AST]:
+    """What a definition works out in the scope around it: arguments of decorators, defaults and annotations, or bases and keywords of a class."""
+    made = [x for d in node.decorator_list if isinstance(d, ast.Call) for x in [*d.args, *(k.value for k in d.keywords)]]
+    if isinstance(node, ast.ClassDef):
+        return [*made, *node.bases, *(k.value for k in node.keywords)]
+    a = node.args
+    hints = [x.annotation for x in [*a.posonlyargs, *a.args, *a.kwonlyargs, a.vararg, a.kwarg] if x]
+    return [*made, *(x for x in [*a.defaults, *a.kw_defaults, *hints, node.returns] if x is not None)]
+
+
 def bound_names(body: list[ast.AST]) -> dict[str, list[ast.AST]]:
     """The names that statements bind in their own scope, each with the nodes that bind it. Those of inner scopes aren't among them."""
     found: dict[str, list[ast.AST]] = {}
@@ -191,6 +205,8 @@ class Reader(ast.NodeVisitor):
             self.put("decorator", d, target, text_parts(call.args[0]) if call and call.args else None, f"{self.path}#{'.'.join([*self.scope, node.name])}")
             if call:
                 self.keywords(call, f"{self.path}#{'.'.join([*self.scope, node.name])}", target)
+        for x in outside(node):
+            self.visit(x)
         self.scope.append(node.name)
         self.put("definition", node, node.name, kind, parent)
         if kind == "class":
@@ -203,9 +219,6 @@ class Reader(ast.NodeVisitor):
         self.spaces.pop()
         self.owner.pop()
         self.scope.pop()
-        if kind == "class":
-            for b in node.bases:
-                self.visit(b)
 
     def visit_FunctionDef(self, node) -> None:
         self.define(node, "method" if self.owner and self.owner[-1] == "class" else "function")
@@ -321,14 +334,20 @@ class Reader(ast.NodeVisitor):
                     self.put(fact, node, None, text, place)
 
 
-def parse(content: bytes, path: str) -> list[tuple]:
-    """Raw facts of one file, or one failure row with its reason."""
+def failed(path: str, reason: str) -> tuple:
+    return (path, "failure", None, None, reason, None, 0, None, None, None)
+
+
+def parse(content: bytes | None, path: str, kind: type = Reader) -> list[tuple]:
+    """Raw facts of one file, or one failure row with its reason. A null content is that of a file which is too large to be read."""
+    if content is None:
+        return [failed(path, "too-large")]
     try:
         text = content.decode("utf-8-sig")
         tree = ast.parse(text)
         if sum(1 for _ in ast.walk(tree)) > MOST_NODES:
             raise ValueError("too-many-nodes")
-        reader = Reader(path, [])
+        reader = kind(path, [])
         reader.put("definition", ast.Module([], []), "<module>", "module", None)
         reader.visit(tree)
         return reader.rows
@@ -340,15 +359,15 @@ def parse(content: bytes, path: str) -> list[tuple]:
         reason = "too-deep"
     except ValueError as e:
         reason = str(e) if str(e) == "too-many-nodes" else "syntax-error"
-    return [(path, "failure", None, None, reason, None, 0, None, None, None)]
+    return [failed(path, reason)]
 
 
-def facts(files: DataFrame) -> DataFrame:
-    """Raw facts of ``files`` (path, content): one task reads a file once, for all that is asked of it."""
+def facts(files: DataFrame, kind: type = Reader) -> DataFrame:
+    """Raw facts of ``files`` (path, content) as a ``kind`` of reader tells them: one task reads a file once, for all that is asked of it."""
 
     def run(batches):
         for b in batches:
-            rows = [r for path, content in zip(b["path"], b["content"], strict=True) for r in parse(bytes(content or b""), path)]
+            rows = [r for path, content in zip(b["path"], b["content"], strict=True) for r in parse(None if content is None else bytes(content), path, kind)]
             out = pd.DataFrame(rows, columns=[c.split()[0] for c in FACTS.split(", ")])
             yield out.astype({"place": "int32", "line": "Int32", "col": "Int32"})
 
@@ -358,3 +377,12 @@ def facts(files: DataFrame) -> DataFrame:
 def outcomes(raw: DataFrame) -> DataFrame:
     """(outcome, n): files that were read, and failures by reason."""
     return raw.where("fact = 'failure' OR (fact = 'definition' AND value = 'module')").groupBy(F.when(F.col("fact") == "failure", F.col("value")).otherwise("parsed").alias("outcome")).agg(F.count_distinct("path").alias("n"))
+
+
+def budgeted(raw: DataFrame, files: DataFrame, budget: int = MOST_TOTAL) -> DataFrame:
+    """``raw`` facts of ``files`` (path, length) within a budget of bytes: files that were parsed are taken in order of path, each that still fits, and others are a failure row."""
+    parsed = raw.where("fact = 'definition' AND value = 'module'").select("path").distinct()
+    over = within_budget(files.join(parsed, "path", "left_semi").select("path", "length"), "length", budget, "path").where("NOT taken").select("path")
+    kinds = dict(c.split() for c in FACTS.split(", "))
+    told = {"path": F.col("path"), "fact": F.lit("failure"), "value": F.lit("source-budget"), "place": F.lit(0)}
+    return raw.join(over, "path", "left_anti").unionByName(over.select(*(told.get(c, F.lit(None)).cast(t).alias(c) for c, t in kinds.items())))
