@@ -108,3 +108,42 @@ def test_numbered_roots_and_utf16(spark):
     assert [(r.root_idx, r.id) for r in T.number_roots(ids).orderBy("root_idx").collect()] == [(0, "b"), (1, "a")]
     rows = spark.createDataFrame([("～",), ("\U0001f600",), ("a",)], "s string").orderBy(T.utf16(F.col("s")))
     assert [r.s for r in rows.collect()] == ["a", "\U0001f600", "～"]
+
+
+@pytest.mark.parametrize("depth", [3, 128])
+def test_many_roots(spark, depth):
+    """More roots than one number packs and than are listed, in an order that isn't the nodes'."""
+    r = random.Random(depth)
+    names = [f"n{k:03d}" for k in range(220)]
+    raw = [(a, r.choice(names), r.choice(KINDS), r.choice(E.TIERS)) for a in names for _ in range(2)]
+    roots = r.sample(names, 150)
+    nodes = spark.createDataFrame([(x,) for x in names], "id string")
+    edges = E.merge_edges(spark.createDataFrame(raw, "source string, target string, kind string, evidence string"), nodes)
+    found = T.traverse(nodes, edges, spark.createDataFrame(list(enumerate(roots)), "root_idx int, id string"), "dependencies", "candidates", depth)
+    rows, reasons = brute(names, raw, roots, depth, "dependencies", "candidates", 100_000)
+    assert [(x.id, x.via, x.depth, tuple(x.roots), tuple(x.relationships), x.evidence) for x in found.rows.collect()] == [(a, b, c, d[:64], e, f) for a, b, c, d, e, f in rows]
+    assert found.meta.first().reasons == reasons and found.meta.first().roots_truncated == any(len(x[3]) > 64 for x in rows)
+
+
+def test_reach_of_all_orders(spark):
+    """The registered query against a search from each root over the collected graph."""
+    from tracewell.plans import graph_queries as Q
+
+    sf = "/root/testdata/sf0.001"
+    nodes, merged_edges = Q.graph(spark, sf)
+    ids = {x.id for x in nodes.collect()}
+    near = {}
+    for x in merged_edges.collect():
+        near.setdefault(x.source, set()).add(x.target)
+    roots = sorted((i for i in ids if i.startswith("orders#")), key=lambda i: int(i.split("#")[1]))[: T.MOST_ROOTS]
+    reached = {}
+    for k, root in enumerate(roots):
+        out, frontier, d = {root}, [root], 0
+        while frontier:
+            d += 1
+            frontier = {y for x in frontier for y in near.get(x, ())} - out
+            out |= frontier
+            for y in frontier:
+                reached.setdefault(y, []).append((d, k))
+    got = {x.id: (x.depth, x.roots) for x in Q.WHOLE["reach_all_orders"](spark, sf).collect()}
+    assert got == {y: (min(v)[0], ",".join(map(str, sorted(k for _, k in v)[:64]))) for y, v in reached.items()}

@@ -1,9 +1,9 @@
 """Bounded reachability from many roots, level by level, with attribution to each root.
 
-State is a relation (node, root, depth, tier): a row for the first level at which a root reaches a node, and one for each later level at which
-edges of stronger evidence alone reach it, so one pass tells all tiers. A level is one join of the frontier with the
-adjacency, a minimum of tiers, and an anti join against the levels before; each level is written once, so lineage stays short and a lost
-executor costs no more than a level. Nothing but the size of a frontier comes to the driver.
+State is a relation (node, bucket, depth, a set for each tier): which roots of a bucket of PACKED first reach the node at that level over edges of up to that
+tier, as bits of a number. So a node has a row for each PACKED roots at most and level that adds some, one pass tells all tiers, and sets are joined and told apart by the bit. A level is one join of the frontier with the
+adjacency and one aggregation with the levels before; each level is written once, so lineage stays short and a lost
+executor costs no more than a level. Nothing but the size of a frontier comes to the driver. No root is left out, however many are listed.
 """
 
 from __future__ import annotations
@@ -19,6 +19,7 @@ from tracewell.storage import drop, materialize
 MOST_DEPTH, MOST_REACHED, MOST_ROOTS = 128, 100_000, 10_000  # fixed values: bounds of a request
 COMPACTED = 8  # levels after which those before are written as one table
 KEPT_ROOTS = 64  # fixed value: roots that are listed for a node
+PACKED = 60  # roots whose bits are one number; less than 63, as the lowest bit is found by arithmetic
 MOST_UNRESOLVED = 1_000_000  # fixed value: the largest count of open calls that is shown
 
 
@@ -50,7 +51,7 @@ def neighbours(edges: DataFrame, direction: str, weakest: int) -> DataFrame:
 
 
 def propagate(near: DataFrame, roots: DataFrame, max_depth: int) -> tuple[DataFrame, DataFrame | None]:
-    """((node, root_idx, depth, tier) rows, the last frontier if the depth bound stopped it).
+    """((node, root_idx, depth, tier) rows, the last frontier if the depth bound stopped it), for roots of any name, a row for each that a node has.
 
     Of a node and root, the first row has the least depth; a later one has a stronger tier than all before: that of the weakest edge on
     the way, for the best way of that many steps.
@@ -72,6 +73,32 @@ def propagate(near: DataFrame, roots: DataFrame, max_depth: int) -> tuple[DataFr
     return seen, at
 
 
+def _bit(root: Column) -> tuple[Column, Column]:
+    return F.floor(root / PACKED).cast("int").alias("bucket"), F.call_function("shiftleft", F.lit(1).cast("long"), (root % PACKED).cast("int")).alias("bit")
+
+
+def spread(near: DataFrame, roots: DataFrame, max_depth: int, weakest: int) -> tuple[DataFrame, DataFrame | None]:
+    """((node, bucket, depth, b0, ...) rows, the last frontier if the depth bound stopped it): the roots that are new to a node at a level, for each tier over whose edges, and stronger ones, they come."""
+    sets = [f"b{t}" for t in range(weakest + 1)]
+    start = roots.select(F.col("id").alias("node"), *_bit(F.col("root_idx"))).groupBy("node", "bucket").agg(F.bit_or("bit").alias("bit"))
+    at = materialize(start.select("node", "bucket", F.lit(0).alias("depth"), *(F.col("bit").alias(b) for b in sets)), "level")
+    seen, parts = at, [at]
+    none = F.lit(0).cast("long")
+    for depth in range(1, max_depth + 1):
+        come = at.join(near, F.col("node") == F.col("src")).select(F.col("dst").alias("node"), "bucket", *(F.when(F.col("tier") <= t, F.col(b)).otherwise(none).alias(b) for t, b in enumerate(sets)), *(none.alias(f"old_{b}") for b in sets))
+        both = come.unionByName(seen.select("node", "bucket", *(none.alias(b) for b in sets), *(F.col(b).alias(f"old_{b}") for b in sets)))
+        new = both.groupBy("node", "bucket").agg(*(F.bit_or(b).bitwiseAND(F.bitwise_not(F.bit_or(f"old_{b}"))).alias(b) for b in sets))
+        at = materialize(new.where(" OR ".join(f"{b} <> 0" for b in sets)).select("node", "bucket", F.lit(depth).alias("depth"), *sets), "level")
+        if at.isEmpty():
+            return seen, None
+        seen, parts = seen.unionByName(at), [*parts, at]
+        if len(parts) > COMPACTED:
+            seen = materialize(seen, "levels")
+            drop(*parts[:-1])
+            parts = [seen]
+    return seen, at
+
+
 def traverse(nodes: DataFrame, edges: DataFrame, roots: DataFrame, direction: str = "dependencies", dispatch: str = "direct", max_depth: int = MOST_DEPTH, max_reached: int = MOST_REACHED) -> Reached:
     """What ``roots`` (root_idx, id) reach over merged ``edges``.
 
@@ -86,28 +113,36 @@ def traverse(nodes: DataFrame, edges: DataFrame, roots: DataFrame, direction: st
     known = roots.join(nodes.select("id").distinct(), "id", "left_semi")
     missing = roots.join(nodes.select("id").distinct(), "id", "left_anti")
     near = materialize(neighbours(edges, direction, weakest), "adjacency")
-    steps, frontier = propagate(near, known, max_depth)
-    levels = materialize(steps.groupBy("node", "root_idx").agg(F.min("depth").alias("depth"), F.min("tier").alias("tier")), "reached")
+    steps, frontier = spread(near, known, max_depth, weakest)
+    sets = [f"b{t}" for t in range(weakest + 1)]
+    all_ = sets[-1]
+    levels = materialize(steps.groupBy("node", "bucket").agg(*(F.bit_or(b).alias(b) for b in sets)), "reached")
 
     cut = F.lit(False)
     if frontier is not None:
-        onward = frontier.join(near, F.col("node") == F.col("src")).select(F.col("dst").alias("node"), "root_idx")
-        cut = F.lit(not onward.join(levels, ["node", "root_idx"], "left_anti").isEmpty())
-
-    own = known.select(F.col("root_idx"), F.col("id").alias("node"))
-    pairs = levels.join(own, ["node", "root_idx"], "left_anti")
-    place = F.row_number().over(Window.partitionBy("node").orderBy("root_idx"))
-    first = pairs.withColumn("place", place)
-    summed = first.groupBy("node").agg(
-        F.min(F.struct("depth", "root_idx")).alias("best"),
-        F.count("*").alias("n_roots"),
-        F.max("tier").alias("tier"),  # a root that is the node itself has the strongest
-        F.sort_array(F.collect_list(F.when(F.col("place") <= KEPT_ROOTS, F.col("root_idx")))).alias("roots"),
-    ).select("node", F.col("best.depth").alias("depth"), F.col("best.root_idx").alias("nearest"), "n_roots", "tier", "roots")
-
-    before = levels.select(F.col("node").alias("via"), F.col("root_idx").alias("nearest"), (F.col("depth") + 1).alias("depth"))
+        onward = frontier.join(near, F.col("node") == F.col("src")).groupBy(F.col("dst").alias("node"), "bucket").agg(F.bit_or(all_).alias("more"))
+        left = onward.join(levels, ["node", "bucket"], "left").where(F.col("more").bitwiseAND(F.bitwise_not(F.coalesce(all_, F.lit(0).cast("long")))) != 0)
+        cut = F.lit(not left.isEmpty())
+
+    own = known.select(F.col("id").alias("node"), *_bit(F.col("root_idx"))).groupBy("node", "bucket").agg(F.bit_or("bit").alias("own"))
+    others = lambda rows: rows.join(own, ["node", "bucket"], "left").withColumn("bits", F.col(all_).bitwiseAND(F.bitwise_not(F.coalesce("own", F.lit(0).cast("long"))))).where("bits <> 0")
+    lowest = F.bit_count(F.col("bits").bitwiseAND(-F.col("bits")) - 1)
+    first = others(steps).groupBy("node").agg(F.min(F.struct("depth", (F.col("bucket") * PACKED + lowest).alias("nearest"))).alias("best")).select("node", "best.depth", "best.nearest")
+    # the strongest tier whose set is the whole one, in the bucket that is hardest to reach
+    strongest = F.coalesce(*(F.when(F.col(b) == F.col(all_), F.lit(t)) for t, b in enumerate(sets)))
+    tiers = levels.groupBy("node").agg(F.max(strongest).alias("tier"))
+    place = Window.partitionBy("node").orderBy("bucket")
+    held = others(levels).withColumn("upto", F.sum(F.bit_count("bits")).over(place))
+    roots_of = F.transform(F.filter(F.sequence(F.lit(0), F.lit(PACKED - 1)), lambda i: F.col("bits").bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), i)) != 0), lambda i: (F.col("bucket") * PACKED + i).cast("int"))
+    listed = held.withColumn("listed", F.when(F.col("upto") - F.bit_count("bits") < KEPT_ROOTS, roots_of))
+    listed = listed.groupBy("node").agg(F.max("upto").alias("n_roots"), F.sort_array(F.collect_list(F.when(F.col("listed").isNotNull(), F.struct("bucket", "listed")))).alias("parts"))
+    listed = listed.select("node", "n_roots", F.slice(F.flatten(F.transform("parts", lambda x: x["listed"])), 1, KEPT_ROOTS).alias("roots"))
+    summed = first.join(listed, "node").join(tiers, "node")
+
+    before = steps.select(F.col("node").alias("via"), "bucket", (F.col("depth") + 1).alias("depth"), F.col(all_).alias("known"))
     back = near.select(F.col("src").alias("via"), F.col("dst").alias("node"), "kinds")
-    via = summed.select("node", "nearest", "depth").join(back, "node").join(before, ["via", "nearest", "depth"])
+    asked = first.select("node", "depth", F.floor(F.col("nearest") / PACKED).cast("int").alias("bucket"), F.expr(f"shiftleft(1L, CAST(nearest % {PACKED} AS INT))").alias("bit"))
+    via = asked.join(back, "node").join(before, ["via", "bucket", "depth"]).where(F.col("known").bitwiseAND(F.col("bit")) != 0)
     via = via.groupBy("node").agg(F.min_by(F.struct("via", "kinds"), utf16(F.col("via"))).alias("w")).select("node", F.col("w.via").alias("via"), F.col("w.kinds").alias("relationships"))
 
     # the strongest tier over which as many roots reach the node as over all
