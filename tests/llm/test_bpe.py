@@ -57,3 +57,11 @@ def test_nulls_extra_columns_and_no_rows(spark):
     assert bpe.digests(docs.limit(0), path, public_tokenizers.PATTERN).count() == 0
     assert [bytes(r.decoded) for r in bpe.decode(bpe.encode(docs, path, public_tokenizers.PATTERN), path).collect()] == [b"", b"", b""]
     assert base64.b64encode(CODEC.decode([RANKS[b"a"]])) == b"YQ=="
+
+
+def test_position_of_files_with_a_column_of_their_metadata_s_name(spark, tmp_path):
+    docs = spark.range(5).selectExpr("id AS doc_id", "'a' AS source", "'en' AS lang", "'text' AS text", "1 AS _metadata")
+    docs.coalesce(1).write.parquet(f"{tmp_path}/d")
+    out = bpe.stage(spark, spark.read.parquet(f"{tmp_path}/d"), "").collect()
+    assert sorted((r.doc_id, r.position) for r in out) == [(k, k) for k in range(5)]
+    assert {r.position for r in bpe.stage(spark, docs, "").collect()} == {None}

@@ -106,3 +106,10 @@ def test_training_steps_and_scores_against_plain_python(spark):
     scored = {r.doc_id: r.score for r in quality.score(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), trained).collect()}
     for k, (at, x, _) in enumerate(rows):
         assert abs(scored[k] - 1 / (1 + math.exp(-sum(want.get(i, 0.0) * v for i, v in zip(at.tolist(), x.tolist()))))) < 1e-9
+
+
+def test_language_stage_without_labels_keeps_what_has_letters(spark):
+    from tracewell.llm import language_id
+
+    docs = spark.createDataFrame([(1, "some words", None), (2, "123 ...", None), (3, None, None), (4, "", None), (5, "漢字", None)], "doc_id long, text string, lang string")
+    assert sorted(r.doc_id for r in language_id.stage(spark, docs, "").collect()) == [1, 5]

@@ -28,7 +28,7 @@ def test_held_out_labelled_layouts(spark):
         label = [0] * len(marked.parent)
         for i in range(len(label)):
             given = re.search(r"_c(\d)_", marked.names[i])
-            label[i] = int(given[1]) if given else label[marked.parent[i]] if i else 0
+            label[i] = int(given[1]) if given else label[marked.parent[i]] if i else int(not H.labelled_page(k).startswith("<!DOCTYPE"))
         likely = model.marginals(H.Page(H.labelled_page(k)))
         wrong += sum((likely[b] > H.LIKELY) != bool(label[b]) for b, _ in marked.runs)
         total += len(marked.runs)
@@ -82,3 +82,17 @@ def test_layouts_of_unknown_names(spark):
     one, two = "The river had risen by a metre overnight, and nobody in the village had slept. " * 3, "By noon the water fell again, slowly, and the road to the mill came back into sight. " * 3
     text = model.text(OTHERS.format(head="A river rises", one=one, two=two))
     assert one.strip() in text and two.strip() in text and "Second" not in text and "Sport" not in text
+
+
+RIVER = "The river had risen by a metre overnight, and nobody in the village had slept until the morning came. "
+
+
+def test_pages_without_a_shell(spark):
+    """Paragraphs right in the body beside menus and footers, lists and paragraphs of links within articles, and fragments."""
+    model = H.fit(H.labelled_pages(spark))
+    paragraphs = [(RIVER * k).strip() for k in (1, 2, 3, 2)]
+    page = "<html><body><nav><ul><li><a href=/>Home</a></li><li><a href=/n>News</a></li></ul></nav><h1>River</h1>" + "".join(f"<p>{p}</p>" for p in paragraphs) + "<footer>&copy; 2020 The Paper</footer></body></html>"
+    assert model.text(page) == "\n\n".join(["River", *paragraphs])
+    linked = f"<html><body><nav><a href=/>Home</a></nav><article><h1>River</h1><p>{paragraphs[0]}</p><ul><li><a href=/1>First report</a></li><li><a href=/2>Second report</a></li></ul><p><a href=/3>The whole story</a></p><p>{paragraphs[1]}</p></article><footer>Imprint</footer></body></html>"
+    assert model.text(linked) == "\n\n".join(["River", paragraphs[0], "First report", "Second report", "The whole story", paragraphs[1]])
+    assert model.text("<p>Short page.</p>") == "Short page."

@@ -34,3 +34,18 @@ def test_of_writers_at_once_one_wins(spark, tmp_path):
     assert sorted(won) == [False, False, False, True] and r.committed() == ["1"]
     assert [tuple(x) for x in r.totals().collect()] == [("a", "en", "v1", 1, 10)]
     assert not list(tmp_path.glob("r/**/_made-*"))
+
+
+def test_repeated_ids_and_texts_against_sql(spark):
+    import duckdb
+
+    rows = [(1, "same text"), (5, "same text"), (5, "other words here"), (1, "same text"), (None, "same text"), (None, None), (3, None), (3, ""), (7, "x\ny " * 9000), (None, "alone\n")]
+    docs = spark.createDataFrame([(t, "en", "a", d, 5, 6) for d, t in rows], "text string, lang string, source string, doc_id long, row int, hash int").repartition(3)
+    c = duckdb.connect()
+    c.sql("CREATE TABLE documents (doc_id BIGINT, source VARCHAR, lang VARCHAR, text VARCHAR)")
+    for d, t in rows:
+        c.execute("INSERT INTO documents VALUES (?, 'a', 'en', ?)", [d, t])
+    order = ("source", "lang", "tokenizer", "documents", "tokens")
+    want = c.sql(f"SELECT {', '.join(order)} FROM ({T.ORACLE_SQL})").fetchall()
+    assert sorted(tuple(r[k] for k in order) for r in T.rolled(spark, docs).collect()) == sorted(want)
+    assert T.rolled(spark, docs.limit(0)).collect() == []

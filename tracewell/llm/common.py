@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -58,11 +57,11 @@ def positioned(docs: DataFrame, *columns: str) -> DataFrame:
 
     The order of splits when files are read doesn't matter.
     """
-    try:
-        rows = docs.select(*columns, F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_at"))
-        files = docs.groupBy(F.col("_metadata.file_path").alias("_f")).agg(F.count("*").alias("_n"))
-    except AnalysisException:
+    if docs._jdf.queryExecution().analyzed().getClass().getSimpleName() != "LogicalRelation" or not docs.inputFiles():
         return docs.select(*columns, F.lit(None).cast("long").alias("position"))
+    about = docs.metadataColumn("_metadata")  # the files' own, whatever columns are called
+    rows = docs.select(*columns, about["file_path"].alias("_file"), about["row_index"].alias("_at"))
+    files = docs.groupBy(about["file_path"].alias("_f")).agg(F.count("*").alias("_n"))
     name = F.substring_index("_f", "/", -1)
     part = F.when(name.rlike(r"^part-\d+"), F.regexp_extract(name, r"^part-(\d+)", 1).cast("long"))
     ahead = F.sum("_n").over(Window.orderBy(part.asc_nulls_first(), "_f")) - F.col("_n")  # a row for each file

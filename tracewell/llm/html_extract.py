@@ -2,7 +2,7 @@
 
 A page's block elements form a tree. Each has a hidden label, content or not, a prior at the root, a potential with its
 parent's label, and evidence: its tag, the words of its class, id and role, how much text of its own it has, and how
-much of that is links. One sum-product pass upward and one downward give each element's marginal; text stands where
+much of that is links, within an article or outside. One sum-product pass upward and one downward give each element's marginal; text stands where
 content is likelier than not. All potentials are counts (with add-one smoothing) over labelled pages, which are written
 by ``labelled_pages`` from many site layouts.
 
@@ -47,6 +47,7 @@ class Page:
     def __init__(self, text: str):
         self.parent, self.tags, self.names, self.runs = [-1], ["#root"], [""], []
         self.linked, self.length = [0], [0]
+        self.inside = [False]  # whether an article or main element is around
         self._read(text)
 
     def _read(self, text: str) -> None:
@@ -113,6 +114,7 @@ class Page:
             if block and not hidden:
                 attributes = m[3] if m[2] else m[6]
                 self.parent.append(owner)
+                self.inside.append(self.inside[owner] or self.tags[owner] in ("article", "main"))
                 self.tags.append(tag)
                 self.names.append(" ".join(a or b or c for a, b, c in NAMED.findall(attributes)) if attributes else "")
                 self.linked.append(0)
@@ -131,9 +133,10 @@ class Page:
     def evidence(self, k: int) -> list[str]:
         n, share = self.length[k], self.linked[k] / max(1, self.length[k])
         size = 0 if not n else 1 + (n >= 25) + (n >= 100) + (n >= 400)
-        found = ["t:" + self.tags[k], f"n:{size}"]
+        found = ["t:" + self.tags[k], f"n:{size}"] if k else ["r:page" if {"html", "body", "head"} & set(self.tags) else "r:part"]
         if n:
-            found.append(f"a:{math.ceil(share * 3)}")
+            level = math.ceil(share * 3)
+            found.append(f"a:{level}{'in' * (level == 3 and self.inside[k])}")
         if self.names[k]:
             found += ["w:" + w.lower() for w in dict.fromkeys(WORD.findall(self.names[k]))]
         return found
@@ -174,7 +177,7 @@ class Model:
 
 
 def labelled_page(k: int) -> str:
-    """A page of an invented site; elements with data-c="1" hold content, with "0" none, others are as their parent."""
+    """A page of an invented site; elements with data-c="1" hold content, with "0" none, others are as their parent; the root does where there is no page around the content."""
     r = random.Random(k)
     words = lambda a, b: " ".join("".join(r.choice(("ba", "den", "ko", "li", "ran", "the", "su", "ing")) for _ in range(r.randint(1, 4))) for _ in range(r.randint(a, b)))
     sentence = lambda a, b: words(a, b).capitalize() + "."
@@ -187,8 +190,12 @@ def labelled_page(k: int) -> str:
             return f"<p>{text}</p>" if r.random() < 0.7 else f"<p><b>{text}<br>" if r.random() < 0.5 else f'<p>{text} <a href="/y">{words(1, 3)}</a> {sentence(1, 6)}</p>'
         if kind < 0.78:
             return f"<h{r.randint(2, 4)}>{words(1, 7)}</h2>"
-        if kind < 0.86:
+        if kind < 0.81:
             return "<ul>" + "".join(f"<li>{sentence(1, 12)}</li>" for _ in range(r.randint(1, 5))) + "</ul>"
+        if kind < 0.84:
+            return f"<ul>{links(2, 5)}</ul>"
+        if kind < 0.86:
+            return f'<p><a href="/r">{words(1, 9)}</a></p>'
         if kind < 0.9:
             return f"<blockquote><p>{sentence(5, 30)}</p></blockquote>"
         if kind < 0.94:
@@ -231,19 +238,23 @@ def labelled_page(k: int) -> str:
         said = "".join(f'<li class="comment"><p>{sentence(2, 20)}</p></li>' for _ in range(r.randint(1, 5)))
         return named("ol", ("commentlist", "comments", "comment-thread")) + said + "</ol>"
 
+    if r.random() < 0.05:  # no page around it: the root itself is content
+        return "".join(around(False) if r.random() < 0.1 else prose() for _ in range(r.choice((1, 1, 2, 5))))
     main = f"<h1>{words(2, 9)}</h1>" + "".join(around(True) if r.random() < 0.12 else prose() for _ in range(r.choice((0, 1, 3, 6, 12))))
-    shell = r.random()
-    if shell < 0.5:
+    shell, holds = r.random(), ""
+    if shell < 0.15:  # content right in the body
+        holds = ' data-c="1"'
+    elif shell < 0.55:
         main = f'<article data-c="1">{main}</article>'
-    elif shell < 0.65:
+    elif shell < 0.68:
         main = f'<main data-c="1">{main}</main>'
-    elif shell < 0.75:
+    elif shell < 0.77:
         main = f'<main><article data-c="1">{main}</article></main>'
     else:
         main = f'<div {r.choice(("class", "id"))}="{r.choice(("content", "post", "entry-content", "article-body", "post-content", "story", "main", "main-content", "article", "text", "body"))}" data-c="1">{main}</div>'
     top, end = ("".join(around(False) for _ in range(r.randint(0, 4))) for _ in range(2))
-    body = top + main + end if r.random() < 0.7 else f'<div class="{r.choice(("wrapper", "container", "page", "layout"))}">{top}{main}</div>{end}'
-    return f"<!DOCTYPE html><html><head><title>{words(2, 6)}</title><style>p{{}}</style></head><body>{body}" + r.choice(("</body></html>", ""))
+    body = top + main + end if holds or r.random() < 0.7 else f'<div class="{r.choice(("wrapper", "container", "page", "layout"))}">{top}{main}</div>{end}'
+    return f"<!DOCTYPE html><html><head><title>{words(2, 6)}</title><style>p{{}}</style></head><body{holds}>{body}" + r.choice(("</body></html>", ""))
 
 
 def labelled_pages(spark: SparkSession, pages: int = PAGES) -> DataFrame:
@@ -268,7 +279,7 @@ def fit(pages: DataFrame) -> Model:
                 label = [0] * len(page.parent)
                 for k in range(len(label)):
                     given = re.search(r"_c(\d)_", page.names[k])
-                    label[k] = int(given[1]) if given else label[page.parent[k]] if k else 0
+                    label[k] = int(given[1]) if given else label[page.parent[k]] if k else int(not html.startswith("<!DOCTYPE"))
                     page.names[k] = re.sub(r"_c\d_", "", page.names[k])
                     for f in ["#", *page.evidence(k), f"edge{label[page.parent[k]]}" if k else "root"]:
                         seen.setdefault(f, [0, 0])[label[k]] += 1

@@ -140,5 +140,8 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a language, with all columns as they are. Profiles come from the documents of this stage's own input."""
-    return docs.where(guesser(spark, fit(docs))(F.col("text"))["lang_pred"] != "und")
+    """Documents that have a letter, with all columns as they are: a language can be given to these alone. Profiles come from the documents of this stage's own input; without any (no labels), none can be told from another, and all with a letter stay."""
+    profiles = fit(docs)
+    if not profiles:
+        return docs.where(F.col("text").rlike(r"\p{L}"))
+    return docs.where(guesser(spark, profiles)(F.col("text"))["lang_pred"] != "und")

@@ -10,7 +10,7 @@ another was first, and takes its own away. A job that fails takes its folder awa
 
 Defined cases: a null source or language is a group of its own; a null count or text adds a document and no tokens; a change with an unknown
 kind is an error; groups whose documents and tokens both come to zero are not shown; an empty batch commits and adds nothing;
-a repeated change within a batch counts as often as it stands there.
+a repeated change within a batch counts as often as it stands there; an empty table of documents has no totals; texts are counted whole; columns other than doc_id, source, lang and text are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -97,18 +97,26 @@ def changed(rows: DataFrame, kind: str, old: Column | None = None) -> DataFrame:
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Totals after four batches over all documents: inserted by words, inserted by bytes, every later copy of a text deleted from
     the words, and all byte counts revised to leave out line ends. The first batch comes a second time and is ignored."""
-    docs = common.read(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text")
+    return rolled(spark, common.read(spark, sf_dir, "documents"))
+
+
+def rolled(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    """The batches of ``query`` over ``docs`` (doc_id, source, lang, text). Texts are read once, for a narrow table of counts and hashes.
+
+    Of the rows of a text, the one of the smallest id stays, a null id being the largest, and one alone of those that share it; each other row is a deletion of its own.
+    """
+    counts = {name: F.coalesce(F.expr(e), F.lit(0)).cast("long") for name, e in (TOKENIZERS | {"bare": "octet_length(replace(text, '\n', ''))"}).items()}
+    narrow = docs.select("doc_id", "source", "lang", "text").select("doc_id", "source", "lang", F.monotonically_increasing_id().alias("row"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("hash"), *(c.alias(n) for n, c in counts.items()))
+    narrow = common.materialize(narrow, "counts")
+    kept = narrow.groupBy("hash").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("first")).select(F.col("first.row").alias("row"))
+    of = lambda rows, tokenizer: rows.select("source", "lang", F.lit(tokenizer).alias("tokenizer"), F.col(f"`{tokenizer}`").alias("tokens"))
     rollup = Rollup(spark, f"{common.shared_dir(spark)}/rollup-{uuid.uuid4().hex}")
-    words = counted(docs, TOKENIZERS["words-1"], "words-1")
-    size = counted(docs, TOKENIZERS["bytes-1"], "bytes-1")
-    first = docs.groupBy(F.sha2(F.coalesce("text", F.lit("")), 256).alias("_h")).agg(F.min("doc_id").alias("_first"))
-    copies = words.join(docs.select(F.col("doc_id").alias("_id"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("_h")).join(first, "_h").where("_id > _first").select("_id"), F.col("doc_id") == F.col("_id"), "left_semi")
-    revised = docs.select("source", "lang", F.lit("bytes-1").alias("tokenizer"), F.coalesce(F.octet_length(F.replace("text", F.lit("\n"), F.lit(""))), F.lit(0)).cast("long").alias("tokens"), F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("old_tokens"), F.lit("revise").alias("kind"))
-    rollup.commit("0001", changed(words, "insert"))
-    rollup.commit("0002", changed(size, "insert"))
-    rollup.commit("0003", changed(copies, "delete"))
-    rollup.commit("0004", revised)
-    rollup.commit("0001", changed(words, "insert"))
+    words = changed(of(narrow, "words-1"), "insert")
+    rollup.commit("0001", words)
+    rollup.commit("0002", changed(of(narrow, "bytes-1"), "insert"))
+    rollup.commit("0003", changed(of(narrow.join(kept, "row", "left_anti"), "words-1"), "delete"))
+    rollup.commit("0004", narrow.select("source", "lang", F.lit("bytes-1").alias("tokenizer"), F.col("bare").alias("tokens"), F.col("`bytes-1`").alias("old_tokens"), F.lit("revise").alias("kind")))
+    rollup.commit("0001", words)
     return rollup.totals()
 
 
