@@ -14,6 +14,12 @@ def brute(text):
     return sorted(spans)
 
 
+def echoes(text, live):
+    base = brute(text)
+    runs = [(m.start(), 3, m.end(), "copy", m[0]) for m in re.finditer("[A-Za-z0-9+/_-]+", text or "")]
+    return [x for x in runs if len(x[4]) >= 12 and re.search("[0-9]", x[4]) and x[4] in live and not any(b[0] < x[2] and x[0] < b[2] for b in base)]
+
+
 def joined(spans):
     return ",".join(f"{n}:{a}:{b}" for a, _, b, n, *_ in spans)
 
@@ -27,15 +33,15 @@ TEXTS = [
 @pytest.fixture(scope="module")
 def docs(spark):
     rows = [(i, t, f"s{i % 3}", "z") for i, t in enumerate(TEXTS)]
+    rows += [(200, "token=Zq7-live-value9 here", "s0", "z"), (201, "é Zq7-live-value9, (Zq7-live-value9) x=Zq7-live-value9 and xZq7-live-value9", "s1", "z"), (202, "password = shortlivevalue", "s1", "z"), (203, "a shortlivevalue", "s1", "z")]
+    rows += [(204, "token=Copied00value1", "s0", "z"), (205, "token=Copied00value1", "s1", "z"), (206, "token=Copied00value1", "s2", "z"), (207, "Copied00value1", "s2", "z"), (208, "Zq7-live-value9", None, "z")]
     rows += [(None, TEXTS[3], None, "z"), (3, TEXTS[3], "s0", "z"), (100, "password=abcdef", "s2", "z"), (101, "here password=abcdef", "s1", "z")]
     return spark.createDataFrame(rows, "doc_id long, text string, source string, found string")
 
 
 def test_against_brute_force(docs):
     rows = docs.collect()
-    want = sorted((str(r.doc_id), joined(brute(r.text)), hashlib.sha256(joined(brute(r.text)).encode()).hexdigest()) for r in rows)
     out = S.report(docs).collect()
-    assert sorted((str(r.doc_id), r.spans, r.base_sha256) for r in out) == want
     owners, repos = {}, {}
     for r in rows:
         for *_, value in brute(r.text):
@@ -43,6 +49,10 @@ def test_against_brute_force(docs):
             repos.setdefault(value, set()).add(r.doc_id)
     live = sorted(joined([s for s in brute(r.text) if not (len(owners[s[4]]) > 1 and len(repos[s[4]]) >= S.COPIES)]) for r in rows)
     assert sorted(r.live_spans for r in out) == live
+    known = {v for v in owners if not (len(owners[v]) > 1 and len(repos[v]) >= S.COPIES)}
+    both = lambda t: sorted(brute(t) + echoes(t, known))
+    assert sorted((str(r.doc_id), r.spans, r.base_sha256, r.n_copy) for r in out) == sorted((str(r.doc_id), joined(both(r.text)), hashlib.sha256(joined(brute(r.text)).encode()).hexdigest(), len(echoes(r.text, known))) for r in rows)
+    assert sum(r.n_copy for r in out) == 4
     assert sum(r.n_copied for r in out) == sum(len(brute(r.text)) for r in rows) - sum(r.n_live for r in out)
 
 

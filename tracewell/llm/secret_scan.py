@@ -3,7 +3,8 @@
 Three kinds of candidates are found in every whole text: assignments to a secret's name, access key ids, and long runs of
 hexadecimal digits. Each candidate's value is hashed, and over the whole corpus each hash is counted by the distinct
 repositories and the distinct owners that hold it. A value that several owners share is a widely copied example; one
-that a single owner holds is live-looking. Spans are kept either way; the counts say which are which.
+that a single owner holds is live-looking. Spans are kept either way; the counts say which are which. Where a live-looking value stands elsewhere without a name before it, as a word by itself in any text of the
+corpus, that place is a span too, of kind ``copy``: words that could be one (ECHO, with a digit, outside base spans) are joined to the live values by hash.
 
 All of it is DataFrame functions: the text between matches (split) and the matches themselves give each span's place.
 
@@ -11,7 +12,7 @@ Here a document is its own repository and ``source`` is its owner; both are para
 
 Defined cases: a null text is taken as empty: no spans, the hash of the empty string. A null owner counts as one owner of
 its own. Repeated rows each get a row; as they share repository and owner, they don't make a value copied. Equal starts
-go by kind in the order assign, access, hex. Texts are taken whole; other columns are not looked at.
+go by kind in the order assign, access, hex, copy. A live value with other characters than ECHO's, without a digit or shorter is looked for nowhere else, as it may be a word of the language. Texts are taken whole; other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -31,6 +32,8 @@ KINDS = (
 )
 # what a text must hold for a kind to be looked for: cheaper to find, and never missing where the kind is found
 HINTS = {"assign": "[:=]", "access": "AKIA", "hex": "[0-9a-f]{24}"}
+ECHO = ("copy", r"[A-Za-z0-9+/_-]+", 0, 12)  # what stands elsewhere: as KINDS
+HINTS["copy"] = "[A-Za-z0-9+/_-]{12}"
 MOST_OWNERS = 1  # owners of a live-looking value, at most
 CHUNK = 128  # spans that are gathered before they go to the others of their text
 SALTS = 16  # tasks that the holders of one copied value are dealt over
@@ -97,11 +100,39 @@ def _spans(text: Column, rank: int, name: str, pattern: str, group: int, least:
     return F.when(text.rlike(HINTS[name]) & text.rlike(pattern), _in_chunks(rows, F.lit(0), step, SPAN)).otherwise(empty)
 
 
-def scan(docs: DataFrame, text: str = "text", owner: str = "source", key: str | None = None) -> DataFrame:
-    """(doc_id, owner, row, found) of every row, and ``key`` if asked for: ``found`` has the base spans in order. Holds no texts."""
+def _echoes(text: Column, found: Column) -> Column:
+    """Words that could be a secret's other place: runs of ECHO's characters with a digit that no base span touches."""
+    runs = F.filter(_spans(text, len(KINDS), *ECHO), lambda x: x["value"].rlike("[0-9]"))
+    none, base = F.array().cast(f"array<{SPAN}>"), lambda x: x["rank"] < len(KINDS)
+
+    def ahead(at: Column, x: Column) -> Column:  # at: the last end of base spans that start before
+        return F.struct(F.when(base(x), F.greatest(at, x["end"])).otherwise(at).alias("state"), F.when(base(x) | (x["start"] >= at), F.array(x)).otherwise(none).alias("out"))
+
+    def back(at: Column, x: Column) -> Column:  # at: the first start of base spans that start later
+        return F.struct(F.when(base(x), F.least(at, x["start"])).otherwise(at).alias("state"), F.when(~base(x) & (x["end"] <= at), F.array(x)).otherwise(none).alias("out"))
+
+    def apart(some: Column) -> Column:
+        both = _in_chunks(F.array_sort(F.concat(found, some)), F.lit(0), ahead, SPAN)
+        return F.when(F.size(some) > 0, _in_chunks(F.reverse(both), F.lit(2**31 - 1), back, SPAN)).otherwise(none)
+
+    return _bound(runs, apart)
+
+
+def scan(docs: DataFrame, text: str = "text", owner: str = "source", key: str | None = None, echoes: bool = False) -> DataFrame:
+    """(doc_id, owner, row, found) of every row, and ``key`` and ``echo`` if asked for: ``found`` has the base spans in order, ``echo`` words that may be values. Holds no texts."""
     body = F.coalesce(F.col(text), F.lit(""))
     found = F.array_sort(F.concat(*(_spans(body, k, *kind) for k, kind in enumerate(KINDS))))
-    return docs.select("doc_id", F.col(owner).alias("owner"), F.monotonically_increasing_id().alias("row"), found.alias("found"), *([F.col(key).alias("key")] if key else []))
+    rows = docs.select("doc_id", F.col(owner).alias("owner"), F.monotonically_increasing_id().alias("row"), found.alias("found"), *([F.col(key).alias("key")] if key else []), *([body.alias("body")] if echoes else []))
+    return rows.withColumn("echo", _echoes(F.col("body"), F.col("found"))).drop("body") if echoes else rows
+
+
+def echoed(scanned: DataFrame, most_owners: int = MOST_OWNERS, copies: int = COPIES) -> DataFrame:
+    """(row, more): the words of each row that are a live-looking value of the corpus. Holders of one value are dealt over tasks by salt; a value stands SALTS times."""
+    hits = scanned.where(F.size("found") > 0).select("doc_id", "owner", F.explode("found").alias("s")).where(F.col("s.value").rlike(f"^{ECHO[1]}$") & F.col("s.value").rlike("[0-9]") & (F.length("s.value") >= ECHO[3]))
+    known = ownership(hits.select("doc_id", "owner", F.sha2(F.col("s.value"), 256).alias("hash")))
+    live = known.where(~((F.col("owners") > most_owners) & (F.col("repositories") >= copies))).select("hash", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).alias("salt"))
+    words = scanned.where(F.size("echo") > 0).select("row", F.explode("echo").alias("s")).withColumn("hash", F.sha2(F.col("s.value"), 256)).withColumn("salt", F.pmod(F.xxhash64("row"), F.lit(SALTS)))
+    return words.join(live, ["hash", "salt"], "left_semi").groupBy("row").agg(F.collect_list("s").alias("more"))
 
 
 def ownership(hits: DataFrame) -> DataFrame:
@@ -133,14 +164,16 @@ def _joined(spans: Column) -> Column:
 
 def report(docs: DataFrame) -> DataFrame:
     """Spans of each row and how many of them are live-looking or copied."""
-    scanned = common.materialize(scan(docs), "secrets")  # ids of rows stay as they are from here on
-    told = scanned.join(classify(scanned), "row", "left")
+    scanned = common.materialize(scan(docs, echoes=True), "secrets")  # ids of rows stay as they are from here on
+    told = scanned.drop("echo").join(classify(scanned), "row", "left").join(echoed(scanned), "row", "left")
+    more = F.coalesce("more", F.array().cast(f"array<{SPAN}>"))
     count = lambda k: F.size(F.filter("found", lambda s: s["kind"] == k)).cast("long")
     return told.select(
         "doc_id",
         *(count(k[0]).alias(f"n_{k[0]}") for k in KINDS),
         F.sha2(_joined(F.col("found")), 256).alias("base_sha256"),
-        _joined(F.col("found")).alias("spans"),
+        _joined(F.array_sort(F.concat("found", more))).alias("spans"),
+        F.size(more).cast("long").alias("n_copy"),
         F.coalesce("n_live", F.lit(0)).alias("n_live"),
         F.coalesce("n_copied", F.lit(0)).alias("n_copied"),
         F.coalesce(_joined(F.col("live")), F.lit("")).alias("live_spans"),
@@ -219,12 +252,17 @@ WITH d AS (SELECT doc_id, row_number() OVER () AS rid, source, coalesce(text, ''
   hits AS ({' UNION ALL '.join(f'SELECT doc_id, rid, source, rank, kind, value, CAST(s AS BIGINT) AS s, CAST(s + n AS BIGINT) AS e FROM {k[0]}_s' for k in KINDS)}),
   known AS (SELECT value, count(DISTINCT coalesce(source, '-null-')) AS owners, count(DISTINCT coalesce(CAST(doc_id AS VARCHAR), '-null-')) AS repositories FROM hits GROUP BY value),
   told AS (SELECT hits.*, (owners > {MOST_OWNERS} AND repositories >= {COPIES}) AS copied FROM hits JOIN known USING (value)),
+  live AS (SELECT DISTINCT value FROM told WHERE NOT copied AND regexp_full_match(value, '{ECHO[1]}') AND regexp_matches(value, '[0-9]') AND length(value) >= {ECHO[3]}),
+  echo_m AS (SELECT rid, regexp_split_to_array(t, '{ECHO[1]}') AS gaps, regexp_extract_all(t, '{ECHO[1]}') AS whole FROM d WHERE regexp_matches(t, '{HINTS["copy"]}')),
+  echo_i AS (SELECT rid, whole[i] AS value, CAST(list_sum(list_transform(gaps[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(whole[1:i-1], lambda x: length(x))), 0) AS BIGINT) AS s FROM (SELECT *, unnest(range(1, len(whole) + 1)) AS i FROM echo_m) WHERE whole[i] IN (SELECT value FROM live)),
+  echo AS (SELECT rid, s, s + length(value) AS e FROM echo_i x WHERE NOT EXISTS (SELECT 1 FROM hits h WHERE h.rid = x.rid AND h.s < x.s + length(x.value) AND x.s < h.e)),
+  every AS (SELECT rid, string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, rank) AS spans, count(*) FILTER (kind = 'copy') AS n_copy FROM (SELECT rid, kind, s, e, rank FROM hits UNION ALL SELECT rid, 'copy', s, e, {len(KINDS)} FROM echo) GROUP BY rid),
   agg AS (SELECT rid, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex,
     string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, rank) AS spans, count(*) FILTER (NOT copied) AS n_live, count(*) FILTER (copied) AS n_copied,
     coalesce(string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, rank) FILTER (NOT copied), '') AS live_spans FROM told GROUP BY rid)
-SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(spans, '')) AS base_sha256, coalesce(spans, '') AS spans,
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(agg.spans, '')) AS base_sha256, coalesce(every.spans, '') AS spans, coalesce(n_copy, 0) AS n_copy,
   coalesce(n_live, 0) AS n_live, coalesce(n_copied, 0) AS n_copied, coalesce(live_spans, '') AS live_spans
-FROM d LEFT JOIN agg USING (rid)"""
+FROM d LEFT JOIN agg USING (rid) LEFT JOIN every USING (rid)"""
 
 
 ORACLE_SQL = _oracle()
