@@ -6,7 +6,7 @@ import tiktoken
 
 import corpus_pipeline
 from tests.llm.test_jaccard_join import brute
-from tests.llm.test_mixing import earliest_deadline_first
+from tests.llm.test_mixing import earliest_deadline_first, parts
 from tracewell.llm import bpe, mixing, secret_scan
 
 
@@ -47,11 +47,9 @@ def test_mixture_reaches_the_result(spark, tmp_path, monkeypatch):
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
     # the schedule by plain Python: ranks by hash within a source, blocks by earliest deadline first
     ranked = {s: sorted((r[0] for r in rows if r[3] == s), key=lambda i: hashlib.md5(str(i).encode()).hexdigest()) for s in sizes}
-    total = sum(n**0.5 for n in sizes.values())
-    picks, done, want = earliest_deadline_first([max(1, round(n**0.5 / total * mixing.PERIOD)) for n in sizes.values()]), [0] * 3, []
-    for k in picks:
-        want += ranked["abc"[k]][done[k] * mixing.BLOCK : (done[k] + 1) * mixing.BLOCK]
-        done[k] += 1
+    want = []
+    for _, k, j in earliest_deadline_first(parts([n**0.5 for n in sizes.values()]), [-(-n // mixing.BLOCK) for n in sizes.values()]):
+        want += ranked["abc"[k]][j * mixing.BLOCK : (j + 1) * mixing.BLOCK]
     path = f"{tmp_path}/mixed"
     mixed = mixing.mix(docs).repartitionByRange(5, "mix_pos").sortWithinPartitions("mix_pos").select(*docs.columns)
     mixed.write.parquet(path)

@@ -1,19 +1,24 @@
 """Mixing sources to target weights by Pfair scheduling.
 
-Each source is a task whose weight is its target share, and a block of its documents is a unit of work. Slots come in periods
-of about PERIOD. By the end of period m a source of share w has had round(m * PERIOD * w) blocks, and one at least, so what
-rounding leaves of one period is carried on to the next ones. Within a period, where a source has q of p blocks, block i is released at slot
-floor((i-1) * p/q) and must be placed by slot ceil(i * p/q). Each slot takes, of the released blocks, the one with the earliest
-deadline. So while no source has run out, a source of share w among k sources is never more than 2 + w * k blocks away from its
-exact share of the slots, however many there are: less than one from the rounded weights of the period, one at most from
-rounding, and w times what rounding adds to the slots. Periods are made apart from each other, with no walk over the corpus; a document finds its slot from its rank
-in its source.
+Each source is a task whose weight is its target share, and a block of its documents is a unit of work. Block j of a source of
+share w is released at slot floor(j / w) and must be placed before slot ceil((j+1) / w). Each slot takes, of the released blocks, the one
+with the earliest deadline (ties: the source of smaller name). As shares sum to one, all deadlines are met, so while no source has
+run out each is always less than one block away from its exact share of the slots, however many sources, slots and blocks there are.
+Shares are whole numbers of 2^-40, summing to one: what the last rounding leaves goes to the largest. A source's exact share is missed
+by 2^-40 of the slots at most, times the number of sources for the largest.
+
+No walk over the slots is made. Without what is pending before it, a range of slots places some of the blocks released in it, and leaves
+others over. Blocks that come in pending could take any of its slots, so with them it places as many as it has slots, the earliest
+deadlines of both, and the latest are left over. So a range is told by its number of placed blocks, the latest of them (one for each source is
+enough, as each has one pending block at most) and those left over, and two neighbouring ranges make one. Ranges are joined FAN at a time,
+level by level, and what is pending at the start of each follows from the top down: rounds by the logarithm of the slots, each over
+arrays that grow with the sources alone.
 
 All of it is DataFrame functions. Ranks within a source are counts of earlier buckets of a hash of the id plus a place
-within the bucket, so a source that holds a third of all rows is dealt over many tasks. Positions follow from the weights,
-without a shuffle.
+within the bucket, so a source that holds a third of all rows is dealt over many tasks. Positions follow from counts of documents by ranges of
+slots.
 
-A source that runs out leaves its later slots empty, and the others keep their order; no document is dropped or repeated.
+A source that runs out leaves its later slots to others whose blocks are released, or empty; no document is dropped or repeated.
 
 Defined cases: a null source is the empty one; target weights default to the square root of each source's count; with
 given weights, sources without one come after all others in order of name; rows of one id are ordered by a hash of the
@@ -25,108 +30,170 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tracewell import storage
+
 from . import common
 
 BLOCK = 64  # documents
-PERIOD = 1024  # slots of a period, about
 POWER = 0.5  # target weights are counts to this power, unless given
-MOST_SOURCES = 4096  # more sources than this are an error: a period's schedule is one row
+WHOLE = 1 << 40  # shares are whole parts of it
+FAN = 64  # ranges of slots that make one of the next level
+MOST_SOURCES = 4096  # more sources than this are an error: a range carries a block of each
 BUCKET_ROWS = 4096
 BROADCAST_BLOCKS = 100_000  # a larger schedule is joined by shuffling
+CHUNK = 1 << 16  # blocks that are made, and slots that are counted, in one go
+
+JOBS = "array<struct<d:bigint,k:int,j:bigint>>"  # blocks: deadline, source, number in its source
+PLACED = "array<struct<slot:bigint,k:int,j:bigint>>"
+STARTS = f"array<struct<s:bigint,a:{JOBS}>>"
 
 
-def shares(counts: DataFrame, weights: dict[str, float] | None = None, period: int = PERIOD) -> DataFrame:
-    """(src, n, k, q, rate): k numbers the sources by name, rate is a source's exact blocks in a period (0 without a weight), q those of the first period."""
+def shares(counts: DataFrame, weights: dict[str, float] | None = None) -> DataFrame:
+    """(src, n, k, q): k numbers the sources by name, q is a source's share in parts of WHOLE (0 without a weight, else 1 at least)."""
     if weights is None:
         rated = counts.withColumn("w", F.pow(F.col("n").cast("double"), F.lit(POWER)))
     else:
         known = F.create_map(*(F.lit(x) for item in weights.items() for x in item)) if weights else F.create_map(F.lit(""), F.lit(0.0))
-        rated = counts.withColumn("w", F.coalesce(known[F.col("src")].cast("double"), F.lit(0.0)))
+        rated = counts.withColumn("w", F.greatest(F.lit(0.0), F.coalesce(known[F.col("src")].cast("double"), F.lit(0.0))))
     whole = Window.partitionBy()  # MOST_SOURCES rows at most
+    rated = rated.withColumn("k", (F.row_number().over(Window.orderBy("src")) - 1).cast("int"))
     share = F.col("w") / F.nullif(F.sum("w").over(whole), F.lit(0.0))
-    rated = rated.withColumn("rate", F.when(F.col("w") > 0, share * period).otherwise(0.0))
-    return rated.withColumn("k", F.row_number().over(Window.orderBy("src")) - 1).withColumn("q", placed(F.lit(1), F.col("rate")).cast("int")).select("src", "n", "k", "q", "rate")
+    rated = rated.withColumn("q", F.when(F.col("w") > 0, F.greatest(F.lit(1).cast("long"), F.floor(share * WHOLE).cast("long"))).otherwise(F.lit(0).cast("long")))
+    first = F.row_number().over(Window.orderBy(F.desc("q"), "k")) == 1
+    q = F.when(first & (F.col("q") > 0), F.col("q") + WHOLE - F.sum("q").over(whole)).otherwise(F.col("q"))
+    return rated.select("src", "n", "k", q.alias("q"))
+
+
+def let(value: Column, use) -> Column:
+    """``use(value)`` with the value worked out once."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def blocks(shared: DataFrame, block: int, tasks: int) -> DataFrame:
+    """(s, job): each block of each source that has a weight, and the slot of its release."""
+    last = F.floor((F.col("n") - 1) / block)
+    chunks = shared.where("q > 0").select("k", "q", last.alias("last"), F.explode(F.sequence(F.lit(0).cast("long"), last, F.lit(CHUNK).cast("long"))).alias("c"))
+    each = chunks.repartition(tasks).select("k", "q", F.explode(F.sequence("c", F.least(F.col("last"), F.col("c") + CHUNK - 1))).alias("j"))
+    part = f"CAST({WHOLE} AS DECIMAL(18, 0))"
+    job = F.struct(F.expr(f"(CAST(j + 1 AS DECIMAL(18, 0)) * {part} + q - 1) div CAST(q AS DECIMAL(18, 0))").alias("d"), "k", "j")
+    return each.select(F.expr(f"(CAST(j AS DECIMAL(18, 0)) * {part}) div CAST(q AS DECIMAL(18, 0))").alias("s"), job.alias("job"))
+
+
+def late(jobs: Column, most: Column) -> Column:
+    """The last ``most`` of sorted jobs."""
+    return F.slice(jobs, F.size(jobs) - most + 1, most)
+
+
+def left_over(node: Column, pending: Column) -> Column:
+    """What is pending after a range of slots that ``pending`` came into."""
+    over = F.greatest(F.lit(0).cast("long"), F.size(pending) + node["n"] - (node["e"] - node["s"])).cast("int")
+    return F.concat(node["t"], let(F.array_sort(F.concat(pending, node["u"])), lambda pool: late(pool, over)))
 
 
-def placed(m: Column, rate: Column) -> Column:
-    """Blocks of a source in its first m periods."""
-    return F.when((m > 0) & (rate > 0), F.greatest(F.lit(1).cast("long"), F.round(m * rate).cast("long"))).otherwise(F.lit(0).cast("long"))
+def joined(left: Column, right: Column, most: int) -> Column:
+    """Two ranges, the second right after the first, as one."""
+    over = F.greatest(F.lit(0).cast("long"), F.size(left["t"]) + right["n"] - (right["e"] - right["s"])).cast("int")
 
+    def made(x: Column) -> Column:
+        placed = F.array_sort(F.concat(left["u"], F.slice(x["pool"], F.lit(1), F.size(x["pool"]) - x["over"])))
+        u = let(placed, lambda p: late(p, F.least(F.size(p), F.lit(most))))
+        n = left["n"] + right["n"] + F.size(left["t"]) - x["over"]
+        return F.struct(left["s"].alias("s"), right["e"].alias("e"), n.alias("n"), u.alias("u"), F.concat(right["t"], late(x["pool"], x["over"])).alias("t"))
 
-def periods(shared: DataFrame, block: int) -> DataFrame:
-    """(m): the periods in which some source still has a block to place."""
-    last = F.ceil(F.col("n") / block) - 1
+    return let(F.struct(F.array_sort(F.concat(left["t"], right["u"])).alias("pool"), over.alias("over")), made)
 
-    def near(j: Column) -> Column:
-        return F.ceil((j + 0.5) / F.col("rate")) - 1  # placed(m) <= j < placed(m + 1) holds for this m, or the one before or after
 
-    every = F.sequence(F.lit(0).cast("long"), F.greatest(F.lit(0).cast("long"), near(last)) + 1)
-    blocks = F.transform(F.sequence(F.lit(0).cast("long"), last), lambda j: F.struct(j.alias("j"), near(j).alias("m")))
-    tried = F.flatten(F.transform(blocks, lambda x: F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda d: F.struct(x["j"].alias("j"), (x["m"] + d).alias("m")))))
-    rare = F.transform(F.filter(tried, lambda x: (x["m"] >= 0) & (placed(x["m"], F.col("rate")) <= x["j"]) & (x["j"] < placed(x["m"] + 1, F.col("rate")))), lambda x: x["m"])
-    rare = F.array_union(rare, F.array(F.lit(0).cast("long")))
-    return shared.where("rate > 0").select(F.explode(F.when(F.col("rate") >= 1, every).otherwise(rare)).alias("m")).distinct()
+def summed(kids: Column, most: int) -> Column:
+    """A range from its parts in order, with the slots between them, in which nothing is released."""
 
+    def step(done: Column, kid: Column) -> Column:
+        none = F.array().cast(JOBS)
+        gap = F.struct(done["e"].alias("s"), kid["s"].alias("e"), F.lit(0).cast("long").alias("n"), none.alias("u"), none.alias("t"))
+        return let(joined(done, gap, most), lambda x: joined(x, kid, most))
 
-def fold(rows: DataFrame) -> DataFrame:
-    """``rows`` of (q, p), a period each, as a row for each slot: slot, k, and each source's blocks in earlier slots of the period.
+    return F.aggregate(F.slice(kids, F.lit(2), F.size(kids)), F.element_at(kids, 1), step)
 
-    Earliest deadline first over released blocks.
-    """
-    cols = [c for c in rows.columns if c != "q"]
 
-    def pick(done: Column, t: Column) -> Column:
-        def candidate(x: Column, i: Column) -> Column:
-            q = F.nullif(F.element_at(F.col("q"), i + 1), F.lit(0))
-            release, deadline = F.floor(x * F.col("p") / q), F.ceil((x + 1) * F.col("p") / q)
-            return F.when(release <= t, F.struct(deadline.alias("deadline"), i.alias("k")))
+def put(jobs: Column, at: Column) -> Column:
+    """Jobs on consecutive slots from ``at``."""
+    return F.transform(jobs, lambda x, i: F.struct((at + i).alias("slot"), x["k"].alias("k"), x["j"].alias("j")))
 
-        return F.array_min(F.filter(F.transform(done, candidate), lambda c: c.isNotNull()))["k"]
 
-    start = F.struct(F.transform("q", lambda _: F.lit(0)).alias("done"), F.array().cast("array<struct<k:int,before:array<int>>>").alias("slots"))
+def opened(kids: Column, pending: Column, single: bool, last: bool) -> Column:
+    """What is pending at the start of each part of a range, and what is placed between the parts; in parts that are a ``single`` slot, too,
+    and after the ``last`` part of all."""
 
-    def step(state: Column, t: Column) -> Column:
-        # the pick stands in a one-element array so that it is worked out once
-        made = F.transform(F.array(pick(state["done"], t)), lambda k: F.struct(F.transform(state["done"], lambda x, i: x + (i == k).cast("int")).alias("done"), F.array_append(state["slots"], F.struct(k.alias("k"), state["done"].alias("before"))).alias("slots")))
-        return F.element_at(made, 1)
+    def step(state: Column, kid: Column) -> Column:
+        def made(x: Column) -> Column:
+            cut = F.least(F.size(x), kid["s"] - state["e"]).cast("int")
+            return let(F.slice(x, cut + 1, F.size(x)), lambda a: moved(a, put(F.slice(x, F.lit(1), cut), state["e"])))
 
-    slots = rows.select(*cols, F.posexplode(F.aggregate(F.sequence(F.lit(0), F.col("p") - 1), start, step, lambda s: s["slots"])).alias("slot", "s"))
-    return slots.select(*cols, "slot", F.col("s.k").alias("k"), F.col("s.before").alias("before"))
+        def moved(a: Column, between: Column) -> Column:
+            placed = [state["placed"], between]
+            if single:
+                placed.append(put(F.array(F.array_min(F.concat(a, kid["u"]))), kid["s"]))
+            starts = state["starts"] if single else F.array_append(state["starts"], F.struct(kid["s"].alias("s"), a.alias("a")))
+            return F.struct(left_over(kid, a).alias("a"), kid["e"].alias("e"), starts.alias("starts"), F.concat(*placed).alias("placed"))
 
+        return let(F.array_sort(state["a"]), made)
 
-def total(column: Column) -> Column:
-    return F.aggregate(column, F.lit(0).cast("long"), lambda a, x: a + x)
+    start = F.struct(pending.alias("a"), F.element_at(kids, 1)["s"].alias("e"), F.array().cast(STARTS).alias("starts"), F.array().cast(PLACED).alias("placed"))
 
+    def end(state: Column) -> Column:
+        rest = put(F.array_sort(state["a"]), state["e"]) if last else F.array().cast(PLACED)
+        return F.struct(state["starts"].alias("starts"), F.concat(state["placed"], rest).alias("placed"))
 
-def schedule(shared: DataFrame) -> DataFrame:
-    """The first period: (p, slot, k, j, before): block j of source k, and each source's blocks in earlier slots."""
-    row = shared.agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "q"))), lambda s: s["q"]).alias("q"))
-    slots = fold(row.withColumn("p", total(F.col("q")).cast("int")).where("p > 0"))
-    return slots.select("p", "slot", "k", F.element_at("before", F.col("k") + 1).alias("j"), "before")
+    return F.aggregate(kids, start, step, end)
 
 
-def turns(shared: DataFrame, block: int = BLOCK, tasks: int = 1) -> DataFrame:
-    """(k, block, slot, ahead): the slot of each block of each source, and the documents of all sources in earlier slots."""
-    whole = shared.agg(F.array_sort(F.collect_list(F.struct("k", "n", "rate"))).alias("all"))
-    rows = periods(shared, block).repartition(tasks, "m").crossJoin(F.broadcast(whole))
-    rows = rows.withColumn("base", F.transform("all", lambda s: placed(F.col("m"), s["rate"])))
-    rows = rows.withColumn("q", F.transform("all", lambda s, i: (placed(F.col("m") + 1, s["rate"]) - F.element_at("base", i + 1)).cast("int")))
-    slots = fold(rows.withColumn("p", total(F.col("q")).cast("int")).where("p > 0").select("all", "base", "q", "p"))
-    # of each source, its blocks placed by then, as far as it has documents
-    ahead = total(F.zip_with("all", F.zip_with("base", "before", lambda b, d: b + d), lambda s, d: F.least(s["n"], block * d)))
-    at = F.col("k") + 1
-    out = slots.select("k", (F.element_at("base", at) + F.element_at("before", at)).alias("block"), (total(F.col("base")) + F.col("slot")).alias("slot"), ahead.alias("ahead"), F.element_at("all", at)["n"].alias("_n"))
-    return out.where(F.col("block") * block < F.col("_n")).drop("_n")
+def schedule(shared: DataFrame, block: int = BLOCK) -> DataFrame:
+    """(slot, k, j): the slot of each block of each source that has a weight."""
+    spark = shared.sparkSession
+    known = [(r.n, r.q) for r in shared.where("q > 0").collect()]  # MOST_SOURCES rows at most
+    if not known:
+        return spark.createDataFrame([], "slot long, k int, j long")
+    most, horizon = len(known), max((n - 1) // block * WHOLE // q for n, q in known)
+    tasks = min(4096, 1 + sum(1 + n // block for n, _ in known) // 4096)
+    single = blocks(shared, block, tasks).withColumn("g", F.expr(f"s div {FAN}")).repartition(tasks, "g")
+    single = single.groupBy("g", "s").agg(F.array_sort(F.collect_list("job")).alias("x"))
+    node = F.struct("s", (F.col("s") + 1).alias("e"), F.lit(1).cast("long").alias("n"), F.slice("x", 1, 1).alias("u"), F.slice("x", F.lit(2), F.size("x")).alias("t"))
+    levels, width, rows = [], FAN, single.select("g", node.alias("node"))
+    while True:
+        levels.append(storage.materialize(rows.groupBy("g").agg(F.array_sort(F.collect_list("node")).alias("kids")), "mix-up"))
+        if width > horizon:
+            break
+        rows = levels[-1].select(F.expr(f"g div {FAN}").alias("g"), summed(F.col("kids"), most).alias("node"))
+        width *= FAN
+    pending, placed = levels[-1].select(F.col("g").alias("at"), F.array().cast(JOBS).alias("a")), []
+    for k in reversed(range(len(levels))):
+        found = levels[k].join(pending, F.col("g") == F.col("at")).select(opened(F.col("kids"), F.col("a"), k == 0, k == len(levels) - 1).alias("o"))
+        found = storage.materialize(found.select("o.*"), "mix-down")
+        placed.append(found.select(F.explode("placed").alias("p")).select("p.*"))
+        pending = found.select(F.explode("starts").alias("s")).select(F.expr(f"s.s div {FAN ** k}").alias("at"), F.col("s.a").alias("a")) if k else None
+    whole = placed[0]
+    for more in placed[1:]:
+        whole = whole.unionByName(more)
+    return whole
 
 
-def mix(docs: DataFrame, weights: dict[str, float] | None = None, block: int = BLOCK, period: int = PERIOD) -> DataFrame:
+def turns(shared: DataFrame, block: int = BLOCK) -> DataFrame:
+    """(k, j, slot, ahead): the slot of each block of each source, and the documents of all sources in earlier slots."""
+    placed = schedule(shared, block).join(F.broadcast(shared.select(F.col("k").alias("k2"), "n")), F.col("k") == F.col("k2"))  # a row for each source
+    placed = placed.select("k", "j", "slot", F.least(F.lit(block), F.col("n") - F.col("j") * block).alias("docs"), F.expr(f"slot div {CHUNK}").alias("c"))
+    sums = placed.groupBy("c").agg(F.sum("docs").alias("docs"))
+    sums = sums.select(F.col("c").alias("c2"), (F.sum("docs").over(Window.orderBy("c")) - F.col("docs")).alias("before"))  # a row for each CHUNK slots
+    inner = F.sum("docs").over(Window.partitionBy("c").orderBy("slot")) - F.col("docs")
+    return placed.withColumn("inner", inner).join(sums, F.col("c") == F.col("c2")).select("k", "j", "slot", (F.col("before") + F.col("inner")).alias("ahead"))
+
+
+def mix(docs: DataFrame, weights: dict[str, float] | None = None, block: int = BLOCK) -> DataFrame:
     """``docs`` with mix_block (of its source), mix_slot and mix_pos (its place in the whole mixture, from 0); its own columns of these names go."""
     cols = [c for c in docs.columns if c not in ("mix_block", "mix_slot", "mix_pos")]
-    whole = spread(docs, weights, block, period)
+    whole = spread(docs, weights, block)
     return whole.select(*(F.col("doc").getField(c).alias(c) for c in cols), "mix_block", "mix_slot", "mix_pos")
 
 
-def spread(docs: DataFrame, weights: dict[str, float] | None = None, block: int = BLOCK, period: int = PERIOD) -> DataFrame:
+def spread(docs: DataFrame, weights: dict[str, float] | None = None, block: int = BLOCK) -> DataFrame:
     """(doc, mix_block, mix_slot, mix_pos): each row of ``docs`` as a struct, so that its columns may have any names, and its place."""
     rows = docs.select(F.struct("*").alias("doc"), F.coalesce(F.col("source"), F.lit("")).alias("src"), F.col("doc_id").alias("id"), F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).alias("h"), F.xxhash64("*").alias("tie"))
     counted = rows.groupBy("src").agg(F.count("*").alias("n")).orderBy("src").limit(MOST_SOURCES + 1).collect()
@@ -135,7 +202,7 @@ def spread(docs: DataFrame, weights: dict[str, float] | None = None, block: int
     if not counted:
         return rows.select("doc", *(F.lit(None).cast("long").alias(c) for c in ("mix_block", "mix_slot", "mix_pos")))
     counts = docs.sparkSession.createDataFrame([(r.src, r.n) for r in counted], "src string, n long")
-    shared = shares(counts, weights, period)
+    shared = shares(counts, weights)
 
     digits = next((d for d in range(1, 9) if max(r.n for r in counted) // 16**d <= BUCKET_ROWS), 9)
     rows = rows.withColumn("b", F.substring("h", 1, digits))
@@ -146,11 +213,10 @@ def spread(docs: DataFrame, weights: dict[str, float] | None = None, block: int
 
     # without a weight: after all that have one, and after such sources of an earlier name
     every = F.array_sort(F.collect_list(F.struct("k", "n", "q")).over(Window.partitionBy()))
-    late = total(F.transform(every, lambda s: F.when((s["q"] > 0) | (s["k"] < F.col("k")), s["n"]).otherwise(0)))
-    source = F.broadcast(shared.select(F.col("src").alias("s3"), "k", late.alias("late")))  # a row for each source
-    blocks = sum(-(-r.n // block) for r in counted)
-    turn = turns(shared, block, min(4096, 1 + blocks // period)).select(F.col("k").alias("tk"), F.col("block").alias("j"), "slot", "ahead")  # a row for each block
-    if blocks <= BROADCAST_BLOCKS:
+    earlier = F.transform(every, lambda s: F.when((s["q"] > 0) | (s["k"] < F.col("k")), s["n"]).otherwise(F.lit(0).cast("long")))
+    source = F.broadcast(shared.select(F.col("src").alias("s3"), "k", F.aggregate(earlier, F.lit(0).cast("long"), lambda a, x: a + x).alias("late")))  # a row for each source
+    turn = turns(shared, block).select(F.col("k").alias("tk"), "j", "slot", "ahead")  # a row for each block
+    if sum(-(-r.n // block) for r in counted) <= BROADCAST_BLOCKS:
         turn = F.broadcast(turn)
     found = ranked.join(source, F.col("src") == F.col("s3")).withColumn("mix_block", F.floor(F.col("rank") / block))
     found = found.join(turn, (F.col("k") == F.col("tk")) & (F.col("mix_block") == F.col("j")), "left")
@@ -170,15 +236,16 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 ORACLE_SQL = f"""
 WITH RECURSIVE d AS (SELECT doc_id, coalesce(source, '') AS src, source, row_number() OVER (PARTITION BY coalesce(source, '') ORDER BY md5(CAST(doc_id AS VARCHAR)), doc_id) - 1 AS r FROM documents),
   c AS (SELECT src, count(*) AS n FROM d GROUP BY src),
-  w AS (SELECT src, n, row_number() OVER (ORDER BY src) AS k, greatest(1, CAST(round(sqrt(n) / sum(sqrt(n)) OVER () * {PERIOD}) AS INT)) AS q FROM c),
-  a AS (SELECT list(q ORDER BY k) AS q, list(n ORDER BY k) AS n, CAST(sum(q) AS BIGINT) AS p, count(*) AS m FROM w),
+  v AS (SELECT src, n, row_number() OVER (ORDER BY src) AS k, greatest(1, CAST(floor(sqrt(n) / sum(sqrt(n)) OVER () * {WHOLE}) AS BIGINT)) AS q FROM c),
+  w AS (SELECT src, n, k, CAST(CASE WHEN row_number() OVER (ORDER BY q DESC, k) = 1 THEN q + {WHOLE} - sum(q) OVER () ELSE q END AS BIGINT) AS q FROM v),
+  a AS (SELECT list(q ORDER BY k) AS q, list(n ORDER BY k) AS n, count(*) AS m FROM w),
   s AS (
-    SELECT 0 AS t, list_transform(range(m), lambda x: 0::BIGINT) AS done, 1 AS pick FROM a
+    SELECT CAST(0 AS BIGINT) AS t, list_transform(range(m), lambda x: 0::BIGINT) AS done, CAST(0 AS BIGINT) AS pick FROM a
     UNION ALL
     SELECT t + 1, list_transform(range(1, m + 1), lambda i: done[i] + CAST(i = best AS BIGINT)), best FROM (
-      SELECT s.t, s.done, a.m, list_min(list_transform(list_filter(range(1, m + 1), lambda i: done[i] * p // q[i] <= t), lambda i: ((done[i] + 1) * p + q[i] - 1) // q[i] * 10000 + i)) % 10000 AS best
-      FROM s, a WHERE t < p)),
-  turn AS (SELECT x.t AS slot, y.pick AS k, x.done[y.pick] AS j, x.done AS done FROM s x JOIN s y ON y.t = x.t + 1)
-SELECT d.doc_id, d.source, d.r // {BLOCK} AS mix_block, CAST(d.r // {BLOCK} // w.q * a.p + turn.slot AS BIGINT) AS mix_slot,
-  CAST(list_sum(list_transform(range(1, a.m + 1), lambda i: least(a.n[i], {BLOCK} * (d.r // {BLOCK} // w.q * a.q[i] + turn.done[i])))) + d.r % {BLOCK} AS BIGINT) AS mix_pos
-FROM d JOIN w USING (src) CROSS JOIN a JOIN turn ON turn.k = w.k AND turn.j = d.r // {BLOCK} % w.q"""
+      SELECT s.t, s.done, a.m, coalesce(list_min(list_transform(list_filter(range(1, m + 1), lambda i: done[i] * {BLOCK} < n[i] AND done[i] * {WHOLE} // q[i] <= t), lambda i: ((done[i] + 1) * {WHOLE} + q[i] - 1) // q[i] * 10000 + i)) % 10000, 0) AS best
+      FROM s, a WHERE list_bool_or(list_transform(range(1, m + 1), lambda i: done[i] * {BLOCK} < n[i])))),
+  turn AS (SELECT x.t AS slot, y.pick AS k, x.done[y.pick] AS j, x.done AS done FROM s x JOIN s y ON y.t = x.t + 1 WHERE y.pick > 0)
+SELECT d.doc_id, d.source, d.r // {BLOCK} AS mix_block, turn.slot AS mix_slot,
+  CAST(list_sum(list_transform(range(1, a.m + 1), lambda i: least(a.n[i], {BLOCK} * turn.done[i]))) + d.r % {BLOCK} AS BIGINT) AS mix_pos
+FROM d JOIN w USING (src) CROSS JOIN a JOIN turn ON turn.k = w.k AND turn.j = d.r // {BLOCK}"""
