@@ -229,8 +229,8 @@ def lookup(asked: DataFrame, orders: DataFrame, defs: DataFrame) -> DataFrame:
 def graph(raw: DataFrame, bound: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(nodes, merged edges, call outcomes) of raw facts; ``bound``: what ``value_flow.bound_edges`` finds, whose calls count as linked.
 
-    Calls of names and of module members are direct, and so are those of members of an object whose class its scope tells; self.m() and super().m() look m up in the class's order, and overrides in subclasses are
-    candidates; a class that is called is new, through __init__ where the project has one; a definition that is passed on is a callback.
+    Calls of names and of module members are direct, and so are those of members of an object whose class its scope tells; self.m(), super().m(), and members of annotated parameters and of what annotated functions
+    give back are looked up in the class's order, and overrides in subclasses are candidates (not for super()); members of a parameter of an outside class are external; a class that is called is new, through __init__ where the project has one; a definition that is passed on is a callback.
     """
     raw = materialize(raw, "raw-facts")
     defs = materialize(definitions(raw), "definitions")
@@ -253,15 +253,23 @@ def graph(raw: DataFrame, bound: DataFrame | None = None) -> tuple[DataFrame, Da
     status = F.when(F.col("target_kind").isNotNull(), "resolved").when(lost, "unresolved").when(F.col("target").startswith("external:") | F.col("target").startswith("module:") | builtin, "external").otherwise("unresolved")
     named = named.withColumn("status", status).drop("_own", "_bp", "_bn")
 
-    # names that stand for one new object of a class: its members are that class's
-    made_of = resolve(raw.where("fact = 'instance'").select("path", F.col("id").alias("space"), F.col("name").alias("object"), F.col("value").alias("name"), "scope"), bindings)
+    # names that stand for one new object of a class: its members are that class's; annotations tell a class, or one below it
+    told = resolve(raw.where("fact IN ('instance', 'typed', 'returned')").select("path", "fact", F.col("id").alias("space"), F.col("name").alias("object"), F.col("value").alias("name"), "scope"), bindings)
+    told = told.join(kinds, F.when(F.col("rest") == "", F.col("target")).otherwise(F.concat_ws(".", "target", "rest")) == F.col("target_id"), "left")
+    given = told.where("fact = 'returned' AND target_kind = 'class'").select(F.col("space").alias("_by"), F.col("target_id").alias("_given")).dropDuplicates(["_by"])
+    made_of = told.where("fact = 'instance'").join(given, F.col("target_id") == F.col("_by"), "left").withColumn("cls", F.when(F.col("target_kind") == "class", F.col("target_id")).otherwise(F.col("_given")))
     other = raw.where("fact IN ('shadow', 'alias', 'import')").select(F.col("id").alias("space"), F.col("name").alias("object")).unionByName(defs.select(F.col("parent").alias("space"), F.col("name").alias("object"))).distinct()
-    objects = made_of.join(kinds, F.when(F.col("rest") == "", F.col("target")).otherwise(F.concat_ws(".", "target", "rest")) == F.col("target_id"), "left").join(other, ["space", "object"], "left_anti")
-    objects = objects.groupBy("space", "object").agg(F.when((F.count_distinct("target_id") == 1) & (F.count("target_id") == F.count("*")) & (F.min("target_kind") == "class"), F.min("target_id")).alias("cls")).where("cls IS NOT NULL")
+    objects = made_of.join(other, ["space", "object"], "left_anti").groupBy("space", "object").agg(F.when((F.count_distinct("cls") == 1) & (F.count("cls") == F.count("*")), F.min("cls")).alias("cls"), F.when(F.max("_given").isNull(), "object").otherwise("typed").alias("via")).where("cls IS NOT NULL")
+    typed = told.where("fact = 'typed'").withColumn("_out", F.col("target").startswith("external:") | (F.col("target").startswith("module:") & (F.col("rest") != "")) | (F.col("target").isNull() & F.col("scope").isNull() & F.col("name").isin(*BUILTINS)))
+    typed = typed.join(packages(bindings).select(F.concat(F.lit("module:"), "module").alias("_inside")), F.col("target") == F.col("_inside"), "left")
+    outer = typed.where(F.col("_out") & F.col("_inside").isNull() & F.col("target_kind").isNull()).select("space", "object").distinct()
+    objects = objects.unionByName(typed.where("target_kind = 'class'").groupBy("space", "object").agg(F.when(F.count_distinct("target_id") == 1, F.min("target_id")).alias("cls")).where("cls IS NOT NULL").withColumn("via", F.lit("typed")))
     space = F.coalesce("scope", F.concat("path", F.lit("#<module>")))
-    held = sites.where((F.col("fact") == "call") & F.col("name").rlike(r"^[^.()]+\.[^.]+$") & ~own).select("path", F.col("id").alias("scope_id"), F.lit("object").alias("via"), F.substring_index("name", ".", 1).alias("object"), F.substring_index("name", ".", -1).alias("member"), "line", "col", "place", space.alias("space"))
+    held = sites.where((F.col("fact") == "call") & F.col("name").rlike(r"^[^.()]+\.[^.]+$") & ~own).select("path", F.col("id").alias("scope_id"), F.substring_index("name", ".", 1).alias("object"), F.substring_index("name", ".", -1).alias("member"), "line", "col", "place", space.alias("space"))
+    beyond = held.join(outer, ["space", "object"]).select("path", "line", "col", F.lit("call").alias("fact"), F.lit(True).alias("_beyond")).distinct()
     held = held.join(objects, ["space", "object"]).select("path", F.col("scope_id").alias("scope"), "via", "member", "line", "col", "place", "cls")
     named = named.join(held.select("path", "line", "col", F.lit("call").alias("fact")).distinct(), ["path", "line", "col", "fact"], "left_anti")
+    named = named.join(beyond, ["path", "line", "col", "fact"], "left").withColumn("status", F.when(F.col("_beyond"), "external").otherwise(F.col("status"))).drop("_beyond")
 
     method = defs.where("kind = 'method'").select(F.col("id").alias("scope"), F.col("parent").alias("cls"))
     through = sites.where(own & (F.col("fact") == "call")).select("path", F.col("id").alias("scope"), F.substring_index("name", ".", 1).alias("via"), F.substring_index("name", ".", -1).alias("member"), "line", "col", "place").join(method, "scope", "left").unionByName(held)
@@ -279,7 +287,7 @@ def graph(raw: DataFrame, bound: DataFrame | None = None) -> tuple[DataFrame, Da
     edges = edges.unionByName(through.where("found IS NOT NULL").select(*direct("scope", "found", "call")))
     below = orders.where("ordinal > 0").select(F.col("owner").alias("cls"), F.col("id").alias("sub"))
     members = defs.where("kind = 'method'").select(F.col("parent").alias("sub"), F.col("name").alias("member"), F.col("id").alias("override"))
-    wider = through.where("via IN ('self', 'cls')").join(below, "cls").join(members, ["sub", "member"]).where("found IS NULL OR override <> found")
+    wider = through.where("via IN ('self', 'cls', 'typed')").join(below, "cls").join(members, ["sub", "member"]).where("found IS NULL OR override <> found")
     edges = edges.unionByName(wider.select(F.col("scope").alias("source"), F.col("override").alias("target"), F.lit("call").alias("kind"), F.lit("candidate").alias("evidence")))
 
     nodes = defs.select("id", "kind", "path", "line", "col")

@@ -66,6 +66,7 @@ def text_parts(node: ast.AST | None) -> str | None:
     return None
 
 
+MOST_HINTS = 64  # how deep annotations may be nested
 INNER = (ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef)
 PRIVATE = (ast.Lambda, ast.ListComp, ast.SetComp, ast.DictComp, ast.GeneratorExp)
 
@@ -74,6 +75,26 @@ def arguments(a: ast.arguments) -> set[str]:
     return {x.arg for x in [*a.posonlyargs, *a.args, *a.kwonlyargs, a.vararg, a.kwarg] if x}
 
 
+def hinted(node: ast.AST | None) -> str | None:
+    """The dotted name of the class that an annotation gives: a name, X | None, Optional[X], Annotated[X, ...], or one of these as text."""
+    for _ in range(MOST_HINTS):
+        if isinstance(node, ast.Constant) and isinstance(node.value, str):
+            try:
+                node = ast.parse(node.value.strip(), mode="eval").body
+            except (SyntaxError, ValueError, RecursionError, MemoryError):
+                return None
+        elif isinstance(node, ast.BinOp) and isinstance(node.op, ast.BitOr):
+            sides = [x for x in (node.left, node.right) if not (isinstance(x, ast.Constant) and x.value is None)]
+            if len(sides) != 1:
+                return None
+            node = sides[0]
+        elif isinstance(node, ast.Subscript) and (dotted(node.value) or "").rpartition(".")[2] in ("Optional", "Annotated"):
+            node = node.slice.elts[0] if isinstance(node.slice, ast.Tuple) and node.slice.elts else node.slice
+        else:
+            return dotted(node) if isinstance(node, (ast.Name, ast.Attribute)) else None
+    return None
+
+
 def outside(node: ast.FunctionDef | ast.AsyncFunctionDef | ast.ClassDef) -> list[ast.AST]:
     """What a definition works out in the scope around it: arguments of decorators, defaults and annotations, or bases and keywords of a class."""
     made = [x for d in node.decorator_list if isinstance(d, ast.Call) for x in [*d.args, *(k.value for k in d.keywords)]]
@@ -135,7 +156,8 @@ class Reader(ast.NodeVisitor):
 
     ``scope`` of a row with a dotted name is the definition that binds the name's first part, if it isn't the module. What else
     a scope's names stand for goes into rows of their own: alias (another name), instance (of a class that is called) and
-    shadow (a parameter or a value that can't be followed). What a call makes for a name, or for an attribute of self (of the class), is a made row, with the
+    shadow (a parameter or a value that can't be followed). The class of an annotated parameter is a typed row beside its shadow, that of what a
+    function gives back a returned row. What a call makes for a name, or for an attribute of self (of the class), is a made row, with the
     call's place and first text (empty for a call without positions); each assignment of such an attribute is an attribute row.
     """
 
@@ -145,7 +167,7 @@ class Reader(ast.NodeVisitor):
 
     def put(self, fact: str, node: ast.AST, name: str | None = None, value: str | None = None, extra: str | None = None, id: str | None = None) -> None:
         line, col = getattr(node, "lineno", None), getattr(node, "col_offset", -1)
-        named = value if fact in ("alias", "instance", "bind", "first", "made") else name if fact in ("call", "argument", "decorator", "base", "query") else None
+        named = value if fact in ("alias", "instance", "bind", "first", "made", "typed", "returned") else name if fact in ("call", "argument", "decorator", "base", "query") else None
         self.rows.append((self.path, fact, id or self.here(), name, value, extra, self.count, line, col + 1 if line else None, self.space_of(named)))
         self.count += 1
 
@@ -207,6 +229,8 @@ class Reader(ast.NodeVisitor):
                 self.keywords(call, f"{self.path}#{'.'.join([*self.scope, node.name])}", target)
         for x in outside(node):
             self.visit(x)
+        if kind != "class":
+            self.hints(node, kind, f"{self.path}#{'.'.join([*self.scope, node.name])}")
         self.scope.append(node.name)
         self.put("definition", node, node.name, kind, parent)
         if kind == "class":
@@ -220,6 +244,18 @@ class Reader(ast.NodeVisitor):
         self.owner.pop()
         self.scope.pop()
 
+    def hints(self, node, kind: str, where: str) -> None:
+        """Annotated parameters that nothing else in the body binds, and the annotation of what calls give back, whatever decorates them."""
+        a, rebound = node.args, bound_names(node.body)
+        ordered = [*a.posonlyargs, *a.args]
+        if kind == "method" and "staticmethod" not in map(dotted, node.decorator_list):
+            ordered = ordered[1:]
+        for x in [*ordered, *a.kwonlyargs]:
+            if x.arg not in rebound and hinted(x.annotation):
+                self.put("typed", x, x.arg, hinted(x.annotation), id=where)
+        if hinted(node.returns):
+            self.put("returned", node, node.name, hinted(node.returns), id=where)
+
     def visit_FunctionDef(self, node) -> None:
         self.define(node, "method" if self.owner and self.owner[-1] == "class" else "function")
 
