@@ -49,6 +49,41 @@ PYTHON_CALLS_SQL = """WITH t AS (SELECT (SELECT count(*) FROM supplier) AS s, (S
   SELECT * FROM (SELECT 'resolved' AS status, s + own + n - partial AS n FROM t UNION ALL SELECT 'external', s + own FROM t UNION ALL SELECT 'unresolved', s FROM t UNION ALL SELECT 'partial', partial FROM t) WHERE n > 0"""
 
 
+def _hinted_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A store and two classes under it for each nation; for each supplier, functions whose parameters and results are annotated in four ways, by an outside class, or not."""
+    n = "s_nationkey"
+    stores = table(spark, sf_dir, "nation").select(F.format_string("n%d.py", "n_nationkey").alias("path"), F.format_string("class Store%d:\n    def save(self, x):\n        return x\nclass Left%d(Store%d):\n    def save(self, x):\n        return x\nclass Right%d(Store%d):\n    pass\n", *["n_nationkey"] * 5).alias("text"))
+    hint = F.element_at(F.array(*map(F.lit, ("T", "Optional[T]", "'T'", "None | T"))), (F.col("s_suppkey") % 4 + 1).cast("int"))
+    head = F.format_string("import decimal\nfrom typing import Optional\nfrom n%d import Store%d as T, Left%d as L\n", n, n, n)
+    rest = "def give() -> 'Optional[L]':\n    return L()\ndef got():\n    y = give()\n    y.save(2)\ndef outer(d: decimal.Decimal):\n    d.sqrt()\ndef unknown(v):\n    v.save(3)\n"
+    users = table(spark, sf_dir, "supplier").select(F.format_string("s%d.py", "s_suppkey").alias("path"), F.concat(head, F.format_string("def take(x: %s):\n    x.save(1)\n", hint), F.lit(rest)).alias("text"))
+    return stores.unionByName(users).select("path", F.encode("text", "UTF-8").alias("content"))
+
+
+def hinted_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, edges, _ = G.graph(S.facts(_hinted_files(spark, sf_dir)))
+    return edges.select("source", "target", F.array_join("kinds", ",").alias("kinds"), "evidence")
+
+
+HINTED_EDGES_SQL = """WITH s AS (SELECT 's' || s_suppkey || '.py#' AS p, 'n' || s_nationkey || '.py#' AS n, s_nationkey AS k FROM supplier), b AS (SELECT 'n' || n_nationkey || '.py#' AS n, n_nationkey AS k FROM nation)
+  SELECT n || 'Left' || k AS source, n || 'Store' || k AS target, 'inherit' AS kinds, 'direct' AS evidence FROM b
+  UNION ALL SELECT n || 'Right' || k, n || 'Store' || k, 'inherit', 'direct' FROM b
+  UNION ALL SELECT p || 'take', n || 'Store' || k || '.save', 'call', 'direct' FROM s
+  UNION ALL SELECT p || 'take', n || 'Left' || k || '.save', 'call', 'candidate' FROM s
+  UNION ALL SELECT p || 'give', n || 'Left' || k, 'new', 'direct' FROM s
+  UNION ALL SELECT p || 'got', p || 'give', 'call', 'direct' FROM s
+  UNION ALL SELECT p || 'got', n || 'Left' || k || '.save', 'call', 'direct' FROM s"""
+
+
+def hinted_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, _, outcomes = G.graph(S.facts(_hinted_files(spark, sf_dir)))
+    return outcomes.groupBy("node", "status").agg(F.count("*").alias("n"))
+
+
+HINTED_CALLS_SQL = """SELECT 's' || s_suppkey || '.py#' || f AS node, status, CAST(c AS BIGINT) AS n
+  FROM supplier, (VALUES ('take', 'partial', 1), ('give', 'resolved', 1), ('got', 'resolved', 2), ('outer', 'external', 1), ('unknown', 'unresolved', 1)) v(f, status, c)"""
+
+
 def _service_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two stores for each nation, and a service for each supplier that is given one of them, or either for every third; every fifth is handed on as a value."""
     store = "class Store%d:\n    def save(self, x):\n        return x\nclass Left%d(Store%d):\n    def save(self, x):\n        return x\nclass Right%d(Store%d):\n    pass\n"
@@ -272,6 +307,8 @@ ORM_USES_SQL = f"""WITH {_APPS}, u(f, r, c) AS (VALUES ('load', 's', NULL), ('lo
 
 QUERIES = {
     "python_graph_edges": python_graph,
+    "python_hinted_edges": hinted_edges,
+    "python_hinted_calls": hinted_calls,
     "python_call_outcomes": python_calls,
     "python_bound_edges": bound_edges,
     "python_flask_routes": flask_routes,
@@ -291,6 +328,8 @@ QUERIES = {
 }
 ORACLES = {
     "python_graph_edges": PYTHON_GRAPH_SQL,
+    "python_hinted_edges": HINTED_EDGES_SQL,
+    "python_hinted_calls": HINTED_CALLS_SQL,
     "python_call_outcomes": PYTHON_CALLS_SQL,
     "python_bound_edges": BOUND_SQL,
     "python_flask_routes": FLASK_SQL,
