@@ -153,23 +153,42 @@ def _sent(known: DataFrame) -> DataFrame:
     return _requests(known, urls.cut_query(path), F.when(dynamic_host | leading, "base").otherwise("root"), F.when(~dynamic_host & ~leading, split["authority"]), dynamic_host | leading | (split["kind"] == "absolute"))
 
 
-def client_calls(raw: DataFrame, bindings: DataFrame) -> DataFrame:
-    """(method, template, anchor, authority, masked, id, line) of calls of HTTP client functions; an unknown path has no template."""
-    calls = resolve(raw.where("fact = 'call' AND name IS NOT NULL").select("path", "id", "name", "scope", "line", "col", F.col("value").alias("first"), F.col("extra").alias("second")), bindings)
+def _with_texts(calls: DataFrame, texts: DataFrame | None) -> DataFrame:
+    """Calls (path, place, verb, first, second) with what names and formats in their arguments make, and a url that is given by name."""
+    if texts is None:
+        return calls
+    told = texts.select("at", *(F.col(c).alias(f"_{c}") for c in ("first", "second", "url")))
+    calls = calls.withColumn("at", F.concat_ws(":", "path", "place")).join(told, "at", "left")
+    named = F.col("verb").isin("request", "stream")
+    over = lambda c: F.when(F.col(f"_{c}").isNotNull(), F.nullif(f"_{c}", F.lit(urls.VALUE))).otherwise(F.col(c))
+    first = F.when(named, over("first")).otherwise(F.coalesce(over("first"), "_url"))
+    second = F.when(named, F.coalesce(over("second"), "_url")).otherwise(over("second"))
+    return calls.withColumns({"first": first, "second": second}).drop("at", "_first", "_second", "_url")
+
+
+def client_calls(raw: DataFrame, bindings: DataFrame, texts: DataFrame | None = None) -> DataFrame:
+    """(method, template, anchor, authority, masked, id, line) of calls of HTTP client functions; an unknown path has no template.
+
+    ``texts``: what ``texts.arguments`` tells of the same facts; without it, names and formats in a URL are values.
+    """
+    calls = resolve(raw.where("fact = 'call' AND name IS NOT NULL").select("path", "id", "name", "scope", "line", "col", "place", F.col("value").alias("first"), F.col("extra").alias("second")), bindings)
     verb = F.create_map(*(F.lit(x) for pair in SENDERS.items() for x in pair))[_full_name()]
-    return _sent(_verb_and_url(calls.withColumn("verb", verb).where("verb IS NOT NULL"), F.col("verb")))
+    return _sent(_verb_and_url(_with_texts(calls.withColumn("verb", verb).where("verb IS NOT NULL"), texts), F.col("verb")))
 
 
-def client_objects(raw: DataFrame, bindings: DataFrame) -> DataFrame:
+def client_objects(raw: DataFrame, bindings: DataFrame, texts: DataFrame | None = None) -> DataFrame:
     """(owner, name, library, style, base, base_known): names of a scope, and attributes of a class's self, that only clients are assigned to.
 
-    The base is a literal URL; one that is given in another way is unknown. An attribute that a subclass assigns is the subclass's own.
+    The base is a literal URL, or one that ``texts`` knows; one that is given in another way is unknown. An attribute that a subclass assigns is the subclass's own.
     """
-    made = raw.where("fact = 'made'").select("path", F.col("id").alias("owner"), F.col("name").alias("object"), F.col("value").alias("name"), "scope", "line", "col", F.col("extra").alias("first"))
+    made = raw.where("fact = 'made'").select("path", F.col("id").alias("owner"), F.col("name").alias("object"), F.col("value").alias("name"), "scope", "line", "col", "place", F.col("extra").alias("first"))
     kinds = F.create_map(*(x for k, v in CLIENTS.items() for x in (F.lit(k), F.array(*map(F.lit, v)))))
     found = resolve(made, bindings).withColumn("kind", kinds[_full_name()]).where("kind IS NOT NULL")
     given = raw.where("fact = 'keyword' AND name = 'base_url'").select(F.col("id").alias("at"), F.col("value").alias("asked"), F.lit(True).alias("named"))
     found = found.withColumn("at", F.format_string("%s:%d:%d", "path", "line", "col")).join(given.dropDuplicates(["at"]), "at", "left")
+    if texts is not None:
+        told = texts.select(F.col("at").alias("_at"), F.col("first").alias("_first"), F.col("base_url").alias("_base"))
+        found = found.join(told, F.concat_ws(":", "path", "place") == F.col("_at"), "left").withColumns({"asked": F.coalesce("_base", "asked"), "first": F.coalesce("_first", "first")})
     text = F.when(F.col("named"), F.col("asked")).otherwise(F.when(F.col("kind")[0] == "aiohttp", F.col("first")))
     literal = text.rlike("^https?://[^/?#]+") & ~text.contains(urls.VALUE) & ~urls.has_query(text)
     style = F.col("kind")[1]
@@ -185,13 +204,13 @@ def client_objects(raw: DataFrame, bindings: DataFrame) -> DataFrame:
     return facts.client_agreement(told.join(sure, "name", "left_semi")).select(key[0].alias("owner"), key[1].alias("name"), "library", "style", "base", "base_known")
 
 
-def session_calls(raw: DataFrame, bindings: DataFrame, aiohttp_version: tuple[int, int] | None = None) -> DataFrame:
+def session_calls(raw: DataFrame, bindings: DataFrame, aiohttp_version: tuple[int, int] | None = None, texts: DataFrame | None = None) -> DataFrame:
     """As ``client_calls``, of methods of client objects: those that a scope or an enclosing one makes, that a module imports by name, and attributes of self.
 
     A path on a client with a known base has its host; on one with an unknown base, only its own part. What a client does with a URL of its own host depends
     for aiohttp on the version, so such calls of sessions with a base have no template.
     """
-    objects = materialize(client_objects(raw, bindings), "client-objects")
+    objects = materialize(client_objects(raw, bindings, texts), "client-objects")
     # names of other modules' clients
     imports = raw.where("fact = 'import' AND extra <> '' AND value NOT LIKE '.%'").select("id", "name", F.col("value").alias("m"), F.col("extra").alias("member"))
     outer = objects.where("owner LIKE '%#<module>'").withColumn("m", module_name(F.substring_index("owner", "#", 1))).withColumnRenamed("name", "member").drop("owner")
@@ -200,9 +219,9 @@ def session_calls(raw: DataFrame, bindings: DataFrame, aiohttp_version: tuple[in
     calls = raw.where("fact = 'call' AND name LIKE '%.%'").withColumn("verb", F.substring_index("name", ".", -1)).where(F.col("verb").isin(*VERBS, "request", "stream"))
     object_ = F.regexp_replace("name", r"\.[^.]*$", "")
     owner = F.when(object_.startswith("self."), F.regexp_replace("id", r"\.[^.]*$", "")).otherwise(F.coalesce("scope", F.concat("path", F.lit("#<module>"))))
-    calls = calls.select(owner.alias("owner"), object_.alias("name"), "verb", "id", "line", F.col("value").alias("first"), F.col("extra").alias("second"))
+    calls = calls.select(owner.alias("owner"), object_.alias("name"), "verb", "id", "line", "path", "place", F.col("value").alias("first"), F.col("extra").alias("second"))
     known = calls.join(once, ["owner", "name"]).where("verb <> 'stream' OR library = 'httpx'")
-    known = materialize(_verb_and_url(known, F.col("verb")), "session-calls")
+    known = materialize(_verb_and_url(_with_texts(known, texts), F.col("verb")), "session-calls")
     # a relative path on a client that may have a base
     joins = F.col("style").isin("httpx-base-url", "aiohttp-base-url") & (F.col("base").isNotNull() | ~F.col("base_known"))
     alone = ~F.col("url").rlike(r"^https?://") & ~F.col("url").startswith(urls.VALUE)

@@ -6,10 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracewell.functions import patterns
-from tracewell.operators import catalog, models, value_flow
+from tracewell.operators import catalog, models, texts, value_flow
 from tracewell.operators import python_facts as P
 from tracewell.operators import python_graph as G
-from tracewell.sources import manifests, python_flow
+from tracewell.sources import manifests, python_flow, python_texts
 from tracewell.sources import python_sources as S
 from tracewell.sources.entity_graph import table
 from tracewell.storage import materialize
@@ -171,6 +171,31 @@ SESSION_SQL = """SELECT 'GET' AS method, CASE WHEN s_nationkey % 2 = 0 THEN '/v'
   UNION ALL SELECT 'PUT', '/b' || s_suppkey || '/{}', 'root', 'own.example', 's' || s_suppkey || '.py#Box.go' FROM supplier WHERE s_suppkey % 2 = 1"""
 
 
+def _url_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A module of constants for each nation, of which every fifth binds its base twice; for each supplier a module that calls with a URL put together in one of six ways."""
+    n = "n_nationkey"
+    twice = F.when(F.col(n) % 5 == 0, F.lit("V += '/more'\n")).otherwise(F.lit(""))
+    settings = table(spark, sf_dir, "nation").select(F.format_string("conf/n%d.py", n).alias("path"), F.concat(F.format_string("HOST = 'https://n%d.example'\nV = HOST + '/v%d'\n", n, n), twice, F.lit("PAGE = '{base}/{kind}/{k}'\n")).alias("text"))
+    ways = ("V + '/sum/' + k", "f'{conf.V}/text/{k}'", "'%s/percent/%s' % (V, k)", "'%(v)s/keyed/%(k)s' % {'v': conf.V, 'k': k}", "PAGE.format(base=V, kind='format', k=k)", "local")
+    way = F.element_at(F.array(*map(F.lit, ways)), (F.col("s_suppkey") % 6 + 1).cast("int"))
+    use = F.concat(F.format_string("import requests, httpx\nfrom conf import n%d as conf\nfrom conf.n%d import V, PAGE\nclient = httpx.Client(base_url=V)\n", "s_nationkey", "s_nationkey"), F.lit("def load(k):\n    local = f'{V}/local/{k}'\n    requests.get("), way, F.format_string(")\ndef ask():\n    client.post('/s%d')\n", "s_suppkey"))
+    uses = table(spark, sf_dir, "supplier").select(F.format_string("s%d.py", "s_suppkey").alias("path"), use.alias("text"))
+    return settings.unionByName(uses).select("path", F.encode("text", "UTF-8").alias("content"))
+
+
+def url_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Calls of functions and of clients, whose URLs and bases are put together from constants of other modules."""
+    raw = materialize(python_texts.text_facts(_url_files(spark, sf_dir)), "raw-facts")
+    bindings = materialize(G.module_bindings(raw, G.definitions(raw)), "bindings")
+    told = materialize(texts.arguments(raw), "arguments")
+    return P.client_calls(raw, bindings, told).unionByName(P.session_calls(raw, bindings, texts=told)).select("method", "template", "anchor", "authority", "id")
+
+
+URL_TEXTS_SQL = """WITH s AS (SELECT s_suppkey AS k, s_nationkey AS n, s_nationkey % 5 <> 0 AS known, ['sum', 'text', 'percent', 'keyed', 'format', 'local'][CAST(s_suppkey % 6 AS INTEGER) + 1] AS way FROM supplier)
+  SELECT 'GET' AS method, CASE WHEN known THEN '/v' || n || '/' || way || '/{}' ELSE '/' || way || '/{}' END AS template, CASE WHEN known THEN 'root' ELSE 'base' END AS anchor, CASE WHEN known THEN 'n' || n || '.example' END AS authority, 's' || k || '.py#load' AS id FROM s
+  UNION ALL SELECT 'POST', CASE WHEN known THEN '/v' || n ELSE '' END || '/s' || k, CASE WHEN known THEN 'root' ELSE 'base' END, CASE WHEN known THEN 'n' || n || '.example' END, 's' || k || '.py#ask' FROM s"""
+
+
 def relation_uses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A module for each supplier that runs SQL over two tables."""
     text = F.format_string("def load(cursor, k):\n    cursor.execute('SELECT * FROM t%d JOIN shop.n%d n ON n.id = %%s', [k])\n", "s_suppkey", "s_nationkey")
@@ -315,6 +340,7 @@ QUERIES = {
     "python_django_routes": django_routes,
     "python_client_calls": client_calls,
     "python_session_calls": session_calls,
+    "python_url_texts": url_texts,
     "python_relation_uses": relation_uses,
     "python_parse_outcomes": parse_outcomes,
     "python_parse_budget": parse_budget,
@@ -336,6 +362,7 @@ ORACLES = {
     "python_django_routes": DJANGO_SQL,
     "python_client_calls": CLIENT_SQL,
     "python_session_calls": SESSION_SQL,
+    "python_url_texts": URL_TEXTS_SQL,
     "python_relation_uses": RELATION_SQL,
     "python_parse_outcomes": OUTCOMES_SQL,
     "python_parse_budget": BUDGET_SQL,
