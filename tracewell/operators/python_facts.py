@@ -133,10 +133,14 @@ def _full_name() -> Column:
 
 def _requests(known: DataFrame, path: Column, anchor: Column, host: Column, fine: Column) -> DataFrame:
     """Facts of calls: ``path`` becomes a template where ``fine``; else the path is unknown."""
-    whole = ~path.rlike(r"[^/]￼|￼[^/]") & path.startswith("/")
-    fine = F.coalesce(whole & fine, F.lit(False))
-    masked = urls.mask_template(F.replace(urls.remove_dot_segments(urls.normalize_path(path)), F.lit("%EF%BF%BC"), F.lit("{}")), host)
-    return known.select("method", F.when(fine, masked["template"]).alias("template"), F.when(fine, anchor).otherwise("base").alias("anchor"), host.alias("authority"), F.when(fine, masked["masked"]).otherwise(0).alias("masked"), "id", "line")
+    # steps are columns of their own, so that no expression holds another one many times
+    known = known.withColumns({"_path": path, "_host": host, "_fine": fine, "_anchor": anchor})
+    path, host = F.col("_path"), F.col("_host")
+    known = known.withColumn("_fine", F.coalesce(~path.rlike(r"[^/]￼|￼[^/]") & path.startswith("/") & F.col("_fine"), F.lit(False)))
+    known = known.withColumn("_path", F.replace(urls.remove_dot_segments(urls.normalize_path(path)), F.lit("%EF%BF%BC"), F.lit("{}")))
+    known = known.withColumn("_masked", urls.mask_template(path, host))
+    masked, fine = F.col("_masked"), F.col("_fine")
+    return known.select("method", F.when(fine, masked["template"]).alias("template"), F.when(fine, F.col("_anchor")).otherwise("base").alias("anchor"), host.alias("authority"), F.when(fine, masked["masked"]).otherwise(0).alias("masked"), "id", "line")
 
 
 def _verb_and_url(calls: DataFrame, verb: Column) -> DataFrame:
