@@ -147,3 +147,25 @@ def test_reach_of_all_orders(spark):
                 reached.setdefault(y, []).append((d, k))
     got = {x.id: (x.depth, x.roots) for x in Q.WHOLE["reach_all_orders"](spark, sf).collect()}
     assert got == {y: (min(v)[0], ",".join(map(str, sorted(k for _, k in v)[:64]))) for y, v in reached.items()}
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_listed_kinds_merge_without_sorting(spark, seed):
+    """Pairs as numbers give the rows that sets do; no edge is sorted for it, and a pair needs no second grouping for the adjacency."""
+    names, raw, *_ = case(seed)
+    nodes = spark.createDataFrame([(x,) for x in names], "id string").coalesce(1)
+    rows = spark.createDataFrame(raw, "source string, target string, kind string, evidence string").coalesce(1)
+    edges = E.merge_edges(rows, nodes, tuple(KINDS))
+    assert sorted((r.source, r.target, tuple(r.kinds), r.evidence) for r in edges.collect()) == sorted(merged(raw, set(names)))
+    for direction, weakest in (("dependencies", 2), ("dependents", 1)):
+        near = E.pair_adjacency(E.pair_edges(rows, nodes, tuple(KINDS)), tuple(KINDS), direction, weakest)
+        same = E.adjacency(edges, direction, weakest)
+        assert sorted(map(str, near.collect())) == sorted(map(str, same.collect()))
+        for df in (edges, near):
+            assert "Sort" not in plan_of(df) and "ObjectHashAggregate" not in plan_of(df)
+    with pytest.raises(Exception, match="not listed"):
+        E.merge_edges(rows, nodes, tuple(KINDS[:1])).collect()
