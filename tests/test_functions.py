@@ -84,3 +84,11 @@ def test_methods(spark):
 def test_agreement(spark):
     data = spark.createDataFrame([("a", "x", True), ("a", "x", True), ("b", "x", True), ("b", "y", True), ("c", "x", False)], "k string, v string, p boolean")
     assert {r.k: r.v for r in facts.agreement(data, "k", "v", "p").collect()} == {"a": "x", "b": None, "c": None}
+
+
+def test_small_files_of_many_rows_are_dealt(spark):
+    """One partition of many rows becomes several, whatever the size of the file; no row is lost."""
+    from tracewell.sources.entity_graph import dealt
+
+    rows = dealt(spark.range(50_000, numPartitions=1))
+    assert rows.rdd.getNumPartitions() == 3 and rows.distinct().count() == 50_000

@@ -9,13 +9,13 @@ from tracewell.functions import formats, naming, patterns, requirements, urls
 from tracewell.operators import change, facts, sql_text
 from tracewell.operators.traversal import closure
 from tracewell.sources import documents
-from tracewell.sources.entity_graph import table
+from tracewell.sources.entity_graph import dealt, table
 
 
 def _names(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Class-like names of parts: words joined in capitals, with the type's letters in between."""
     words = F.replace(F.initcap("p_name"), F.lit(" "), F.lit(""))
-    return table(spark, sf_dir, "part").select("p_partkey", F.concat(words, F.when(F.col("p_partkey") % 3 == 0, F.col("p_type")).otherwise(F.concat(F.substring("p_type", 1, 2), F.col("p_size").cast("string"))), words).alias("name"))
+    return dealt(table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_type", "p_size")).select("p_partkey", F.concat(words, F.when(F.col("p_partkey") % 3 == 0, F.col("p_type")).otherwise(F.concat(F.substring("p_type", 1, 2), F.col("p_size").cast("string"))), words).alias("name"))
 
 
 NAMES_SQL = """names AS (SELECT p_partkey, array_to_string(list_transform(string_split(p_name, ' '), lambda w: upper(w[1]) || lower(w[2:])), '') AS w,
@@ -273,7 +273,7 @@ def sql_likeness(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _shapes(spark: SparkSession, sf_dir: str, *shapes: str) -> DataFrame:
     """(p_partkey, t): of each part one of the texts, with its key in place of #."""
     k = (F.col("p_partkey") % len(shapes) + 1).cast("int")
-    return table(spark, sf_dir, "part").select("p_partkey", F.replace(F.element_at(F.array(*map(F.lit, shapes)), k), F.lit("#"), F.col("p_partkey").cast("string")).alias("t"))
+    return dealt(table(spark, sf_dir, "part").select("p_partkey")).select("p_partkey", F.replace(F.element_at(F.array(*map(F.lit, shapes)), k), F.lit("#"), F.col("p_partkey").cast("string")).alias("t"))
 
 
 def _shapes_sql(*told: str | None, name: str = "told") -> str:
