@@ -52,3 +52,23 @@ def test_vectors(found, i):
 def test_strict_keywords(spark):
     rows = spark.createDataFrame([(0, "select from a"), (1, "SELECT * FROM a join b"), (2, "DELETE FROM c")], "id long, sql string")
     assert {(r.id, r.name) for r in S.relations(rows, strict=True).collect()} == {(1, "a"), (2, "c")}
+
+
+def test_texts_are_dealt_by_their_length(spark):
+    """A task's share of text is bounded: more texts are more partitions, and all windows are in them."""
+    from tracewell.operators import sql_text
+
+    texts = spark.range(40_000, numPartitions=1).selectExpr("id", "concat('SELECT a FROM t', id, repeat(' ', 100)) AS sql")
+    assert sql_text.dealt(texts).rdd.getNumPartitions() == 1 + texts.selectExpr("sum(length(sql) + 16)").first()[0] // sql_text.PER_TASK > 6
+    found = sql_text.relations(texts.where("id < 50"))
+    assert sorted((r.id, r.name) for r in found.collect()) == [(k, f"t{k}") for k in range(50)]
+
+
+def test_sites_of_one_model_are_not_one_task(spark):
+    from tracewell.operators.catalog import walk_lookups
+
+    sites = spark.range(100).selectExpr("id AS site", "'M' AS model", "'a__in' AS path")
+    found = walk_lookups(sites, spark.createDataFrame([("M", "a", "m", "a", None)], "model string, name string, table_name string, column_name string, target string"))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and "BroadcastHashJoin" in plan
+    assert sorted(map(tuple, found.collect())) == [(k, "m", "a") for k in range(100)]

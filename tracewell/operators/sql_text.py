@@ -2,7 +2,8 @@
 
 A text becomes rows of tokens (strings and comments go); statements are running counts of semicolons, parentheses give each token its
 innermost group, and a relation stands where a group goes on after a keyword that asks for one, or after a comma of its list.
-Texts are independent, so all windows are by text.
+Texts are independent, so all windows are by text. Texts are dealt by id once, in so many partitions that each holds a bounded length of text,
+however many there are: a row of a token is wide, and partitions that are joined by the bytes of a shuffle would be large in memory.
 """
 
 from __future__ import annotations
@@ -27,6 +28,15 @@ HEAD_VERBS = ("update", "truncate")
 TOKEN = r"""--[^\n]*+|/\*(?s:.*?)(?:\*/|\z)|'(?:[^'\\]++|''|\\(?s:.))*+'?|"[^"]*+"?|`[^`]*+`?|\[[^\]]*+\]?|[\p{L}_][\p{L}\p{N}_$]*+|[.,();{}$?:@]"""
 
 
+PER_TASK = 1 << 17  # characters of texts for each partition, about
+
+
+def dealt(texts: DataFrame) -> DataFrame:
+    """``texts`` (id, sql) by id, in partitions of about PER_TASK characters."""
+    total = texts.agg(F.sum(F.length("sql") + 16)).first()[0] or 0
+    return texts.select("id", "sql").repartition(1 + total // PER_TASK, "id")
+
+
 def tokens(texts: DataFrame) -> DataFrame:
     """(id, pos, text, quoted, word): tokens of ``texts`` (id, sql) that aren't strings or comments; word is lower-cased, of plain names only."""
     found = texts.select("id", F.posexplode(F.filter(F.regexp_extract_all("sql", F.lit(TOKEN), F.lit(0)), lambda t: ~(t.startswith("--") | t.startswith("/*") | t.startswith("'")))).alias("pos", "raw"))
@@ -47,7 +57,7 @@ def looks_like_sql(text: Column, strict: bool = False) -> Column:
 def relations(texts: DataFrame, strict: bool = False) -> DataFrame:
     """(id, name): relations that each text (id, sql) names. ``strict``: keywords count in upper case alone."""
     by_id = Window.partitionBy("id").orderBy("pos")
-    t = tokens(texts)
+    t = tokens(dealt(texts))
     symbol = lambda s: ~F.col("quoted") & (F.col("text") == s)
     loud = (F.col("text") == F.upper("text")) if strict else F.lit(True)
     t = t.withColumn("key", F.when(F.col("word").isNotNull() & loud, F.col("word")))
