@@ -10,6 +10,8 @@ from tracewell.storage import materialize
 # fixed values: last parts of a path that compare and name no field
 LOOKUPS = "exact iexact gt gte lt lte in contains icontains startswith istartswith endswith iendswith range isnull regex iregex year iso_year month day week week_day iso_week_day quarter hour minute second date time".split()
 MOST_PARTS = 32
+FEW = 200_000  # rows of a catalogue that all tasks are sent; by a join of shuffles, the sites of one model and name would be one task's
+PER_TASK = 200_000  # sites whose rows one task tells apart, about
 
 
 def walk_lookups(sites: DataFrame, fields: DataFrame) -> DataFrame:
@@ -19,7 +21,10 @@ def walk_lookups(sites: DataFrame, fields: DataFrame) -> DataFrame:
     reverse relations are rows of their own. The model's primary key is the field named pk.
     """
     at = materialize(sites.select("site", "model", F.split("path", "__").alias("rest"), F.lit(True).alias("first")), "lookups")
-    out = None
+    out, n = None, at.count()
+    fields = materialize(fields.select("model", "name", "table_name", "column_name", "target"), "catalogue")
+    if fields.count() <= FEW:
+        fields = F.broadcast(fields)
     for _ in range(MOST_PARTS):
         if at.isEmpty():
             break
@@ -33,4 +38,6 @@ def walk_lookups(sites: DataFrame, fields: DataFrame) -> DataFrame:
         step = named.unionByName(lost)
         out = step if out is None else out.unionByName(step)
         at = materialize(hit.where(F.col("target").isNotNull() & (F.size("more") > 0)).select("site", F.col("target").alias("model"), F.col("more").alias("rest"), F.lit(False).alias("first")), "lookups")
-    return out.distinct() if out is not None else sites.select("site", F.lit(None).cast("string").alias("table_name"), F.lit(None).cast("string").alias("column_name")).limit(0)
+    if out is not None:  # a site's rows are told apart where it is dealt to, in a table that doesn't grow with the input
+        return out.repartition(1 + n // PER_TASK, "site").distinct()
+    return sites.select("site", F.lit(None).cast("string").alias("table_name"), F.lit(None).cast("string").alias("column_name")).limit(0)
