@@ -1,6 +1,8 @@
 """Bound edges of hand-written projects: each rule of what is followed and what opens a slot, worked out by hand."""
 
+from tracewell.operators import python_graph, traversal
 from tracewell.operators import value_flow as V
+from tracewell.operators.joins import by_key, spread_nulls
 from tracewell.sources.python_flow import flow_facts
 
 REPOS = """class Repo:
@@ -216,3 +218,29 @@ def test_steps_are_bounded(spark):
 
 def test_no_files(spark):
     assert edges(spark, {}) == {}
+
+
+def test_no_table_is_sent_whole(spark, monkeypatch):
+    """A program's tables are joined by key: none goes through the driver to all tasks, though those of a small program would fit."""
+    plans, write = [], V.materialize
+
+    def seen(df, tag):
+        plans.append((tag, df._jdf.queryExecution().executedPlan().toString()))
+        return write(df, tag)
+
+    for module in (V, python_graph, traversal):
+        monkeypatch.setattr(module, "materialize", seen)
+    sources = {"repos.py": REPOS, "wiring.py": WIRING, "other.py": OTHER, "star.py": "from wiring import *\nshared.save(1)\n"}
+    raw = flow_facts(files(spark, sources))
+    for tag, last in (("bound", V.bound_edges(raw)), *zip(("nodes", "edges", "outcomes"), python_graph.graph(raw), strict=True)):
+        plans.append((tag, last._jdf.queryExecution().executedPlan().toString()))
+    assert sum("SortMergeJoin" in p for _, p in plans) > 20
+    assert {tag for tag, p in plans if "Broadcast" in p} - {"edges"} == set()  # merge_edges is a step of other graphs as well
+
+
+def test_rows_without_a_key_are_spread(spark):
+    rows = spark.range(100).selectExpr("CASE WHEN id < 10 THEN concat('k', id) END AS key", "id")
+    told = spark.createDataFrame([(f"k{i}", i) for i in range(5)], "name string, told int")
+    got = {r.id: (r.key, r.told) for r in rows.join(by_key(told), spread_nulls("key", rows.id.cast("string")) == told.name, "left").collect()}
+    assert got == {i: (f"k{i}" if i < 10 else None, i if i < 5 else None) for i in range(100)}
+    assert rows.select(spread_nulls("key", rows.id.cast("string"))).distinct().count() == 100

@@ -11,9 +11,11 @@ from tracewell.operators import python_facts as P
 from tracewell.operators import python_graph as G
 from tracewell.sources import manifests, python_flow, python_texts
 from tracewell.sources import python_sources as S
-from tracewell.sources.entity_graph import table
+from tracewell.sources.entity_graph import dealt, table
 from tracewell.storage import materialize
 
+MOST_FILES = 2_000  # fixed value: files that one task parses, so that those of a small table aren't one task's
+
 
 def _class_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A base module for each nation, and a module for each supplier with a class under its nation's and a function that makes one."""
@@ -97,7 +99,8 @@ def _service_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def bound_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return value_flow.bound_edges(python_flow.flow_facts(_service_files(spark, sf_dir))).select("source", "target", "kind").distinct()
+    files = dealt(_service_files(spark, sf_dir), MOST_FILES)
+    return value_flow.bound_edges(python_flow.flow_facts(files)).select("source", "target", "kind").distinct()
 
 
 BOUND_SQL = """WITH s AS (SELECT 's' || s_suppkey || '.py#' AS p, 'Service' || s_suppkey AS c, 'n' || s_nationkey || '.py#' AS n, s_nationkey AS k, s_suppkey AS i FROM supplier)
