@@ -64,6 +64,17 @@ def test_texts_are_dealt_by_their_length(spark):
     assert sorted((r.id, r.name) for r in found.collect()) == [(k, f"t{k}") for k in range(50)]
 
 
+def _plan(spark, strict):
+    texts = spark.range(10).selectExpr("id", "concat('SELECT a FROM t', id) AS sql")
+    return S.relations(texts, strict)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_tokens_are_told_once(spark):
+    """Texts are dealt once and no table of tokens is joined: stages, and what the driver keeps of their tasks, are as many as partitions."""
+    plan = _plan(spark, False)
+    assert "Join" not in plan and plan.count("Exchange ") == 1
+
+
 def test_sites_of_one_model_are_not_one_task(spark):
     from tracewell.operators.catalog import walk_lookups
 

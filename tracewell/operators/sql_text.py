@@ -1,4 +1,4 @@
-"""Relation names in SQL text, as joins and windows over a table of tokens.
+"""Relation names in SQL text, as windows over a table of tokens.
 
 A text becomes rows of tokens (strings and comments go); statements are running counts of semicolons, parentheses give each token its
 innermost group, and a relation stands where a group goes on after a keyword that asks for one, or after a comma of its list.
@@ -55,47 +55,75 @@ def looks_like_sql(text: Column, strict: bool = False) -> Column:
 
 
 def relations(texts: DataFrame, strict: bool = False) -> DataFrame:
-    """(id, name): relations that each text (id, sql) names. ``strict``: keywords count in upper case alone."""
+    """(id, name): relations that each text (id, sql) names. ``strict``: keywords count in upper case alone.
+
+    Tokens are told once, and all that follows is windows within a text: no row is dealt again, and no table of tokens is joined with itself.
+    """
     by_id = Window.partitionBy("id").orderBy("pos")
     t = tokens(dealt(texts))
     symbol = lambda s: ~F.col("quoted") & (F.col("text") == s)
     loud = (F.col("text") == F.upper("text")) if strict else F.lit(True)
     t = t.withColumn("key", F.when(F.col("word").isNotNull() & loud, F.col("word")))
-    t = t.withColumn("stmt", F.coalesce(F.sum(symbol(";").cast("int")).over(by_id.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    in_stmt = Window.partitionBy("id", "stmt").orderBy("pos")
-    t = t.withColumn("level", F.sum(F.when(symbol("("), 1).when(symbol(")"), -1).otherwise(0)).over(in_stmt) + F.when(symbol(")"), 1).otherwise(0))
-    at_level = Window.partitionBy("id", "stmt", "level").orderBy("pos")
-    t = t.withColumn("open", F.when(F.col("level") > 0, F.last(F.when(symbol("("), F.col("pos")), ignorenulls=True).over(at_level)))
-    for k in (-3, -2, -1, 1, 2, 3, 4, 5, 6):
-        side = f"p{-k}" if k < 0 else f"n{k}"
-        t = t.withColumn(side, F.lead(F.struct("text", "quoted", "word", "pos"), k).over(by_id) if k > 0 else F.lag(F.struct("text", "quoted", "word", "pos"), -k).over(by_id))
+    beside = F.struct("text", "quoted", "word")
+    sides = {(f"p{-k}" if k < 0 else f"n{k}"): (F.lead(beside, k) if k > 0 else F.lag(beside, -k)).over(by_id) for k in (-3, -2, -1, 1, 2, 3, 4, 5)}
+    before = by_id.rowsBetween(Window.unboundedPreceding, -1)
+    stmt = F.coalesce(F.sum(symbol(";").cast("int")).over(before), F.lit(0))
+    name_before = F.last(F.when(F.col("word").isNotNull(), F.coalesce("key", F.lit(""))), ignorenulls=True).over(before)
+    t = t.select("*", stmt.alias("stmt"), name_before.alias("name_before"), *(c.alias(side) for side, c in sides.items()))
     near = lambda side, *words: F.coalesce(F.col(f"{side}.word").isin(*words), F.lit(False))
     mark = lambda side, s: F.coalesce(~F.col(f"{side}.quoted") & (F.col(f"{side}.text") == s), F.lit(False))
 
-    # head of each statement: its first name that is no label
+    def fine(side: str) -> Column:
+        return F.coalesce(F.when(F.col(f"{side}.quoted"), F.lit(True)).otherwise(F.col(f"{side}.word").isNotNull() & ~near(side, *CLAUSE)), F.lit(False))
+
+    # all that neighbours tell, so that they go no further: the name that starts here, if a relation does
+    escaped = lambda text, quoted: F.when(quoted, F.replace(F.replace(text, F.lit("%"), F.lit("%25")), F.lit("."), F.lit("%2E"))).otherwise(F.replace(text, F.lit("%"), F.lit("%25")))
+    two = mark("n1", ".") & fine("n2")
+    three = two & mark("n3", ".") & fine("n4")
+    part = lambda side: F.concat(F.lit("."), escaped(F.col(f"{side}.text"), F.col(f"{side}.quoted")))
+    name = F.concat(escaped(F.col("text"), F.col("quoted")), F.when(two, part("n2")).otherwise(F.lit("")), F.when(three, part("n4")).otherwise(F.lit("")))
+    called = F.when(three, mark("n5", "(")).when(two, mark("n3", "(")).otherwise(mark("n1", "("))
+    # common table expressions: the name before AS [NOT] [MATERIALIZED] (, or before its column list
+    has_body = mark("n1", "(") | (near("n1", "materialized") & mark("n2", "(")) | (near("n1", "not") & near("n2", "materialized") & mark("n3", "(")) | (near("n1", "not") & mark("n2", "("))
+    before_it = F.when(F.col("p1.quoted"), F.col("p1.text")).otherwise(F.col("p1.word"))
+    listed = mark("p2", ",") | near("p2", "with") | (near("p2", "recursive") & near("p3", "with"))
     label = mark("n1", ":") & ~mark("n2", ":")
-    name_pos = F.when(F.col("word").isNotNull() & ~label, F.col("pos"))
+    t = t.select(
+        "id", "pos", "text", "quoted", "word", "key", "stmt", "name_before",
+        name.alias("name"), called.alias("called"), (~two).alias("alone"),
+        ((F.col("word") == "as") & has_body).alias("makes"), mark("p1", ")").alias("after_list"), F.when(listed & (before_it != ""), before_it).alias("cte"),
+        # groups that hold a function's arguments: a FROM in them names no relation
+        (symbol("(") & F.col("p1.word").isNotNull() & ~near("p1", *CLAUSE) & ~near("n1", *SUBQUERY)).alias("calls"),
+        F.when(symbol("(") & near("p1", "materialized"), F.when(near("p2", "as"), 2).when(near("p2", "not") & near("p3", "as"), 3)).alias("made_by"),
+        (near("p1", "distinct") & (near("p2", "is") | (near("p2", "not") & near("p3", "is")))).alias("distinct_from"),
+        near("p1", "truncate").alias("truncates"), near("p1", "on", *GRANT_TABLES).alias("after_on"),
+        F.when(F.col("word").isNotNull() & ~label, F.col("pos")).alias("name_pos"),
+    )
+
+    # head of each statement: its first name that is no label
+    in_stmt = Window.partitionBy("id", "stmt").orderBy("pos")
     whole = Window.partitionBy("id", "stmt")
-    t = t.withColumn("head", F.min(name_pos).over(whole)).withColumn("verb", F.max(F.when(F.col("pos") == F.col("head"), F.col("key"))).over(whole))
     seen = lambda words: F.coalesce(F.max(F.when(F.col("key").isin(*words), 1)).over(in_stmt.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) == 1
+    t = t.withColumn("level", F.sum(F.when(symbol("("), 1).when(symbol(")"), -1).otherwise(0)).over(in_stmt) + F.when(symbol(")"), 1).otherwise(0))
     t = t.withColumn("after_into", seen(INTO_VERBS)).withColumn("after_privilege", seen(PRIVILEGES)).withColumn("after_kind", seen(CREATE_ON))
-    t = t.withColumn("last_set", F.max(F.when(F.col("key") == "set", F.col("pos"))).over(whole))
-    t = t.withColumn("name_before", F.last(F.when(F.col("word").isNotNull(), F.coalesce("key", F.lit(""))), ignorenulls=True).over(by_id.rowsBetween(Window.unboundedPreceding, -1)))
-
-    # common table expressions: the name before AS [NOT] [MATERIALIZED] (, or before its column list
-    body = F.when(mark("n1", "("), F.col("pos") + 1).when(near("n1", "materialized") & mark("n2", "("), F.col("pos") + 2).when(near("n1", "not") & near("n2", "materialized") & mark("n3", "("), F.col("pos") + 3).when(near("n1", "not") & mark("n2", "("), F.col("pos") + 2)
-    makes = t.where((F.col("word") == "as") & body.isNotNull()).select("id", "stmt", body.alias("body"), F.col("p1.pos").alias("end"))
-    ends = t.select("id", F.col("pos").alias("end"), F.when(symbol(")"), F.col("open") - 1).otherwise(F.col("pos")).alias("at"))
-    names = t.select("id", F.col("pos").alias("at"), F.col("stmt").alias("of"), F.when(F.col("quoted"), F.col("text")).otherwise(F.col("word")).alias("cte"), (mark("p1", ",") | near("p1", "with") | (near("p1", "recursive") & near("p2", "with"))).alias("opens"))
-    ctes = makes.join(ends, ["id", "end"]).join(names, ["id", "at"]).where("opens AND cte IS NOT NULL AND cte <> '' AND of = stmt").select("id", "stmt", "cte", "body").distinct()
-
-    # groups that hold a function's arguments: a FROM in them names no relation
-    calls = t.where(symbol("(") & F.col("p1.word").isNotNull() & ~near("p1", *CLAUSE) & ~(near("n1", *SUBQUERY))).select("id", F.col("pos").alias("open")).join(ctes.select("id", F.col("body").alias("open")), ["id", "open"], "left_anti").withColumn("call", F.lit(True))
-    t = t.join(calls, ["id", "open"], "left").withColumn("call", F.coalesce("call", F.lit(False)))
+    t = t.withColumn("head", F.min("name_pos").over(whole)).withColumn("last_set", F.max(F.when(F.col("key") == "set", F.col("pos"))).over(whole))
+    t = t.withColumn("verb", F.max(F.when(F.col("pos") == F.col("head"), F.col("key"))).over(whole)).drop("name_pos")
+
+    # parentheses belong to the group outside for this, so those of a list of columns stand side by side
+    t = t.withColumn("place", F.when(symbol("(") | symbol(")"), F.col("level") - 1).otherwise(F.col("level")))
+    at_place = Window.partitionBy("id", "stmt", "place").orderBy("pos")
+    of_list = F.when(F.col("level") >= 0, F.lag("cte", 2).over(at_place))
+    t = t.withColumn("cte", F.when(F.col("makes"), F.when(F.col("after_list"), of_list).otherwise(F.col("cte"))))
+    made = F.when(F.col("made_by") == 2, F.lag("cte", 2).over(at_place)).when(F.col("made_by") == 3, F.lag("cte", 3).over(at_place))
+    t = t.withColumn("calls", F.col("calls") & made.isNull()).drop("makes", "after_list", "made_by")
+    # a group is named by the parenthesis that opened it, which has a row inside too
+    t = t.withColumn("opens", F.explode(F.when(symbol("("), F.array(F.lit(False), F.lit(True))).otherwise(F.array(F.lit(False)))))
+    t = t.withColumn("place", F.when(F.col("opens"), F.col("level")).otherwise(F.col("place")))
+    opener = F.last(F.when(F.col("opens"), F.struct("pos", "calls")), ignorenulls=True).over(Window.partitionBy("id", "stmt", "place").orderBy("pos", "opens"))
+    t = t.withColumn("opener", opener).where("NOT opens").withColumn("inner", F.coalesce("opener.pos", F.lit(0))).withColumn("call", (F.col("level") > 0) & F.coalesce("opener.calls", F.lit(False)))
 
     grants = F.coalesce(F.col("verb").isin("grant", "revoke"), F.lit(False))
     key = F.col("key")
-    distinct_from = near("p1", "distinct") & (near("p2", "is") | (near("p2", "not") & near("p3", "is")))
     fires = (
         F.when(key == "update", (F.col("pos") == F.col("head")) & (F.col("last_set") > F.col("pos")))
         .when(key == "truncate", F.col("pos") == F.col("head"))
@@ -103,36 +131,23 @@ def relations(texts: DataFrame, strict: bool = False) -> DataFrame:
         .when(key == "table", F.col("name_before").isin(*TABLE_VERBS) & (F.col("name_before") != "truncate"))
         .when(key == "on", (grants & F.col("after_privilege")) | ((F.col("verb") == "create") & F.col("after_kind")))
         .when(key == "join", ~grants)
-        .when(key == "from", ~grants & ~distinct_from & ~F.col("call"))
+        .when(key == "from", ~grants & ~F.col("distinct_from") & ~F.col("call"))
     )
     fires = F.coalesce(fires, F.lit(False))
     # a word between a keyword and its relation
-    passed = F.col("word").isin(*MODIFIERS) | ((F.col("word") == "table") & near("p1", "truncate")) | (grants & F.col("word").isin(*GRANT_TABLES) & near("p1", "on", *GRANT_TABLES))
+    passed = F.col("word").isin(*MODIFIERS) | ((F.col("word") == "table") & F.col("truncates")) | (grants & F.col("word").isin(*GRANT_TABLES) & F.col("after_on"))
     step = F.when(fires, F.lit("fire")).when(F.coalesce(passed, F.lit(False)), F.lit("pass")).when(symbol(","), F.lit("comma")).when(F.col("word").isin(*(w for w in CLAUSE if w != "as")), F.lit("stop")).when(symbol(";"), F.lit("stop"))
-    t = t.withColumn("step", step)
-    # parentheses belong to the group outside for this: a group is named by the parenthesis that opened it
-    t = t.withColumn("place", F.when(symbol("(") | symbol(")"), F.col("level") - 1).otherwise(F.col("level"))).withColumn("opens", F.lit(False))
-    t = t.unionByName(t.where(symbol("(")).withColumn("place", F.col("level")).withColumn("opens", F.lit(True)))
-    opener = F.last(F.when(F.col("opens"), F.col("pos")), ignorenulls=True).over(Window.partitionBy("id", "stmt", "place").orderBy("pos", "opens"))
-    t = t.withColumn("inner", F.coalesce(opener, F.lit(0))).where("NOT opens").drop("opens")
-    group = Window.partitionBy("id", "stmt", "place", "inner").orderBy("pos")
-    t = t.withColumn("list", F.last(F.when(F.col("step").isin("fire", "stop"), F.struct("step", F.col("key").alias("by"), "pos")), ignorenulls=True).over(group.rowsBetween(Window.unboundedPreceding, -1)))
-    t = t.withColumn("chain", F.last(F.when(~F.coalesce(F.col("step") == "pass", F.lit(False)), F.struct(F.coalesce("step", F.lit("")).alias("step"))), ignorenulls=True).over(group.rowsBetween(Window.unboundedPreceding, -1)))
-    starts = (F.col("chain.step").isin("fire", "comma")) & (F.col("list.step") == "fire") & F.col("step").isNull()
+    t = t.select("id", "pos", "stmt", "place", "inner", "text", "quoted", "word", "key", "name", "called", "alone", "cte", grants.alias("grants"), step.alias("step"))
+    group = Window.partitionBy("id", "stmt", "place", "inner").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
+    t = t.withColumn("list", F.last(F.when(F.col("step").isin("fire", "stop"), F.struct("step", F.col("key").alias("by"))), ignorenulls=True).over(group))
+    t = t.withColumn("chain", F.last(F.when(~F.coalesce(F.col("step") == "pass", F.lit(False)), F.coalesce("step", F.lit(""))), ignorenulls=True).over(group))
+    starts = F.col("chain").isin("fire", "comma") & (F.col("list.step") == "fire") & F.col("step").isNull()
     segment = F.when(F.col("quoted"), F.col("text") != "").otherwise(F.col("word").isNotNull() & ~F.col("word").isin(*CLAUSE))
-    found = t.where(F.coalesce(starts, F.lit(False)) & F.coalesce(segment, F.lit(False)))
-
-    def fine(side: str) -> Column:
-        return F.coalesce(F.when(F.col(f"{side}.quoted"), F.lit(True)).otherwise(F.col(f"{side}.word").isNotNull() & ~near(side, *CLAUSE)), F.lit(False))
-
-    escaped = lambda text, quoted: F.when(quoted, F.replace(F.replace(text, F.lit("%"), F.lit("%25")), F.lit("."), F.lit("%2E"))).otherwise(F.replace(text, F.lit("%"), F.lit("%25")))
-    first = escaped(F.col("text"), F.col("quoted"))
-    two = mark("n1", ".") & fine("n2")
-    three = two & mark("n3", ".") & fine("n4")
-    part = lambda side: F.concat(F.lit("."), escaped(F.col(f"{side}.text"), F.col(f"{side}.quoted")))
-    name = F.concat(first, F.when(two, part("n2")).otherwise(F.lit("")), F.when(three, part("n4")).otherwise(F.lit("")))
-    called = F.when(three, mark("n5", "(")).when(two, mark("n3", "(")).otherwise(mark("n1", "("))
-    found = found.where(~(F.col("list.by").isin("from", "join") & called)).withColumn("name", name).withColumn("alone", ~two)
-    other = grants & (F.col("list.by") == "on") & F.coalesce(F.col("word").isin(*GRANT_OTHERS), F.lit(False))
-    found = found.where(~other).withColumn("cte", F.when(F.col("alone"), F.when(F.col("quoted"), F.col("text")).otherwise(F.col("word"))))
-    return found.join(ctes.select("id", "stmt", "cte").distinct(), ["id", "stmt", "cte"], "left_anti").select("id", "name").distinct()
+    function = F.col("list.by").isin("from", "join") & F.col("called")
+    other = F.col("grants") & (F.col("list.by") == "on") & F.coalesce(F.col("word").isin(*GRANT_OTHERS), F.lit(False))
+    names = F.coalesce(starts & segment & ~function & ~other, F.lit(False))
+    # names of a statement and of its common table expressions
+    own = F.when(F.col("alone"), F.when(F.col("quoted"), F.col("text")).otherwise(F.col("word")))
+    told = t.select("id", "stmt", "name", names.alias("names"), F.col("cte").isNotNull().alias("made"), F.coalesce("cte", F.when(names, own)).alias("own")).where("names OR made")
+    told = told.withColumn("inside", F.max("made").over(Window.partitionBy("id", "stmt", "own")))
+    return told.where("names AND NOT inside").select("id", "name").distinct()
