@@ -75,6 +75,11 @@ def test_tokens_are_told_once(spark):
     assert "Join" not in plan and plan.count("Exchange ") == 1
 
 
+def test_tokens_are_told_once_strict(spark):
+    plan = _plan(spark, True)
+    assert "Join" not in plan and plan.count("Exchange ") == 1
+
+
 def test_sites_of_one_model_are_not_one_task(spark):
     from tracewell.operators.catalog import walk_lookups
 
