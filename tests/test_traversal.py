@@ -149,6 +149,21 @@ def test_reach_of_all_orders(spark):
     assert got == {y: (min(v)[0], ",".join(map(str, sorted(k for _, k in v)[:64]))) for y, v in reached.items()}
 
 
+def test_reach_of_all_orders_has_no_bound(spark, monkeypatch):
+    """All orders are roots, and all that they reach is told, however many a request may have."""
+    from tracewell.plans import graph_queries as Q
+
+    sf = "/root/testdata/sf0.001"
+    monkeypatch.setattr(T, "MOST_ROOTS", 100)
+    monkeypatch.setattr(T.traverse_near, "__defaults__", ("direct", 1, 7))
+    rows = Q.WHOLE["reach_all_orders"](spark, sf).collect()
+    got = {x.id: len(x.roots.split(",")) for x in rows}
+    assert all(x.n_roots == got[x.id] or x.n_roots > got[x.id] == T.KEPT_ROOTS for x in rows)
+    own = spark.read.parquet(f"{sf}/orders.parquet").groupBy("o_custkey").count().collect()
+    assert {k: v for k, v in got.items() if k.startswith("customer#")} == {f"customer#{x.o_custkey}": x["count"] for x in own}
+    assert {k.split("#")[0] for k in got} == {"customer", "part", "supplier", "nation", "region"}
+
+
 def plan_of(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
